@@ -8,11 +8,10 @@ from collections.abc import Iterable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Unicode-aware stand-ins for \w and \s, valid for Java and RE2 alike.
+# Unicode-aware stand-ins for \w and \s. The white-space property is one lookup
+# per character, where a list of code points would be tested one by one.
 WORD = r"[\p{L}\p{N}_]"
-SPACE = (
-    r"[\s\x0b\x1c-\x1f\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
-)
+SPACE = r"[\p{IsWhite_Space}\x1c-\x1f]"
 LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]"
 
 
@@ -107,7 +106,9 @@ def lookup(key: Column, table: dict[str, object]) -> Column:
 def let(value: Column, body) -> Column:
     """Bind an expression to a name so that it is computed once per row.
 
-    A column used inside a lambda is evaluated again for every element; passing
-    it through a one-element array makes it a lambda variable instead.
+    A column used inside a lambda is evaluated again for every element. Here it
+    becomes the start value of a fold over nothing, and the finish step sees it
+    as a variable: neither copied nor typed again at run time.
     """
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+    nothing = F.array().cast("array<int>")
+    return F.aggregate(nothing, value, lambda acc, _: acc, body)

@@ -61,9 +61,18 @@ PY_ANY = r"^\s*(?:async\s+def|def|class)\s"
 def emit(docs: DataFrame, chunks: Column) -> DataFrame:
     """One row per chunk, next to the keys of its document."""
     packed = docs.select("document_id", "path", chunks.alias("chunks"))
-    return packed.select("document_id", "path", F.posexplode("chunks").alias("ordinal", "c")).select(
-        "document_id", "path", "ordinal", "c.*"
-    )
+    exploded = packed.select("document_id", "path", explode_once("chunks", "ordinal", "c"))
+    return exploded.where(F.col("ordinal").isNotNull()).select("document_id", "path", "ordinal", "c.*")
+
+
+def explode_once(array: Column | str, position: str, name: str) -> Column:
+    """Outer explode, for arrays that are costly to compute.
+
+    For a plain explode the optimizer infers a filter on the size of the array
+    and pushes it below the projection, which would compute the array twice
+    more. Callers drop the rows without a position.
+    """
+    return F.posexplode_outer(array).alias(position, name)
 
 
 # --- text splitting ---------------------------------------------------------
@@ -932,14 +941,14 @@ def chunking_hints(docs: DataFrame, limit: int = 500) -> DataFrame:
             let(found, lambda x: F.when(F.size(x) > 0, x).otherwise(whole)), 1, limit
         )
 
-    return docs.select(
-        "document_id", "path", F.inline(let(split_lines("content"), cut))
-    )
+    packed = docs.select("document_id", "path", let(split_lines("content"), cut).alias("hints"))
+    exploded = packed.select("document_id", "path", explode_once("hints", "ordinal", "h"))
+    return exploded.where(F.col("ordinal").isNotNull()).select("document_id", "path", "h.*")
 
 
 __all__ = [
     "PARSERS", "bounded_fallback", "chunk_documents", "chunking_hints", "config_block_type", "deploy_history",
-    "dispatched", "emit", "estimated_segments", "generic_code", "go", "incident", "incident_type", "is_error_line",
+    "dispatched", "emit", "estimated_segments", "explode_once", "generic_code", "go", "incident", "incident_type", "is_error_line",
     "java", "logs", "markdown", "markdown_type", "parser_name", "patch", "proto", "python",
     "script", "structured", "window_texts",
 ]

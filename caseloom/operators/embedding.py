@@ -54,7 +54,7 @@ def hash_embedder(dim: int = DEFAULTS.embedding_dim) -> Embedder:
             vector = np.zeros(dim)
             if cells:
                 index, sign = zip(*cells)
-                np.add.at(vector, index, sign)
+                vector = np.bincount(np.asarray(index), weights=np.asarray(sign), minlength=dim)
             norm = np.sqrt(vector @ vector)
             out.append(vector / norm if norm else vector)
         return out
