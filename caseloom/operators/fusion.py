@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from caseloom import vocab
 from caseloom.defaults import DEFAULTS, Defaults
-from caseloom.functions.patterns import contains_any, first_of, flagged, lookup
+from caseloom.functions.patterns import contains_any, first_of, lookup
 from caseloom.functions.text import metadata_tokens
 from caseloom.operators.matching import top_per
 
@@ -89,6 +89,23 @@ def rank_branches(candidates: DataFrame) -> DataFrame:
     )
 
 
+def drop_redundant_vectors(candidates: DataFrame, questions: DataFrame) -> DataFrame:
+    """Vector candidates of exact lookups count only where no other branch has any.
+
+    One window per question decides; the fusion that follows groups inside the
+    same partitions, so this costs no shuffle of its own.
+    """
+    exact = questions.select("question_id", F.col("intent").isin(*vocab.EXACT_INTENTS).alias("_exact"))
+    is_vector = F.col("branch") == "vector"
+    others = F.max((~is_vector).cast("int")).over(Window.partitionBy("question_id"))
+    return (
+        candidates.join(exact, "question_id")
+        .withColumn("_others", others)
+        .where(~(is_vector & F.col("_exact") & (F.col("_others") == 1)))
+        .drop("_exact", "_others")
+    )
+
+
 def weighted_rrf(candidates: DataFrame, defaults: Defaults = DEFAULTS) -> DataFrame:
     """Weighted reciprocal-rank fusion: one shuffle on question and chunk.
 
@@ -130,7 +147,7 @@ def boost_rules() -> list[tuple[Column, Column, Column]]:
         F.exists("endpoints", lambda e: F.contains(endpoint, e) | F.contains(e, endpoint)),
         F.lit(False),
     ) & (F.coalesce(endpoint, F.lit("")) != "")
-    matched = F.slice(F.array_sort(F.array_intersect(F.array_distinct("query_terms"), "terms")), 1, 4)
+    matched = F.col("matched")
     on = lambda name: intent == name
     text = F.lit
     return [
@@ -218,19 +235,33 @@ def boost(fused: DataFrame, questions: DataFrame, chunks: DataFrame,
         .join(questions.select("question_id", *QUESTION_COLUMNS), "question_id")
         .withColumns({"evidence_type": chunk_source_type(), "terms": metadata_term_set()})
     )
-    rules = boost_rules()
-    total = reduce(
-        lambda a, b: a + b, [F.when(c, d).otherwise(F.lit(0.0)) for c, d, _ in rules]
+    fired = F.filter(
+        F.array(
+            *[
+                F.struct(c.alias("holds"), d.cast("double").alias("delta"), r.alias("reason"))
+                for c, d, r in boost_rules()
+            ]
+        ),
+        lambda rule: rule["holds"],
     )
-    boosted = joined.withColumns(
-        {
-            "metadata_boost": F.least(total, F.lit(defaults.boost_cap)),
-            "reasons": flagged([(c, r) for c, _, r in rules]),
-        }
+    boosted = (
+        joined.withColumn("matched", F.slice(
+            F.array_sort(F.array_intersect(F.array_distinct("query_terms"), "terms")), 1, 4
+        ))
+        .withColumn("fired", fired)
+        .withColumns(
+            {
+                "metadata_boost": F.least(
+                    F.aggregate("fired", F.lit(0.0), lambda total, rule: total + rule["delta"]),
+                    F.lit(defaults.boost_cap),
+                ),
+                "reasons": F.transform("fired", lambda rule: rule["reason"]),
+            }
+        )
     )
     return boosted.withColumn("fused_score", F.col("rrf_score") + F.col("metadata_boost")).drop(
-        "terms", "preferred_sources", "preferred_chunks", "query_terms", "services",
-        "deploy_hashes", "endpoints", "metadata_lists",
+        "terms", "matched", "fired", "preferred_sources", "preferred_chunks", "query_terms",
+        "services", "deploy_hashes", "endpoints", "metadata_lists",
     )
 
 

@@ -9,19 +9,22 @@ from caseloom.functions.questions import with_intent
 from caseloom.operators import embedding, evidence, fusion, lexical, metadata_search, relations, rerank, vector
 from caseloom.plans import retrieval, retrieval_sql as rs
 from caseloom.plans.corpus import chunks as corpus
+from caseloom.plans.corpus import index_tables
 from caseloom.plans.registry import Load, big, flag, joined, query, text
 
 
 def asked(t: Load) -> DataFrame:
-    return retrieval.prepare(t("v_questions"), rs.WIDE)
+    return retrieval.prepare(t("v_questions"), rs.WIDE).persist()
 
 
 def hybrid(t: Load, keep: int = rs.WIDE) -> retrieval.Retrieval:
-    return retrieval.hybrid_search(t("v_questions"), corpus(t), rs.WIDE, keep=keep)
+    stored, tables = index_tables(t)
+    return retrieval.hybrid_search(t("v_questions"), stored, rs.WIDE, keep=keep, **tables)
 
 
 def packed(t: Load) -> DataFrame:
-    return retrieval.search(t("v_questions"), corpus(t), rs.TOP_K)
+    stored, tables = index_tables(t)
+    return retrieval.search(t("v_questions"), stored, rs.TOP_K, **tables)
 
 
 # --- embeddings -------------------------------------------------------------
@@ -285,7 +288,7 @@ def length_scorer():
       CASE WHEN decisive THEN 'heuristic' ELSE 'cross_encoder' END AS mode FROM top JOIN decided USING (question_id) QUALIFY final_rank <= {rs.TOP_K}""",
 )
 def rerank_with_model(t: Load) -> DataFrame:
-    ranked = retrieval.with_text(hybrid(t).ranked, corpus(t))
+    ranked = retrieval.with_text(hybrid(t).ranked, index_tables(t)[0])
     r = rerank.rerank(ranked, rs.TOP_K, length_scorer)
     return r.select("question_id", "chunk_id", big("final_rank").alias("final_rank"), F.col("rerank_mode").alias("mode"))
 
@@ -373,7 +376,8 @@ def direct_lookup_candidates(t: Load) -> DataFrame:
 @query("answers")
 def answers(t: Load) -> DataFrame:
     """Answer mode and text per question."""
-    a = retrieval.answer(t("v_questions"), corpus(t), rs.TOP_K)
+    stored, tables = index_tables(t)
+    a = retrieval.answer(t("v_questions"), stored, rs.TOP_K, **tables)
     return a.select(
         "question_id", "intent", "synthesis_mode", text("summary").alias("summary"), text("confidence").alias("confidence"), text("answer_text").alias("answer_text"),
         joined("affected_services").alias("affected_services"), text("citations").alias("citations"), joined("warnings", "|").alias("warnings"), joined("unknowns", "|").alias("unknowns"),

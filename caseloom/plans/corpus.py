@@ -38,6 +38,25 @@ def with_maps(facts: DataFrame) -> DataFrame:
     )
 
 
+def index_tables(load) -> tuple[DataFrame, dict[str, DataFrame]]:
+    """The chunk table with the vectors, edges and lexical index built on it.
+
+    A maintained corpus keeps these as tables that ingest writes once. Here
+    they are cached, so that the branches of a query, and later queries on the
+    same tables, read them instead of building them again.
+    """
+    from caseloom.operators.embedding import embed_column
+    from caseloom.operators.lexical import lexical_index
+    from caseloom.operators.relations import derive_relations
+
+    stored = chunks(load).persist()
+    return stored, {
+        "vectors": stored.select("project_id", "chunk_id", embed_column("text").alias("vector")).persist(),
+        "edges": derive_relations(stored).persist(),
+        "index": lexical_index(stored).persist(),
+    }
+
+
 def chunks(load) -> DataFrame:
     """All chunks: prose cut into word windows, and the short fact chunks."""
     short = load("v_facts").withColumnsRenamed(

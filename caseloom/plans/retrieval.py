@@ -8,7 +8,6 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from caseloom import vocab
 from caseloom.defaults import DEFAULTS, Defaults
 from caseloom.functions.questions import fetch_budget, investigation_support, with_intent
 from caseloom.operators import answers, fusion, lexical, metadata_search, relations, vector
@@ -48,7 +47,8 @@ def hybrid_search(questions: DataFrame, chunks: DataFrame, top_k: int, *,
     edges and the lexical index are tables in a maintained corpus and derived
     here otherwise.
     """
-    asked = prepare(questions, top_k, defaults)
+    # Every branch reads the questions; their intent is worked out once.
+    asked = prepare(questions, top_k, defaults).persist()
     vectors = embed_chunks(chunks) if vectors is None else vectors
     edges = relations.derive_relations(chunks) if edges is None else edges
     embedded = asked.select(
@@ -57,18 +57,17 @@ def hybrid_search(questions: DataFrame, chunks: DataFrame, top_k: int, *,
     lexical_hits = lexical.filtered_top(lexical.lexical_search(asked, chunks, index), asked, chunks)
     metadata_hits = metadata_search.metadata_search(asked, chunks)
     graph_hits = relations.graph_search(asked, edges)
-    others = fusion.union_branches(lexical=lexical_hits, metadata=metadata_hits, graph=graph_hits)
-    near = vector.vector_search(embedded, vectors, defaults.embedding_dim)
-    near = lexical.apply_filters(near, asked, chunks).join(
-        asked.select("question_id", F.col("intent").isin(*vocab.EXACT_INTENTS).alias("exact")), "question_id"
+    near = lexical.apply_filters(
+        vector.vector_search(embedded, vectors, defaults.embedding_dim), asked, chunks
     )
-    answered = others.select("question_id").distinct()
-    vector_hits = near.where(~F.col("exact")).unionByName(
-        near.where("exact").join(answered, "question_id", "left_anti")
+    every = fusion.union_branches(
+        vector=near, lexical=lexical_hits, metadata=metadata_hits, graph=graph_hits
     )
-    candidates = others.unionByName(fusion.union_branches(vector=vector_hits))
+    candidates = fusion.drop_redundant_vectors(every, asked)
     boosted = fusion.boost(fusion.weighted_rrf(candidates, defaults), asked, chunks, defaults)
-    return Retrieval(asked, candidates, fusion.rank_fused(boosted, keep or top_k))
+    # A few dozen rows per question, read again by reranking, packing and reports.
+    ranked = fusion.rank_fused(boosted, keep or top_k).persist()
+    return Retrieval(asked, candidates, ranked)
 
 
 def with_text(ranked: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -109,4 +108,4 @@ def answer(questions: DataFrame, chunks: DataFrame, top_k: int = DEFAULTS.top_k,
     )
     limit = max(top_k * 3, defaults.answer_max_chunks * 2)
     ordered = rerank(ranked.join(flags, "question_id"), limit, scorer, defaults, ~F.col("skip"))
-    return answers.assemble_answers(judged, ordered.drop("skip"), top_k, defaults)
+    return answers.assemble_answers(judged, ordered.drop("skip").persist(), top_k, defaults)

@@ -72,7 +72,9 @@ VEC_CTES = f"""
   cv AS ({hashed('ch', 'chunk_id', 'text', 'project_id, ')}),
   qv AS ({hashed('q', 'question_id', 'question', 'project_id, fetch_k, intent, ')}),
   near AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, chunk_id) AS rk FROM (
-    SELECT question_id, chunk_id, min(fetch_k) AS fetch_k, min(intent) AS intent, round(sum(qv.v * cv.v), 6) AS score FROM qv JOIN cv USING (project_id, idx) GROUP BY question_id, chunk_id)) WHERE rk <= fetch_k),
+    SELECT q.question_id, ch.chunk_id, q.fetch_k, q.intent, coalesce(d.score, 0.0) AS score FROM q JOIN ch USING (project_id)
+    LEFT JOIN (SELECT question_id, chunk_id, round(sum(qv.v * cv.v), 6) AS score FROM qv JOIN cv USING (project_id, idx) GROUP BY question_id, chunk_id) d
+      ON d.question_id = q.question_id AND d.chunk_id = ch.chunk_id)) WHERE rk <= fetch_k),
   vec AS (SELECT * FROM near WHERE intent NOT IN ({sx.quoted(vocab.EXACT_INTENTS)}) OR question_id NOT IN
     (SELECT question_id FROM lex UNION SELECT question_id FROM meta UNION SELECT question_id FROM graph))"""
 
