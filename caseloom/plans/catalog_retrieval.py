@@ -8,13 +8,17 @@ from pyspark.sql import functions as F
 from caseloom.functions.questions import with_intent
 from caseloom.operators import embedding, evidence, fusion, lexical, metadata_search, relations, rerank, vector
 from caseloom.plans import retrieval, retrieval_sql as rs
-from caseloom.plans.corpus import chunks as corpus
 from caseloom.plans.corpus import index_tables
 from caseloom.plans.registry import Load, big, flag, joined, query, text
+from caseloom.session import cut_lineage
 
 
 def asked(t: Load) -> DataFrame:
-    return retrieval.prepare(t("v_questions"), rs.WIDE).persist()
+    return cut_lineage(retrieval.prepare(t("v_questions"), rs.WIDE))
+
+
+def corpus(t: Load) -> DataFrame:
+    return index_tables(t)[0]
 
 
 def hybrid(t: Load, keep: int = rs.WIDE) -> retrieval.Retrieval:

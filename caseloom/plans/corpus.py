@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,23 +40,39 @@ def with_maps(facts: DataFrame) -> DataFrame:
     )
 
 
+_BUILT: dict[tuple[str, str], str] = {}
+
+
 def index_tables(load) -> tuple[DataFrame, dict[str, DataFrame]]:
     """The chunk table with the vectors, edges and lexical index built on it.
 
-    A maintained corpus keeps these as tables that ingest writes once. Here
-    they are cached, so that the branches of a query, and later queries on the
-    same tables, read them instead of building them again.
+    A maintained corpus has these as tables that ingest writes. Here they are
+    derived from the given tables and written once per application to the
+    checkpoint folder; the retrieval queries then read them.
     """
     from caseloom.operators.embedding import embed_column
     from caseloom.operators.lexical import lexical_index
     from caseloom.operators.relations import derive_relations
+    from caseloom.session import checkpoint_root
 
-    stored = chunks(load).persist()
-    return stored, {
-        "vectors": stored.select("project_id", "chunk_id", embed_column("text").alias("vector")).persist(),
-        "edges": derive_relations(stored).persist(),
-        "index": lexical_index(stored).persist(),
-    }
+    source = load("documents")
+    spark = source.sparkSession
+    key = (spark.sparkContext.applicationId, "|".join(sorted(source.inputFiles())))
+    names = ("vectors", "edges", "index")
+    if key not in _BUILT:
+        root = f"{checkpoint_root(spark)}/corpus-{uuid.uuid4().hex}"
+        chunks(load).write.parquet(f"{root}/chunks")
+        stored = spark.read.parquet(f"{root}/chunks")
+        built = {
+            "vectors": stored.select("project_id", "chunk_id", embed_column("text").alias("vector")),
+            "edges": derive_relations(stored),
+            "index": lexical_index(stored),
+        }
+        for name in names:
+            built[name].write.parquet(f"{root}/{name}")
+        _BUILT[key] = root
+    root = _BUILT[key]
+    return spark.read.parquet(f"{root}/chunks"), {n: spark.read.parquet(f"{root}/{n}") for n in names}
 
 
 def chunks(load) -> DataFrame:

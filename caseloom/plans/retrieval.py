@@ -14,6 +14,7 @@ from caseloom.operators import answers, fusion, lexical, metadata_search, relati
 from caseloom.operators.embedding import embed_column
 from caseloom.operators.evidence import pack_evidence
 from caseloom.operators.rerank import rerank
+from caseloom.session import cut_lineage
 
 
 @dataclass(frozen=True)
@@ -48,7 +49,7 @@ def hybrid_search(questions: DataFrame, chunks: DataFrame, top_k: int, *,
     here otherwise.
     """
     # Every branch reads the questions; their intent is worked out once.
-    asked = prepare(questions, top_k, defaults).persist()
+    asked = cut_lineage(prepare(questions, top_k, defaults))
     vectors = embed_chunks(chunks) if vectors is None else vectors
     edges = relations.derive_relations(chunks) if edges is None else edges
     embedded = asked.select(
@@ -65,9 +66,7 @@ def hybrid_search(questions: DataFrame, chunks: DataFrame, top_k: int, *,
     )
     candidates = fusion.drop_redundant_vectors(every, asked)
     boosted = fusion.boost(fusion.weighted_rrf(candidates, defaults), asked, chunks, defaults)
-    # A few dozen rows per question, read again by reranking, packing and reports.
-    ranked = fusion.rank_fused(boosted, keep or top_k).persist()
-    return Retrieval(asked, candidates, ranked)
+    return Retrieval(asked, candidates, fusion.rank_fused(boosted, keep or top_k))
 
 
 def with_text(ranked: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -101,11 +100,12 @@ def answer(questions: DataFrame, chunks: DataFrame, top_k: int = DEFAULTS.top_k,
     """One answer per question; no model is called."""
     wide = max(top_k * 3, 30)
     found = hybrid_search(questions, chunks, wide, defaults=defaults, **tables)
-    ranked = with_text(found.ranked, chunks)
+    # A few dozen rows per question, read again by reranking and packing.
+    ranked = cut_lineage(with_text(found.ranked, chunks))
     judged = support_by_question(found.questions, ranked)
     flags = judged.select(
         "question_id", answers.skips_rerank(F.col("intent"), F.col("raw_support.supported")).alias("skip")
     )
     limit = max(top_k * 3, defaults.answer_max_chunks * 2)
     ordered = rerank(ranked.join(flags, "question_id"), limit, scorer, defaults, ~F.col("skip"))
-    return answers.assemble_answers(judged, ordered.drop("skip").persist(), top_k, defaults)
+    return answers.assemble_answers(judged, cut_lineage(ordered.drop("skip")), top_k, defaults)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 RUNTIME_CONF = {
     "spark.sql.session.timeZone": "UTC",
@@ -49,12 +49,19 @@ def checkpoint_root(spark: SparkSession) -> str:
     The cluster names it in ``spark.checkpoint.dir``; a private folder is made
     only where that setting is absent, which is the single-machine test case.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured
-    current = spark.sparkContext.getCheckpointDir()
-    if current:
-        return current
-    root = tempfile.mkdtemp(prefix="caseloom-ckpt-", dir=os.environ.get("TMPDIR"))
-    spark.sparkContext.setCheckpointDir(root)
-    return root
+    context = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if context.getCheckpointDir() is None:
+        root = root or tempfile.mkdtemp(prefix="caseloom-ckpt-", dir=os.environ.get("TMPDIR"))
+        context.setCheckpointDir(root)
+    return root or context.getCheckpointDir()
+
+
+def cut_lineage(frame: DataFrame) -> DataFrame:
+    """Write a frame to the checkpoint folder and go on from there.
+
+    For small results that many branches read: they are computed once, survive
+    the loss of executors, and the plans built on them stay short.
+    """
+    checkpoint_root(frame.sparkSession)
+    return frame.checkpoint()
