@@ -85,7 +85,7 @@ def sliding_count(events: DataFrame, keys: list[str], ts: str, seconds: int,
     Each row also visits the next time bucket as look-back only, so that a
     window never spans more than one bucket and a busy key is spread over time.
     """
-    at = F.unix_micros(F.col(ts))
+    at = F.unix_micros(F.col(ts).cast("timestamp"))
     width = seconds * 1_000_000
     home = F.floor(at / width)
     spread = events.withColumn("_at", at).withColumn(
