@@ -29,7 +29,7 @@ def test_vector_search_in_blocks_equals_numpy(spark):
 
 def test_hash_embedding_forms_agree(spark):
     texts = spark.createDataFrame([(1, "error timeout error"), (2, "deploy abc")], "id int, text string")
-    cells = {(r.id, r.index): r.value for r in embedding.hashed_terms(texts, "id", "text").collect()}
+    cells = {(r["id"], r["index"]): r["value"] for r in embedding.hashed_terms(texts, "id", "text").collect()}
     rows = texts.select("id", embedding.embed_column("text").alias("v")).collect()
     dense = {(r.id, i): x for r in rows for i, x in enumerate(r.v) if x}
     assert cells.keys() == dense.keys() and all(abs(cells[k] - dense[k]) < 1e-12 for k in cells)
