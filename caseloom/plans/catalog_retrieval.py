@@ -287,9 +287,10 @@ def length_scorer():
 
 @query(
     "rerank_with_model",
-    f"""WITH {rs.HYBRID}, {rs.RERANK_CTES} SELECT question_id, chunk_id, row_number() OVER (PARTITION BY question_id ORDER BY CASE WHEN NOT decisive AND rank <= 20 THEN 0 ELSE 1 END,
-      round(CASE WHEN NOT decisive AND rank <= 20 THEN 1000.0 / (1 + length(substr(text, 1, 1600))) ELSE fs END, 6) DESC, chunk_id) AS final_rank,
-      CASE WHEN decisive THEN 'heuristic' ELSE 'cross_encoder' END AS mode FROM top JOIN decided USING (question_id) QUALIFY final_rank <= {rs.TOP_K}""",
+    f"""WITH {rs.HYBRID}, {rs.RERANK_CTES}, placed AS (SELECT question_id, chunk_id, CASE WHEN decisive THEN 'heuristic' ELSE 'cross_encoder' END AS mode,
+        CASE WHEN NOT decisive AND rank <= 20 THEN 0 ELSE 1 END AS part, round(CASE WHEN NOT decisive AND rank <= 20 THEN 1000.0 / (1 + length(substr(text, 1, 1600))) ELSE fs END, 6) AS s
+      FROM top JOIN decided USING (question_id))
+    SELECT question_id, chunk_id, final_rank, mode FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY part, s DESC, chunk_id) AS final_rank FROM placed) WHERE final_rank <= {rs.TOP_K}""",
 )
 def rerank_with_model(t: Load) -> DataFrame:
     ranked = retrieval.with_text(hybrid(t).ranked, index_tables(t)[0])
