@@ -64,7 +64,8 @@ def hybrid_search(questions: DataFrame, chunks: DataFrame, top_k: int, *,
     every = fusion.union_branches(
         vector=near, lexical=lexical_hits, metadata=metadata_hits, graph=graph_hits
     )
-    candidates = fusion.drop_redundant_vectors(every, asked)
+    # Bounded by the fetch budgets; written once, since fusion and reports read it.
+    candidates = cut_lineage(fusion.drop_redundant_vectors(every, asked))
     boosted = fusion.boost(fusion.weighted_rrf(candidates, defaults), asked, chunks, defaults)
     return Retrieval(asked, candidates, fusion.rank_fused(boosted, keep or top_k))
 
