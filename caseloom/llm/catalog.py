@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from caseloom.llm import (
-    compression_quality, line_blocks, poisson_mixing, surrogates, toxicity, training_suffixes, transport_stream, url_reputation,
+    compression_quality, line_blocks, poisson_mixing, surrogates, toxicity, training_suffixes, transport_stream, url_reputation, vertical_join,
 )
 from caseloom.llm.common import table
 
@@ -64,3 +64,8 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_training_suffixes")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return training_suffixes.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op4_vertical_join")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vertical_join.near_duplicates(table(spark, sf_dir, "documents"))
