@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from caseloom.llm import (
-    compression_quality, line_blocks, poisson_mixing, surrogates, toxicity, training_suffixes, transport_stream, url_reputation, vertical_join,
+    compression_quality, line_blocks, poisson_mixing, suffix_dedup, surrogates, toxicity, training_suffixes, transport_stream, url_reputation,
+    vertical_join,
 )
 from caseloom.llm.common import table
 
@@ -69,3 +70,8 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_vertical_join")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vertical_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op8_suffix_dedup")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.deduplicated(table(spark, sf_dir, "documents"))
