@@ -215,6 +215,12 @@ def fetch_budget(intent: Column | str, top_k: int, defaults: Defaults = DEFAULTS
     return F.greatest(factor * top_k, F.lit(defaults.min_fetch))
 
 
+def fetch_ceiling(top_k: int, defaults: Defaults = DEFAULTS) -> int:
+    """The largest budget that ``fetch_budget`` gives any intent."""
+    factor = max(3, 1, defaults.candidate_multiplier, defaults.incident_multiplier)
+    return max(factor * top_k, defaults.min_fetch)
+
+
 def admit(questions: DataFrame, text: str = "question", top_k: str = "top_k",
           defaults: Defaults = DEFAULTS) -> DataFrame:
     """Tag questions beyond the length or result limits with a reject reason."""

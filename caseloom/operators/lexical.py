@@ -62,83 +62,82 @@ def postings(index: DataFrame) -> DataFrame:
 def cover_density(stems: Column | str, query: Column | str) -> Column:
     """Sum of one over the length of every minimal span that holds all terms.
 
-    One pass over the positions: the last place of every term is carried, and
-    a span is minimal where its start moves forward.
+    Only the places of query terms are walked: the last place of every term is
+    carried, and a span is minimal where its start moves forward.
     """
 
     def score(wanted: Column) -> Column:
         seed = F.struct(
-            F.lit(0).alias("at"), F.lit(0).alias("start"), F.lit(0.0).alias("score"),
+            F.lit(0).alias("start"), F.lit(0.0).alias("score"),
             F.transform(wanted, lambda t: F.lit(0)).alias("last"),
         )
+        places = F.filter(
+            F.transform(
+                as_col(stems), lambda s, i: F.struct((i + 1).alias("at"), F.array_position(wanted, s).cast("int").alias("term"))
+            ),
+            lambda hit: hit["term"] > 0,
+        )
 
-        def step(acc: Column, stem: Column) -> Column:
-            at = acc["at"] + 1
-            last = F.when(
-                F.array_contains(wanted, stem),
-                F.transform(
-                    acc["last"], lambda p, i: F.when(F.get(wanted, i) == stem, at).otherwise(p)
-                ),
-            ).otherwise(acc["last"])
+        def step(acc: Column, hit: Column) -> Column:
+            last = F.transform(acc["last"], lambda p, i: F.when(i + 1 == hit["term"], hit["at"]).otherwise(p))
             start = F.array_min(last)
             new = start > acc["start"]
             return F.struct(
-                at.alias("at"),
                 F.when(new, start).otherwise(acc["start"]).alias("start"),
-                F.when(new, acc["score"] + F.lit(1.0) / (at - start + 1))
+                F.when(new, acc["score"] + F.lit(1.0) / (hit["at"] - start + 1))
                 .otherwise(acc["score"])
                 .alias("score"),
                 last.alias("last"),
             )
 
-        return F.aggregate(as_col(stems), seed, step, lambda acc: acc["score"])
+        return F.aggregate(places, seed, step, lambda acc: acc["score"])
 
     return let(as_col(query), score)
 
 
 def lexical_search(questions: DataFrame, chunks: DataFrame, index: DataFrame | None = None) -> DataFrame:
-    """Chunks that hold every term of a question, best covers first.
+    """Chunks that hold every term of a question, with their cover density.
 
-    Each question probes the postings of its rarest term only; the other terms
-    are tested inside the candidate rows. A frequent term therefore never
-    drives a join unless a question has nothing rarer.
+    Questions with the same terms in the same project are one search. A search
+    probes the postings of its rarest term only; the other terms are tested
+    inside the candidate rows. A frequent term therefore never drives a join
+    unless a search has nothing rarer. A stored index is read where one is
+    given; tokenising the chunks is for corpora without one.
     """
     index = lexical_index(chunks) if index is None else index
-    asked = questions.select("question_id", "project_id", "fetch_k", terms("question").alias("wanted"))
+    asked = questions.select("question_id", "project_id", "fetch_k", F.array_sort(terms("question")).alias("wanted"))
     asked = asked.where(F.size("wanted") > 0)
-    long = asked.select("question_id", "project_id", "wanted", F.explode("wanted").alias("term"))
+    searches = asked.select("project_id", "wanted").distinct()
+    long = searches.select("project_id", "wanted", F.explode("wanted").alias("term"))
     needed = long.select("project_id", "term").distinct()
     posted = postings(index).join(needed, ["project_id", "term"], "left_semi")
     frequency = posted.groupBy("project_id", "term").agg(F.count("*").alias("df"))
     driver = (
         long.join(frequency, ["project_id", "term"])
-        .groupBy("question_id", "project_id")
-        .agg(
-            F.min(F.struct("df", "term")).alias("rarest"),
-            F.count("*").alias("known"),
-            F.first(F.size("wanted")).alias("n"),
-        )
-        .where(F.col("known") == F.col("n"))
-        .select("question_id", "project_id", F.col("rarest.term").alias("term"))
+        .groupBy("project_id", "wanted")
+        .agg(F.min(F.struct("df", "term")).alias("rarest"), F.count("*").alias("known"))
+        .where(F.col("known") == F.size("wanted"))
+        .select("project_id", "wanted", F.col("rarest.term").alias("term"))
     )
-    candidates = posted.join(driver, ["project_id", "term"]).drop("term")
-    checked = (
-        candidates.join(asked, ["project_id", "question_id"])
-        .join(index, ["project_id", "chunk_id"])
+    # Searches are grouped by their rarest term, so a chunk meets each term once.
+    by_term = driver.groupBy("project_id", "term").agg(F.collect_list("wanted").alias("searches"))
+    exploded = index.select(
+        "project_id", "chunk_id", "positions", F.explode(F.array_remove(F.array_distinct("positions"), "")).alias("term")
+    )
+    found = (
+        exploded.join(by_term, ["project_id", "term"])
+        .select("project_id", "chunk_id", "positions", F.explode("searches").alias("wanted"))
         .where(F.size(F.array_except("wanted", "positions")) == 0)
-        .select(
-            "question_id", "project_id", "chunk_id", "fetch_k",
-            F.round(cover_density("positions", "wanted"), 6).alias("score"),
-        )
+        .select("project_id", "wanted", "chunk_id", F.round(cover_density("positions", "wanted"), 6).alias("score"))
     )
-    return checked
+    return asked.join(found, ["project_id", "wanted"]).select("question_id", "project_id", "chunk_id", "fetch_k", "score")
 
 
-def filtered_top(hits: DataFrame, questions: DataFrame, chunks: DataFrame) -> DataFrame:
+def filtered_top(hits: DataFrame, questions: DataFrame, chunks: DataFrame, most: int | None = None) -> DataFrame:
     """Apply the equality filters of each question, then cut to its budget."""
     return top_per(
         apply_filters(hits, questions, chunks),
-        ["question_id"], [F.desc("score"), F.asc("chunk_id")], F.col("fetch_k"),
+        ["question_id"], [F.desc("score"), F.asc("chunk_id")], F.col("fetch_k"), most=most,
     )
 
 

@@ -34,22 +34,22 @@ def contains_join(hay: DataFrame, text: str, needles: DataFrame, needle: str, on
     )
 
 
-# No question may ask for more: 20 results, tripled before reranking, times a
-# candidate multiplier of four.
-MAX_FETCH = 240
-
-
 def top_per(frame: DataFrame, keys: list[str], order: list[Column], limit: Column | int,
-            rank: str = "rank") -> DataFrame:
+            rank: str = "rank", most: int | None = None) -> DataFrame:
     """First rows per key.
 
     A literal bound lets Spark cut every key inside the map tasks, before the
-    shuffle. A bound that varies by row is therefore paired with the largest
-    budget admission allows.
+    shuffle. A bound that varies by row may come with ``most``, the largest
+    that the plan can hold, known when the plan is built. A row that asks for
+    more fails the job; nothing is cut in silence.
     """
     ranked = frame.withColumn(rank, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
     if isinstance(limit, Column):
-        return ranked.where((F.col(rank) <= MAX_FETCH) & (F.col(rank) <= limit))
+        if most is None:
+            return ranked.where(F.col(rank) <= limit)
+        kept = ranked.where(F.col(rank) <= most)
+        over = F.raise_error(F.concat(F.lit(f"a budget exceeds {most}: "), limit.cast("string"))).cast("boolean")
+        return kept.where(F.when(limit > most, over).otherwise(F.col(rank) <= limit))
     return ranked.where(F.col(rank) <= limit)
 
 

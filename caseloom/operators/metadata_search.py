@@ -39,21 +39,9 @@ def _symbols() -> Column:
     return F.array_distinct(F.transform(F.concat(single, listed), F.lower))
 
 
-def metadata_search(questions: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Best exact matches per question.
-
-    The match is a disjunction, so every arm runs as its own equi-join and
-    emits only pairs that no earlier arm emits: each pair appears once, carries
-    its full score at once, and the per-question cut happens before any shuffle
-    of pairs. Path and endpoint substrings are matched on distinct values.
-    """
-    active = [q for q in FILTERS if q in questions.columns]
-    asked = metadata_terms(questions).select(
-        "question_id", "project_id", "fetch_k", "m_services", "m_hashes", "m_endpoints", "m_terms",
-        *active,
-    )
+def _facts(chunks: DataFrame) -> DataFrame:
     meta = lambda k: F.lower(F.try_element_at("metadata", F.lit(k)))
-    facts = chunks.select(
+    return chunks.select(
         "project_id", "chunk_id", "service_name", "deploy_hash", "endpoint", "chunk_type",
         F.lower("service_name").alias("c_service"),
         F.lower("deploy_hash").alias("c_hash"),
@@ -65,63 +53,180 @@ def metadata_search(questions: DataFrame, chunks: DataFrame) -> DataFrame:
         _symbols().alias("c_symbols"),
     )
 
-    in_list = lambda names, value: F.coalesce(
-        F.array_contains(F.col(names), F.col(value)), F.lit(False)
-    )
-    within = lambda names, value: F.coalesce(
-        F.exists(names, lambda n: F.contains(F.col(value), n)), F.lit(False)
-    )
-    arms = {
-        "service": in_list("m_services", "c_service"),
-        "hash": in_list("m_hashes", "c_hash"),
-        "endpoint": within("m_endpoints", "c_endpoint"),
-        "symbol": F.arrays_overlap("m_terms", "c_symbol"),
-    }
 
-    def by_value(names: str, value: Column) -> DataFrame:
-        """Pairs whose chunk has one of the question's values."""
-        left = asked.withColumn("_v", F.explode(names))
-        return left.join(facts.withColumn("_v", value), ["project_id", "_v"]).drop("_v")
+def _path_hits(asked: DataFrame, facts: DataFrame, names: str, value: str, size: int) -> DataFrame:
+    """(project_id, value, _n): which wanted strings each distinct value contains."""
+    wanted = asked.select("project_id", F.explode(names).alias("_n")).distinct()
+    values = facts.select("project_id", value).where(F.col(value).isNotNull()).distinct()
+    return contains_join(values, value, wanted, "_n", ["project_id"], size)
 
-    def by_substring(names: str, value: str, size: int) -> DataFrame:
-        """Pairs whose chunk value contains one of the question's values."""
-        wanted = asked.select("project_id", F.explode(names).alias("_n")).distinct()
-        values = facts.select("project_id", value).where(F.col(value).isNotNull()).distinct()
-        hits = contains_join(values, value, wanted, "_n", ["project_id"], size)
-        owners = (
-            asked.withColumn("_n", F.explode(names))
-            .join(hits, ["project_id", "_n"])
-            .drop("_n")
-            .dropDuplicates(["question_id", value])
-        )
-        return owners.join(facts, ["project_id", value])
-
-    branches = [
-        by_value("m_services", F.col("c_service")),
-        by_value("m_hashes", F.col("c_hash")).where(~arms["service"]),
-        by_substring("m_endpoints", "c_endpoint", 2).where(~arms["service"] & ~arms["hash"]),
-        by_value("m_terms", F.explode("c_symbol"))
-        .where(~arms["service"] & ~arms["hash"] & ~arms["endpoint"])
-        .dropDuplicates(["question_id", "chunk_id"]),
-        by_substring("m_terms", "c_path", 4).where(
-            ~arms["service"] & ~arms["hash"] & ~arms["endpoint"] & ~arms["symbol"]
-        ),
-    ]
+
+def in_list(names: str, value: str) -> Column:
+    return F.coalesce(F.array_contains(F.col(names), F.col(value)), F.lit(False))
+
+
+def _endpoint() -> Column:
+    return F.coalesce(F.exists("m_endpoints", lambda n: F.contains(F.col("c_endpoint"), n)), F.lit(False))
+
+
+def _matches() -> Column:
+    """Whether any arm finds the pair. Listed symbols add to a score but find nothing."""
+    path = F.exists("m_terms", lambda t: F.contains(F.col("c_path"), t))
+    symbol = F.arrays_overlap("m_terms", "c_symbol")
+    return in_list("m_services", "c_service") | in_list("m_hashes", "c_hash") | _endpoint() | F.coalesce(symbol, F.lit(False)) | path
+
+
+def _score() -> Column:
     one = lambda cond, points: F.when(cond, points).otherwise(0.0)
-    score = (
-        one(arms["service"], 4.0)
-        + one(arms["hash"], 4.0)
-        + one(arms["endpoint"], 5.0)
+    return (
+        one(in_list("m_services", "c_service"), 4.0)
+        + one(in_list("m_hashes", "c_hash"), 4.0)
+        + one(_endpoint(), 5.0)
         + 3.0 * F.size(F.array_intersect("c_symbols", "m_terms"))
         + F.least(
             F.lit(2.0),
             F.size(F.filter("m_terms", lambda t: F.contains(F.col("c_path"), t))).cast("double"),
         )
     )
-    pairs = reduce(DataFrame.unionByName, branches)
+
+
+def _selective(asked: DataFrame, facts: DataFrame) -> DataFrame:
+    """Pairs that share a deploy hash, an endpoint or a symbol, each once, fully scored."""
+
+    def by_value(names: str, value: Column) -> DataFrame:
+        left = asked.select("question_id", "project_id", F.explode(names).alias("_v"))
+        right = facts.select("project_id", "chunk_id", value.alias("_v"))
+        return left.join(right, ["project_id", "_v"]).select("question_id", "project_id", "chunk_id")
+
+    hits = _path_hits(asked, facts, "m_endpoints", "c_endpoint", 2)
+    owners = asked.select("question_id", "project_id", F.explode("m_endpoints").alias("_n")).join(hits, ["project_id", "_n"])
+    by_endpoint = owners.join(facts.select("project_id", "chunk_id", "c_endpoint"), ["project_id", "c_endpoint"])
+    pairs = reduce(
+        DataFrame.unionByName,
+        [
+            by_value("m_hashes", F.col("c_hash")), by_value("m_terms", F.explode("c_symbols")),
+            by_endpoint.select("question_id", "project_id", "chunk_id"),
+        ],
+    ).distinct()
+    found = pairs.join(asked, ["question_id", "project_id"]).join(facts, ["project_id", "chunk_id"])
+    return found.where(_matches()).select("question_id", "project_id", "chunk_id", _score().alias("score"))
+
+
+def _leading(asked: DataFrame, facts: DataFrame, most: int) -> DataFrame:
+    """Pairs that match by service and path only, as far as a budget can reach.
+
+    Such chunks score by whether the service fits and whether none, one or
+    several path terms do, and tie at chunk id. A kind of match is a service, a
+    term or two, or both, and all chunks of a kind score at least as much. So
+    no chunk after the first ``most`` ids of a kind can be among the results
+    through it. These first ids are found once per kind, whichever questions
+    ask for it; work grows with the chunks and the answers, not their product.
+    """
+    none = F.lit(None).cast("string")
+    terms = asked.select(
+        "question_id", "project_id", F.explode_outer("m_services").alias("service"), "m_terms"
+    )
+    size = F.size("m_terms")
+    at = lambda k: F.get("m_terms", k)
+    pairs = F.when(
+        size > 1,
+        F.flatten(F.transform(F.sequence(F.lit(1), size - 1), lambda i: F.transform(
+            F.sequence(F.lit(0), i - 1), lambda j: F.struct(at(j).alias("first"), at(i).alias("second"))))),
+    )
+    singles = F.transform("m_terms", lambda t: F.struct(t.alias("first"), none.alias("second")))
+    nothing = F.array(F.struct(none.alias("first"), none.alias("second")))
+    kinds = F.concat(nothing, singles, F.coalesce(pairs, F.slice(singles, 1, 0)))
+    by_service = terms.where("service is not null").select("question_id", "project_id", "service", F.explode(kinds).alias("t"))
+    by_path = asked.select("question_id", "project_id", none.alias("service"), F.explode(kinds).alias("t")).where("t.first is not null")
+    wanted = by_service.unionByName(by_path).select("question_id", "project_id", "service", "t.first", "t.second")
+    keyed = ["project_id", "service", "first", "second"]
+    blank = lambda c: F.coalesce(c, F.lit(""))
+    wanted = wanted.select("question_id", "project_id", *(blank(F.col(c)).alias(c) for c in keyed[1:]))
+    asked_kinds = wanted.select(*keyed).distinct()
+
+    hits = _path_hits(asked, facts, "m_terms", "c_path", 4)
+    held = hits.groupBy("project_id", "c_path").agg(F.sort_array(F.collect_set("_n")).alias("held"))
+    placed = facts.select("project_id", "chunk_id", "c_path", blank(F.col("c_service")).alias("c_service")).join(
+        held, ["project_id", "c_path"], "left"
+    )
+    empty = F.expr("cast(array() as array<string>)")
+    own = F.coalesce("held", empty)
+    n = F.size(own)
+    two = F.when(
+        n > 1,
+        F.flatten(F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.transform(
+            F.sequence(F.lit(0), i - 1), lambda j: F.struct(F.get(own, j).alias("first"), F.get(own, i).alias("second"))))),
+    )
+    one = F.transform(own, lambda t: F.struct(t.alias("first"), F.lit("").alias("second")))
+    zero = F.array(F.struct(F.lit("").alias("first"), F.lit("").alias("second")))
+    matched = placed.select(
+        "project_id", "chunk_id", "c_service", F.explode(F.concat(zero, one, F.coalesce(two, F.slice(one, 1, 0)))).alias("t")
+    ).select(
+        "project_id", "chunk_id", "t.first", "t.second",
+        F.explode(F.array_distinct(F.array(F.col("c_service"), F.lit("")))).alias("service"),
+    )
+    of_kinds = matched.join(asked_kinds, keyed, "left_semi")
+    first = top_per(of_kinds, keyed, [F.asc("chunk_id")], most, "place").drop("place")
+    score = F.when(F.col("service") != "", 4.0).otherwise(0.0) + F.when(F.col("second") != "", 2.0).when(
+        F.col("first") != "", 1.0
+    ).otherwise(0.0)
+    return wanted.join(first, keyed).select("question_id", "project_id", "chunk_id", score.alias("score"))
+
+
+def _every_pair(asked: DataFrame, facts: DataFrame, active: list[str]) -> DataFrame:
+    """All matching pairs of questions that filter by equality, after their filters.
+
+    The first ids of a kind say nothing where a filter follows, so these
+    questions meet every chunk that fits their filter and one of the arms.
+    """
+
+    def by_value(names: str, value: str) -> DataFrame:
+        left = asked.withColumn("_v", F.explode(names))
+        return left.join(facts.withColumn("_v", F.col(value)), ["project_id", "_v"]).drop("_v")
+
+    def by_substring(names: str, value: str, size: int) -> DataFrame:
+        hits = _path_hits(asked, facts, names, value, size)
+        owners = asked.withColumn("_n", F.explode(names)).join(hits, ["project_id", "_n"]).drop("_n")
+        return owners.dropDuplicates(["question_id", value]).join(facts, ["project_id", value])
+
+    symbols = asked.withColumn("_v", F.explode("m_terms")).join(
+        facts.withColumn("_v", F.explode("c_symbol")), ["project_id", "_v"]
+    ).drop("_v")
+    pairs = reduce(
+        DataFrame.unionByName,
+        [
+            by_value("m_services", "c_service"), by_value("m_hashes", "c_hash"), symbols,
+            by_substring("m_endpoints", "c_endpoint", 2), by_substring("m_terms", "c_path", 4),
+        ],
+    )
     for q in active:
         pairs = pairs.where(F.col(q).isNull() | (F.col(q) == F.col(FILTERS[q])))
-    scored = pairs.select("question_id", "project_id", "chunk_id", "fetch_k", score.alias("score"))
+    return pairs.select("question_id", "project_id", "chunk_id", _score().alias("score"))
+
+
+def metadata_search(questions: DataFrame, chunks: DataFrame, most: int) -> DataFrame:
+    """Best exact matches per question; ``most`` is the largest budget of any.
+
+    Hash, endpoint and symbol matches are joined in full. Service and path
+    matches, which may hold much of a corpus, are taken as far as the largest
+    budget can reach. A pair's score is the largest found for it.
+    """
+    active = [q for q in FILTERS if q in questions.columns]
+    asked = metadata_terms(questions).select(
+        "question_id", "project_id", "fetch_k", "m_services", "m_hashes", "m_endpoints", "m_terms", *active
+    )
+    facts = _facts(chunks)
+    parts = []
+    free = asked
+    if active:
+        filtered = reduce(lambda a, b: a | b, [F.col(q).isNotNull() for q in active])
+        free = asked.where(~filtered)
+        parts.append(_every_pair(asked.where(filtered), facts, active))
+    parts += [_selective(free, facts), _leading(free, facts, most)]
+    best = reduce(DataFrame.unionByName, parts).groupBy("question_id", "project_id", "chunk_id").agg(F.max("score").alias("score"))
+    scored = best.join(asked.select("question_id", "fetch_k"), "question_id").select(
+        "question_id", "project_id", "chunk_id", "fetch_k", "score"
+    )
     return top_per(
-        scored, ["question_id"], [F.desc("score"), F.asc("chunk_id")], F.col("fetch_k")
+        scored, ["question_id"], [F.desc("score"), F.asc("chunk_id")], F.col("fetch_k"), most=most
     )

@@ -65,7 +65,7 @@ def graph_terms(questions: DataFrame) -> DataFrame:
     return questions.withColumn("graph_terms", F.slice(F.array_sort(F.array_distinct(kept)), 1, 8))
 
 
-def graph_search(questions: DataFrame, relations: DataFrame) -> DataFrame:
+def graph_search(questions: DataFrame, relations: DataFrame, most: int | None = None) -> DataFrame:
     """Chunks on edges whose keys mention a term of an architecture question.
 
     Terms are matched against the distinct keys first; edges are then reached
@@ -112,7 +112,7 @@ def graph_search(questions: DataFrame, relations: DataFrame) -> DataFrame:
         .select("question_id", "project_id", "chunk_id", "fetch_k", "best.*")
     )
     return top_per(
-        best, ["question_id"], [F.desc("score"), F.asc("chunk_id")], F.col("fetch_k")
+        best, ["question_id"], [F.desc("score"), F.asc("chunk_id")], F.col("fetch_k"), most=most
     )
 
 

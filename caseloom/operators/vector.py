@@ -129,7 +129,7 @@ def _search_block(questions: DataFrame, vectors: DataFrame) -> DataFrame:
 
 
 def vector_search(questions: DataFrame, vectors: DataFrame, dim: int = DEFAULTS.embedding_dim,
-                  block_bytes: int = BLOCK_BYTES) -> DataFrame:
+                  block_bytes: int = BLOCK_BYTES, most: int | None = None) -> DataFrame:
     """Exact cosine top-k per question inside its project.
 
     The vectors stay where they are: each task multiplies its Arrow batches
@@ -149,7 +149,7 @@ def vector_search(questions: DataFrame, vectors: DataFrame, dim: int = DEFAULTS.
         part = _search_block(block, vectors)
         hits = part if hits is None else hits.unionByName(part)
     return top_per(
-        hits, ["question_id"], [F.desc("score"), F.asc("chunk_id")], F.col("fetch_k")
+        hits, ["question_id"], [F.desc("score"), F.asc("chunk_id")], F.col("fetch_k"), most=most
     )
 
 

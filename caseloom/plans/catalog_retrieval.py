@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from caseloom.functions.questions import with_intent
+from caseloom.functions.questions import fetch_ceiling, with_intent
 from caseloom.operators import embedding, evidence, fusion, lexical, metadata_search, relations, rerank, vector
 from caseloom.plans import retrieval, retrieval_sql as rs
 from caseloom.plans.corpus import index_tables
@@ -17,6 +17,9 @@ def asked(t: Load) -> DataFrame:
     return cut_lineage(retrieval.prepare(t("v_questions"), rs.WIDE))
 
 
+MOST = fetch_ceiling(rs.WIDE)
+
+
 def corpus(t: Load) -> DataFrame:
     return index_tables(t)[0]
 
@@ -118,8 +121,8 @@ def _branch(hits: DataFrame) -> DataFrame:
 
 @query("lexical_search", f"WITH {rs.BASE}, {rs.LEX_CTES} {_TOP} lex")
 def lexical_search(t: Load) -> DataFrame:
-    q, c = asked(t), corpus(t)
-    return _branch(lexical.filtered_top(lexical.lexical_search(q, c), q, c))
+    q, (c, tables) = asked(t), index_tables(t)
+    return _branch(lexical.filtered_top(lexical.lexical_search(q, c, tables["index"]), q, c, MOST))
 
 
 @query(
@@ -132,13 +135,13 @@ def lexical_search_filtered(t: Load) -> DataFrame:
     q = asked(t).withColumns(
         {"filter_deploy_hash": F.get("deploy_hashes", F.lit(0)), "filter_endpoint": F.get("endpoints", F.lit(0))}
     )
-    c = corpus(t)
-    return _branch(lexical.filtered_top(lexical.lexical_search(q, c), q, c))
+    c, tables = index_tables(t)
+    return _branch(lexical.filtered_top(lexical.lexical_search(q, c, tables["index"]), q, c, MOST))
 
 
 @query("metadata_search", f"WITH {rs.BASE}, {rs.META_CTES} {_TOP} meta")
 def metadata_branch(t: Load) -> DataFrame:
-    return _branch(metadata_search.metadata_search(asked(t), corpus(t)))
+    return _branch(metadata_search.metadata_search(asked(t), corpus(t), MOST))
 
 
 @query(
@@ -164,13 +167,13 @@ def relation_evidence_join(t: Load) -> DataFrame:
 
 @query("graph_search", f"WITH {rs.BASE}, {rs.GRAPH_CTES} {_TOP} graph")
 def graph_branch(t: Load) -> DataFrame:
-    return _branch(relations.graph_search(asked(t), relations.derive_relations(corpus(t))))
+    return _branch(relations.graph_search(asked(t), index_tables(t)[1]["edges"], MOST))
 
 
 @query("vector_search_text", f"WITH {rs.BASE}, {rs.VEC_CTES.split('vec AS')[0].rstrip().rstrip(',')} {_TOP} near")
 def vector_search_text(t: Load) -> DataFrame:
     q = asked(t).select("question_id", "project_id", "fetch_k", embedding.embed_column("question").alias("vector"))
-    return _branch(vector.vector_search(q, retrieval.embed_chunks(corpus(t))))
+    return _branch(vector.vector_search(q, index_tables(t)[1]["vectors"], most=MOST))
 
 
 # --- fusion -----------------------------------------------------------------

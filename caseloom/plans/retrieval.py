@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from caseloom.defaults import DEFAULTS, Defaults
-from caseloom.functions.questions import fetch_budget, investigation_support, with_intent
+from caseloom.functions.questions import fetch_budget, fetch_ceiling, investigation_support, with_intent
 from caseloom.operators import answers, fusion, lexical, metadata_search, relations, vector
 from caseloom.operators.embedding import embed_column
 from caseloom.operators.evidence import pack_evidence
@@ -55,11 +55,12 @@ def hybrid_search(questions: DataFrame, chunks: DataFrame, top_k: int, *,
     embedded = asked.select(
         "question_id", "project_id", "fetch_k", embed_column("question").alias("vector")
     )
-    lexical_hits = lexical.filtered_top(lexical.lexical_search(asked, chunks, index), asked, chunks)
-    metadata_hits = metadata_search.metadata_search(asked, chunks)
-    graph_hits = relations.graph_search(asked, edges)
+    most = fetch_ceiling(top_k, defaults)
+    lexical_hits = lexical.filtered_top(lexical.lexical_search(asked, chunks, index), asked, chunks, most)
+    metadata_hits = metadata_search.metadata_search(asked, chunks, most)
+    graph_hits = relations.graph_search(asked, edges, most)
     near = lexical.apply_filters(
-        vector.vector_search(embedded, vectors, defaults.embedding_dim), asked, chunks
+        vector.vector_search(embedded, vectors, defaults.embedding_dim, most=most), asked, chunks
     )
     every = fusion.union_branches(
         vector=near, lexical=lexical_hits, metadata=metadata_hits, graph=graph_hits

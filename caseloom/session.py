@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import os
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -46,13 +47,18 @@ def build_session(app: str = "caseloom", master: str | None = None, **conf: str)
 def checkpoint_root(spark: SparkSession) -> str:
     """Shared folder for checkpoints and intermediate tables.
 
-    The cluster names it in ``spark.checkpoint.dir``; a private folder is made
-    only where that setting is absent, which is the single-machine test case.
+    The cluster names it in ``spark.checkpoint.dir``. Without that setting a
+    folder of this machine would do on one machine only, so it is made for a
+    local master and refused otherwise; it goes when the process ends.
     """
     context = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None)
     if context.getCheckpointDir() is None:
-        root = root or tempfile.mkdtemp(prefix="caseloom-ckpt-", dir=os.environ.get("TMPDIR"))
+        if root is None:
+            if not context.master.startswith("local[") and context.master != "local":
+                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+            root = tempfile.mkdtemp(prefix="caseloom-ckpt-")
+            atexit.register(shutil.rmtree, root, ignore_errors=True)
         context.setCheckpointDir(root)
     return root or context.getCheckpointDir()
 
