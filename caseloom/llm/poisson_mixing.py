@@ -5,7 +5,7 @@ the size of the mixture over the source's own size. Each document's count is
 the inverse of the Poisson distribution with that mean at a number in [0, 1)
 made from a hash of seed, document id and text, so a rerun, another cluster or
 a lost executor give the same counts. Documents are repeated by their count and
-ordered globally by another hash.
+shuffled globally by another hash.
 
 Defined results: a null source is a source of its own; null ids and texts hash
 as a word of their own. Rows that repeat an id and a text share one number and
@@ -73,26 +73,30 @@ def mix(
     docs: DataFrame, weights: Mapping[str, float] | None = None, size: int | None = None, seed: str = SEED,
     doc_id: str = "doc_id", text: str = "text", source: str = "source",
 ) -> DataFrame:
-    """The rows of the mixture in a global random order: all columns, ``copy`` (from 1) and ``place``.
+    """The rows of the mixture, shuffled globally: all columns, ``copy`` (from 1) and ``place``.
 
-    ``place`` in [0, 1) is the sort key. One number per row decides its count;
-    the table of distributions has one row per source and is broadcast up to a
-    stated number of sources, beyond it joined by shuffle. The rows cross the
-    network once, after the counts are known, split by ranges of ``place``.
+    ``place`` is a random number in [0, 1) of each copy. Rows are dealt out by
+    its hash and sorted by it within partitions, so every copy may stand next to
+    any other. One number per row decides its count; the table of distributions
+    has one row per source and is broadcast up to a stated number of sources,
+    beyond it joined by shuffle. The rows cross the network once.
     """
     table = rates(docs, weights, size, source)
     table = table.select(F.col("source").alias("mix_source"), distribution(F.col("rate")).alias("mix_steps"))
     few = table.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
     columns = [c for c in docs.columns if c not in ("copy", "place")]
-    base = docs.select(*(F.col(f"`{c}`") for c in columns))
-    key = [F.col(f"`{doc_id}`"), F.md5(F.coalesce(F.col(f"`{text}`"), F.lit("\\N")))]
+    digest = F.md5(F.coalesce(F.col(f"`{text}`"), F.lit("\\N")))
+    base = docs.select(*(F.col(f"`{c}`") for c in columns), digest.alias("mix_digest"))
+    # The number is made below the join, once per row, and only compared above it.
+    base = base.withColumn("mix_number", unit(F.lit(seed), F.col(f"`{doc_id}`"), F.col("mix_digest")))
     joined = base.join(F.broadcast(table) if few else table, F.col(f"`{source}`").eqNullSafe(F.col("mix_source")))
-    number = unit(F.lit(seed), *key)
-    times = F.size(F.filter("mix_steps", lambda step: step <= F.col("mix_number")))
-    counted = joined.withColumn("mix_number", number).withColumn("mix_times", times).where("mix_times > 0")
-    repeated = counted.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("mix_times"))))
-    placed = repeated.withColumn("place", unit(F.lit(seed + "/place"), *key, F.col("copy")))
-    return placed.select(*(F.col(f"`{c}`") for c in columns), "copy", "place").orderBy("place", f"`{doc_id}`", "copy")
+    # As many steps of the distribution lie at or below the number as the document has copies.
+    passed = F.filter("mix_steps", lambda step: step <= F.col("mix_number"))
+    repeated = joined.select(*(F.col(f"`{c}`") for c in columns), "mix_digest", F.posexplode(passed).alias("mix_place", "mix_step"))
+    repeated = repeated.withColumn("copy", F.col("mix_place") + 1)
+    placed = repeated.withColumn("place", unit(F.lit(seed + "/place"), F.col(f"`{doc_id}`"), F.col("mix_digest"), F.col("copy")))
+    placed = placed.select(*(F.col(f"`{c}`") for c in columns), "copy", "place")
+    return placed.repartition("place").sortWithinPartitions("place", f"`{doc_id}`", "copy")
 
 
 ORACLE = """
