@@ -36,38 +36,46 @@ def stored(frame: DataFrame) -> DataFrame:
     return frame.checkpoint()
 
 
+def with_rows(docs: DataFrame) -> DataFrame:
+    """(doc_id, text) where ``doc_id`` holds the whole row, for operators that carry ids along."""
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc_id"), F.col("`text`").alias("text"))
+
+
 def fold_of(doc_id: Column) -> Column:
     """crc32 of the id as text, modulo 5: remainder 0 is held out."""
     return F.crc32(doc_id.cast("string").cast("binary")) % 5
 
 
-def labelled(docs: DataFrame, labels: DataFrame, target: str) -> DataFrame:
-    """Training rows: (doc_id, text, label), held-out ids left out.
+def training_labels(labels: DataFrame, target: str) -> DataFrame:
+    """(doc_id, label 0 or 1) outside the held-out fold, one row per document.
 
     Null ids and null labels train nothing. A doc_id labelled more than once
     takes its smallest label, so repeated label rows cannot repeat documents.
     """
-    known = (
-        pick(labels, doc_id="doc_id", label=target)
-        .where("doc_id is not null and label is not null")
-        .where(fold_of(F.col("doc_id")) != 0)
-        .groupBy("doc_id").agg(F.min(F.col("label").cast("int")).alias("label"))
-    )
-    return pick(docs, doc_id="doc_id", text="text").join(known, "doc_id").withColumn("text", F.coalesce("text", F.lit("")))
+    rows = pick(labels, doc_id="doc_id", label=target).where("doc_id is not null and label is not null")
+    rows = rows.where(fold_of(F.col("doc_id")) != 0)
+    return rows.groupBy("doc_id").agg(F.min((F.col("label") > 0).cast("int")).alias("label"))
+
+
+def base_counts(known: DataFrame) -> tuple[int, int]:
+    """How many training labels are 0 and 1."""
+    found = {r.label: r.n for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    return found.get(0, 0), found.get(1, 0)
 
 
-def bounded_sample(rows: DataFrame, per_class: int, seed: str, max_chars: int) -> DataFrame:
-    """At most ``per_class`` rows of each label, those with the smallest hash.
+def bounded_sample(docs: DataFrame, known: DataFrame, per_class: int, seed: str, max_chars: int) -> DataFrame:
+    """(doc_id, text, label, key): texts of at most ``per_class`` documents of each label.
 
-    The cut is a global order with a limit, which keeps only ``per_class``
-    rows per task before anything is sent. Texts of more than ``max_chars``
-    are not drawn, which bounds the sample's size.
+    The documents are those with the smallest hash of seed and id, an order with
+    a limit over the labels alone. So the ids that are sent to the rows of the
+    documents number at most ``2 * per_class``, and no text is shuffled. Texts of
+    more than ``max_chars`` are not drawn, which bounds the sample's size.
     """
-    keyed = rows.where(F.length("text") <= max_chars).select(
-        "doc_id", "text", "label", F.xxhash64(F.lit(seed), "doc_id", "text").alias("key")
-    )
+    keyed = known.select("doc_id", "label", F.xxhash64(F.lit(seed), "doc_id").alias("key"))
     parts = [keyed.where(F.col("label") == value).orderBy("key", "doc_id").limit(per_class) for value in (0, 1)]
-    return parts[0].unionByName(parts[1])
+    rows = pick(docs, doc_id="doc_id", text="text").withColumn("text", F.coalesce("text", F.lit("")))
+    drawn = rows.join(F.broadcast(parts[0].unionByName(parts[1])), "doc_id")
+    return drawn.where(F.length("text") <= max_chars).select("doc_id", "text", "label", "key")
 
 
 def batches_of(column: str, batches: Iterator) -> Iterator[tuple]:

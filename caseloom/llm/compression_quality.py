@@ -22,7 +22,7 @@ import zstandard as zstd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from caseloom.llm.common import batches_of, bounded_sample, encode, fold_of, labelled, pick, stored
+from caseloom.llm.common import base_counts, batches_of, bounded_sample, encode, fold_of, pick, stored, training_labels, with_rows
 
 BLOCK = 4096
 LEVEL = 3
@@ -121,11 +121,10 @@ def train(docs: DataFrame, labels: DataFrame, target: str = "quality", fit_rows:
     The fit runs in one task on a sample of bounded size; the driver receives two
     dictionaries and a curve.
     """
-    rows = labelled(docs, labels, target).withColumn("label", (F.col("label") > 0).cast("int"))
-    counts = {r.label: r.n for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    n0, n1 = counts.get(0, 0), counts.get(1, 0)
+    known = stored(training_labels(labels, target))
+    n0, n1 = base_counts(known)
     base = (n1 + 1) / (n0 + n1 + 2)
-    sample = stored(bounded_sample(rows.where("text <> ''"), fit_rows, target, fit_chars))
+    sample = stored(bounded_sample(docs, known, fit_rows, target, fit_chars).where("text <> ''"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts, marks = [], []
@@ -171,3 +170,9 @@ def score(docs: DataFrame, model: Model | float) -> DataFrame:
 
 def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return score(docs, train(docs, labels))
+
+
+def good_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows, all columns, whose text is predicted to be good."""
+    found = score(with_rows(docs), train(docs, labels))
+    return found.where(F.col("predicted") == 1).select("doc_id.*")

@@ -2,10 +2,10 @@
 
 A text is its set of character 4- to 6-grams (lower case, anything but letters
 and digits as one space), hashed into a fixed number of cells. How many toxic
-and clean labelled texts hold a cell is counted over all training rows; the log
-of the ratio of the two shares scales the cell. A logistic regression on the
-scaled cells is fitted on a bounded sample, and its intercept moved to the base
-rate of all training rows.
+and clean labelled texts hold a cell is counted over a bounded sample of the
+training rows; the log of the ratio of the two shares scales the cell. A
+logistic regression on the scaled cells is fitted on a smaller sample, and its
+intercept moved to the base rate of all training rows.
 
 Defined results: null and empty texts have no n-gram and score the base rate.
 Without training rows of both labels every text scores the base rate (0.5 if
@@ -22,14 +22,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from caseloom.llm.common import batches_of, bounded_sample, fold_of, labelled, pick, stored
+from caseloom.llm.common import base_counts, batches_of, bounded_sample, fold_of, pick, stored, training_labels
 
 BITS = 20
 CELLS = 1 << BITS
 ORDERS = (4, 5, 6)
 CHUNK = 1 << 16
 SLICES = 64
-#: Rows of each label for the regression, and the longest text among them.
+#: Rows of each label for the counts and for the regression, and the longest text among them.
+COUNT_ROWS = 10_000
 TRAIN_ROWS = 1500
 TRAIN_CHARS = 20_000
 LEAST_TEXTS = 5
@@ -142,23 +143,25 @@ def _add(group: pa.Table) -> pa.Table:
     return pa.table({"slice": group.column("slice")[:1].cast(pa.int32()), "counts": pa.array([total.tobytes()], pa.binary())})
 
 
-def train(docs: DataFrame, labels: DataFrame, target: str = "toxic", train_rows: int = TRAIN_ROWS, train_chars: int = TRAIN_CHARS) -> Model:
-    """Counts over all training rows, then a regression on a bounded sample, in one task.
+def train(
+    docs: DataFrame, labels: DataFrame, target: str = "toxic", count_rows: int = COUNT_ROWS, train_rows: int = TRAIN_ROWS, train_chars: int = TRAIN_CHARS,
+) -> Model:
+    """Counts over a bounded sample, then a regression on a smaller one, in one task.
 
     What reaches the driver has a fixed size: two counts per cell and one weight.
     """
-    rows = labelled(docs, labels, target)
-    base = {int(r.label): r.n for r in rows.groupBy((F.col("label") > 0).cast("int").alias("label")).agg(F.count("*").alias("n")).collect()}
-    n0, n1 = base.get(0, 0), base.get(1, 0)
+    known = stored(training_labels(labels, target))
+    n0, n1 = base_counts(known)
     prior = float(np.log((n1 + 1) / (n0 + 1)))
     if not n0 or not n1:
         return Model(np.zeros(CELLS, np.float32), prior)
+    rows = bounded_sample(docs, known, count_rows, target, train_chars)
     counted = rows.select("text", "label").mapInArrow(_count, "slice int, counts binary").groupBy("slice").applyInArrow(_add, "slice int, counts binary")
     counts = np.concatenate(
         [np.frombuffer(r.counts, np.int64).reshape(2, -1) for r in sorted(counted.collect(), key=lambda r: r.slice)], axis=1
     )
-    ratios = log_count_ratios(counts[1], counts[0], n1, n0)
-    sample = stored(bounded_sample(rows.withColumn("label", (F.col("label") > 0).cast("int")), train_rows, target, train_chars))
+    ratios = log_count_ratios(counts[1], counts[0], min(n1, count_rows), min(n0, count_rows))
+    sample = stored(bounded_sample(docs, known, train_rows, target, train_chars))
 
     def regress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features, cells_of, marks = Features(), [], []
