@@ -110,7 +110,8 @@ def lines(page: str) -> tuple[list[tuple[str, bool, bool]], bool]:
         if token[1]:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == tag:
-                    close()
+                    if stack[k][1:] != state:
+                        close()
                     state = stack[k][1:]
                     del stack[k:]
                     break

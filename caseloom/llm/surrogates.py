@@ -111,6 +111,18 @@ def luhn(digits: str) -> str:
     return str(-total % 10)
 
 
+#: Country codes of one and two digits; all others have three. Fixed values.
+_ONE = "17"
+_TWO = "20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split()
+
+
+def country_code(number: str) -> int:
+    """How many characters of a canonical number are its plus sign and country code."""
+    if not number.startswith("+"):
+        return 0
+    return 2 if number[1:2] in _ONE else 3 if number[1:3] in _TWO else 4
+
+
 def script_of(text: str) -> str:
     name = unicodedata.name(next((c for c in text if c.isalpha()), "a"), "LATIN").split()[0]
     return name if name in SCRIPTS else "LATIN"
@@ -119,7 +131,7 @@ def script_of(text: str) -> str:
 def canonical(kind: str, value: str) -> str:
     """One form for all spellings of an entity."""
     if kind in ("phone", "card", "ssn"):
-        return re.sub(r"\D", "", value)
+        return value[:1].strip("(0123456789") + re.sub(r"\D", "", value)
     if kind == "iban":
         return value.replace(" ", "")
     if kind in ("email", "ip6") or kind.startswith("name"):
@@ -154,7 +166,7 @@ def surrogate(key: bytes, kind: str, entity: str, attempt: int = 0) -> str:
         body = entity[0] + "".join(stream.pick(DIGITS) for _ in entity[1:-1]) + "".join(stream.pick(DIGITS) for _ in range(more))
         return body + (luhn(body) if checked else stream.pick(DIGITS))
     if kind == "phone":
-        fixed = min(2, max(0, len(entity) - 10))  # the country code stays
+        fixed = country_code(entity)
         return entity[:fixed] + "".join(stream.pick(DIGITS) for _ in entity[fixed:]) + "".join(stream.pick(DIGITS) for _ in range(more))
     if kind == "ssn":
         return "".join(stream.pick(DIGITS) for _ in range(len(entity) + more))
@@ -183,7 +195,7 @@ def surrogate(key: bytes, kind: str, entity: str, attempt: int = 0) -> str:
 def rendered(kind: str, mention: str, made: str) -> str:
     """A canonical surrogate in the spelling of one mention."""
     if kind in ("phone", "card", "ssn", "iban"):
-        own = iter(made)
+        own = iter(made.lstrip("+"))
         out = [next(own, "") if c.isalnum() else c for c in mention]
         return "".join(out) + "".join(own)
     if kind == "email":

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from caseloom.llm.common import LOWER, encode, pick, span_hashes, stored, word_spans
+from caseloom.llm.common import LOWER, encode, pick, span_hashes, stored, with_rows, word_spans
 
 WINDOW = 13
 #: A document is contaminated when SHARE * hit words >= words.
@@ -297,3 +297,9 @@ def contamination(docs: DataFrame, items: DataFrame, share: int = SHARE) -> Data
     return judged(matches(docs, items), share).select(
         "doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated", "longest"
     )
+
+
+def clean_rows(docs: DataFrame, items: DataFrame, share: int = SHARE) -> DataFrame:
+    """The rows, all columns, of documents that are not contaminated."""
+    found = judged(matches(with_rows(docs), items), share)
+    return found.where(~F.col("contaminated")).select("doc_id.*")

@@ -295,7 +295,7 @@ def _unit_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def access_units(media: DataFrame) -> DataFrame:
     """(doc_id, pid, start, pts, random_access): one row per elementary packet of stored streams."""
     rows = pick(media, doc_id="doc_id", media="media")
-    schema = rows.select("doc_id").schema.add("pid", "int").add("start", "long").add("pts", "long").add("random_access", "boolean")
+    schema = rows.select("doc_id").schema.add("pid", "integer").add("start", "long").add("pts", "long").add("random_access", "boolean")
     return rows.mapInArrow(_unit_rows, schema)
 
 

@@ -95,17 +95,18 @@ def class_key(shingles: np.ndarray) -> bytes | None:
 
 
 def members(docs: DataFrame, size: int = SIZE) -> DataFrame:
-    """(doc_id, n, key): number of shingles and the class of equal sets; null key without shingles."""
+    """(doc_id, sig, n, key): hash of the text, number of shingles and the class of equal sets (null without shingles)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, sets, kind in _sets(batches, size):
+        for rows, sets, kind in _sets(batches, size):
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, kind), pa.array([len(s) for s in sets], pa.int64()), pa.array([class_key(s) for s in sets], pa.binary())],
-                ["doc_id", "n", "key"],
+                [pa.array(rows, kind), pa.array([len(s) for s in sets], pa.int64()), pa.array([class_key(s) for s in sets], pa.binary())],
+                ["row", "n", "key"],
             )
 
-    rows = pick(docs, doc_id="doc_id", text="text")
-    return rows.mapInArrow(run, rows.select("doc_id").schema.add("n", "long").add("key", "binary"))
+    rows = pick(docs, doc_id="doc_id", text="text").select(F.struct("doc_id", F.xxhash64("text").alias("sig")).alias("row"), "text")
+    found = rows.mapInArrow(run, rows.select("row").schema.add("n", "long").add("key", "binary"))
+    return found.select("row.doc_id", "row.sig", "n", "key")
 
 
 def _binary(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
@@ -265,15 +266,40 @@ def links(docs: DataFrame, known: DataFrame, size: int = SIZE) -> DataFrame:
     return edges.unionByName(verified(second, found))
 
 
+def rooted_classes(docs: DataFrame, known: DataFrame, size: int = SIZE) -> DataFrame:
+    """(key, first, root): each class of equal sets, its smallest doc_id, and its component."""
+    roots = components(links(docs, known, size)).withColumnRenamed("node", "key")
+    classes = known.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("first"))
+    return stored(classes.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key")))
+
+
 def near_duplicates(docs: DataFrame, size: int = SIZE) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row."""
     known = stored(members(docs, size))
-    roots = components(links(docs, known, size)).withColumnRenamed("node", "key")
-    classes = known.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("first"))
-    joined = classes.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
-    joined = stored(joined)
+    joined = rooted_classes(docs, known, size)
     least = joined.groupBy("root").agg(F.min("first").alias("component"))
     named = joined.join(least, "root").select("key", "component")
     return known.join(named, "key", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id")
     )
+
+
+def representatives(docs: DataFrame, size: int = SIZE) -> DataFrame:
+    """The rows, all columns, of one document of each component: the one with the smallest doc_id.
+
+    Documents without shingles all stay. Rows that repeat id and text are one
+    document, of which one row stays; a null id comes after all others.
+    """
+    known = stored(members(docs, size))
+    joined = rooted_classes(docs, known, size)
+    named = known.join(joined.select("key", "root"), "key")
+    chosen = named.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "sig")).alias("own"))
+    kept = chosen.select("own.doc_id", "own.sig").unionByName(known.where("key is null").select("doc_id", "sig").distinct())
+    kept = kept.toDF("kept_id", "kept_sig")
+    names = [f"c{k}" for k in range(len(docs.columns))]
+    rows = docs.toDF(*names)
+    own_id, own_sig = F.col(names[docs.columns.index("doc_id")]), F.xxhash64(names[docs.columns.index("text")])
+    rows = rows.withColumn("row_sig", own_sig)
+    same = own_id.eqNullSafe(F.col("kept_id")) & (F.col("row_sig") == F.col("kept_sig"))
+    once = rows.join(kept, same, "left_semi").dropDuplicates([names[docs.columns.index("doc_id")], "row_sig"])
+    return once.select(*names).toDF(*docs.columns)
