@@ -23,6 +23,8 @@ GO_TYPE = rf"(?m)^\s*type\s+({NAME})\s+(?:struct|interface)"
 PROTO_SYMBOL = rf"(?m)^\s*(?:service|rpc|message|enum)\s+({NAME})"
 PROTO_RPC = rf"(?m)^\s*rpc\s+({NAME})"
 PY_SYMBOL = rf"(?m)^\s*(?:async\s+def|def|class)\s+({NAME})"
+PY_FUNCTION = rf"(?m)^\s*(?:async\s+def|def)\s+({NAME})"
+PY_CLASS = rf"(?m)^\s*class\s+({NAME})"
 TS_SYMBOL = rf"(?m)^\s*(?:export\s+)?(?:async\s+)?(?:function|class|interface|type)\s+({NAME})"
 TS_CLASS = rf"(?m)^\s*(?:export\s+)?(?:class|interface|type)\s+({NAME})"
 JAVA_PACKAGE = r"(?m)^\s*package\s+([A-Za-z_][\p{L}\p{N}_.]*)\s*;"
@@ -61,7 +63,7 @@ def symbols(content: str, language: Column) -> dict[str, Column]:
     functions = _by_language(
         language,
         {
-            "go": found(GO_FUNCTION), "proto": found(PROTO_RPC), "python": found(PY_SYMBOL),
+            "go": found(GO_FUNCTION), "proto": found(PROTO_RPC), "python": found(PY_FUNCTION),
             "typescript": script_functions, "javascript": script_functions,
             "java": found(JAVA_METHOD),
         },
@@ -70,7 +72,7 @@ def symbols(content: str, language: Column) -> dict[str, Column]:
         language,
         {
             "go": found(GO_TYPE), "typescript": script_classes, "javascript": script_classes,
-            "java": found(JAVA_TYPE),
+            "java": found(JAVA_TYPE), "python": found(PY_CLASS),
         },
     )
     every = _by_language(

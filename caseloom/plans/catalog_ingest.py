@@ -366,14 +366,17 @@ _CODE_SQL = """
       {{'a': 7, 'b': 9, 't': 'python_class', 's': 'class Entity' || doc_id}}] ELSE [] END) AS c) t"""
 
 
+_CONFIG_TYPES = ("openapi_endpoint", "openapi_schema", "config_service_block", "env_var_block", "config_section")
+
+
 @query(
     "code_declarations",
     "SELECT doc_id, c.a AS start_line, c.b AS end_line, c.t AS chunk_type, c.s AS title, array_to_string(list_slice(string_split(content, chr(10)), c.a, c.b), chr(10)) AS raw FROM ("
     + _CODE_SQL.format().replace("SELECT doc_id, t.*", "SELECT doc_id, content, t.*").replace("{{", "{").replace("}}", "}") + ")",
 )
 def code_declarations(t: Load) -> DataFrame:
-    docs = _docs(t("v_code_docs").where("kind < 5")).withColumn("parser", chunkers.parser_name("path", "source_type"))
-    c = chunkers.emit(docs, chunkers.dispatched())
+    docs = _docs(t("v_code_docs")).withColumn("parser", chunkers.parser_name("path", "source_type"))
+    c = chunkers.emit(docs, chunkers.dispatched()).where(~F.col("chunk_type").isin(*_CONFIG_TYPES))
     lines = docs.select("document_id", F.split("content", "\n").alias("ls"))
     return c.join(lines, "document_id").select(
         F.col("document_id").alias("doc_id"), big("start_line").alias("start_line"), big("end_line").alias("end_line"), "chunk_type",
@@ -391,7 +394,7 @@ def code_declarations(t: Load) -> DataFrame:
         {'t': 'config_section', 's': 'config password_file', 'e': ''}, {'t': 'config_section', 's': 'config zone', 'e': ''}] ELSE [] END) AS c FROM v_code_docs)""",
 )
 def structured_config_blocks(t: Load) -> DataFrame:
-    c = chunkers.emit(_docs(t("v_code_docs").where("kind >= 5")), chunkers.structured())
+    c = chunkers.emit(_docs(t("v_code_docs")), chunkers.structured()).where(F.col("chunk_type").isin(*_CONFIG_TYPES))
     return c.select(
         F.col("document_id").alias("doc_id"), "chunk_type", F.col("section_title").alias("title"), text("endpoint").alias("endpoint")
     )
@@ -781,7 +784,7 @@ def recoverable_index_jobs(t: Load) -> DataFrame:
     "sync_ledger_fold",
     """SELECT b.sync_id, received, errors, CASE WHEN f.status IS NULL THEN 'running' WHEN f.status = 'success' AND errors > 0 THEN 'partial_success' ELSE f.status END AS status FROM (
       SELECT l_orderkey AS sync_id, CAST(sum(l_quantity) AS BIGINT) AS received, CAST(sum(CASE WHEN l_returnflag = 'R' AND l_linenumber = 1 THEN 1 ELSE 0 END) AS BIGINT) AS errors FROM lineitem GROUP BY 1) b
-    LEFT JOIN (SELECT sync_id, status FROM v_syncs WHERE sync_id % 6 <> 0) f ON f.sync_id = b.sync_id""",
+    LEFT JOIN (SELECT sync_id, status FROM v_syncs) f ON f.sync_id = b.sync_id""",
 )
 def sync_ledger_fold(t: Load) -> DataFrame:
     batches = t("lineitem").select(
@@ -789,7 +792,7 @@ def sync_ledger_fold(t: Load) -> DataFrame:
         F.col("l_quantity").cast("bigint").alias("received"),
         ((F.col("l_returnflag") == "R") & (F.col("l_linenumber") == 1)).cast("bigint").alias("errors"),
     )
-    finishes = t("v_syncs").where("sync_id % 6 <> 0").select("sync_id", F.col("started_at").alias("ts"), "status")
+    finishes = t("v_syncs").select("sync_id", F.col("started_at").alias("ts"), "status")
     folded = jobs.fold_syncs(batches, finishes)
     return folded.select("sync_id", F.col("documents_received").alias("received"), F.col("parser_errors").alias("errors"), "status")
 

@@ -44,15 +44,20 @@ def role_gate(t: Load) -> DataFrame:
 
 @query(
     "logs_near_deploys",
-    """SELECT l.event_id, d.deploy_id FROM v_log_lines l JOIN (SELECT deploy_id, project_id, TIMESTAMP '2024-01-01 00:00:00' + to_minutes(CAST(deploy_id * 37 % 43200 AS BIGINT)) AS deployed_at FROM v_deploys) d
-    ON d.project_id = l.project_id AND l.ts BETWEEN d.deployed_at - INTERVAL 15 MINUTE AND d.deployed_at + INTERVAL 120 MINUTE""",
+    r"""SELECT d.project_id, d.service, d.deploy_id, count(*) AS log_lines, CAST(sum(len(regexp_extract_all(l.line, '(?i)\b(?:ERROR|CRITICAL|EXCEPTION|5\d\d)\b'))) AS BIGINT) AS errors,
+      strftime(min(l.ts), '%Y-%m-%d %H:%M:%S') AS first_ts, strftime(max(l.ts), '%Y-%m-%d %H:%M:%S') AS last_ts
+    FROM v_log_lines l JOIN (SELECT deploy_id, project_id, service, TIMESTAMP '2024-01-01 00:00:00' + to_minutes(CAST(deploy_id * 37 % 43200 AS BIGINT)) AS deployed_at FROM v_deploys) d
+    ON d.project_id = l.project_id AND d.service = l.service AND l.ts BETWEEN d.deployed_at - INTERVAL 15 MINUTE AND d.deployed_at + INTERVAL 120 MINUTE GROUP BY ALL""",
 )
 def logs_near_deploys(t: Load) -> DataFrame:
     moved = t("v_deploys").select(
-        "deploy_id", "project_id",
+        "deploy_id", "project_id", "service",
         F.expr("timestamp '2024-01-01 00:00:00' + make_dt_interval(0, 0, cast(deploy_id * 37 % 43200 as int), 0)").alias("deployed_at"),
     )
-    return inv.logs_near_deploys(t("v_log_lines"), moved).select("event_id", "deploy_id")
+    near = inv.logs_near_deploys(t("v_log_lines"), moved)
+    return near.select(
+        "project_id", "service", "deploy_id", "log_lines", big("errors").alias("errors"), stamp("first_ts").alias("first_ts"), stamp("last_ts").alias("last_ts")
+    )
 
 
 # --- aggregations -----------------------------------------------------------
@@ -96,21 +101,24 @@ def source_coverage(t: Load) -> DataFrame:
 
 def _readiness(t: Load) -> DataFrame:
     kinds = F.expr("CASE doc_id % 9 WHEN 0 THEN 'code' WHEN 1 THEN 'patch' WHEN 2 THEN 'log' WHEN 3 THEN 'incidents' WHEN 4 THEN 'config' WHEN 5 THEN 'api_doc' WHEN 6 THEN 'runbooks' ELSE 'code' END")
-    docs = t("v_docs").select(F.concat(F.lit("p"), F.expr("doc_id % 40")).alias("project_id"), kinds.alias("source_type"), F.lit("markdown").alias("doc_type"), "doc_id")
-    docs = docs.where("doc_id % 40 <> 7")
-    chunks = docs.where("doc_id % 40 <> 9").select("project_id", F.when(F.col("doc_id") % 5 == 0, "markdown_faq").otherwise("go_function").alias("chunk_type"))
+    # Project 7 has no documents and project 9 documents without chunks: theirs belong to the next project.
+    owner = "CASE doc_id % 40 WHEN 7 THEN 8 ELSE doc_id % 40 END"
+    docs = t("v_docs").select(F.concat(F.lit("p"), F.expr(owner)).alias("project_id"), kinds.alias("source_type"), F.lit("markdown").alias("doc_type"), "doc_id")
+    holder = F.expr("CASE doc_id % 40 WHEN 7 THEN 8 WHEN 9 THEN 10 ELSE doc_id % 40 END")
+    chunks = docs.select(F.concat(F.lit("p"), holder).alias("project_id"), F.when(F.col("doc_id") % 5 == 0, "markdown_faq").otherwise("go_function").alias("chunk_type"))
     projects = t("v_syncs").select("project_id").distinct()
     sources = t("v_syncs").select("project_id", "source_id").distinct()
     return reports.readiness_report(reports.readiness_snapshot(projects, sources, docs, chunks, t("v_syncs")))
 
 
-_READY = """WITH d AS (SELECT 'p' || (doc_id % 40) AS project_id, doc_id, doc_id % 9 AS m FROM v_docs WHERE doc_id % 40 <> 7),
+_READY = """WITH d AS (SELECT 'p' || (CASE doc_id % 40 WHEN 7 THEN 8 ELSE doc_id % 40 END) AS project_id, 'p' || (CASE doc_id % 40 WHEN 7 THEN 8 WHEN 9 THEN 10 ELSE doc_id % 40 END) AS holder, doc_id, doc_id % 9 AS m FROM v_docs),
+  c AS (SELECT holder AS project_id, count(*) AS chunks, bool_or(doc_id % 5 = 0) AS md FROM d GROUP BY holder),
   s AS (SELECT project_id, count(*) FILTER (status IN ('success', 'partial_success')) AS good, arg_max(status, (started_at, sync_id)) AS latest, arg_max(parser_errors, (started_at, sync_id)) AS errs,
     count(DISTINCT source_id) AS sources FROM v_syncs GROUP BY project_id),
   f AS (SELECT s.*, coalesce(docs, 0) AS docs, coalesce(chunks, 0) AS chunks, coalesce(md, false) OR coalesce(rb, false) AS docs_, coalesce(code, false) AS code, coalesce(dep, false) AS dep, coalesce(logs, false) AS logs,
       coalesce(inc, false) AS inc, coalesce(cfg, false) AS cfg, coalesce(api, false) AS api, coalesce(rb, false) AS rb FROM s LEFT JOIN (
-    SELECT project_id, count(*) AS docs, count(*) FILTER (doc_id % 40 <> 9) AS chunks, bool_or(doc_id % 5 = 0 AND doc_id % 40 <> 9) AS md, bool_or(m IN (0, 7, 8)) AS code, bool_or(m = 1) AS dep, bool_or(m = 2) AS logs,
-      bool_or(m = 3) AS inc, bool_or(m = 4) AS cfg, bool_or(m = 5) AS api, bool_or(m = 6) AS rb FROM d GROUP BY project_id) USING (project_id)),
+    SELECT project_id, count(*) AS docs, bool_or(m IN (0, 7, 8)) AS code, bool_or(m = 1) AS dep, bool_or(m = 2) AS logs,
+      bool_or(m = 3) AS inc, bool_or(m = 4) AS cfg, bool_or(m = 5) AS api, bool_or(m = 6) AS rb FROM d GROUP BY project_id) USING (project_id) LEFT JOIN c USING (project_id)),
   g AS (SELECT *, CASE WHEN code THEN 15 ELSE 0 END + CASE WHEN docs_ THEN 10 ELSE 0 END + CASE WHEN cfg THEN 10 ELSE 0 END + CASE WHEN logs THEN 20 ELSE 0 END + CASE WHEN dep THEN 15 ELSE 0 END + CASE WHEN rb THEN 15 ELSE 0 END
       + CASE WHEN inc THEN 10 ELSE 0 END + CASE WHEN api THEN 5 ELSE 0 END - CASE WHEN good = 0 THEN 30 ELSE 0 END - CASE WHEN latest IN ('failed', 'cancelled') THEN 20 ELSE 0 END
       - CASE WHEN errs > 0 THEN least(15, greatest(3, errs * 2)) ELSE 0 END AS raw FROM f),
@@ -256,21 +264,17 @@ def corpus_log_findings(t: Load) -> DataFrame:
 
 @query(
     "corpus_deploy_findings",
-    """SELECT service, count(*) AS diff_count, count(DISTINCT 'deploy ' || deploy_hash) AS changed, count(*) FILTER (regexp_matches(summary, '(?i)\\b(?:sync|blocking|sleep)\\b')) AS blocking_hints
-    FROM v_deploys WHERE deploy_id % 3 <> 0 OR contains(deploy_hash, 'a') GROUP BY service""",
+    r"""SELECT service, count(*) AS diff_count, count(DISTINCT 'deploy ' || deploy_hash) AS changed, count(*) FILTER (regexp_matches(text, '(?i)\b(?:sync|blocking|sleep|requests\.|httpx\.|urllib)\b')) AS blocking_hints
+    FROM (SELECT *, deploy_hash || ' ' || summary AS text, CASE WHEN deploy_id % 3 = 0 THEN 'a' END AS wanted FROM v_deploys) WHERE wanted IS NULL OR contains(lower(text), wanted) GROUP BY service""",
 )
 def corpus_deploy_findings(t: Load) -> DataFrame:
     items = t("v_deploys").select(
         "service", F.lit("deploy").alias("source_type"), F.concat_ws(" ", "deploy_hash", "summary").alias("text"), F.lit("d").alias("path"),
         F.concat(F.lit("deploy "), "deploy_hash").alias("section_title"), F.when(F.col("deploy_id") % 3 == 0, "a").alias("wanted"),
     )
-    # The wanted hash 'a' can only match inside the hash column of this view.
-    items = items.withColumn("text", F.when(F.col("wanted").isNotNull(), F.split_part("text", F.lit(" "), F.lit(1))).otherwise(F.col("text")))
-    hints = t("v_deploys").where((F.col("deploy_id") % 3 != 0) | F.contains("deploy_hash", F.lit("a"))).groupBy("service").agg(
-        F.count_if(F.col("summary").rlike(inv.BLOCKING)).alias("blocking_hints")
+    return inv.deploy_findings(items, ["service"], "wanted").select(
+        "service", "diff_count", F.col("changed_count").alias("changed"), "blocking_hints"
     )
-    found = inv.deploy_findings(items, ["service"], "wanted").select("service", "diff_count", F.size("changed_files").cast("bigint").alias("changed"))
-    return found.join(hints, "service")
 
 
 _FIND = f"""WITH RECURSIVE {rs.EVIDENCE}, ent AS (SELECT question_id, question, services[1] AS service, eps[1] AS endpoint_, hashes[1] AS hash, {sx.rules('lower(question)', vocab.SYMPTOM_RULES, 'NULL')} AS symptom FROM q),

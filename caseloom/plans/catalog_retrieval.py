@@ -58,14 +58,14 @@ def batch_embedding_model(t: Load) -> DataFrame:
 
 @query(
     "embedding_reuse",
-    """SELECT sha256('current:hash:' || sha256(content)) AS embedding_key, count(*) AS rows_served FROM v_docs
+    """SELECT sha256('current:hash:' || sha256(content)) AS embedding_key, count(*) AS rows_served, 384 AS width FROM v_docs
     WHERE content NOT IN (SELECT content FROM v_docs WHERE doc_id % 3 = 0) GROUP BY content""",
 )
 def embedding_reuse(t: Load) -> DataFrame:
     docs = t("v_docs").select("doc_id", F.col("content").alias("text"))
     _, seen = embedding.embed_with_reuse(docs.where("doc_id % 3 = 0"), docs.select(F.lit("").alias("embedding_key")))
     fresh, keyed = embedding.embed_with_reuse(docs, seen.select("embedding_key").distinct())
-    return fresh.join(keyed, "embedding_key").groupBy("embedding_key").agg(F.count("*").alias("rows_served"))
+    return fresh.join(keyed, "embedding_key").groupBy("embedding_key").agg(F.count("*").alias("rows_served"), F.max(F.size("vector")).alias("width"))
 
 
 @query(
@@ -97,14 +97,15 @@ def vector_top_k(t: Load) -> DataFrame:
 
 @query(
     "vector_hit_reconciliation",
-    """SELECT chunk_id, path, rank FROM (SELECT 'o' || o_orderkey AS chunk_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rank FROM orders) h
-    JOIN (SELECT chunk_id, path FROM v_facts WHERE project_id = 'p0') f USING (chunk_id)""",
+    """SELECT chunk_id, path, rank FROM (SELECT 'o' || o_orderkey AS chunk_id, project_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rank FROM orders JOIN (SELECT deploy_id AS o_orderkey, project_id FROM v_deploys) USING (o_orderkey)) h
+    JOIN (SELECT chunk_id, path, project_id FROM v_facts) f USING (chunk_id, project_id)""",
 )
 def vector_hit_reconciliation(t: Load) -> DataFrame:
     from caseloom.operators.matching import top_per
 
-    hits = t("orders").select(
-        F.lit("p0").alias("project_id"), F.concat(F.lit("o"), "o_orderkey").alias("chunk_id"), "o_custkey", "o_totalprice", "o_orderkey"
+    owners = t("v_deploys").select(F.col("deploy_id").alias("o_orderkey"), "project_id")
+    hits = t("orders").join(owners, "o_orderkey").select(
+        "project_id", F.concat(F.lit("o"), "o_orderkey").alias("chunk_id"), "o_custkey", "o_totalprice", "o_orderkey"
     )
     ranked = top_per(hits, ["o_custkey"], [F.desc("o_totalprice"), F.asc("o_orderkey")], 2**31 - 1)
     return vector.reconcile(ranked, t("v_facts")).select("chunk_id", "path", big("rank").alias("rank"))

@@ -177,6 +177,8 @@ def _facts_sql(view: str, prefix: str) -> str:
       array_to_string(regexp_extract_all(content, '(?m)^#{{1,6}}\\s+(.+)$', 1)[1:50], '|') AS headings,
       array_to_string(list_sort(list_distinct(list_concat(regexp_extract_all(content, '{http}', 1), regexp_extract_all(content, '{api}', 1))))[1:50], ',') AS endpoints,
       {s(r'\b(DEBUG|INFO|WARN|WARNING|ERROR|CRITICAL)\b')} AS log_levels,
+      CASE WHEN language = 'python' THEN {s(rf'(?m)^\s*(?:async\s+def|def)\s+({name})')} ELSE '' END AS python_functions,
+      CASE WHEN language = 'python' THEN {s(rf'(?m)^\s*class\s+({name})')} ELSE '' END AS python_classes,
       {s(r'(?i)\b(?:trace(?:_id)?|trace-id)[=:]([A-Za-z0-9._-]+)', 100)} AS trace_ids,
       coalesce(regexp_extract_all(content, '{ts}', 1)[1], '') AS ts_first, coalesce(regexp_extract_all(content, '{ts}', 1)[-1], '') AS ts_last,
       {s(r'(?m)^\s*([A-Za-z_][A-Za-z0-9_.-]*)\s*(?::|=)', 100)} AS config_keys,
@@ -198,6 +200,8 @@ def document_facts(t: Load) -> DataFrame:
             joined("symbol_names").alias("symbols"), text("package_name").alias("package"), text("commit_sha").alias("commit_sha"),
             "module_path", text("package_path").alias("package_path"), joined("headings", "|").alias("headings"),
             joined("endpoint_candidates").alias("endpoints"), joined("log_levels").alias("log_levels"),
+            F.when(F.col("file_language") == "python", joined("function_names")).otherwise("").alias("python_functions"),
+            F.when(F.col("file_language") == "python", joined("class_names")).otherwise("").alias("python_classes"),
             joined("trace_ids").alias("trace_ids"), text("timestamp_first").alias("ts_first"), text("timestamp_last").alias("ts_last"),
             joined("config_keys_summary").alias("config_keys"), joined("release_markers", "|").alias("release_markers"),
         )

@@ -25,9 +25,3 @@ CHUNKS = (
     "section_title string, start_line int, end_line int, text string, token_count int, "
     "metadata map<string,string>, metadata_lists map<string,array<string>>"
 )
-LOG_LINES = "path string, service string, ts timestamp, line_no bigint, line string"
-JOB_DELIVERIES = (
-    "job_id string, ts timestamp, seq bigint, outcome string, code string, current_version boolean"
-)
-# Configs nest this deep at most; deeper levels are rejected at admission.
-CONFIG_DEPTH = 4

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from caseloom import schemas
 from caseloom.functions.patterns import first_of
+from caseloom.session import cut_lineage
 
 
 def read_batches(spark: SparkSession, path: str) -> DataFrame:
@@ -45,8 +46,10 @@ def structured_status(content: str = "content", path: str = "path"):
 def config_violations(configs: DataFrame, key: str, config: str) -> DataFrame:
     """Credential-like keys and secret-like values in JSON configs, by dotted path.
 
-    The document is walked level by level with ``variant_explode``; a branch
-    ends at a leaf or at a credential-like key, whose value is not looked into.
+    The document is walked level by level with ``variant_explode`` until a level
+    is empty, however deep it nests; a branch ends at a leaf or at a
+    credential-like key, whose value is not looked into. Each level is written
+    once, so the input is read once and plans stay short.
     """
     from caseloom import vocab
     from caseloom.functions.patterns import alternation
@@ -57,9 +60,8 @@ def config_violations(configs: DataFrame, key: str, config: str) -> DataFrame:
         F.col(key), F.lit("").alias("at"), F.try_parse_json(F.col(config)).alias("v")
     )
     found: list[DataFrame] = []
-    for _ in range(schemas.CONFIG_DEPTH):
-        spark = level.sparkSession
-        rows = spark.sql(
+    while True:
+        rows = level.sparkSession.sql(
             "SELECT t.*, e.pos, e.key AS k, e.value AS child "
             "FROM {level} t, LATERAL variant_explode(t.v) AS e",
             level=level,
@@ -74,6 +76,7 @@ def config_violations(configs: DataFrame, key: str, config: str) -> DataFrame:
             F.when(F.col("at") == "", step).otherwise(F.concat_ws(".", "at", step)).alias("at"),
             F.col("child").alias("v"), credential.alias("credential"),
         )
+        walked = cut_lineage(walked)
         leaf = F.try_variant_get("v", "$", "string")
         text_leaf = F.schema_of_variant("v") == "STRING"
         found.append(
@@ -90,6 +93,8 @@ def config_violations(configs: DataFrame, key: str, config: str) -> DataFrame:
             ~F.col("credential")
             & (F.schema_of_variant("v").startswith("OBJECT") | F.schema_of_variant("v").startswith("ARRAY"))
         ).select(key, "at", "v")
+        if level.isEmpty():
+            break
     out = found[0]
     for part in found[1:]:
         out = out.unionByName(part)

@@ -4,12 +4,17 @@ from __future__ import annotations
 
 import datetime
 import decimal
+import os
 import sys
 import time
+from pathlib import Path
 
 import duckdb
 
-from caseloom.plans.views import TABLES
+sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
+os.environ["PYTHONPATH"] = sys.path[0] + os.pathsep + os.environ.get("PYTHONPATH", "")
+
+from caseloom.plans.views import TABLES  # noqa: E402
 
 
 def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
@@ -52,7 +57,6 @@ def difference(spark_df, con, sql: str) -> str | None:
 
 
 def main(sf_dir: str, wanted: list[str]) -> int:
-    sys.path.insert(0, "/root/repo")
     from caseloom import build_session
     from caseloom.plans.catalog import ORACLES, QUERIES
 

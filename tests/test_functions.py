@@ -83,3 +83,31 @@ def test_canonical_question_entities(spark):
     row = questions.with_entities(questions.with_intent(frame)).first()
     assert (row["endpoint"], row["deploy_hash"], row["symptom"]) == ("/v1/orders", "abc1234", "latency")
     assert row["task_type"] == "latency_investigation"
+
+
+def test_secrets_are_found_at_any_depth(spark):
+    from caseloom.sources.documents import config_violations
+
+    deep = '{"a":{"b":[{"c":{"d":{"e":{"f":{"password":"x"}}}}}]}}'
+    frame = spark.createDataFrame([(1, deep), (2, "{}"), (3, "not json"), (4, None)], "config_id int, config string")
+    rows = [tuple(r) for r in config_violations(frame, "config_id", "config").collect()]
+    assert rows == [(1, "a.b.0.c.d.e.f.password contains a credential-like key")]
+
+
+def test_python_classes_are_not_functions(spark):
+    from caseloom.functions.facts import document_facts
+
+    source = "class A:\n    def m(self):\n        pass\n\nasync def f():\n    pass\n"
+    row = document_facts(spark.createDataFrame([("x.py", source)], "path string, content string")).first()
+    assert (row.function_names, row.class_names, row.symbol_names) == (["f", "m"], ["A"], ["A", "f", "m"])
+
+
+def test_a_cluster_needs_a_shared_folder(monkeypatch):
+    from types import SimpleNamespace
+
+    from caseloom.session import checkpoint_root
+
+    context = SimpleNamespace(getCheckpointDir=lambda: None, master="spark://host:7077")
+    session = SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda *_: None))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        checkpoint_root(session)

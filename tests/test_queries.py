@@ -1,20 +1,13 @@
-"""Every registered query against its SQL, on the smallest tables.
-
-The retrieval queries share long plans; they run when FULL_CHECK is set, and
-always through ``python tests/compare.py <sf_dir>``.
-"""
+"""Every registered query against its SQL, on the smallest tables."""
 
 from __future__ import annotations
 
-import os
-
 import pytest
 
 from caseloom.plans.catalog import ORACLES, QUERIES
 from tests.compare import connect, difference
 
-QUICK = sorted(n for n in ORACLES if not any(w in ORACLES[n] for w in ("boosted", "post AS", "cv AS")))
-NAMES = sorted(ORACLES) if os.environ.get("FULL_CHECK") else QUICK
+NAMES = sorted(ORACLES)
 
 
 @pytest.fixture(scope="module")

@@ -1,9 +1,12 @@
 from __future__ import annotations
 
+import random
+
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from caseloom.operators import embedding, fusion, lexical, matching, vector
+from caseloom.operators import embedding, fusion, lexical, matching, metadata_search, vector
 
 
 def test_contains_join_equals_brute_force(spark):
@@ -52,3 +55,57 @@ def test_dense_sequence_handles_one_hot_key(spark):
     frame = spark.range(1000).select(F.lit("hot").alias("k"), "id")
     rows = matching.dense_sequence(frame, ["k"], ["id"], F.floor(F.col("id") / 100)).collect()
     assert all(r.sequence_no == r.id + 1 for r in rows)
+
+
+def test_large_budgets_are_kept_and_checked(spark):
+    frame = spark.range(1000).select(F.lit("q").alias("k"), "id", F.lit(500).alias("fetch_k"))
+    assert matching.top_per(frame, ["k"], [F.asc("id")], F.col("fetch_k")).count() == 500
+    assert matching.top_per(frame, ["k"], [F.asc("id")], F.col("fetch_k"), most=600).count() == 500
+    with pytest.raises(Exception, match="a budget exceeds 400"):
+        matching.top_per(frame, ["k"], [F.asc("id")], F.col("fetch_k"), most=400).collect()
+
+
+def _metadata_brute(questions, chunks):
+    """Every pair, scored and cut, in plain Python."""
+    out = set()
+    for q, services, hashes, endpoints, terms, k in questions:
+        terms = sorted({t.lower() for t in terms if len(t) >= 4})[:8]
+        scored = []
+        for c, service, deploy, endpoint, path, symbol in chunks:
+            s, h = service is not None and service.lower() in services, deploy in hashes
+            e = endpoint is not None and any(x in endpoint.lower() for x in endpoints)
+            y, p = bool(symbol) and symbol.lower() in terms, sum(t in path.lower() for t in terms)
+            if s or h or e or y or p:
+                scored.append((-(4.0 * s + 4.0 * h + 5.0 * e + 3.0 * y + min(2, p)), c))
+        out |= {(q, c, -x) for x, c in sorted(scored)[:k]}
+    return out
+
+
+def test_metadata_kinds_equal_brute_force(spark):
+    rng = random.Random(5)
+    words = ["alpha", "beta", "gamma", "delta", "svc1"]
+    chunks = [
+        (f"c{i:03d}", rng.choice(["Svc1", "svc2", None]), rng.choice(["abc1234", None, None, None]), rng.choice(["/v1/alpha", None, None]),
+         "/".join(rng.sample(words, rng.randrange(4))), rng.choice(["", "", "Gamma"]))
+        for i in range(300)
+    ]
+    questions = [
+        (f"q{i}", rng.sample(["svc1", "svc2"], rng.randrange(3)), rng.sample(["abc1234"], rng.randrange(2)), rng.sample(["/v1"], rng.randrange(2)),
+         rng.sample(words, rng.randrange(5)), rng.choice([3, 10, 40]))
+        for i in range(40)
+    ]
+    frame = spark.createDataFrame([("p", *c) for c in chunks], "project_id string, chunk_id string, service_name string, deploy_hash string, endpoint string, path string, symbol string")
+    frame = frame.withColumns({
+        "chunk_type": F.lit("x"), "metadata": F.create_map(F.lit("symbol"), F.col("symbol")),
+        "metadata_lists": F.expr("cast(map() as map<string, array<string>>)"),
+    })
+    asked = spark.createDataFrame(
+        [("p", *q) for q in questions],
+        "project_id string, question_id string, services array<string>, deploy_hashes array<string>, endpoints array<string>, query_terms array<string>, fetch_k int",
+    )
+    hits = metadata_search.metadata_search(asked, frame, 40).collect()
+    assert {(r.question_id, r.chunk_id, r.score) for r in hits} == _metadata_brute(questions, chunks)
+    # With filters, questions take the other path; a filter that all chunks pass changes nothing.
+    filtered = asked.withColumn("filter_chunk_type", F.when(F.col("question_id") != "q3", "x"))
+    again = metadata_search.metadata_search(filtered, frame, 40).collect()
+    assert {(r.question_id, r.chunk_id, r.score) for r in again} == {(r.question_id, r.chunk_id, r.score) for r in hits}
