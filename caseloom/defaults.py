@@ -29,6 +29,10 @@ class Defaults:
     burst_min_errors: int = 2
     burst_max_lines: int = 24
 
+    # Entries of a config or API file that get a chunk of their own.
+    config_keys: int = 50
+    openapi_entries: int = 100
+
     # Retrieval.
     embedding_dim: int = 384
     index_version: str = "current"

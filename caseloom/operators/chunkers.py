@@ -678,8 +678,22 @@ def _doc_kind(source_type: Column) -> Column:
     return F.when(source_type == "api_doc", "api_doc").otherwise("config")
 
 
-def openapi_chunks(limit: int = 100) -> Column:
-    """Chunks for the paths and the schemas of an OpenAPI document."""
+def rest_text(entries: Column, limit: int) -> Column:
+    """The rendered entries after the limit as one text, empty if there are none."""
+    rest = F.slice(entries, limit + 1, F.greatest(F.size(entries) - limit, F.lit(0)))
+    return F.array_join(F.transform(rest, lambda e: render_section(e["key"], e["value"])), "\n")
+
+
+def rest_count(entries: Column, limit: int) -> Column:
+    return F.greatest(F.size(entries) - limit, F.lit(0)).cast("string")
+
+
+def openapi_chunks(limit: int = DEFAULTS.openapi_entries) -> Column:
+    """Chunks for the paths and the schemas of an OpenAPI document.
+
+    Each kind has a chunk of its own up to the limit; all later entries share
+    one last chunk that tells how many they are.
+    """
     content, last = F.col("content"), F.greatest(F.size(split_lines("content")), F.lit(1))
     root = F.try_parse_json(content)
     section = lambda where: F.coalesce(
@@ -721,16 +735,26 @@ def openapi_chunks(limit: int = 100) -> Column:
             **common,
         )
 
+    def rest(where: str, chunk_type: str, title: str) -> Column:
+        entries = F.map_entries(section(where))
+        late = chunk(
+            text=rest_text(entries, limit), chunk_type=F.lit(chunk_type), section_title=F.lit(title),
+            metadata=text_map(language=paths.extension("path"), kind="openapi_rest", rest_entries=rest_count(entries, limit)), **common,
+        )
+        return F.filter(F.array(late), lambda c: c["text"] != "")
+
     take = lambda where: F.slice(F.map_entries(section(where)), 1, limit)
     return F.concat(
-        F.transform(take("$.paths"), endpoint), F.transform(take("$.components.schemas"), schema)
+        F.transform(take("$.paths"), endpoint), rest("$.paths", "openapi_endpoint", "further paths"),
+        F.transform(take("$.components.schemas"), schema), rest("$.components.schemas", "openapi_schema", "further schemas"),
     )
 
 
-def structured(limit: int = 50) -> Column:
+def structured(limit: int = DEFAULTS.config_keys) -> Column:
     """Config files by top-level key, OpenAPI files by path and schema.
 
     JSON is parsed; other formats and unusable JSON become one whole-file chunk.
+    Keys after the limit share one last chunk that tells how many they are.
     """
     content, kind = F.col("content"), F.col("source_type")
     last = F.greatest(F.size(split_lines("content")), F.lit(1))
@@ -755,7 +779,13 @@ def structured(limit: int = 50) -> Column:
             metadata=text_map(language=paths.extension("path"), kind="config_file"),
         )
     )
-    blocks = F.transform(F.slice(F.map_entries(json_object(content)), 1, limit), block)
+    entries = F.map_entries(json_object(content))
+    late = chunk(
+        text=rest_text(entries, limit), chunk_type=F.lit("config_section"), source_type=kind, doc_type=_doc_kind(kind),
+        service_name=F.col("service_name"), section_title=F.lit("further config keys"), start_line=F.lit(1), end_line=last,
+        metadata=text_map(language=paths.extension("path"), kind="config_rest", rest_entries=rest_count(entries, limit)),
+    )
+    blocks = F.concat(F.transform(F.slice(entries, 1, limit), block), F.filter(F.array(late), lambda c: c["text"] != ""))
     api = F.when(is_json & (kind == "api_doc"), openapi_chunks())
     config = F.when(is_json, blocks)
     nonempty = lambda c: let(c, lambda x: F.when(F.size(x) > 0, x))

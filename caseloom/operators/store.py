@@ -59,6 +59,13 @@ def merge_metadata(base: Column, document: Column, chunk: Column) -> Column:
     return F.map_concat(base, keep(document), keep(chunk))
 
 
+def merge_lists(document: Column, chunk: Column) -> Column:
+    """List facts of the document that chunks may carry, and the chunk's own, which win."""
+    empty = F.expr(f"cast(map() as {LIST_MAP})")
+    allowed = F.map_filter(F.coalesce(document, empty), lambda k, v: k.isin(*_WHITELIST) & (F.size(v) > 0))
+    return F.map_concat(allowed, F.map_filter(F.coalesce(chunk, empty), lambda k, v: F.coalesce(F.size(v), F.lit(0)) > 0))
+
+
 def final_chunks(docs: DataFrame, defaults: Defaults = DEFAULTS) -> DataFrame:
     """Chunk rows of changed documents, split, completed and guarded.
 
@@ -89,7 +96,7 @@ def final_chunks(docs: DataFrame, defaults: Defaults = DEFAULTS) -> DataFrame:
             "raw",
             lambda c, i: F.transform(
                 chunkers.window_texts(c["text"], defaults),
-                lambda t, j: F.struct(i.alias("raw_no"), j.alias("part"), t.alias("text")),
+                lambda t, j: F.struct(c.dropFields("text").alias("c"), t.alias("text")),
             ),
         )
     )
@@ -103,9 +110,12 @@ def final_chunks(docs: DataFrame, defaults: Defaults = DEFAULTS) -> DataFrame:
     )
     marked = cut.withColumn("failure_code", failure)
     one = F.when(F.col("failure_code").isNull(), F.col("pieces"))
+    listed = F.col("metadata_lists") if "metadata_lists" in docs.columns else F.lit(None).cast(LIST_MAP)
+    # A piece carries what its chunk says; the document's text stays behind.
     rows = marked.select(
-        "*", F.posexplode_outer(one).alias("chunk_no", "piece")
-    ).withColumn("c", F.get("raw", F.col("piece.raw_no")))
+        *KEY, "document_id", "path", "content_hash", "metadata", listed.alias("document_lists"), "failure_code", "service_name",
+        F.posexplode_outer(one).alias("chunk_no", "piece"),
+    ).withColumn("c", F.col("piece.c"))
     base = F.create_map(
         F.lit("source_type"), F.coalesce("c.source_type", F.lit("unknown_text")),
         F.lit("document_path"), F.col("path"), F.lit("content_hash"), F.col("content_hash"),
@@ -131,7 +141,7 @@ def final_chunks(docs: DataFrame, defaults: Defaults = DEFAULTS) -> DataFrame:
         F.col("piece.text").alias("text"),
         text.token_count("piece.text").alias("token_count"),
         merge_metadata(base, F.coalesce(whitelisted, empty), F.coalesce("c.metadata", empty)).alias("metadata"),
-        F.coalesce("c.metadata_lists", F.expr(f"cast(map() as {LIST_MAP})")).alias("metadata_lists"),
+        merge_lists(F.col("document_lists"), F.col("c.metadata_lists")).alias("metadata_lists"),
     )
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +13,7 @@ from caseloom.defaults import DEFAULTS, Defaults
 from caseloom.functions.text import failure_code
 from caseloom.operators import store, validate
 from caseloom.operators.relations import derive_relations
+from caseloom.session import cut_lineage
 
 
 @dataclass(frozen=True)
@@ -40,7 +42,8 @@ def ingest_documents(incoming: DataFrame, current: DataFrame, defaults: Defaults
     unique = marked.where(~F.col("is_duplicate")).drop("is_duplicate")
     compared = store.change_status(unique, current)
     changed = compared.where(F.col("status") != "unchanged")
-    rows = store.final_chunks(changed, defaults)
+    # Four tables read the chunker's rows; they are made once and kept.
+    rows = cut_lineage(store.final_chunks(changed, defaults))
     chunks = rows.where(F.col("failure_code").isNull())
     per_document = rows.groupBy(*store.KEY).agg(
         F.max("failure_code").alias("chunk_failure"),
@@ -74,11 +77,12 @@ def ingest_documents(incoming: DataFrame, current: DataFrame, defaults: Defaults
 
 def read_state(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A state folder, or an empty table where nothing was written yet."""
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    system = target.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not system.exists(target):
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(path)
 
 
 def ingest_batch(batch: DataFrame, root: str, batch_id: int, defaults: Defaults = DEFAULTS) -> None:

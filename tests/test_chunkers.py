@@ -83,3 +83,24 @@ def test_chunk_limit_is_a_typed_failure(spark):
     )
     rows = store.final_chunks(docs, replace(DEFAULTS, max_chunks_per_document=10)).collect()
     assert len(rows) <= 10 and all(r.failure_code is None for r in rows)
+
+
+def test_config_keys_beyond_the_limit_share_a_last_chunk(spark):
+    content = "{" + ",".join(f'"k{i:02d}":{i}' for i in range(60)) + "}"
+    rows = cut(spark, "config/a.json", content, "config")
+    assert len(rows) == 51 and rows[-1].metadata["rest_entries"] == "10"
+    text = "\n".join(r.text for r in rows)
+    assert all(f"k{i:02d}\n{i}" in text for i in range(60))
+    api = '{"openapi":"3","paths":{' + ",".join(f'"/p{i:03d}":{{"get":{{}}}}' for i in range(103)) + "}}"
+    rows = cut(spark, "api/openapi.json", api, "api_doc")
+    assert len(rows) == 101 and "/p102" in rows[-1].text and rows[-1].metadata["rest_entries"] == "3"
+
+
+def test_document_lists_reach_the_chunks(spark):
+    docs = spark.createDataFrame(
+        [("p", "s", "a.md", "a.md", "runbook", "# one\nbody", "h", {}, {"symbol_names": ["f", "g"], "unknown": ["x"], "headings": []})],
+        "project_id string, source_id string, external_id string, path string, source_type string, content string, "
+        "content_hash string, metadata map<string,string>, metadata_lists map<string,array<string>>",
+    )
+    row = store.final_chunks(docs).first()
+    assert row.metadata_lists["symbol_names"] == ["f", "g"] and "unknown" not in row.metadata_lists
