@@ -310,13 +310,24 @@ def incident_matches(t: Load) -> DataFrame:
     return inv.incident_matches(joined_).select("question_id", "chunk_id", "similarity", big("incident_rank").alias("incident_rank"))
 
 
-@query("investigation_timelines")
+_SIMILAR = """(SELECT question_id, chunk_id, path, row_number() OVER (PARTITION BY question_id ORDER BY least(round(0.35 + CASE WHEN contains(lower(text), service) THEN 0.25 ELSE 0 END
+      + CASE WHEN contains(lower(text), symptom) THEN 0.2 ELSE 0 END + CASE WHEN regexp_matches(lower(text), 'root cause|timeline') THEN 0.1 ELSE 0 END, 6), 1.0) DESC, n) AS k FROM ev WHERE source_type = 'incident')"""
+
+
+@query(
+    "investigation_timelines",
+    _FIND + f""" SELECT question_id, row_number() OVER (PARTITION BY question_id ORDER BY ts NULLS LAST, pos) AS seq, event_type, summary, coalesce(strftime(ts, '%Y-%m-%d %H:%M:%S'), '') AS ts, chunk_id FROM (
+      SELECT question_id, 'deploy' AS event_type, coalesce('deploy evidence found for ' || deploy_hash, 'deploy evidence found') AS summary, timestamp_start AS ts, chunk_id, n AS pos FROM evid WHERE source_type = 'deploy'
+      UNION ALL SELECT question_id, 'log_signal', CASE WHEN contains(lower(txt), 'timeout') THEN 'timeout evidence appears in logs' WHEN contains(lower(txt), 'error') THEN 'error evidence appears in logs'
+        WHEN contains(lower(txt), 'ms') THEN 'latency evidence appears in logs' ELSE 'log evidence found' END, timestamp_start, chunk_id, n FROM evid WHERE source_type = 'logs' AND timestamp_start IS NOT NULL
+      UNION ALL SELECT question_id, 'similar_incident', 'similar previous incident found: ' || path, NULL, chunk_id, 2147483647 FROM {_SIMILAR} WHERE k = 1)""",
+)
 def investigation_timelines(t: Load) -> DataFrame:
     """Deploys, log signals and the best similar incident in time order."""
     asked, found = _found(t)
     matches = inv.incident_matches(found.join(asked.select("question_id", "service", "symptom"), "question_id"))
     line = inv.timeline(found, matches)
-    return line.select("question_id", "seq", "event_type", "summary", stamp("ts").alias("ts"), "chunk_id")
+    return line.select("question_id", big("seq").alias("seq"), "event_type", "summary", stamp("ts").alias("ts"), "chunk_id")
 
 
 @query("investigations")
@@ -332,7 +343,18 @@ def investigations(t: Load) -> DataFrame:
     )
 
 
-@query("workflow_answers")
+_WORKED = f"""SELECT question_id, coalesce(sum(slow) FILTER (source_type = 'logs'), 0) > 0 AND count(*) FILTER (source_type = 'deploy' AND (hash IS NULL OR contains(lower(text), hash) OR contains(lower(path), hash))) > 0 AS deployed,
+      count(*) FILTER (source_type = 'incident') AS incidents FROM (SELECT *, {_LOG_COUNTS} FROM ev) GROUP BY question_id"""
+
+
+@query(
+    "workflow_answers",
+    _FIND + f""" SELECT q.question_id, {sx.rules('lower(q.question)', vocab.TASK_RULES, "'generic_incident_question'")} AS task_type,
+      CASE WHEN deployed THEN '{inv.HYPOTHESES[0][2]}' ELSE '{inv.NO_ROOT_CAUSE}' END AS summary,
+      CASE WHEN deployed THEN 'Validate the leading hypothesis against deploy history, logs, and ownership documentation before taking action.' ELSE '' END AS suggested_fix,
+      CASE WHEN incidents > 0 THEN '' ELSE 'No prior incident match reached confidence threshold.' END AS unknowns
+    FROM v_questions q LEFT JOIN ({_WORKED}) f ON f.question_id = q.question_id""",
+)
 def workflow_answers(t: Load) -> DataFrame:
     """Final workflow record per question."""
     w = inv.workflow_answer(inv.findings(*_found(t)))
