@@ -14,7 +14,9 @@ from caseloom import vocab
 from caseloom.defaults import DEFAULTS
 from caseloom.operators.matching import top_per
 
+#: Bytes of question vectors that one scan takes, and of the products that one step of a task holds.
 BLOCK_BYTES = 64 << 20
+TILE_BYTES = 32 << 20
 
 
 def vector_points(chunks: DataFrame, version: str = DEFAULTS.index_version) -> DataFrame:
@@ -102,10 +104,12 @@ def _search_block(questions: DataFrame, vectors: DataFrame) -> DataFrame:
             for project in set(projects.tolist()) & shared.value.keys():
                 _, matrix, budgets = shared.value[project]
                 mask = projects == project
-                scores = np.round(matrix @ dense[mask].T, 6)
-                names = ids[mask]
+                own, names = dense[mask].T, ids[mask]
+                step = max(1, TILE_BYTES // (8 * max(1, len(names))))
                 for q, k in enumerate(budgets):
-                    line, held = scores[q], names
+                    if q % step == 0:
+                        scores = np.round(matrix[q : q + step] @ own, 6)
+                    line, held = scores[q % step], names
                     if len(line) > k:
                         keep = line >= np.partition(line, -k)[-k]
                         line, held = line[keep], held[keep]
