@@ -40,15 +40,29 @@ def with_maps(facts: DataFrame) -> DataFrame:
     )
 
 
-_BUILT: dict[tuple[str, str], str] = {}
+#: The given tables that the views under the corpus read.
+SOURCES = ("documents", "events", "orders", "customer", "supplier", "part", "conversations")
+_BUILT: dict[tuple, str] = {}
+
+
+def state_of(load) -> tuple:
+    """A number per source table that changes with any of its files.
+
+    Names, sizes and change times are combined in Spark; no listing reaches the
+    driver, and no data is read.
+    """
+    file = F.xxhash64("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time")
+    return tuple(
+        load(name).select(file.alias("file")).distinct().agg(F.bit_xor("file")).first()[0] for name in SOURCES
+    )
 
 
 def index_tables(load) -> tuple[DataFrame, dict[str, DataFrame]]:
     """The chunk table with the vectors, edges and lexical index built on it.
 
     A maintained corpus has these as tables that ingest writes. Here they are
-    derived from the given tables and written once per application to the
-    checkpoint folder; the retrieval queries then read them.
+    derived from the given tables and written once per application and state of
+    these tables to the checkpoint folder; the retrieval queries then read them.
     """
     from caseloom.operators.embedding import embed_column
     from caseloom.operators.lexical import lexical_index
@@ -57,7 +71,7 @@ def index_tables(load) -> tuple[DataFrame, dict[str, DataFrame]]:
 
     source = load("documents")
     spark = source.sparkSession
-    key = (spark.sparkContext.applicationId, "|".join(sorted(source.inputFiles())))
+    key = (spark.sparkContext.applicationId, *state_of(load))
     names = ("vectors", "edges", "index")
     if key not in _BUILT:
         root = f"{checkpoint_root(spark)}/corpus-{uuid.uuid4().hex}"
