@@ -297,7 +297,8 @@ def length_scorer():
     SELECT question_id, chunk_id, final_rank, mode FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY part, s DESC, chunk_id) AS final_rank FROM placed) WHERE final_rank <= {rs.TOP_K}""",
 )
 def rerank_with_model(t: Load) -> DataFrame:
-    ranked = retrieval.with_text(hybrid(t).ranked, index_tables(t)[0])
+    found = hybrid(t)
+    ranked = retrieval.with_text(found.ranked, found.chunks)
     r = rerank.rerank(ranked, rs.TOP_K, length_scorer)
     return r.select("question_id", "chunk_id", big("final_rank").alias("final_rank"), F.col("rerank_mode").alias("mode"))
 

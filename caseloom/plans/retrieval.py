@@ -19,10 +19,11 @@ from caseloom.session import cut_lineage
 
 @dataclass(frozen=True)
 class Retrieval:
-    """Questions with their intent, branch candidates and ranked results."""
+    """Questions with their intent, branch candidates, the chunks these name, and ranked results."""
 
     questions: DataFrame
     candidates: DataFrame
+    chunks: DataFrame
     ranked: DataFrame
 
 
@@ -67,8 +68,25 @@ def hybrid_search(questions: DataFrame, chunks: DataFrame, top_k: int, *,
     )
     # Bounded by the fetch budgets; written once, since fusion and reports read it.
     candidates = cut_lineage(fusion.drop_redundant_vectors(every, asked))
-    boosted = fusion.boost(fusion.weighted_rrf(candidates, defaults), asked, chunks, defaults)
-    return Retrieval(asked, candidates, fusion.rank_fused(boosted, keep or top_k))
+    held = named_chunks(candidates, chunks)
+    boosted = fusion.boost(fusion.weighted_rrf(candidates, defaults), asked, held, defaults)
+    return Retrieval(asked, candidates, held, fusion.rank_fused(boosted, keep or top_k))
+
+
+#: Ids of at most so many candidates are sent to the chunk table's scan.
+SENT_IDS = 500_000
+
+
+def named_chunks(candidates: DataFrame, chunks: DataFrame) -> DataFrame:
+    """All columns of the chunks that candidates name, looked up once.
+
+    The ids go to the scan of the chunk table while they are few, so that no
+    text is shuffled; beyond that both sides are. Boosts, filters and texts of
+    results then read these rows instead of the corpus.
+    """
+    ids = cut_lineage(candidates.select("project_id", "chunk_id").distinct())
+    few = ids.limit(SENT_IDS + 1).count() <= SENT_IDS
+    return cut_lineage(chunks.join(F.broadcast(ids) if few else ids, ["project_id", "chunk_id"], "left_semi"))
 
 
 def with_text(ranked: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -84,7 +102,7 @@ def search(questions: DataFrame, chunks: DataFrame, top_k: int = DEFAULTS.top_k,
     """Cited evidence for every question."""
     wide = max(top_k * 3, 30)
     found = hybrid_search(questions, chunks, wide, defaults=defaults, **tables)
-    ranked = with_text(found.ranked, chunks)
+    ranked = with_text(found.ranked, found.chunks)
     return pack_evidence(rerank(ranked, top_k, scorer, defaults), top_k)
 
 
@@ -103,7 +121,7 @@ def answer(questions: DataFrame, chunks: DataFrame, top_k: int = DEFAULTS.top_k,
     wide = max(top_k * 3, 30)
     found = hybrid_search(questions, chunks, wide, defaults=defaults, **tables)
     # A few dozen rows per question, read again by reranking and packing.
-    ranked = cut_lineage(with_text(found.ranked, chunks))
+    ranked = cut_lineage(with_text(found.ranked, found.chunks))
     judged = support_by_question(found.questions, ranked)
     flags = judged.select(
         "question_id", answers.skips_rerank(F.col("intent"), F.col("raw_support.supported")).alias("skip")
