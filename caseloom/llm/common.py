@@ -41,6 +41,19 @@ def with_rows(docs: DataFrame) -> DataFrame:
     return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc_id"), F.col("`text`").alias("text"))
 
 
+#: Rows that go to a Python worker at once. Texts are some kilobytes; Spark's default of 10,000 rows would hold tens of megabytes several times over.
+BATCH_ROWS = 1000
+
+
+def mapped(frame: DataFrame, function, schema) -> DataFrame:
+    """``mapInArrow`` in batches of bounded size; a smaller setting of the session stays."""
+    conf = frame.sparkSession.conf
+    now = int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))
+    if now <= 0 or now > BATCH_ROWS:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    return frame.mapInArrow(function, schema)
+
+
 def fold_of(doc_id: Column) -> Column:
     """crc32 of the id as text, modulo 5: remainder 0 is held out."""
     return F.crc32(doc_id.cast("string").cast("binary")) % 5
@@ -81,7 +94,14 @@ def bounded_sample(docs: DataFrame, known: DataFrame, per_class: int, seed: str,
 def batches_of(column: str, batches: Iterator) -> Iterator[tuple]:
     """(record batch, list of texts) pairs, nulls as empty text."""
     for batch in batches:
-        yield batch, [x or "" for x in batch.column(column).to_pylist()]
+        for part in slices(batch):
+            yield part, [x or "" for x in part.column(column).to_pylist()]
+
+
+def slices(batch, rows: int = 256) -> Iterator:
+    """A record batch a few rows at a time, so that few texts are Python strings at once."""
+    for start in range(0, batch.num_rows, rows):
+        yield batch.slice(start, rows)
 
 
 def encode(text: str) -> bytes:

@@ -22,7 +22,7 @@ import zstandard as zstd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from caseloom.llm.common import base_counts, batches_of, bounded_sample, encode, fold_of, pick, stored, training_labels, with_rows
+from caseloom.llm.common import base_counts, batches_of, bounded_sample, encode, fold_of, mapped, pick, stored, training_labels, with_rows
 
 BLOCK = 4096
 LEVEL = 3
@@ -135,7 +135,7 @@ def train(docs: DataFrame, labels: DataFrame, target: str = "quality", fit_rows:
             good, bad, curve = build(texts, marks)
             yield pa.RecordBatch.from_pydict({"good": [good], "bad": [bad], "curve": pa.array([list(curve)], pa.list_(pa.float64()))})
 
-    found = sample.coalesce(1).sortWithinPartitions("key", "doc_id").mapInArrow(run, "good binary, bad binary, curve array<double>").collect()
+    found = mapped(sample.coalesce(1).sortWithinPartitions("key", "doc_id"), run, "good binary, bad binary, curve array<double>").collect()
     if not found:
         return base
     # The curve is fitted on balanced labels; the base rate moves it back.
@@ -162,7 +162,7 @@ def score(docs: DataFrame, model: Model | float) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.float64())], ["doc_id", "score"])
 
     rows = pick(docs, doc_id="doc_id", text="text")
-    return rows.mapInArrow(run, rows.select("doc_id").schema.add("score", "double")).select(
+    return mapped(rows, run, rows.select("doc_id").schema.add("score", "double")).select(
         "doc_id", F.coalesce(fold_of(F.col("doc_id")) == 0, F.lit(False)).alias("held_out"), "score",
         (F.col("score") >= THRESHOLD).cast("int").alias("predicted"),
     )

@@ -24,7 +24,7 @@ from html import unescape
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from caseloom.llm.common import pick
+from caseloom.llm.common import mapped, pick
 
 WINDOW = 3
 SURGE = 86
@@ -165,4 +165,4 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def main_text(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) for each row of pages (page_id, url, html)."""
     rows = pick(pages, page_id="page_id", url="url", html="html")
-    return rows.mapInArrow(_rows, rows.select("page_id", "url").schema.add("text", "string").add("n_chars", "long"))
+    return mapped(rows, _rows, rows.select("page_id", "url").schema.add("text", "string").add("n_chars", "long"))

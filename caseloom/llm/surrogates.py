@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from caseloom.llm.common import pick, stored
+from caseloom.llm.common import mapped, pick, slices, stored
 
 KEY = b"surrogate-key-1"
 #: Attempts of one shape before a surrogate grows by one character each time.
@@ -257,7 +257,7 @@ ENTITY = pa.struct([("kind", pa.string()), ("entity", pa.string())])
 
 
 def _detect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in (part for whole in batches for part in slices(whole)):
         ids, found = [], []
         for doc_id, text in zip(batch.column("sig").to_pylist(), batch.column("text").to_pylist(), strict=True):
             for kind, entity in sorted({m[2:] for m in mentions(text or "")}):
@@ -290,7 +290,7 @@ def assigned(entities: DataFrame, key: bytes = KEY, draw: Callable | None = None
     pending = real.withColumn("attempt", F.lit(0))
     done: DataFrame | None = None
     while True:
-        drawn = stored(pending.mapInArrow(draw, "kind string, entity string, attempt int, made string"))
+        drawn = stored(mapped(pending, draw, "kind string, entity string, attempt int, made string"))
         first = drawn.groupBy("kind", "made").agg(F.min("entity").alias("entity"))
         taken = real.select("kind", F.col("entity").alias("made"))
         free = first.join(taken, ["kind", "made"], "left_anti")
@@ -317,7 +317,7 @@ def pseudonymize(docs: DataFrame, key: bytes = KEY, text: str = "text", draw: Ca
     """
     columns = docs.columns
     held = docs.select(signature(text).alias("sig"), F.col(f"`{text}`").alias("text")).where("text is not null")
-    seen = stored(held.mapInArrow(_detect, "sig long, kind string, entity string").distinct())
+    seen = stored(mapped(held, _detect, "sig long, kind string, entity string").distinct())
     table = assigned(seen, key, draw)
     odd = table.where("attempt > 0")
     by_text = (
@@ -334,7 +334,7 @@ def pseudonymize(docs: DataFrame, key: bytes = KEY, text: str = "text", draw: Ca
     schema = rows.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             made = []
             for value, rest in zip(batch.column(own).to_pylist(), batch.column("odd").to_pylist(), strict=True):
                 exceptions = {(r["kind"], r["entity"]): r["attempt"] for r in rest or ()}
@@ -343,7 +343,7 @@ def pseudonymize(docs: DataFrame, key: bytes = KEY, text: str = "text", draw: Ca
                 [pa.array(made, pa.string()) if name == own else batch.column(name) for name in names], names
             )
 
-    return joined.mapInArrow(run, schema).toDF(*columns)
+    return mapped(joined, run, schema).toDF(*columns)
 
 
 def report(docs: DataFrame, key: bytes = KEY) -> DataFrame:

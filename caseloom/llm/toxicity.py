@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from caseloom.llm.common import base_counts, batches_of, bounded_sample, fold_of, pick, stored, training_labels
+from caseloom.llm.common import base_counts, batches_of, bounded_sample, fold_of, mapped, pick, stored, training_labels
 
 BITS = 20
 CELLS = 1 << BITS
@@ -156,7 +156,7 @@ def train(
     if not n0 or not n1:
         return Model(np.zeros(CELLS, np.float32), prior)
     rows = bounded_sample(docs, known, count_rows, target, train_chars)
-    counted = rows.select("text", "label").mapInArrow(_count, "slice int, counts binary").groupBy("slice").applyInArrow(_add, "slice int, counts binary")
+    counted = mapped(rows.select("text", "label"), _count, "slice int, counts binary").groupBy("slice").applyInArrow(_add, "slice int, counts binary")
     counts = np.concatenate(
         [np.frombuffer(r.counts, np.int64).reshape(2, -1) for r in sorted(counted.collect(), key=lambda r: r.slice)], axis=1
     )
@@ -176,7 +176,7 @@ def train(
             weights, b = np.zeros(CELLS, np.float32), 0.0
         yield pa.RecordBatch.from_pydict({"weights": pa.array([weights.tobytes()], pa.binary()), "b": pa.array([b])})
 
-    found = sample.coalesce(1).mapInArrow(regress, "weights binary, b double").first()
+    found = mapped(sample.coalesce(1), regress, "weights binary, b double").first()
     return Model(np.frombuffer(found.weights, np.float32), found.b + prior)
 
 
@@ -192,7 +192,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             )
 
     rows = pick(docs, doc_id="doc_id", text="text")
-    return rows.mapInArrow(run, rows.select("doc_id").schema.add("score", "double")).select(
+    return mapped(rows, run, rows.select("doc_id").schema.add("score", "double")).select(
         "doc_id", F.coalesce(fold_of(F.col("doc_id")) == 0, F.lit(False)).alias("held_out"), "score",
         (F.col("score") >= 0.5).cast("int").alias("predicted"),
     )

@@ -31,12 +31,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from caseloom.llm.common import LOWER, encode, pick, span_hashes, stored, with_rows, word_spans
+from caseloom.llm.common import LOWER, encode, mapped, pick, slices, span_hashes, stored, with_rows, word_spans
 
 WINDOW = 13
 #: A document is contaminated when SHARE * hit words >= words.
 SHARE = 20
-SHARD_BYTES = 6 << 20
+SHARD_BYTES = 1 << 20
 #: Words of the benchmark that one pass sends to the executors (8 bytes each).
 BLOCK_WORDS = 4_000_000
 
@@ -211,7 +211,7 @@ def _searched(shared: Broadcast, batches: Iterator[pa.RecordBatch]) -> Iterator[
     ids: list = []
     texts: list[str] = []
     size, kind = 0, pa.int64()
-    for batch in batches:
+    for batch in (part for whole in batches for part in slices(whole)):
         kind = batch.schema.field("doc_id").type
         for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
             ids.append(doc_id)
@@ -266,7 +266,7 @@ def matches(docs: DataFrame, items: DataFrame, most: int = BLOCK_WORDS) -> DataF
 def searched(rows: DataFrame, block: Broadcast) -> DataFrame:
     match = T.StructType().add("item_id", "string").add("start", "long").add("n_words", "long")
     schema = rows.select("doc_id").schema.add("n_words", "long").add("matches", T.ArrayType(match))
-    return rows.mapInArrow(lambda batches: _searched(block, batches), schema)
+    return mapped(rows, lambda batches: _searched(block, batches), schema)
 
 
 def hit_words(spans: Column) -> Column:

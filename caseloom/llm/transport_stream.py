@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from caseloom.llm.common import encode, pick
+from caseloom.llm.common import encode, mapped, pick
 
 UNIT = 576
 PACKET = 188
@@ -236,7 +236,7 @@ def _mux_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def store(docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, media): each text as a transport stream."""
     rows = pick(docs, doc_id="doc_id", text="text")
-    return rows.mapInArrow(_mux_rows, rows.select("doc_id").schema.add("n_bytes", "long").add("media", "binary"))
+    return mapped(rows, _mux_rows, rows.select("doc_id").schema.add("n_bytes", "long").add("media", "binary"))
 
 
 FIELDS = (
@@ -276,7 +276,7 @@ def read(media: DataFrame) -> DataFrame:
     schema = rows.select("doc_id", "n_bytes").schema
     for name, kind in FIELDS:
         schema = schema.add(name, kind)
-    return rows.mapInArrow(_read_rows, schema)
+    return mapped(rows, _read_rows, schema)
 
 
 def _unit_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -296,7 +296,7 @@ def access_units(media: DataFrame) -> DataFrame:
     """(doc_id, pid, start, pts, random_access): one row per elementary packet of stored streams."""
     rows = pick(media, doc_id="doc_id", media="media")
     schema = rows.select("doc_id").schema.add("pid", "integer").add("start", "long").add("pts", "long").add("random_access", "boolean")
-    return rows.mapInArrow(_unit_rows, schema)
+    return mapped(rows, _unit_rows, schema)
 
 
 def media_features(docs: DataFrame) -> DataFrame:
