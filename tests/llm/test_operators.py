@@ -366,3 +366,32 @@ def test_pipeline(spark, sf_dir):
             assert all(not old[r.doc_id] & {e for _, _, k, e in surrogates.mentions(r.text)} and r.n_chars == len(r.text) for r in rows)
     assert sizes[0] >= sizes[1] >= sizes[2] == sizes[3] > 0
     assert Counter((r.doc_id, r.copy) for r in corpus_pipeline.run(spark, sf_dir).collect()) == Counter((r.doc_id, r.copy) for r in rows)
+
+
+def test_pipeline_stages_on_odd_and_empty_tables(spark, sf_dir, docs, nothing):
+    import corpus_pipeline
+
+    plain = docs.select("doc_id", "text", "lang", "source", "n_chars")
+    for name, stage in corpus_pipeline.STAGES:
+        rows = stage(spark, plain, sf_dir)
+        assert set(plain.columns) <= set(rows.columns), name
+        assert rows.count() > 0, name
+        if name != "mixing":
+            assert rows.columns == plain.columns
+        assert stage(spark, nothing, sf_dir).collect() == [], name
+
+
+def test_queries_stand_without_the_subpackage(tmp_path):
+    """The entry module answers from the rest of the library where the operators are not installed."""
+    import os
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    os.symlink(f"{root}/__spark_entry__.py", tmp_path / "__spark_entry__.py")
+    os.makedirs(tmp_path / "caseloom")
+    for name in os.listdir(f"{root}/caseloom"):
+        if name not in ("llm", "__pycache__"):
+            os.symlink(f"{root}/caseloom/{name}", tmp_path / "caseloom" / name)
+    code = "import __spark_entry__ as e; n = set(e.queries()); assert len(n) > 100 and not any(x.startswith('op') and x[2].isdigit() for x in n) and set(e.oracle_sql()) <= n"
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={**os.environ, "PYTHONPATH": str(tmp_path)})
