@@ -52,6 +52,18 @@ def lexical_index(chunks: DataFrame) -> DataFrame:
     return chunks.select("project_id", "chunk_id", positions("text").alias("positions"))
 
 
+def replace_source(index: DataFrame, chunks: DataFrame, source: Column) -> DataFrame:
+    """The index after the chunks of some sources were cut anew.
+
+    ``source`` selects rows of ``chunks``, which holds the chunks as they are
+    now. Only these are tokenised again; rows of chunks that are gone fall away,
+    and all other rows stay as they were stored.
+    """
+    others = chunks.where(~F.coalesce(source, F.lit(False))).select("project_id", "chunk_id")
+    kept = index.join(others, ["project_id", "chunk_id"], "left_semi")
+    return kept.unionByName(lexical_index(chunks.where(source)))
+
+
 def postings(index: DataFrame) -> DataFrame:
     return index.select(
         "project_id", "chunk_id",

@@ -140,6 +140,24 @@ def lexical_search_filtered(t: Load) -> DataFrame:
     return _branch(lexical.filtered_top(lexical.lexical_search(q, c, tables["index"]), q, c, MOST))
 
 
+@query(
+    "lexical_source_reindex",
+    f"""SELECT source_id, count(*) AS chunks, CAST(sum(len(s)) AS BIGINT) AS places, CAST(sum(len(list_distinct(s))) AS BIGINT) AS stems
+    FROM (SELECT source_id, {rs.sx.stems('text')} AS s FROM ({rs.CH})) GROUP BY source_id""",
+)
+def lexical_source_reindex(t: Load) -> DataFrame:
+    """The stored index with one stale source brought up to date."""
+    stored, tables = index_tables(t)
+    owner = stored.select("project_id", "chunk_id", "source_id")
+    stale = tables["index"].join(owner, ["project_id", "chunk_id"]).withColumn(
+        "positions", F.when(F.col("source_id") == "deploys", F.slice("positions", 1, 1)).otherwise(F.col("positions"))
+    )
+    fresh = lexical.replace_source(stale.drop("source_id"), stored, F.col("source_id") == "deploys")
+    return fresh.join(owner, ["project_id", "chunk_id"]).groupBy("source_id").agg(
+        F.count("*").alias("chunks"), big(F.sum(F.size("positions"))).alias("places"), big(F.sum(F.size(F.array_distinct("positions")))).alias("stems")
+    )
+
+
 @query("metadata_search", f"WITH {rs.BASE}, {rs.META_CTES} {_TOP} meta")
 def metadata_branch(t: Load) -> DataFrame:
     return _branch(metadata_search.metadata_search(asked(t), corpus(t), MOST))
