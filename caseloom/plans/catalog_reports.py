@@ -12,6 +12,7 @@ from caseloom.operators.matching import nearest_rank, sliding_count, top_per
 from caseloom.plans import investigation as plan, retrieval_sql as rs, sqlexpr as sx
 from caseloom.plans.catalog_retrieval import index_tables, packed
 from caseloom.plans.registry import Load, big, flag, joined, query, stamp, text
+from caseloom.streaming import jobs as streams
 
 # --- joins and access -------------------------------------------------------
 
@@ -232,6 +233,44 @@ def sliding_request_limits(t: Load) -> DataFrame:
     return counted.where("in_window > 3").select("event_id", "in_window")
 
 
+_BAD = "(event_type = 'error' OR event_id % 41 = 0)"
+
+
+@query(
+    "stream_error_rates",
+    f"""SELECT service, strftime(w, '%Y-%m-%d %H:%M:%S') AS start, count(*) AS lines, count(*) FILTER ({_BAD}) AS error_lines, round(count(*) FILTER ({_BAD}) / count(*), 6) AS error_rate
+    FROM (SELECT *, time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '1970-01-01 00:00:00') AS w FROM v_log_lines) GROUP BY service, w""",
+)
+def stream_error_rates(t: Load) -> DataFrame:
+    """The streaming operator over stored lines."""
+    r = streams.error_rates(t("v_log_lines"), width="6 hours")
+    return r.select("service", stamp("start").alias("start"), "lines", "error_lines", F.round("error_rate", 6).alias("error_rate"))
+
+
+@query(
+    "stream_error_bursts",
+    f"""SELECT service, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, strftime(max(ts) + INTERVAL 2 HOUR, '%Y-%m-%d %H:%M:%S') AS "end", count(*) AS error_lines FROM (
+      SELECT *, sum(fresh) OVER (PARTITION BY service ORDER BY ts ROWS UNBOUNDED PRECEDING) AS session FROM (
+        SELECT service, ts, CASE WHEN ts <= lag(ts) OVER (PARTITION BY service ORDER BY ts) + INTERVAL 2 HOUR THEN 0 ELSE 1 END AS fresh FROM v_log_lines WHERE {_BAD}))
+    GROUP BY service, session HAVING count(*) >= 2""",
+)
+def stream_error_bursts(t: Load) -> DataFrame:
+    """The streaming operator over stored lines."""
+    b = streams.error_bursts(t("v_log_lines"), gap="2 hours")
+    return b.select("service", stamp("start").alias("start"), stamp("end").alias("end"), "error_lines")
+
+
+@query(
+    "stream_request_limits",
+    """SELECT event_type, strftime(w, '%Y-%m-%d %H:%M:%S') AS start, strftime(w + INTERVAL 2 HOUR, '%Y-%m-%d %H:%M:%S') AS "end", count(*) AS requests FROM (
+      SELECT event_type, unnest([h, h - INTERVAL 1 HOUR]) AS w FROM (SELECT event_type, date_trunc('hour', ts) AS h FROM events)) GROUP BY event_type, w HAVING count(*) > 3""",
+)
+def stream_request_limits(t: Load) -> DataFrame:
+    """The streaming operator over stored events."""
+    over = streams.request_limits(t("events"), "event_type", "ts", 7200, 3, slide=3600)
+    return over.select("event_type", stamp("start").alias("start"), stamp("end").alias("end"), "requests")
+
+
 @query(
     "latest_runs_per_project",
     "SELECT project_id, sync_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY started_at DESC, sync_id DESC) AS rank FROM v_syncs) WHERE rank <= 100",
