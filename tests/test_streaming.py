@@ -56,11 +56,13 @@ def test_streaming_bursts_and_limits(spark, sf_dir, tmp_path):
     source = str(tmp_path / "lines")
     lines.coalesce(1).write.parquet(source)
     stream = lambda: spark.readStream.schema(lines.schema).parquet(source)
-    for name, frame in {
-        "bursts": streams.error_bursts(stream(), gap="2 hours"),
-        "limits": streams.request_limits(stream(), "service", "ts", 7200, 3, slide=3600),
-        "rates": streams.error_rates(stream(), width="6 hours"),
+    for name, build in {
+        "bursts": lambda rows: streams.error_bursts(rows, gap="2 hours"),
+        "limits": lambda rows: streams.request_limits(rows, "service", "ts", 7200, 3, slide=3600),
+        "rates": lambda rows: streams.error_rates(rows, width="6 hours"),
     }.items():
-        frame.writeStream.outputMode("append").format("memory").queryName(name).trigger(availableNow=True).start().awaitTermination()
-        assert spark.table(name).count() > 0
+        build(stream()).writeStream.outputMode("append").format("memory").queryName(name).trigger(availableNow=True).start().awaitTermination()
+        # Windows that the watermark has closed are out, and each is what the stored lines give.
+        got, want = set(map(tuple, spark.table(name).collect())), set(map(tuple, build(lines).collect()))
+        assert got and got <= want and len(got) > len(want) / 2
     assert spark.table("bursts").where("error_lines < 2").count() == 0
