@@ -36,17 +36,17 @@ import zstandard as zstd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from caseloom.llm.common import BASE, BYTE_VALUES, INVERSE, encode, mixed, pick, powers, stored
+from caseloom.llm.common import BASE, BYTE_VALUES, INVERSE, encode, mapped, mixed, pick, powers, slices, stored
 from caseloom.llm.induced_sort import common_prefixes, suffix_array
 
 LENGTH = 100
 GRAM = 32
 #: Bytes of text whose runs one fragment holds on average, and bytes of runs in one suffix array.
-FRAGMENT_BYTES = 12 << 20
+FRAGMENT_BYTES = 6 << 20
 SHARD_BYTES = 1 << 20
 LEAST_PARTS = 48
 PIECE = 1 << 22
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 20
 
 #: A run: hashes of minimizer and bytes, document (id and hash of text), first byte and number of windows.
 RUN = np.dtype([("gram", "<u8"), ("bytes", "<u8"), ("doc", "<i8"), ("sig", "<u4"), ("start", "<u4"), ("windows", "<u2")])
@@ -153,8 +153,8 @@ def fragments(rows: DataFrame, parts: int) -> DataFrame:
             to, blobs = _dealt(found, _ranges(found["gram"], parts))
             return pa.RecordBatch.from_arrays([pa.array(to, pa.int32()), pa.array(blobs, pa.binary())], ["fragment", "runs"])
 
-        for batch in batches:
-            for doc, sig, text in zip(*(batch.column(c).to_pylist() for c in ("doc", "sig", "text")), strict=True):
+        for part in (p for batch in batches for p in slices(batch)):
+            for doc, sig, text in zip(*(part.column(c).to_pylist() for c in ("doc", "sig", "text")), strict=True):
                 data = np.frombuffer(encode(text), np.uint8)
                 size += len(data)
                 gram, own, start, windows = runs(data)
@@ -169,7 +169,7 @@ def fragments(rows: DataFrame, parts: int) -> DataFrame:
         if held:
             yield flush()
 
-    return rows.mapInArrow(run, "fragment int, runs binary")
+    return mapped(rows, run, "fragment int, runs binary")
 
 
 OUT = "bucket int, kind int, n long, records binary"
@@ -264,19 +264,19 @@ def packed_texts(rows: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstd.ZstdCompressor(level=1)
-        for batch in batches:
-            packed = pa.array([press.compress(encode(t)) for t in batch.column("text").to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("sig"), packed], ["doc", "sig", "packed"])
+        for part in (p for batch in batches for p in slices(batch, 1024)):
+            packed = pa.array([press.compress(encode(t)) for t in part.column("text").to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([part.column("doc"), part.column("sig"), packed], ["doc", "sig", "packed"])
 
-    return rows.mapInArrow(run, "doc long, sig long, packed binary")
+    return mapped(rows, run, "doc long, sig long, packed binary")
 
 
 def _fetch(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.RecordBatch]:
     """(shard, wanted, contents): the bytes of wanted spans, by shard of the minimizer."""
     unpress = zstd.ZstdDecompressor()
-    for batch in batches:
+    for part in (p for batch in batches for p in slices(batch, 2048)):
         wanted, contents = [], []
-        for packed, blob in zip(batch.column("packed").to_pylist(), batch.column("wanted").to_pylist(), strict=True):
+        for packed, blob in zip(part.column("packed").to_pylist(), part.column("wanted").to_pylist(), strict=True):
             data, own = unpress.decompress(packed), unpack(blob, WANT)
             wanted.append(own)
             contents += [data[a:b] for a, b in zip(own["start"].tolist(), own["stop"].tolist(), strict=True)]
@@ -384,7 +384,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     shards = max(LEAST_PARTS, many * 140 // SHARD_BYTES)
     asked = wanted.groupBy("bucket").applyInArrow(_wanted_rows, "doc long, sig long, wanted binary")
     once = packed_texts(rows).join(asked, ["doc", "sig"]).select("packed", "wanted")
-    contents = once.mapInArrow(lambda batches: _fetch(batches, shards), "shard int, wanted binary, contents binary")
+    contents = mapped(once, lambda batches: _fetch(batches, shards), "shard int, wanted binary, contents binary")
     compared = contents.groupBy("shard").applyInArrow(lambda group: _sorted_shard(group, parts), OUT)
     spans = found.where("kind = 0").unionByName(compared)
     return spans.groupBy("bucket").applyInArrow(_span_rows, "doc long, sig long, n_removed long, n_spans long, spans binary")
@@ -417,7 +417,7 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     )
     counted = ids.join(spans.select("doc", "sig", "n_removed", "n_spans"), ["doc", "sig"], "left")
     partly = counted.where("n_removed < n_bytes").select("doc", "sig").distinct().join(spans.select("doc", "sig", "spans"), ["doc", "sig"])
-    kept = packed_texts(keyed(docs)).join(partly, ["doc", "sig"]).mapInArrow(_kept, "doc long, sig long, kept string")
+    kept = mapped(packed_texts(keyed(docs)).join(partly, ["doc", "sig"]), _kept, "doc long, sig long, kept string")
     kept = kept.groupBy("doc", "sig").agg(F.first("kept").alias("kept"))
     nothing = hashlib.sha256(b"").hexdigest()
     return counted.join(kept, ["doc", "sig"], "left").select(
