@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from caseloom.session import checkpoint_root
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -26,13 +27,10 @@ def pick(frame: DataFrame, **columns: str) -> DataFrame:
 def stored(frame: DataFrame) -> DataFrame:
     """Write a result to the cluster's checkpoint folder and go on from there.
 
-    The folder is the one in ``spark.checkpoint.dir``. A folder is made here
-    only where the session names none, as in tests on one machine.
+    The folder is the one in ``spark.checkpoint.dir``. Where a session on one
+    machine names none, as in tests, a folder of that machine is made.
     """
-    spark = frame.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="llm-"))
+    checkpoint_root(frame.sparkSession)
     return frame.checkpoint()
 
 

@@ -9,7 +9,6 @@ reads what the one before wrote, and all but the last return the columns of
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +16,7 @@ from pyspark.sql import functions as F
 
 from caseloom.llm import compression_quality, poisson_mixing, surrogates, training_suffixes, vertical_join
 from caseloom.llm.common import table
+from caseloom.session import checkpoint_root
 
 #: SQL states neither compression nor surrogates; tests compare the stages with brute force.
 ORACLE_SQL = None
@@ -52,8 +52,7 @@ STAGES = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mixture of ``documents``. Stage tables are written to the cluster's checkpoint folder."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pipeline-")
-    folder = f"{root}/pipeline-{uuid.uuid4().hex}"
+    folder = f"{checkpoint_root(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
