@@ -12,6 +12,7 @@ from caseloom.operators import chunkers, embedding, jobs, reports, store, valida
 from caseloom.operators.matching import dense_sequence
 from caseloom.plans import ingest
 from caseloom.plans import sqlexpr as sx
+from caseloom.plans.catalog_text import facts_sql
 from caseloom.plans.registry import Load, big, flag, joined, query, stamp, text
 from caseloom.sources import documents, files
 
@@ -493,6 +494,25 @@ def corpus_ingest(t: Load) -> DataFrame:
     )
 
 
+@query(
+    "collected_facts_in_chunks",
+    f"SELECT id, symbols, python_functions AS functions FROM ({facts_sql('v_code_docs', 'c')})",
+)
+def collected_facts_in_chunks(t: Load) -> DataFrame:
+    """Files collected, ingested and chunked: what every chunk of a file carries of its facts."""
+    listed_files = t("v_code_docs").select(
+        F.concat(F.lit("c"), "doc_id").alias("source_id"), "project_id", F.lit("s1").alias("sync_id"), F.lit("b1").alias("batch_id"),
+        F.col("doc_id").alias("position"), "path", "content", F.lit(None).cast("string").alias("skip_reason"), F.lit(None).cast("timestamp").alias("modified_at"),
+    )
+    none = t("v_docs").select("project_id", "source_id", F.col("path").alias("external_id"), "content_hash").limit(0)
+    chunks = ingest.ingest_documents(files.collected_documents(listed_files), none).chunks
+    listed = lambda k: joined(F.try_element_at("metadata_lists", F.lit(k)))
+    functions = F.when(F.try_element_at("metadata", F.lit("language")) == "python", listed("function_names")).otherwise("")
+    return chunks.select(
+        F.col("source_id").alias("id"), listed("symbol_names").alias("symbols"), functions.alias("functions")
+    ).distinct()
+
+
 @query(
     "ingest_quarantine",
     f"""SELECT failure_code, count(*) AS n FROM (

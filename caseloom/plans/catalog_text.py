@@ -141,7 +141,7 @@ def content_hashes(t: Load) -> DataFrame:
     )
 
 
-def _facts_sql(view: str, prefix: str) -> str:
+def facts_sql(view: str, prefix: str) -> str:
     s = lambda p, n=None, g=1: (
         f"array_to_string(list_sort(list_distinct(regexp_extract_all(content, '{p}', {g})))" + (f"[1:{n}]" if n else "") + ", ',')"
     )
@@ -190,7 +190,7 @@ def _facts_sql(view: str, prefix: str) -> str:
 
 @query(
     "document_facts",
-    _facts_sql("v_code_docs", "c") + " UNION ALL " + _facts_sql("v_md_docs", "m") + " UNION ALL " + _facts_sql("v_log_docs", "l"),
+    facts_sql("v_code_docs", "c") + " UNION ALL " + facts_sql("v_md_docs", "m") + " UNION ALL " + facts_sql("v_log_docs", "l"),
 )
 def document_facts(t: Load) -> DataFrame:
     def of(view: str, prefix: str) -> DataFrame:

@@ -124,3 +124,34 @@ def collect(files: DataFrame, defaults: Defaults = DEFAULTS, **repository: str)
     for name, value in repository.items():
         described = described.withColumn(name, F.lit(value))
     return described
+
+
+# Names that chunk metadata knows, and the fact columns they come from.
+COLLECTED_TEXT = {
+    "language": "language", "file_language": "file_language", "repo_name": "repo_name", "branch": "branch", "commit_sha": "commit_sha",
+    "module_path": "module_path", "package_path": "package_path", "package_name": "package_name", "service_name": "owner",
+    "timestamp_start": "timestamp_first", "timestamp_end": "timestamp_last",
+}
+COLLECTED_LISTS = (
+    "symbol_names", "function_names", "class_names", "headings", "endpoint_candidates", "api_paths", "log_levels", "error_codes",
+    "trace_ids", "request_ids", "config_keys_summary", "release_markers",
+)
+
+
+def collected_documents(files: DataFrame, defaults: Defaults = DEFAULTS, **repository: str) -> DataFrame:
+    """Collected files in the schema that ingest reads, facts as document metadata.
+
+    ``files`` carries ``path, content, skip_reason`` and what identifies the
+    source. Single facts go to ``metadata``, lists to ``metadata_lists``; both
+    reach every chunk of the document.
+    """
+    from caseloom.operators.sections import list_map, text_map
+
+    described = collect(files, defaults, **repository)
+    have = set(described.columns)
+    single = {name: F.col(column).cast("string") for name, column in COLLECTED_TEXT.items() if column in have}
+    return described.select(
+        *(F.col(c) for c in files.columns if c not in ("content", "skip_reason", "path", *COLLECTED_TEXT, *COLLECTED_LISTS)),
+        F.col("path").alias("external_id"), "path", "source_type", "content", "content_hash", F.col("size_bytes").cast("bigint").alias("size_bytes"),
+        text_map(**single).alias("metadata"), list_map(**{n: F.col(n) for n in COLLECTED_LISTS}).alias("metadata_lists"),
+    )
