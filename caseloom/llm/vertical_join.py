@@ -5,8 +5,10 @@ from the start, so copies are never paired. The rest is done on classes:
 
 1. Sets are cut into fragments by ranges of the shingle hash, and each fragment
    is dealt out on its own. It holds all occurrences of its shingles, so their
-   exact document counts are known there. Shingles of one class only are counted
-   and dropped; they cannot overlap with anything.
+   document counts are known there. Shingles of one class only are counted and
+   dropped; they cannot overlap with anything. (What is sent of a 64-bit hash is
+   its fragment and 48 bits; two documents' own shingles agree by chance with a
+   probability of some 1e-10.)
 2. The fragments give the global order: rarest shingle first, then by hash. Two
    linked sets share a shingle among the rarest quarter of either (the prefix),
    and where it stands bounds what they can still share. Most sets have only
@@ -36,16 +38,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from caseloom.llm.common import LOWER, encode, pick, run_hashes, span_hashes, stored, word_spans
+from caseloom.llm.common import LOWER, encode, mapped, pick, run_hashes, slices, span_hashes, stored, word_spans
 from caseloom.llm.graph import components
 
 SIZE = 5
-#: Shingles that one fragment holds on average; the number of fragments follows the input.
-FRAGMENT_SHINGLES = 2_000_000
+#: Shingles that one fragment holds at most on average; the number of fragments follows the input.
+FRAGMENT_SHINGLES = 4_000_000
 LEAST_FRAGMENTS = 32
+#: Bytes of a shingle hash that are sent; the fragment tells its upper bits.
+SENT = 6
 #: Fragments in which a pair's overlap is counted.
 PARTS = 8
-BATCH_BYTES = 2 << 20
+BATCH_BYTES = 1 << 19
 
 IS_WORD = np.ones(256, bool)
 IS_WORD[[0x20, *range(0x09, 0x0E)]] = False
@@ -79,13 +83,14 @@ def _sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[list,
     for batch in batches:
         kind = batch.schema.field(0).type
         ids, texts, held = [], [], 0
-        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            ids.append(doc_id)
-            texts.append(text or "")
-            held += len(texts[-1])
-            if held >= BATCH_BYTES:
-                yield ids, shingle_sets(texts, size), kind
-                ids, texts, held = [], [], 0
+        for part in slices(batch):
+            for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                ids.append(doc_id)
+                texts.append(text or "")
+                held += len(texts[-1])
+                if held >= BATCH_BYTES:
+                    yield ids, shingle_sets(texts, size), kind
+                    ids, texts, held = [], [], 0
         if ids:
             yield ids, shingle_sets(texts, size), kind
 
@@ -105,13 +110,15 @@ def members(docs: DataFrame, size: int = SIZE) -> DataFrame:
             )
 
     rows = pick(docs, doc_id="doc_id", text="text").select(F.struct("doc_id", F.xxhash64("text").alias("sig")).alias("row"), "text")
-    found = rows.mapInArrow(run, rows.select("row").schema.add("n", "long").add("key", "binary"))
+    found = mapped(rows, run, rows.select("row").schema.add("n", "long").add("key", "binary"))
     return found.select("row.doc_id", "row.sig", "n", "key")
 
 
-def _binary(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
-    """Slices of an array, from each bound to the next, as a binary column."""
-    offsets = (bounds * values.itemsize).astype(np.int32)
+def _binary(values: np.ndarray, bounds: np.ndarray, sent: int | None = None) -> pa.Array:
+    """Slices of an array, from each bound to the next, as a binary column; of each value only the ``sent`` lower bytes."""
+    if sent is not None:
+        values = np.ascontiguousarray(values.view(np.uint8).reshape(-1, values.itemsize)[:, :sent])
+    offsets = (bounds * (sent or values.itemsize)).astype(np.int32)
     return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(values.tobytes())])
 
 
@@ -133,30 +140,26 @@ def segments(docs: DataFrame, bits: int, size: int = SIZE) -> DataFrame:
             new = np.flatnonzero(np.concatenate([[True], (fragment[1:] != fragment[:-1]) | (doc[1:] != doc[:-1])]))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(fragment[new]), pa.array(list(own), pa.binary()).take(pa.array(doc[new])), pa.array(lengths[doc[new]].astype(np.int64)),
-                 _binary(shingles, np.append(new, len(shingles)))],
+                 _binary(shingles, np.append(new, len(shingles)), SENT)],
                 ["fragment", "key", "n", "shingles"],
             )
 
-    return pick(docs, doc_id="doc_id", text="text").mapInArrow(run, "fragment int, key binary, n long, shingles binary")
+    return mapped(pick(docs, doc_id="doc_id", text="text"), run, "fragment int, key binary, n long, shingles binary")
 
 
-def _values(column: pa.ChunkedArray, kind: type) -> tuple[np.ndarray, np.ndarray]:
-    """All values of a binary column, and how many each row has."""
-    flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    flat = flat if isinstance(flat, pa.Array) else pa.concat_arrays(flat.chunks)
-    if not len(flat):
-        return np.zeros(0, kind), np.zeros(0, np.int64)
-    wide = pa.types.is_large_binary(flat.type)
-    offsets = np.frombuffer(flat.buffers()[1], np.int64 if wide else np.int32)[flat.offset : flat.offset + len(flat) + 1].astype(np.int64)
-    data = flat.buffers()[2]
-    values = np.frombuffer(data, np.uint8, offsets[-1] - offsets[0], offsets[0]).view(kind) if data is not None else np.zeros(0, kind)
-    return values, np.diff(offsets) // np.dtype(kind).itemsize
+def _sent(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """All shingles of a column as they were sent, and how many each row has."""
+    rows = column.to_pylist()
+    data = np.frombuffer(b"".join(rows), np.uint8).reshape(-1, SENT)
+    values = np.zeros((len(data), 8), np.uint8)
+    values[:, :SENT] = data
+    return values.view(np.uint64).ravel(), np.array([len(r) for r in rows], np.int64) // SENT
 
 
 def _shared(group: pa.Table) -> pa.Table:
     """Of one fragment, the shingles that more than one class has, with the number of classes."""
     group = group.take(pa.array(_first_of(group.column("key").to_pylist())))
-    shingles, lengths = _values(group.column("shingles"), np.uint64)
+    shingles, lengths = _sent(group.column("shingles"))
     row = np.repeat(np.arange(len(lengths)), lengths)
     order = np.argsort(shingles, kind="stable")
     ordered = shingles[order]
@@ -165,7 +168,8 @@ def _shared(group: pa.Table) -> pa.Table:
     count = np.empty(len(shingles), np.uint32)
     count[order] = np.repeat(runs, runs)
     many = count > 1
-    shingles, count, row = shingles[many], count[many], row[many]
+    upper = np.uint64(group.column("fragment")[0].as_py()) << np.uint64(8 * SENT)
+    shingles, count, row = shingles[many] | upper, count[many], row[many]
     new = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]])) if len(row) else np.zeros(0, np.int64)
     bounds = np.append(new, len(row))
     head = group.select(["key", "n"]).take(pa.array(row[new]))
@@ -189,7 +193,7 @@ def prefix_length(n: int) -> int:
 
 def _ordered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Classes that may have links: shared shingles in global order, and where the prefix ends."""
-    for batch in batches:
+    for batch in (part for whole in batches for part in slices(whole)):
         out = []
         for row in batch.to_pylist():
             shingles = np.concatenate([np.frombuffer(p["shingles"], np.int64) for p in row["parts"]])
@@ -208,10 +212,10 @@ def _ordered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def candidates(docs: DataFrame, total: int, size: int = SIZE) -> DataFrame:
     """(key, n, own, shingles, take) of the classes that may have links."""
-    bits = max(LEAST_FRAGMENTS, total // FRAGMENT_SHINGLES).bit_length()
+    bits = (max(LEAST_FRAGMENTS, -(-total // FRAGMENT_SHINGLES)) - 1).bit_length()
     found = segments(docs, bits, size).groupBy("fragment").applyInArrow(_shared, "key binary, n long, shingles binary, counts binary")
     parts = found.groupBy("key").agg(F.first("n").alias("n"), F.collect_list(F.struct("shingles", "counts")).alias("parts"))
-    return parts.mapInArrow(_ordered, "key binary, n long, own long, shingles array<long>, take int")
+    return mapped(parts, _ordered, "key binary, n long, own long, shingles array<long>, take int")
 
 
 def may_link(n: Column, place: Column, other_n: Column, other_place: Column) -> Column:
@@ -222,7 +226,7 @@ def may_link(n: Column, place: Column, other_n: Column, other_place: Column) ->
 
 def verified(pairs: DataFrame, found: DataFrame) -> DataFrame:
     """The linked among pairs (a, b): overlaps by fragment, summed per pair."""
-    part = F.shiftrightunsigned(F.col("shingle"), 61).cast("int")
+    part = F.pmod(F.shiftright("shingle", 45), F.lit(PARTS)).cast("int")
     named = pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))).distinct()
     exploded = found.join(named.withColumnRenamed("a", "key"), "key", "left_semi").select("key", "n", F.explode("shingles").alias("shingle"))
     cut = stored(exploded.groupBy("key", "n", part.alias("part")).agg(F.collect_list("shingle").alias("own")))
