@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from caseloom.functions.patterns import as_col, let
 from caseloom.operators.matching import top_per
+from caseloom.session import cut_lineage
 
 STOPWORDS = (
     "a", "an", "and", "are", "as", "at", "be", "by", "did", "do", "does", "for", "from", "had",
@@ -47,6 +48,10 @@ def terms(text: Column | str) -> Column:
     return F.array_remove(F.array_distinct(positions(text)), "")
 
 
+#: Candidates that are sent to the scan of the index at most.
+SENT_CANDIDATES = 500_000
+
+
 def lexical_index(chunks: DataFrame) -> DataFrame:
     """Index rows: the stems of each chunk in order. Rebuilt per source on reindex."""
     return chunks.select("project_id", "chunk_id", positions("text").alias("positions"))
@@ -131,14 +136,12 @@ def lexical_search(questions: DataFrame, chunks: DataFrame, index: DataFrame | N
         .where(F.col("known") == F.size("wanted"))
         .select("project_id", "wanted", F.col("rarest.term").alias("term"))
     )
-    # Searches are grouped by their rarest term, so a chunk meets each term once.
-    by_term = driver.groupBy("project_id", "term").agg(F.collect_list("wanted").alias("searches"))
-    exploded = index.select(
-        "project_id", "chunk_id", "positions", F.explode(F.array_remove(F.array_distinct("positions"), "")).alias("term")
-    )
+    # Candidates are ids only. They go to the stored index while they are few, so
+    # that positions, the bulk of it, are read in place.
+    hits = cut_lineage(posted.join(driver, ["project_id", "term"]).select("project_id", "chunk_id", "wanted"))
+    few = hits.limit(SENT_CANDIDATES + 1).count() <= SENT_CANDIDATES
     found = (
-        exploded.join(by_term, ["project_id", "term"])
-        .select("project_id", "chunk_id", "positions", F.explode("searches").alias("wanted"))
+        index.join(F.broadcast(hits) if few else hits, ["project_id", "chunk_id"])
         .where(F.size(F.array_except("wanted", "positions")) == 0)
         .select("project_id", "wanted", "chunk_id", F.round(cover_density("positions", "wanted"), 6).alias("score"))
     )
