@@ -10,13 +10,26 @@ from caseloom.functions import paths, text
 from caseloom.functions.patterns import first_of, strip
 
 
-def scan_files(spark: SparkSession, root: str) -> DataFrame:
+def scan_files(spark: SparkSession, root: str, max_bytes: int | None = None, extensions: tuple[str, ...] = ()) -> DataFrame:
     """All regular files under a folder, with relative path, size and bytes.
 
-    Cache folders and dot-files are left out. The order of a scan carries no
-    meaning; whatever needs path order sorts on ``path``.
+    With a size or extensions given, only the bytes of files that fit are read;
+    the others are listed with NULL. Both tests reach the scan, so a file too
+    large for one row does not fail it. Cache folders and dot-files are left
+    out. The order of a scan carries no meaning; whatever needs path order sorts
+    on ``path``.
     """
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    reader = lambda: spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    if max_bytes is None and not extensions:
+        raw = reader().load(root)
+    else:
+        fitting = reader()
+        if extensions:
+            fitting = fitting.option("pathGlobFilter", "*{" + ",".join(extensions) + "}")
+        bodies = fitting.load(root)
+        if max_bytes is not None:
+            bodies = bodies.where(F.col("length") <= max_bytes)
+        raw = reader().load(root).drop("content").join(bodies.select("path", "content"), "path", "left")
     base = root.rstrip("/").removeprefix("file:")
     clean = F.regexp_replace("path", r"^file:/*", "/")
     relative = F.regexp_replace(clean, "^" + _quoted(base) + "/", "")
@@ -66,10 +79,9 @@ def local_skip_reason(content: Column | str = "text", defaults: Defaults = DEFAU
 def read_documents(spark: SparkSession, root: str, defaults: Defaults = DEFAULTS) -> DataFrame:
     """Files of a folder as documents, with a skip reason for those left out.
 
-    Oversized and unsupported files are dropped from the text column before it
-    is decoded.
+    The bytes of oversized and unsupported files are not read.
     """
-    files = scan_files(spark, root)
+    files = scan_files(spark, root, defaults.max_document_bytes, defaults.supported_extensions)
     wanted = paths.suffix("path").isin(*defaults.supported_extensions) & (
         F.col("size_bytes") <= defaults.max_document_bytes
     )

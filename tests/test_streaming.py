@@ -66,3 +66,22 @@ def test_streaming_bursts_and_limits(spark, sf_dir, tmp_path):
         got, want = set(map(tuple, spark.table(name).collect())), set(map(tuple, build(lines).collect()))
         assert got and got <= want and len(got) > len(want) / 2
     assert spark.table("bursts").where("error_lines < 2").count() == 0
+
+
+def test_a_folder_is_ingested(spark, tmp_path):
+    from caseloom.plans.ingest import ingest_folder, read_state
+    from caseloom import schemas
+
+    (tmp_path / "services" / "api").mkdir(parents=True)
+    (tmp_path / "services" / "api" / "service.py").write_text("def handle(x):\n    return 1\n")
+    (tmp_path / "runbook.md").write_text("# Runbook\n\nRestart it.\n")
+    (tmp_path / "tool.bin").write_bytes(b"\x00\x01" * 10)
+    (tmp_path / "large.log").write_text("x" * 2_000_001)
+    (tmp_path / ".hidden.md").write_text("# no\n")
+    current = read_state(spark, str(tmp_path / "nowhere"), schemas.DOCUMENTS)
+    assert current.collect() == []
+    result, ledger = ingest_folder(spark, str(tmp_path), "p", "s", current)
+    assert {r.path for r in result.documents.collect()} == {"services/api/service.py", "runbook.md"}
+    assert {r.chunk_type for r in result.chunks.collect()} == {"python_function", "markdown_procedure"}
+    row = ledger.first()
+    assert (row.files_seen, row.files_skipped, row.parser_errors) == (4, 2, 0)
