@@ -5,7 +5,7 @@ leftmost if several. Equal windows have equal minimizers, so they meet wherever
 rows are dealt out by it. Consecutive windows with the minimizer at the same
 place make one run of at most 168 bytes.
 
-1. Runs are dealt out by ranges of the minimizer's hash, as records of hashes and
+1. Runs are dealt out by a hash of the minimizer, as records of hashes and
    places; text does not move. Runs equal as a whole are one class. Its earliest
    occurrence is the origin; all windows of the others are repeats.
 2. Only where one minimizer has several classes must their insides be compared.
@@ -142,7 +142,7 @@ def _dealt(records: np.ndarray, to: np.ndarray) -> tuple[np.ndarray, list[bytes]
 
 
 def fragments(rows: DataFrame, parts: int) -> DataFrame:
-    """(fragment, runs): the runs of all texts, packed by task and range of the minimizer's hash."""
+    """(fragment, runs): the runs of all texts, packed by task and hash of the minimizer."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -150,7 +150,8 @@ def fragments(rows: DataFrame, parts: int) -> DataFrame:
 
         def flush() -> pa.RecordBatch:
             found = np.concatenate(held)
-            to, blobs = _dealt(found, _ranges(found["gram"], parts))
+            # Minimizers are smallest hashes, which crowd at the low end; scrambled once more they spread evenly.
+            to, blobs = _dealt(found, _ranges(mixed(found["gram"]), parts))
             return pa.RecordBatch.from_arrays([pa.array(to, pa.int32()), pa.array(blobs, pa.binary())], ["fragment", "runs"])
 
         for part in (p for batch in batches for p in slices(batch)):
