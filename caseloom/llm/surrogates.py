@@ -58,10 +58,10 @@ PATTERNS: tuple[tuple[str, tuple[str, ...], re.Pattern], ...] = (
     ("email", ("@",), re.compile(r"(?<![\w.+%-])[\w][\w.+%-]{0,63}@(?:[\w-]{1,63}\.){1,8}[^\W\d_]{2,24}(?![\w-])")),
     ("secret", _KEYWORDS, re.compile(
         r"(?i)\b(?:password|passwd|pwd|passphrase|token|secret|api[_-]?key|access[_-]?key|auth[_-]?key|private[_-]?key)\b"
-        r"[\"']?\s{0,3}(?:=>|:=|[:=])\s{0,3}[\"']?(?P<value>[^\s\"',;]{6,512})"
+        r"[\"']?\s{0,3}(?:=>|:=|[:=])\s{0,3}[\"']?(?P<value>[^\s\"',;]{6,})"
     )),
     ("cloud_key", _CLOUD, re.compile(r"\b(?:AKIA|ASIA|AGPA|AIDA)(?P<value>[A-Z0-9]{16})\b")),
-    ("service_key", _SERVICE, re.compile(r"\b(?:ghp_|gho_|ghs_|github_pat_|glpat-|xox[abp]-|sk-|sk_live_|AIza)(?P<value>[A-Za-z0-9_-]{16,255})")),
+    ("service_key", _SERVICE, re.compile(r"\b(?:ghp_|gho_|ghs_|github_pat_|glpat-|xox[abp]-|sk-|sk_live_|AIza)(?P<value>[A-Za-z0-9_-]{16,})")),
     ("iban", _DIGITS, re.compile(r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?\b")),
     ("ssn", _DIGITS, re.compile(r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])")),
     ("card", _DIGITS, re.compile(r"(?<![\d.-])[2-6]\d{3}(?:\d{9,12}|[ -]\d{4}[ -]\d{4}[ -]\d{1,7}|[ -]\d{6}[ -]\d{5})(?![\d-])")),

@@ -308,6 +308,18 @@ def test_surrogate_collisions_are_resolved(spark):
     assert len({r.made for r in surrogates.assigned(tight, b"k").collect()}) == 10
 
 
+def test_long_secrets_leave_nothing():
+    value = "".join(random.Random(5).choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", k=2000))
+    for text in (f"token={value} end", f"key sk_live_{value}. End"):
+        (mention,) = surrogates.mentions(text)
+        assert mention[3] == value
+        made = surrogates.replaced(surrogates.KEY, text, {})
+        assert len(made) == len(text) and not any(value[k : k + 8] in made for k in range(len(value) - 7))
+    # Secrets that agree in a long prefix are two.
+    one, other = (surrogates.replaced(surrogates.KEY, f"secret: {value}{end}", {}) for end in "xy")
+    assert one[:600] != other[:600]
+
+
 def test_poisson_mixing(spark, docs, nothing, texts):
     found = poisson_mixing.mix(docs).collect()
     assert {"copy", "place"} <= set(found[0].asDict()) and all(0 <= r.place < 1 for r in found)
