@@ -13,11 +13,14 @@ place make one run of at most 168 bytes.
    minimizer. Each shard's suffix array is made by induced sorting, and the
    permuted common prefixes tell which suffixes agree in 100 bytes. Of equal
    windows all but the earliest are repeats.
+   A minimizer with more classes than one suffix array should hold is not
+   compared as a whole: its windows are dealt out once more, each by a hash of
+   its own 100 bytes, as runs of one window. Equal windows meet as in step 1.
 3. Repeats are united by document to maximal runs of removed bytes.
 
-A copy of a large group costs one record per run, and is never compared. One
-task holds all records of some minimizers, as arrays; a minimizer's classes are
-its distinct contexts, of at most 168 bytes each.
+Of runs that one batch of texts holds several times only the earliest is dealt
+out by minimizer; the others are repeats already and go by document. One task
+holds the records, not the bytes, of all distinct contexts of some minimizers.
 
 Defined results: null and empty texts have no bytes and keep none removed.
 Documents are ordered by doc_id, a null before all others. Rows that repeat both
@@ -32,6 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard as zstd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -44,6 +48,10 @@ GRAM = 32
 #: Bytes of text whose runs one fragment holds on average, and bytes of runs in one suffix array.
 FRAGMENT_BYTES = 6 << 20
 SHARD_BYTES = 1 << 20
+#: Classes of one minimizer that one suffix array compares at most; a class has up to 168 bytes.
+MOST_CLASSES = SHARD_BYTES // (2 * LENGTH - GRAM)
+#: Windows of such minimizers that a task holds before it sends them on.
+WINDOWS_HELD = 1 << 19
 LEAST_PARTS = 48
 PIECE = 1 << 22
 BATCH_BYTES = 1 << 20
@@ -52,8 +60,8 @@ BATCH_BYTES = 1 << 20
 RUN = np.dtype([("gram", "<u8"), ("bytes", "<u8"), ("doc", "<i8"), ("sig", "<u4"), ("start", "<u4"), ("windows", "<u2")])
 #: Bytes of a document.
 SPAN = np.dtype([("doc", "<i8"), ("sig", "<u4"), ("start", "<u4"), ("stop", "<u4")])
-#: A span to fetch, with its minimizer.
-WANT = np.dtype([("gram", "<u8"), ("doc", "<i8"), ("sig", "<u4"), ("start", "<u4"), ("stop", "<u4")])
+#: A span to fetch, with its minimizer, and whether that has too many classes for one array.
+WANT = np.dtype([("gram", "<u8"), ("doc", "<i8"), ("sig", "<u4"), ("start", "<u4"), ("stop", "<u4"), ("many", "u1")])
 
 
 def pack(records: np.ndarray) -> bytes:
@@ -145,17 +153,22 @@ def _dealt(records: np.ndarray, to: np.ndarray) -> tuple[np.ndarray, list[bytes]
 
 
 def fragments(rows: DataFrame, parts: int) -> DataFrame:
-    """(fragment, runs): the runs of all texts, packed by task and hash of the minimizer."""
+    """(fragment, runs, spans): the runs of all texts, packed by task and hash of the minimizer; repeats in a batch as spans by document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         size = 0
 
         def flush() -> pa.RecordBatch:
-            found = np.concatenate(held)
+            found, spans = earliest(np.concatenate(held))
             # Minimizers are smallest hashes, which crowd at the low end; scrambled once more they spread evenly.
             to, blobs, _ = _dealt(found, _ranges(mixed(found["gram"]), parts))
-            return pa.RecordBatch.from_arrays([pa.array(to, pa.int32()), pa.array(blobs, pa.binary())], ["fragment", "runs"])
+            by_doc, repeated, _ = _dealt(spans, _of_doc(spans["doc"], parts))
+            return pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate([to, by_doc]), pa.int32()), pa.array([*blobs, *[None] * len(repeated)], pa.binary()),
+                 pa.array([*[None] * len(blobs), *repeated], pa.binary())],
+                ["fragment", "runs", "spans"],
+            )
 
         for part in (p for batch in batches for p in slices(batch)):
             for doc, sig, text in zip(*(part.column(c).to_pylist() for c in ("doc", "sig", "text")), strict=True):
@@ -173,7 +186,7 @@ def fragments(rows: DataFrame, parts: int) -> DataFrame:
         if held:
             yield flush()
 
-    return mapped(rows, run, "fragment int, runs binary")
+    return mapped(rows, run, "fragment int, runs binary, spans binary")
 
 
 OUT = "bucket int, kind int, n long, records binary"
@@ -199,29 +212,52 @@ def _later(records: np.ndarray, same: np.ndarray) -> np.ndarray:
     return (records["doc"] != lead["doc"]) | (records["sig"] != lead["sig"]) | (records["start"] != lead["start"])
 
 
-def classes(group: pa.Table, buckets: int) -> pa.Table:
+def in_classes(runs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Runs in order of minimizer, bytes and place, and whether each is the first of its class."""
+    found = runs[np.lexsort((runs["start"], runs["sig"], runs["doc"], runs["bytes"], runs["gram"]))]
+    new = np.ones(len(found), bool)
+    new[1:] = (found["gram"][1:] != found["gram"][:-1]) | (found["bytes"][1:] != found["bytes"][:-1])
+    return found, new
+
+
+def spans_of(runs: np.ndarray) -> np.ndarray:
+    spans = np.empty(len(runs), SPAN)
+    for name in ("doc", "sig", "start"):
+        spans[name] = runs[name]
+    spans["stop"] = runs["start"] + runs["windows"] + LENGTH - 1
+    return spans
+
+
+def earliest(runs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The earliest run of each class, and the others as spans."""
+    _, inverse, counts = np.unique(runs["bytes"], return_inverse=True, return_counts=True)
+    several = counts[inverse] > 1
+    if not several.any():
+        return runs, np.empty(0, SPAN)
+    found, new = in_classes(runs[several])
+    spans = spans_of(found[_later(found, (~new).astype(np.int8))])
+    return np.concatenate([runs[~several], found[new]]), joined_spans(spans[np.lexsort((spans["start"], spans["sig"], spans["doc"]))])
+
+
+def classes(group: pa.Table, buckets: int, most: int = MOST_CLASSES) -> pa.Table:
     """Of one fragment: spans of later occurrences (kind 0) and origins to compare (kind 1)."""
-    found = unpack_all(group.column("runs"), RUN)
+    known = unpack_all(group.column("spans").drop_null(), SPAN)
+    found = unpack_all(group.column("runs").drop_null(), RUN)
     _, inverse, counts = np.unique(found["gram"], return_inverse=True, return_counts=True)
-    found = found[counts[inverse] > 1]
-    found = found[np.lexsort((found["start"], found["sig"], found["doc"], found["bytes"], found["gram"]))]
+    found, new_class = in_classes(found[counts[inverse] > 1])
     if not len(found):
-        return _table()
+        return _table(_spread(known, 0, buckets))
     new_gram = np.concatenate([[True], found["gram"][1:] != found["gram"][:-1]])
-    new_class = new_gram | np.concatenate([[True], found["bytes"][1:] != found["bytes"][:-1]])
-    later = found[_later(found, (~new_class).astype(np.int8))]
-    spans = np.empty(len(later), SPAN)
-    for name in ("doc", "sig", "start"):
-        spans[name] = later[name]
-    spans["stop"] = later["start"] + later["windows"] + LENGTH - 1
+    spans = spans_of(found[_later(found, (~new_class).astype(np.int8))])
     gram_number = np.cumsum(new_gram) - 1
-    several = np.bincount(gram_number[new_class])[gram_number] > 1
-    origins = found[new_class & several]
+    count = np.bincount(gram_number[new_class])[gram_number]
+    chosen = new_class & (count > 1)
+    origins = spans_of(found[chosen])
     wanted = np.empty(len(origins), WANT)
-    for name in ("gram", "doc", "sig", "start"):
+    wanted["gram"], wanted["many"] = found["gram"][chosen], count[chosen] > most
+    for name in ("doc", "sig", "start", "stop"):
         wanted[name] = origins[name]
-    wanted["stop"] = origins["start"] + origins["windows"] + LENGTH - 1
-    return _table(_spread(spans, 0, buckets), _spread(wanted, 1, buckets))
+    return _table(_spread(np.concatenate([known, spans]), 0, buckets), _spread(wanted, 1, buckets))
 
 
 def by_document(records: pa.ChunkedArray, kind: np.dtype) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -275,18 +311,59 @@ def packed_texts(rows: DataFrame) -> DataFrame:
     return mapped(rows, run, "doc long, sig long, packed binary")
 
 
+def single_windows(wanted: np.void, content: bytes) -> np.ndarray:
+    """Each window of a span as a run of its own."""
+    data = np.frombuffer(content, np.uint8)
+    n = len(data) - LENGTH + 1
+    out = np.empty(n, RUN)
+    with np.errstate(over="ignore"):
+        total = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(BYTE_VALUES[data] * powers(BASE, len(data)), out=total[1:])
+        out["bytes"] = mixed((total[LENGTH:] - total[:-LENGTH]) * powers(INVERSE, n) + np.uint64(1))
+    for name in ("gram", "doc", "sig"):
+        out[name] = wanted[name]
+    out["start"], out["windows"] = wanted["start"] + np.arange(n), 1
+    return out
+
+
 def _fetch(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.RecordBatch]:
-    """(shard, wanted, contents): the bytes of wanted spans, by shard of the minimizer."""
+    """(shard, wanted, contents): the bytes of wanted spans, by shard of the minimizer.
+
+    Windows of minimizers with too many classes go without bytes to shards of
+    their own, behind the others, by the hash of the window.
+    """
     unpress = zstd.ZstdDecompressor()
+    held: list[np.ndarray] = []
+    size = 0
+
+    def flush() -> pa.RecordBatch:
+        found, spans = earliest(np.concatenate(held))
+        to, blobs, _ = _dealt(found, shards + _ranges(mixed(found["gram"] ^ mixed(found["bytes"])), shards))
+        # Repeats of a batch need no other and go to any shard.
+        by_doc, repeated, _ = _dealt(spans, shards + _of_doc(spans["doc"], shards))
+        n = len(blobs) + len(repeated)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.concatenate([to, by_doc]), pa.int32()), pa.array([*blobs, *repeated], pa.binary()),
+             pa.array([None] * n, pa.binary()), pa.array([False] * len(blobs) + [True] * len(repeated))],
+            ["shard", "wanted", "contents", "known"],
+        )
+
     for part in (p for batch in batches for p in slices(batch, 2048)):
         wanted, contents = [], []
         for packed, blob in zip(part.column("packed").to_pylist(), part.column("wanted").to_pylist(), strict=True):
             data, own = unpress.decompress(packed), unpack(blob, WANT)
+            for record in own[own["many"] == 1]:
+                held.append(single_windows(record, data[record["start"] : record["stop"]]))
+                size += len(held[-1])
+                if size >= WINDOWS_HELD:
+                    yield flush()
+                    held, size = [], 0
+            own = own[own["many"] == 0]
             wanted.append(own)
             contents += [data[a:b] for a, b in zip(own["start"].tolist(), own["stop"].tolist(), strict=True)]
-        if not wanted:
+        records = np.concatenate(wanted) if wanted else np.empty(0, WANT)
+        if not len(records):
             continue
-        records = np.concatenate(wanted)
         to = _ranges(mixed(records["gram"]), shards)
         order = np.argsort(to, kind="stable")
         new = np.flatnonzero(np.concatenate([[True], to[order][1:] != to[order][:-1]]))
@@ -294,9 +371,11 @@ def _fetch(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.Record
         press = zstd.ZstdCompressor(level=1)
         yield pa.RecordBatch.from_arrays(
             [pa.array(to[order][new], pa.int32()), pa.array([pack(records[g]) for g in groups], pa.binary()),
-             pa.array([press.compress(b"".join(contents[k] for k in g)) for g in groups], pa.binary())],
-            ["shard", "wanted", "contents"],
+             pa.array([press.compress(b"".join(contents[k] for k in g)) for g in groups], pa.binary()), pa.array([False] * len(groups))],
+            ["shard", "wanted", "contents", "known"],
         )
+    if held:
+        yield flush()
 
 
 def repeats(records: np.ndarray, contents: list[bytes], length: int = LENGTH) -> np.ndarray:
@@ -357,6 +436,10 @@ def joined_spans(spans: np.ndarray) -> np.ndarray:
 
 
 def _sorted_shard(group: pa.Table, buckets: int) -> pa.Table:
+    if group.column("contents").null_count:
+        known = group.column("known")
+        _, spans = earliest(unpack_all(group.filter(pc.invert(known)).column("wanted"), RUN))
+        return _table(_spread(np.concatenate([spans, unpack_all(group.filter(known).column("wanted"), SPAN)]), 0, buckets))
     unpress = zstd.ZstdDecompressor()
     records, contents = [], []
     for blob, pressed in zip(group.column("wanted").to_pylist(), group.column("contents").to_pylist(), strict=True):
@@ -375,18 +458,18 @@ def _sorted_shard(group: pa.Table, buckets: int) -> pa.Table:
     return _table(_spread(np.concatenate(spans), 0, buckets))
 
 
-def repeated_spans(docs: DataFrame) -> DataFrame:
+def repeated_spans(docs: DataFrame, most: int = MOST_CLASSES) -> DataFrame:
     """(doc, sig, n_removed, n_spans, spans): bytes to remove of each document that has any."""
     rows = keyed(docs)
     total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first().n
     parts = max(LEAST_PARTS, total // FRAGMENT_BYTES)
-    found = stored(fragments(rows, parts).groupBy("fragment").applyInArrow(lambda group: classes(group, parts), OUT))
+    found = stored(fragments(rows, parts).groupBy("fragment").applyInArrow(lambda group: classes(group, parts, most), OUT))
     wanted = found.where("kind = 1")
     many = wanted.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
     shards = max(LEAST_PARTS, many * 140 // SHARD_BYTES)
     asked = wanted.groupBy("bucket").applyInArrow(_wanted_rows, "doc long, sig long, wanted binary")
     once = packed_texts(rows).join(asked, ["doc", "sig"]).select("packed", "wanted")
-    contents = mapped(once, lambda batches: _fetch(batches, shards), "shard int, wanted binary, contents binary")
+    contents = mapped(once, lambda batches: _fetch(batches, shards), "shard int, wanted binary, contents binary, known boolean")
     compared = contents.groupBy("shard").applyInArrow(lambda group: _sorted_shard(group, parts), OUT)
     spans = found.where("kind = 0").unionByName(compared)
     return spans.groupBy("bucket").applyInArrow(_span_rows, "doc long, sig long, n_removed long, n_spans long, spans binary")
@@ -403,13 +486,13 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("sig"), pa.array(out, pa.string())], ["doc", "sig", "kept"])
 
 
-def deduplicated(docs: DataFrame) -> DataFrame:
+def deduplicated(docs: DataFrame, most: int = MOST_CLASSES) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) for each row.
 
     Texts move once more for documents of which a part is removed; what stays
     whole or goes whole is known without them.
     """
-    spans = stored(repeated_spans(docs))
+    spans = stored(repeated_spans(docs, most))
     ids = pick(docs, doc_id="doc_id", text="text").select(
         "doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("doc")
     )

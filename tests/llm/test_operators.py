@@ -114,6 +114,41 @@ def test_suffix_dedup_of_rows_that_share_an_id(spark):
     assert [n for i, n in removed if i == 5] in ([0, 0, len(text)], [0, len(text), len(text)])
 
 
+def test_suffix_dedup_of_minimizers_with_many_contexts(spark, docs, texts):
+    """Windows of minimizers with more than two contexts are dealt out one by one; results stay."""
+    rows = sorted(r for r in docs.select("doc_id", "text").distinct().collect() if r.doc_id is not None)
+    line = "This file is distributed under the terms of the licence named at the head of the page."
+    rows = [*rows, *((1000 + k, f"{words(k, 20 + k % 3)} {line} {words(k % 7, 20)}") for k in range(40))]
+    want = brute.suffix_dedup([tuple(r) for r in rows])
+    found = suffix_dedup.deduplicated(spark.createDataFrame(rows, "doc_id long, text string"), 2).collect()
+    assert {tuple(r) for r in found} == {(i, *want[(i, t)]) for i, t in rows}
+
+
+def test_one_minimizer_is_no_single_shard():
+    """A line with other neighbours in each document: its contexts do not make one suffix array."""
+    import pyarrow as pa
+
+    line = "This file is distributed under the terms of the licence named at the head of the page."
+    rows = [(k, 0, f"{words(k, 15)} {line} {words(-k - 1, 15)}") for k in range(7000)]
+    parts = []
+    for doc, sig, text in rows:
+        gram, own, start, windows = suffix_dedup.runs(np.frombuffer(text.encode(), np.uint8))
+        records = np.empty(len(gram), suffix_dedup.RUN)
+        for name, values in zip(suffix_dedup.RUN.names, (gram, own, doc, sig, start, windows), strict=True):
+            records[name] = values
+        parts.append(records)
+    group = pa.table({"runs": pa.array([suffix_dedup.pack(np.concatenate(parts))], pa.binary()), "spans": pa.array([None], pa.binary())})
+    out = suffix_dedup.classes(group, 1)
+    asked = suffix_dedup._wanted_rows(out.filter(pa.compute.equal(out.column("kind"), 1)))
+    packed = [suffix_dedup.zstd.compress(rows[k][2].encode()) for k in asked.column("doc").to_pylist()]
+    batch = pa.RecordBatch.from_arrays([pa.array(packed, pa.binary()), asked.column("wanted").combine_chunks()], ["packed", "wanted"])
+    sizes = Counter()
+    for part in suffix_dedup._fetch([batch], 48):
+        for shard, wanted, contents in zip(*(part.column(c).to_pylist() for c in ("shard", "wanted", "contents")), strict=True):
+            sizes[shard] += len(suffix_dedup.zstd.decompress(contents)) if contents else len(suffix_dedup.zstd.decompress(wanted))
+    assert max(sizes.values()) < 0.1 * sum(sizes.values())
+
+
 def test_long_texts_are_cut_into_pieces_without_loss(monkeypatch):
     data = np.frombuffer(words(5, 3000).encode(), np.uint8)
     whole = suffix_dedup.runs(data)
