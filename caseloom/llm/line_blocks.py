@@ -4,11 +4,13 @@ Markup is stripped so that each block of the page is one line. A line's length
 counts unless it lies in a part that is never article text (menus, notices,
 adverts, forms and so on), whose lines count 0. Lengths are summed over sliding
 windows of lines; a surge point is where the sum reaches a threshold, the dive
-point after it where the sum falls to 0. The text between is kept.
+point after it where the sum falls to 0. The text between is kept, and so are
+the counted lines between two kept ones, however short.
 
-If the page marks its article, only lines inside it count and any text is a
-surge. Otherwise a window of some length is asked for, at most half of the
-page's longest window, so that a page of short lines keeps its text.
+Lines inside an element that marks the article weigh several times their length,
+so a short one is a surge as well; lines outside count by their length. A page
+asks for a window of some length, at most half of its longest window without
+these weights, so that a page of short lines keeps its text.
 
 Defined results: null and empty pages give an empty text. Each row is read alone
 and whole; repeated rows repeat results. An unclosed tag ends with its parent; an
@@ -28,6 +30,8 @@ from caseloom.llm.common import mapped, pick
 
 WINDOW = 3
 SURGE = 86
+#: How many times its length a line inside an article weighs.
+ARTICLE_WEIGHT = 16
 
 # Element names of the HTML standard by their role, and words that
 # name parts of a page in class and id attributes.
@@ -135,21 +139,24 @@ def lines(page: str) -> tuple[list[tuple[str, bool, bool]], bool]:
 
 def extract(page: str | None, window: int = WINDOW, surge: int = SURGE) -> str:
     """The main text of one page."""
-    found, marked = lines(page or "")
-    weights = [len(text) if counts and (inside or not marked) else 0 for text, counts, inside in found]
+    found, _ = lines(page or "")
+    lengths = [len(text) if counts else 0 for text, counts, _ in found]
+    weights = [n * ARTICLE_WEIGHT if inside else n for n, (_, _, inside) in zip(lengths, found, strict=True)]
+    longest = max((sum(lengths[k : k + window]) for k in range(len(lengths))), default=0)
+    least = max(1, min(surge, (longest + 1) // 2))
     sums = [sum(weights[k : k + window]) for k in range(len(weights))]
-    least = 1 if marked else min(surge, (max(sums, default=0) + 1) // 2)
-    kept: list[str] = []
+    first = last = None
     k = 0
     while k < len(sums):
-        if sums[k] < max(1, least):
+        if sums[k] < least:
             k += 1
             continue
-        # A surge: keep counted lines up to the dive, where a whole window is empty.
+        # A surge: its text runs up to the dive, where a whole window is empty.
+        first = k if first is None else first
         while k < len(sums) and sums[k] > 0:
-            if weights[k]:
-                kept.append(found[k][0])
             k += 1
+        last = k
+    kept = [] if first is None else [found[k][0] for k in range(first, last) if lengths[k]]
     return " ".join(kept)
 
 

@@ -280,6 +280,13 @@ def test_line_blocks(spark):
     assert line_blocks.main_text(pages.limit(0)).collect() == []
 
 
+def test_windows_decide_beside_an_article():
+    story = "The story stands in a plain part of the page and is long enough to be told by its length alone, without a mark."
+    page = f"<body><article>Read more</article><div>{story}</div><nav>{story}</nav><nav>a</nav><nav>b</nav><p>Short.</p><nav>c</nav><nav>d</nav><nav>e</nav><div>{story}</div><nav>x</nav><nav>y</nav><nav>z</nav><p>Off.</p>"
+    assert line_blocks.extract(page) == f"Read more {story} Short. {story}"
+    assert line_blocks.extract(page.replace("<article>Read more</article>", "")) == f"{story} Short. {story}"
+
+
 def test_host_reputation(spark):
     pages = spark.createDataFrame([(*p[:2], "h", "v") for p in PAGES], "page_id long, url string, host string, verdict string")
     good = [("http://m.b.co.uk/a/1", 1)] * 9 + [("http://www.example.com/", 0)] * 9 + [(None, 1), ("http://x.example.net/", None)]
