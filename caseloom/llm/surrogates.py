@@ -45,8 +45,33 @@ _TITLES = {
     "u": "Dr Prof Professor Mx",
 }
 GENDER = {t: g for g, words in _TITLES.items() for t in words.split()}
-_UP = r"[A-ZÀ-ÖØ-ÞА-ЯΑ-Ω]"
-_LOW = r"[a-zß-öø-ÿа-яёͰ-Ͽ]"
+
+
+def _class_of(wanted: Callable[[str], bool]) -> str:
+    """The inside of a character class: letters and marks for which a test holds, as ranges."""
+    codes = [n for n in range(0x323B0) if wanted(unicodedata.category(chr(n)))]
+    first = [n for n, before in zip(codes, [-2, *codes], strict=False) if n != before + 1]
+    last = [n for n, after in zip(codes, [*codes[1:], -2], strict=True) if after != n + 1]
+    return "".join(re.escape(chr(x)) + ("-" + re.escape(chr(y)) if y > x else "") for x, y in zip(first, last, strict=True))
+
+
+#: Letters that may begin a name (capitals, and those of scripts without case), and letters and marks that may go on.
+_UP = f"[{_class_of(lambda c: c in ('Lu', 'Lt', 'Lo'))}]"
+_IN = _class_of(lambda c: c[0] in "LM")
+#: A name's part: inner capitals and apostrophes belong to it, a possessive s does not. Or an initial.
+_WORD = rf"{_UP}(?:[{_IN}]|['’](?!s(?![{_IN}]))(?=[{_IN}]))*"
+_PARTICLES = (
+    "van von vom der den de del della di da do dos das du la las le los lo el al bin ibn ben bint ter ten te ten zu zum zur und y e af av".split()
+)
+_PARTICLE = rf"(?:{'|'.join(sorted(set(_PARTICLES), key=len, reverse=True))})"
+_ELIDED = r"(?:(?:[dl]|dell|dall|all)['’])?"
+_GAP = r"[ \t\u00a0\u202f]{1,3}"
+_TITLE = rf"(?:{'|'.join(sorted(GENDER, key=len, reverse=True))})"
+_PART = rf"(?:{_UP}\.(?={_GAP}{_UP})|{_ELIDED}{_WORD}(?![^\W]|[{_IN}]))"
+_LEAD = rf"(?:{_PARTICLE}(?:{_GAP}|-))*"
+NAME_PART = re.compile(rf"{_ELIDED}{_WORD}|{_PARTICLE}(?![{_IN}])")
+LATER = re.compile(rf"(?<![\w'’])(?P<lead>(?:{_PARTICLE}(?:{_GAP}|-))*){_ELIDED}(?P<word>{_WORD})(?![^\W]|[{_IN}])")
+ONE_TITLE = re.compile(rf"\b{_TITLE}\b")
 
 _DIGITS = tuple("0123456789")
 _KEYWORDS = ("passw", "pwd", "passphrase", "token", "secret", "api_key", "api-key", "apikey", "access", "auth", "private")
@@ -65,14 +90,17 @@ PATTERNS: tuple[tuple[str, tuple[str, ...], re.Pattern], ...] = (
     ("iban", _DIGITS, re.compile(r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?\b")),
     ("ssn", _DIGITS, re.compile(r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])")),
     ("card", _DIGITS, re.compile(r"(?<![\d.-])[2-6]\d{3}(?:\d{9,12}|[ -]\d{4}[ -]\d{4}[ -]\d{1,7}|[ -]\d{6}[ -]\d{5})(?![\d-])")),
+    # Any run of groups and colons, which ipaddress then decides on.
+    ("ip6", (":",), re.compile(r"(?<![\w:.])(?:[0-9a-fA-F]{0,4}:){2,8}(?:\d{1,3}(?:\.\d{1,3}){3}|[0-9a-fA-F]{1,4})?(?!\w|:\w|::|\.\d)")),
     ("ip", _DIGITS, re.compile(r"(?<![\d.])(?:25[0-5]|2[0-4]\d|1?\d?\d)(?:\.(?:25[0-5]|2[0-4]\d|1?\d?\d)){3}(?![\d]|\.\d)")),
-    ("ip6", _DIGITS, re.compile(r"(?<![\w:])(?:[0-9a-fA-F]{1,4}:){7}[0-9a-fA-F]{1,4}(?![\w:])")),
     ("phone", _DIGITS, re.compile(
-        r"(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,5}\)|\d{1,5})(?:[ .-]?\d{2,5}){1,4}(?!\d)|(?<![\w(])\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)"
-        r"|(?<![\w.-])\d{3}([.-])\d{3}\1\d{4}(?![\w-])"
+        r"(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,5}\)|\d{1,5})(?:[ .-]?\d{2,5}){1,4}(?!\d)"
+        # Trunk prefixes 1 and 8 stay, as country codes do.
+        r"|(?<![\w.(+-])(?:[18][ .-]?)?(?P<value>(?:\(\d{3}\)[ .-]?|\d{3}[ .-])\d{3}[ .-](?:\d{4}|\d{2}[ .-]\d{2}))(?![\w-])"
+        r"|(?<![\w.(+-])(?!\d\d[./-]\d\d[./-]\d{4}\b)(?:\(0[1-9]\d{0,4}\) ?|0[1-9]\d{0,4}[ ./-])\d{2,8}(?:[ ./-]\d{2,8}){0,4}(?![\w-])"
     )),
     ("name", _TITLED, re.compile(
-        rf"\b(?P<title>{'|'.join(sorted(GENDER, key=len, reverse=True))})\.?[ \t](?P<value>{_UP}{_LOW}+(?:[ \t-]{_UP}{_LOW}+){{0,2}})"
+        rf"\b(?P<title>{_TITLE}(?:\.?{_GAP}{_TITLE}\b)*)\.?{_GAP}(?P<value>{_LEAD}{_PART}(?:(?:{_GAP}|-){_LEAD}{_PART})*)"
     )),
 )
 
@@ -117,9 +145,9 @@ _TWO = "20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56
 
 
 def country_code(number: str) -> int:
-    """How many characters of a canonical number are its plus sign and country code."""
+    """How many characters of a canonical number are its plus sign and country code, or its trunk 0."""
     if not number.startswith("+"):
-        return 0
+        return int(number.startswith("0"))
     return 2 if number[1:2] in _ONE else 3 if number[1:3] in _TWO else 4
 
 
@@ -134,7 +162,11 @@ def canonical(kind: str, value: str) -> str:
         return value[:1].strip("(0123456789") + re.sub(r"\D", "", value)
     if kind == "iban":
         return value.replace(" ", "")
-    if kind in ("email", "ip6") or kind.startswith("name"):
+    if kind == "ip6":
+        return ipaddress.IPv6Address(value).packed.hex(":", 2)
+    if kind.startswith("name"):
+        return unicodedata.normalize("NFC", value).replace("’", "'").lower()
+    if kind == "email":
         return value.lower()
     return value
 
@@ -176,7 +208,7 @@ def surrogate(key: bytes, kind: str, entity: str, attempt: int = 0) -> str:
         octets = [span[len(o)] if not more else (0, 255) for o in entity.split(".")]
         return ".".join(str(low + stream.below(high - low + 1)) for low, high in octets)
     if kind == "ip6":
-        return str(ipaddress.IPv6Address(b"".join(stream.below(1 << 16).to_bytes(2, "big") for _ in range(8))).exploded)
+        return b"".join(stream.below(1 << 16).to_bytes(2, "big") for _ in range(8)).hex(":", 2)
     if kind == "iban":
         return entity[:2] + letterwise(stream, entity[2:]) + "".join(stream.pick(DIGITS) for _ in range(more))
     if kind == "email":
@@ -186,7 +218,7 @@ def surrogate(key: bytes, kind: str, entity: str, attempt: int = 0) -> str:
     if kind.startswith("name"):
         gender, script = kind.partition("_")[2] or "u", script_of(entity)
         vowels, others = SCRIPTS[script]
-        size = max(3, len(entity)) + more
+        size = max(3, sum(c.isalpha() for c in entity)) + more
         body = "".join(stream.pick(others if k % 2 == 0 else vowels) for k in range(size))
         return body[: size - 1] + ENDINGS[(gender, script)] if (gender, script) in ENDINGS else body
     return letterwise(stream, entity) + "".join(stream.pick(DIGITS) for _ in range(more))
@@ -201,10 +233,35 @@ def rendered(kind: str, mention: str, made: str) -> str:
     if kind == "email":
         return made.upper() if mention.isupper() else made
     if kind.startswith("name"):
-        return made[0].upper() + made[1:]
+        # Apostrophes stay; marks that stand alone go with their letter.
+        own, out = iter(made), []
+        for c in unicodedata.normalize("NFC", mention):
+            if c in "'’":
+                out.append(c)
+            elif c.isalpha():
+                new = next(own, "")
+                out.append(new.upper() if c.isupper() or (c == mention[0] and not out and not c.islower()) else new)
+        return "".join(out) + "".join(own)
     return made
 
 
+def is_ip6(value: str) -> bool:
+    try:
+        ipaddress.IPv6Address(value)
+    except ValueError:
+        return False
+    return True
+
+
+def settled_names(found: list[tuple[int, int, str, str]]) -> dict[str, str]:
+    """The kind of each name: the gender that most mentions give it, if one does."""
+    votes: dict[str, int] = {}
+    for _, _, kind, entity in found:
+        if kind.startswith("name_"):
+            votes[entity] = votes.get(entity, 0) + {"name_f": 1, "name_m": -1}.get(kind, 0)
+    return {entity: "name_f" if n > 0 else "name_m" if n < 0 else "name_u" for entity, n in votes.items()}
+
+
 def mentions(text: str) -> list[tuple[int, int, str, str]]:
     """(start, end, type, canonical entity) of each entity, in text order, without overlaps."""
     found: list[tuple[int, int, str, str]] = []
@@ -215,12 +272,18 @@ def mentions(text: str) -> list[tuple[int, int, str, str]]:
         if not (digits if needs is _DIGITS else any(x in (lowered if needs is _KEYWORDS else text) for x in needs)):
             continue
         for m in pattern.finditer(text):
-            group = "value" if "value" in pattern.groupindex else 0
+            group = "value" if m.groupdict().get("value") is not None else 0
             start, end = m.span(group)
             value = m[group]
+            if kind == "ip6":
+                value = value[:-1] if re.search(r"[^:]:\Z", value) else value
+                end = start + len(value)
+                # Two groups of letters alone are rather a scope (add::face) than an address.
+                if not is_ip6(value) or not (any(c.isdigit() for c in value) or len(re.findall(r"\w+", value)) > 2):
+                    continue
             if kind == "card" and not 13 <= len(re.sub(r"\D", "", value)) <= 19:
                 continue
-            if kind == "phone" and not 8 <= len(re.sub(r"\D", "", value)) <= 15:
+            if kind == "phone" and not (9 if value.lstrip("(")[0] == "0" else 8) <= len(re.sub(r"\D", "", value)) <= 15:
                 continue
             if any(a < end and start < b for a, b in taken):
                 continue
@@ -229,18 +292,28 @@ def mentions(text: str) -> list[tuple[int, int, str, str]]:
                 found.append((start, end, kind, canonical(kind, value)))
                 continue
             # Name parts are entities of their own, so that a surname alone refers to the same person.
-            parts = [(start + p.start(), start + p.end(), p[0]) for p in re.finditer(r"[^\s-]+", value)]
-            gender = GENDER[m["title"]]
+            parts = [(start + p.start(), start + p.end(), p[0]) for p in NAME_PART.finditer(value)]
+            gender = next((g for t in ONE_TITLE.findall(m["title"]) if (g := GENDER[t]) != "u"), "u")
             for k, (a, b, part) in enumerate(parts):
-                own = "name_u" if k == len(parts) - 1 else f"name_{gender}"
+                own = "name_u" if k == len(parts) - 1 or part in _PARTICLES else f"name_{gender}"
                 found.append((a, b, own, canonical("name", part)))
-    names = {entity: kind for _, _, kind, entity in found if kind.startswith("name_")}
+    names = settled_names(found)
     if names:
         # Later mentions without a title.
-        for m in re.finditer(rf"\b{_UP}{_LOW}+\b", text):
-            kind = names.get(m[0].lower())
-            if kind and not any(a < m.end() and m.start() < b for a, b in taken):
-                found.append((*m.span(), kind, m[0].lower()))
+        for m in LATER.finditer(text):
+            start = m.end("lead")
+            if canonical("name", text[start : m.end()]) not in names:
+                start = m.start("word")
+            if canonical("name", text[start : m.end()]) not in names:
+                continue
+            spans = [(start, m.end()), *((m.start() + p.start(), m.start() + p.end()) for p in NAME_PART.finditer(m["lead"]))]
+            for a, b in spans:
+                entity = canonical("name", text[a:b])
+                # An initial alone tells no one.
+                if entity in names and len(entity) > 1 and not any(x < b and a < y for x, y in taken):
+                    found.append((a, b, names[entity], entity))
+        # One gender per name of a text; over the corpus it is settled in settled().
+        found = [(a, b, names[entity] if kind.startswith("name_") else kind, entity) for a, b, kind, entity in found]
     return sorted(found)
 
 

@@ -350,6 +350,27 @@ def test_surrogate_collisions_are_resolved(spark):
     assert len({r.made for r in surrogates.assigned(tight, b"k").collect()}) == 10
 
 
+@pytest.mark.parametrize(("text", "entities"), [
+    ("Mr McDonald ate", ["McDonald"]), ("Herr Kovač ging", ["Kovač"]), ("Herr Kovac\u030c ging", ["Kovac\u030c"]), ("Mr Łukasz", ["Łukasz"]),
+    ("Señor Juan Carlos Pérez García dijo", ["Juan", "Carlos", "Pérez", "García"]), ("Ms O'Neil's car, O’Neil", ["O'Neil", "O’Neil"]),
+    ("Dr. van Dyke, later van Dyke and Dyke", ["van", "Dyke", "van", "Dyke", "Dyke"]), ("Prof. Dr. Jean-Luc d'Artagnan", ["Jean", "Luc", "d'Artagnan"]),
+    ("Mr I. Newton. I left", ["I", "Newton"]), ("at 2001:db8::1: x, ::1, ::ffff:192.0.2.1", ["2001:db8::1", "::1", "::ffff:192.0.2.1"]),
+    ("1-800-555-1234 or 555 123 4567", ["800-555-1234", "555 123 4567"]), ("0171 1234567, 06 12 34 56 78", ["0171 1234567", "06 12 34 56 78"]),
+    ("8 (800) 555-35-35", ["(800) 555-35-35"]), ("a::b at 12:30:45 on 01-02-2020 12:30", []), ("Mr Smith the old", ["Smith"]),
+])
+def test_entities_are_found_whole(text, entities):
+    assert [text[a:b] for a, b, _, _ in surrogates.mentions(text)] == entities
+    made = surrogates.replaced(surrogates.KEY, text, {})
+    assert not any(part in made for e in entities for part in [e, *e.split()] if len(part) > 3)
+
+
+def test_spellings_are_one_entity():
+    def only(text):
+        return {m[2:] for m in surrogates.mentions(text)}
+
+    assert len(only("2001:db8::1 and 2001:0DB8:0:0:0:0:0:1")) == len(only("Mr Kovač, Kovac\u030c")) == len(only("1-800-555-1234, (800) 555-1234")) == 1
+
+
 def test_long_secrets_leave_nothing():
     value = "".join(random.Random(5).choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", k=2000))
     for text in (f"token={value} end", f"key sk_live_{value}. End"):
