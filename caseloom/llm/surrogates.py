@@ -6,11 +6,11 @@ documents and spellings, whichever task meets it. Digits stay digits, letters
 stay letters of their case and script, separators and lengths stay; card numbers
 keep a right check digit, addresses stay addresses, names keep script and gender.
 
-Collision check: the corpus's distinct entities are listed, and where two of one
-type share a surrogate, or a surrogate is itself an entity of the corpus, all but
-one are drawn anew with the next attempt number until none is left. Only these
-few exceptions are joined back to documents; all other surrogates are made in
-place.
+Collision check: the corpus's distinct entities are listed, a name once, with the
+gender most texts give it. Where two of one type share a surrogate, or a surrogate
+is itself an entity of the corpus, all but one are drawn anew with the next attempt
+number until none is left; names of all genders are one type here. Only these few
+exceptions are brought back to documents; all other surrogates are made in place.
 
 Defined results: null and empty texts stay as they are; texts without entities
 are not touched. Repeated rows get equal results. A type whose shape has fewer
@@ -36,7 +36,7 @@ from caseloom.llm.common import mapped, pick, slices, stored
 KEY = b"surrogate-key-1"
 #: Attempts of one shape before a surrogate grows by one character each time.
 SAME_SHAPE = 48
-#: Exceptions of at most so many documents are sent to all executors.
+#: At most so many exceptions are sent to all executors.
 BROADCAST_ROWS = 50_000
 
 _TITLES = {
@@ -317,10 +317,12 @@ def mentions(text: str) -> list[tuple[int, int, str, str]]:
     return sorted(found)
 
 
-def replaced(key: bytes, text: str, exceptions: Mapping[tuple[str, str], int]) -> str:
+def replaced(key: bytes, text: str, exceptions: Mapping[tuple[str, str], tuple[str, int]]) -> str:
+    """The text with surrogates. Exceptions: other type (a name's settled gender) and attempt of entities as found here."""
     out, at = [], 0
     for start, end, kind, entity in mentions(text):
-        made = surrogate(key, kind, entity, exceptions.get((kind, entity), 0))
+        settled, attempt = exceptions.get((kind, entity), (kind, 0))
+        made = surrogate(key, settled, entity, attempt)
         out += [text[at:start], rendered(kind, text[start:end], made)]
         at = end
     return "".join([*out, text[at:]]) if out else text
@@ -351,6 +353,20 @@ def _draw(key: bytes) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Record
     return run
 
 
+def space(kind: str = "kind") -> F.Column:
+    """What surrogates must be distinct in: names of all genders are one namespace."""
+    return F.when(F.col(kind).startswith("name"), "name").otherwise(F.col(kind)).alias("space")
+
+
+def settled(seen: DataFrame) -> DataFrame:
+    """(kind, entity) of the corpus, each name once: of the gender that most texts give it, if one does."""
+    name = F.col("kind").startswith("name")
+    vote = F.when(F.col("kind") == "name_f", 1).when(F.col("kind") == "name_m", -1).otherwise(0)
+    votes = seen.where(name).groupBy("entity").agg(F.sum(vote).alias("n"))
+    names = votes.select(F.when(F.col("n") > 0, "name_f").when(F.col("n") < 0, "name_m").otherwise("name_u").alias("kind"), "entity")
+    return names.unionByName(seen.where(~name).select("kind", "entity").distinct())
+
+
 def assigned(entities: DataFrame, key: bytes = KEY, draw: Callable | None = None) -> DataFrame:
     """(kind, entity, attempt, made): surrogates of distinct entities without collisions.
 
@@ -364,11 +380,12 @@ def assigned(entities: DataFrame, key: bytes = KEY, draw: Callable | None = None
     done: DataFrame | None = None
     while True:
         drawn = stored(mapped(pending, draw, "kind string, entity string, attempt int, made string"))
-        first = drawn.groupBy("kind", "made").agg(F.min("entity").alias("entity"))
-        taken = real.select("kind", F.col("entity").alias("made"))
-        free = first.join(taken, ["kind", "made"], "left_anti")
+        first = drawn.groupBy(space(), "made").agg(F.min(F.struct("entity", "kind")).alias("own")).select("space", "made", "own.entity", "own.kind")
+        taken = real.select(space(), F.col("entity").alias("made"))
+        free = first.join(taken, ["space", "made"], "left_anti")
         if done is not None:
-            free = free.join(done.select("kind", "made"), ["kind", "made"], "left_anti")
+            free = free.join(done.select(space(), "made"), ["space", "made"], "left_anti")
+        free = free.select("kind", "made", "entity")
         kept = drawn.join(free, ["kind", "made", "entity"], "left_semi").select("kind", "entity", "attempt", "made")
         done = stored(kept if done is None else done.unionByName(kept))
         pending = stored(
@@ -385,32 +402,39 @@ def signature(text: str = "text") -> F.Column:
 def pseudonymize(docs: DataFrame, key: bytes = KEY, text: str = "text", draw: Callable | None = None) -> DataFrame:
     """The same rows and columns, entities in ``text`` replaced.
 
-    Documents are read twice and never shuffled unless the exceptions exceed a
-    stated size; then rows are joined with them by a hash of the text.
+    Documents are read twice and never shuffled unless the exceptions (entities
+    drawn anew, names whose gender here is not the corpus's) exceed a stated
+    number; then rows are joined with them by a hash of the text.
     """
     columns = docs.columns
     held = docs.select(signature(text).alias("sig"), F.col(f"`{text}`").alias("text")).where("text is not null")
     seen = stored(mapped(held, _detect, "sig long, kind string, entity string").distinct())
-    table = assigned(seen, key, draw)
-    odd = table.where("attempt > 0")
-    by_text = (
-        seen.join(odd, ["kind", "entity"]).groupBy("sig")
-        .agg(F.sort_array(F.collect_set(F.struct("kind", "entity", "attempt"))).alias("odd"))
-        .withColumnRenamed("sig", "pii_sig")
-    )
-    by_text = stored(by_text)
-    few = by_text.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    table = assigned(settled(seen), key, draw).select(space(), "entity", "attempt", F.col("kind").alias("settled"))
+    found = seen.select("kind", "entity").distinct().withColumn("space", space())
+    odd = found.join(table, ["space", "entity"]).where("attempt > 0 or settled <> kind").select("kind", "entity", "settled", "attempt")
+    odd = stored(odd)
     names = [f"c{k}" for k in range(len(columns))]
     rows = docs.toDF(*names)
     own = names[columns.index(text)]
-    joined = rows.join(F.broadcast(by_text) if few else by_text, signature(own) == F.col("pii_sig"), "left").select(*names, "odd")
+    few = odd.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    known = {(r["kind"], r["entity"]): (r["settled"], r["attempt"]) for r in odd.collect()} if few else {}
+    if few:
+        joined = rows
+    else:
+        by_text = (
+            seen.join(odd, ["kind", "entity"]).groupBy("sig")
+            .agg(F.sort_array(F.collect_set(F.struct("kind", "entity", "settled", "attempt"))).alias("odd"))
+            .withColumnRenamed("sig", "pii_sig")
+        )
+        joined = rows.join(stored(by_text), signature(own) == F.col("pii_sig"), "left").select(*names, "odd")
     schema = rows.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in slices(whole)):
             made = []
-            for value, rest in zip(batch.column(own).to_pylist(), batch.column("odd").to_pylist(), strict=True):
-                exceptions = {(r["kind"], r["entity"]): r["attempt"] for r in rest or ()}
+            others = [None] * batch.num_rows if few else batch.column("odd").to_pylist()
+            for value, rest in zip(batch.column(own).to_pylist(), others, strict=True):
+                exceptions = known if few else {(r["kind"], r["entity"]): (r["settled"], r["attempt"]) for r in rest or ()}
                 made.append(None if value is None else replaced(key, value, exceptions))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(made, pa.string()) if name == own else batch.column(name) for name in names], names

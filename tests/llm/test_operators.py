@@ -371,6 +371,22 @@ def test_spellings_are_one_entity():
     assert len(only("2001:db8::1 and 2001:0DB8:0:0:0:0:0:1")) == len(only("Mr Kovač, Kovac\u030c")) == len(only("1-800-555-1234, (800) 555-1234")) == 1
 
 
+def test_names_of_all_kinds_are_one_namespace(spark, monkeypatch):
+    letters = "bcdfghjklmnpqrstvwxz"
+    names = [f"{a}{b}{c}q" for a in letters for b in letters[:10] for c in "aeiou"]
+    entities = spark.createDataFrame([(f"name_{'fmu'[k % 3]}", name) for k, name in enumerate(names)], "kind string, entity string")
+    table = surrogates.assigned(entities, b"k").collect()
+    assert len(table) == len(names) == len({r.made for r in table}) and not {r.made for r in table} & set(names)
+    # One surrogate of a name under all its titles, with few exceptions and with many.
+    texts = ["Dr Anna Keller", "Ms Anna Keller", "Ms Anna Hill", "Mr Anna Keller", "nothing"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for most in (surrogates.BROADCAST_ROWS, 0):
+        monkeypatch.setattr(surrogates, "BROADCAST_ROWS", most)
+        found = {r.doc_id: r.text.split() for r in surrogates.pseudonymize(docs).collect()}
+        assert len({found[k][1] for k in range(4)}) == 1 and found[0][1].endswith("a") and found[0][1] != "Anna"
+        assert len({found[k][2] for k in (0, 1, 3)}) == 1 and found[2][2] != found[0][2] and found[4] == ["nothing"]
+
+
 def test_long_secrets_leave_nothing():
     value = "".join(random.Random(5).choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", k=2000))
     for text in (f"token={value} end", f"key sk_live_{value}. End"):
