@@ -1,4 +1,4 @@
-"""The queries of the ten operators and of the pipeline, and their SQL."""
+"""The queries of the operators, and their SQL."""
 
 from __future__ import annotations
 
@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from caseloom.llm import (
-    compression_quality, line_blocks, poisson_mixing, suffix_dedup, surrogates, toxicity, training_suffixes, transport_stream, url_reputation,
-    vertical_join,
+    compression_quality, fill_middle, lanczos_whitening, line_blocks, poisson_mixing, simhash_tiles, suffix_dedup, surrogates, toxicity,
+    training_suffixes, transport_stream, url_reputation, vertical_join,
 )
 from caseloom.llm.common import table
 
@@ -75,3 +75,18 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_suffix_dedup")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.deduplicated(table(spark, sf_dir, "documents"))
+
+
+@query("op11_lanczos_whitening")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lanczos_whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
+@query("op12_fill_middle", fill_middle.ORACLE)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.digests(table(spark, sf_dir, "documents"))
+
+
+@query("op13_simhash_tiles")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_tiles.near_duplicates(table(spark, sf_dir, "documents"))

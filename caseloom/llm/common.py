@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -102,6 +103,21 @@ def slices(batch, rows: int = 256) -> Iterator:
         yield batch.slice(start, rows)
 
 
+#: Bytes of texts that are worked on at once; a longer text is a slice alone.
+SLICE_BYTES = 4 << 20
+
+
+def sized_slices(batch, column: str = "text", most: int = SLICE_BYTES) -> Iterator:
+    """A record batch in slices of at most so many bytes of one column."""
+    total = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), np.int64))
+    start = 0
+    while start < batch.num_rows:
+        spent = total[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(total, spent + most, "right")))
+        yield batch.slice(start, stop - start)
+        start = stop
+
+
 def encode(text: str) -> bytes:
     return text.encode("utf-8", "surrogatepass")
 
