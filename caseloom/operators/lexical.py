@@ -8,10 +8,11 @@ order of the results matters to what follows.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from caseloom.functions.patterns import as_col, let
+from caseloom.operators.filters import PAYLOAD, active_filters, passes, sent
 from caseloom.operators.matching import top_per
 from caseloom.session import cut_lineage
 
@@ -48,130 +49,167 @@ def terms(text: Column | str) -> Column:
     return F.array_remove(F.array_distinct(positions(text)), "")
 
 
-#: Candidates that are sent to the scan of the index at most.
+#: Rows of terms and of candidates that are sent to the scan of the index at most.
+SENT_TERMS = 100_000
 SENT_CANDIDATES = 500_000
+#: Parts of a source's postings by term. A search reads those of its terms.
+BUCKETS = 16
+
+INDEX_COLUMNS = ("source_id", "bucket", "project_id", "term", "chunk_id", "places", *PAYLOAD)
+INDEX_SCHEMA = (
+    "project_id string, term string, chunk_id string, places array<int>, "
+    + ", ".join(f"{c} string" for c in PAYLOAD) + ", source_id string, bucket int"
+)
+
+
+def bucket_of(term: Column | str) -> Column:
+    return F.pmod(F.xxhash64(as_col(term)), F.lit(BUCKETS)).cast("int")
+
+
+def term_places(stems: Column | str) -> Column:
+    """Array of (term, places): the places of each distinct stem, by one sort and one walk."""
+    numbered = F.array_sort(F.transform(as_col(stems), lambda s, i: F.struct(s.alias("term"), (i + 1).alias("at"))))
+
+    def groups(line: Column) -> Column:
+        first = F.filter(
+            F.transform(line, lambda x, i: F.when((i == 0) | (F.get(line, i - 1)["term"] != x["term"]), i)), lambda i: i.isNotNull()
+        )
+        return let(first, lambda at: F.transform(at, lambda a, k: F.struct(
+            F.get(line, a)["term"].alias("term"),
+            F.transform(F.slice(line, a + 1, F.coalesce(F.get(at, k + 1), F.size(line)) - a), lambda x: x["at"]).alias("places"),
+        )))
+
+    return let(numbered, groups)
 
 
 def lexical_index(chunks: DataFrame) -> DataFrame:
-    """Index rows: the stems of each chunk in order. Rebuilt per source on reindex."""
-    return chunks.select("project_id", "chunk_id", positions("text").alias("positions"))
+    """Postings: a row for each stem of each chunk, with its places and what filters test.
+
+    Places of stop words stand under the empty term, which no search asks for,
+    so that the index still tells the length of a text. A chunk without source
+    belongs to the source of the empty name.
+    """
+    have = {"source_id": F.coalesce(F.col("source_id"), F.lit(""))} if "source_id" in chunks.columns else {"source_id": F.lit("")}
+    payload = [(F.col(c) if c in chunks.columns else F.lit(None).cast("string")).alias(c) for c in PAYLOAD]
+    rows = chunks.select(have["source_id"].alias("source_id"), "project_id", "chunk_id", *payload, F.explode(term_places(positions("text"))).alias("t"))
+    rows = rows.select("source_id", "project_id", "chunk_id", *PAYLOAD, F.col("t.term").alias("term"), F.col("t.places").alias("places"))
+    return rows.withColumn("bucket", bucket_of("term")).select(*INDEX_COLUMNS)
+
+
+def _written(index: DataFrame, path: str, mode: str) -> None:
+    """Partitions of source and bucket. A bucket of hot terms is split over tasks, and so over files, by its size."""
+    spread = index.hint("rebalance", "source_id", "bucket").sortWithinPartitions("source_id", "bucket", "project_id", "term", "chunk_id")
+    spread.write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy("source_id", "bucket").parquet(path)
+
+
+def write_index(index: DataFrame, path: str) -> None:
+    """Write a whole index to a new folder."""
+    _written(index, path, "errorifexists")
+
 
+def read_index(spark: SparkSession, path: str) -> DataFrame:
+    """The postings of a stored index. Rows that only mark a partition as written are left out."""
+    return spark.read.schema(INDEX_SCHEMA).parquet(path).where("chunk_id is not null").select(*INDEX_COLUMNS)
 
-def replace_source(index: DataFrame, chunks: DataFrame, source: Column) -> DataFrame:
-    """The index after the chunks of some sources were cut anew.
 
-    ``source`` selects rows of ``chunks``, which holds the chunks as they are
-    now. Only these are tokenised again; rows of chunks that are gone fall away,
-    and all other rows stay as they were stored.
+def replace_source(path: str, source_id: str, chunks: DataFrame) -> None:
+    """Write one source of a stored index anew from its chunks as they are now.
+
+    Only the partitions of that source are replaced; no other file is read or
+    written. Every bucket gets a row without chunk, so that buckets whose terms
+    are all gone are replaced as well.
     """
-    others = chunks.where(~F.coalesce(source, F.lit(False))).select("project_id", "chunk_id")
-    kept = index.join(others, ["project_id", "chunk_id"], "left_semi")
-    return kept.unionByName(lexical_index(chunks.where(source)))
+    spark = chunks.sparkSession
+    own = lexical_index(chunks.withColumn("source_id", F.lit(source_id)))
+    none = [F.lit(None).cast(own.schema[c].dataType).alias(c) for c in INDEX_COLUMNS[2:]]
+    marks = spark.range(BUCKETS).select(F.lit(source_id).alias("source_id"), F.col("id").cast("int").alias("bucket"), *none)
+    _written(own.unionByName(marks), path, "overwrite")
+
 
+def density(hits: Column, terms: Column) -> Column:
+    """Sum of one over the length of every minimal span that holds all of ``terms`` terms.
 
-def postings(index: DataFrame) -> DataFrame:
-    return index.select(
-        "project_id", "chunk_id",
-        F.explode(F.array_remove(F.array_distinct("positions"), "")).alias("term"),
+    ``hits`` are places (at, term from 1) in text order. The last place of every
+    term is carried, and a span is minimal where its start moves forward.
+    """
+    seed = F.struct(
+        F.lit(0).alias("start"), F.lit(0.0).alias("score"),
+        F.transform(F.sequence(F.lit(1), terms), lambda t: F.lit(0)).alias("last"),
     )
 
+    def step(acc: Column, hit: Column) -> Column:
+        last = F.transform(acc["last"], lambda p, i: F.when(i + 1 == hit["term"], hit["at"]).otherwise(p))
+        start = F.array_min(last)
+        new = start > acc["start"]
+        return F.struct(
+            F.when(new, start).otherwise(acc["start"]).alias("start"),
+            F.when(new, acc["score"] + F.lit(1.0) / (hit["at"] - start + 1)).otherwise(acc["score"]).alias("score"),
+            last.alias("last"),
+        )
+
+    return F.aggregate(hits, seed, step, lambda acc: acc["score"])
 
-def cover_density(stems: Column | str, query: Column | str) -> Column:
-    """Sum of one over the length of every minimal span that holds all terms.
 
-    Only the places of query terms are walked: the last place of every term is
-    carried, and a span is minimal where its start moves forward.
-    """
+def cover_density(stems: Column | str, query: Column | str) -> Column:
+    """Cover density of query terms in the stems of a text."""
 
     def score(wanted: Column) -> Column:
-        seed = F.struct(
-            F.lit(0).alias("start"), F.lit(0.0).alias("score"),
-            F.transform(wanted, lambda t: F.lit(0)).alias("last"),
-        )
         places = F.filter(
             F.transform(
                 as_col(stems), lambda s, i: F.struct((i + 1).alias("at"), F.array_position(wanted, s).cast("int").alias("term"))
             ),
             lambda hit: hit["term"] > 0,
         )
-
-        def step(acc: Column, hit: Column) -> Column:
-            last = F.transform(acc["last"], lambda p, i: F.when(i + 1 == hit["term"], hit["at"]).otherwise(p))
-            start = F.array_min(last)
-            new = start > acc["start"]
-            return F.struct(
-                F.when(new, start).otherwise(acc["start"]).alias("start"),
-                F.when(new, acc["score"] + F.lit(1.0) / (hit["at"] - start + 1))
-                .otherwise(acc["score"])
-                .alias("score"),
-                last.alias("last"),
-            )
-
-        return F.aggregate(places, seed, step, lambda acc: acc["score"])
+        return density(places, F.size(wanted))
 
     return let(as_col(query), score)
 
 
 def lexical_search(questions: DataFrame, chunks: DataFrame, index: DataFrame | None = None) -> DataFrame:
-    """Chunks that hold every term of a question, with their cover density.
-
-    Questions with the same terms in the same project are one search. A search
-    probes the postings of its rarest term only; the other terms are tested
-    inside the candidate rows. A frequent term therefore never drives a join
-    unless a search has nothing rarer. A stored index is read where one is
-    given; tokenising the chunks is for corpora without one.
+    """Chunks that hold every term of a question and pass its filters, with their cover density.
+
+    Questions with the same terms in the same project are one search. Only the
+    buckets of asked terms are read, and of these only the asked terms. The
+    rarest term of a search gives its candidates; the places of its other terms
+    are then read for these only. A frequent term therefore never drives a join
+    unless a search has nothing rarer. Postings are made of the chunks where no
+    stored index is given.
     """
     index = lexical_index(chunks) if index is None else index
-    asked = questions.select("question_id", "project_id", "fetch_k", F.array_sort(terms("question")).alias("wanted"))
+    active = active_filters(questions)
+    asked = questions.select("question_id", "project_id", "fetch_k", F.array_sort(terms("question")).alias("wanted"), *active)
     asked = asked.where(F.size("wanted") > 0)
-    searches = asked.select("project_id", "wanted").distinct()
-    long = searches.select("project_id", "wanted", F.explode("wanted").alias("term"))
-    needed = long.select("project_id", "term").distinct()
-    posted = postings(index).join(needed, ["project_id", "term"], "left_semi")
+    # Numbers of searches are fixed by writing them.
+    searches = cut_lineage(asked.select("project_id", "wanted").distinct().withColumn("search", F.monotonically_increasing_id()))
+    long = searches.select("search", "project_id", "wanted", F.explode("wanted").alias("term"))
+    needed = cut_lineage(long.select("project_id", "term", bucket_of("term").alias("bucket")).distinct())
+    buckets = [r.bucket for r in needed.select("bucket").distinct().collect()]  # BUCKETS numbers at most
+    posted = index.where(F.col("bucket").isin(buckets)).join(sent(needed, SENT_TERMS), ["project_id", "term", "bucket"], "left_semi")
     frequency = posted.groupBy("project_id", "term").agg(F.count("*").alias("df"))
     driver = (
         long.join(frequency, ["project_id", "term"])
-        .groupBy("project_id", "wanted")
+        .groupBy("search", "project_id", "wanted")
         .agg(F.min(F.struct("df", "term")).alias("rarest"), F.count("*").alias("known"))
         .where(F.col("known") == F.size("wanted"))
-        .select("project_id", "wanted", F.col("rarest.term").alias("term"))
+        .select("search", "project_id", "wanted", F.col("rarest.term").alias("term"))
     )
-    # Candidates are ids only. They go to the stored index while they are few, so
-    # that positions, the bulk of it, are read in place.
-    hits = cut_lineage(posted.join(driver, ["project_id", "term"]).select("project_id", "chunk_id", "wanted"))
-    few = hits.limit(SENT_CANDIDATES + 1).count() <= SENT_CANDIDATES
-    found = (
-        index.join(F.broadcast(hits) if few else hits, ["project_id", "chunk_id"])
-        .where(F.size(F.array_except("wanted", "positions")) == 0)
-        .select("project_id", "wanted", "chunk_id", F.round(cover_density("positions", "wanted"), 6).alias("score"))
-    )
-    return asked.join(found, ["project_id", "wanted"]).select("question_id", "project_id", "chunk_id", "fetch_k", "score")
-
-
-def filtered_top(hits: DataFrame, questions: DataFrame, chunks: DataFrame, most: int | None = None) -> DataFrame:
-    """Apply the equality filters of each question, then cut to its budget."""
-    return top_per(
-        apply_filters(hits, questions, chunks),
-        ["question_id"], [F.desc("score"), F.asc("chunk_id")], F.col("fetch_k"), most=most,
+    driver = cut_lineage(driver)
+    led = posted.join(sent(driver, SENT_TERMS), ["project_id", "term"])
+    # Candidates are ids only, and carry what filters test.
+    hits = cut_lineage(led.select("search", "project_id", "chunk_id", "wanted", *PAYLOAD))
+    wanted = cut_lineage(hits.select("search", "project_id", "chunk_id", F.explode("wanted").alias("term")))
+    placed = posted.select("project_id", "chunk_id", "term", "places").join(sent(wanted, SENT_CANDIDATES), ["project_id", "chunk_id", "term"])
+    whole = placed.groupBy("search", "chunk_id").agg(F.collect_list(F.struct("term", "places")).alias("held"))
+    found = whole.join(hits, ["search", "chunk_id"]).where(F.size("held") == F.size("wanted"))
+    numbered = F.flatten(F.transform("held", lambda t: F.transform(
+        t["places"], lambda p: F.struct(p.alias("at"), F.array_position("wanted", t["term"]).cast("int").alias("term")))))
+    found = found.select(
+        "search", "chunk_id", *PAYLOAD, F.round(density(F.array_sort(numbered), F.size("wanted")), 6).alias("score")
     )
+    owners = asked.join(searches, ["project_id", "wanted"]).select("search", "question_id", "project_id", "fetch_k", *active)
+    return owners.join(found, "search").where(passes(active)).select("question_id", "project_id", "chunk_id", "fetch_k", "score")
 
 
-FILTERS = {
-    "filter_service_name": "service_name",
-    "filter_deploy_hash": "deploy_hash",
-    "filter_chunk_type": "chunk_type",
-    "filter_endpoint": "endpoint",
-}
-
-
-def apply_filters(hits: DataFrame, questions: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Keep hits whose chunk equals every filter its question sets."""
-    active = {q: c for q, c in FILTERS.items() if q in questions.columns}
-    if not active:
-        return hits
-    filters = questions.select("question_id", *active)
-    facts = chunks.select("project_id", "chunk_id", *active.values())
-    joined = hits.join(filters, "question_id").join(facts, ["project_id", "chunk_id"])
-    for q, c in active.items():
-        joined = joined.where(F.col(q).isNull() | (F.col(q) == F.col(c)))
-    return joined.drop(*active, *active.values())
+def best(hits: DataFrame, most: int | None = None) -> DataFrame:
+    """The hits of each question cut to its budget."""
+    return top_per(hits, ["question_id"], [F.desc("score"), F.asc("chunk_id")], F.col("fetch_k"), most=most)

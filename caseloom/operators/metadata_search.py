@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from caseloom import vocab
-from caseloom.operators.lexical import FILTERS
+from caseloom.operators.filters import FILTERS, active_filters, passes, set_filter
 from caseloom.operators.matching import contains_join, top_per
 
 
@@ -90,31 +90,62 @@ def _score() -> Column:
     )
 
 
-def _selective(asked: DataFrame, facts: DataFrame) -> DataFrame:
-    """Pairs that share a deploy hash, an endpoint or a symbol, each once, fully scored."""
+def _selective(asked: DataFrame, facts: DataFrame, active: list[str]) -> DataFrame:
+    """Pairs that share a deploy hash, an endpoint or a symbol and pass the filters, each once, fully scored."""
+    tested = [FILTERS[q] for q in active]
+    ids = ["question_id", "project_id", "chunk_id"]
 
     def by_value(names: str, value: Column) -> DataFrame:
-        left = asked.select("question_id", "project_id", F.explode(names).alias("_v"))
-        right = facts.select("project_id", "chunk_id", value.alias("_v"))
-        return left.join(right, ["project_id", "_v"]).select("question_id", "project_id", "chunk_id")
+        left = asked.select("question_id", "project_id", *active, F.explode(names).alias("_v"))
+        right = facts.select("project_id", "chunk_id", *tested, value.alias("_v"))
+        return left.join(right, ["project_id", "_v"]).where(passes(active)).select(*ids)
 
     hits = _path_hits(asked, facts, "m_endpoints", "c_endpoint", 2)
-    owners = asked.select("question_id", "project_id", F.explode("m_endpoints").alias("_n")).join(hits, ["project_id", "_n"])
-    by_endpoint = owners.join(facts.select("project_id", "chunk_id", "c_endpoint"), ["project_id", "c_endpoint"])
+    owners = asked.select("question_id", "project_id", *active, F.explode("m_endpoints").alias("_n")).join(hits, ["project_id", "_n"])
+    by_endpoint = owners.join(facts.select("project_id", "chunk_id", *{*tested}, "c_endpoint"), ["project_id", "c_endpoint"]).where(passes(active))
     pairs = reduce(
         DataFrame.unionByName,
-        [
-            by_value("m_hashes", F.col("c_hash")), by_value("m_terms", F.explode("c_symbols")),
-            by_endpoint.select("question_id", "project_id", "chunk_id"),
-        ],
+        [by_value("m_hashes", F.col("c_hash")), by_value("m_terms", F.explode("c_symbols")), by_endpoint.select(*ids)],
     ).distinct()
-    found = pairs.join(asked, ["question_id", "project_id"]).join(facts, ["project_id", "chunk_id"])
-    return found.where(_matches()).select("question_id", "project_id", "chunk_id", _score().alias("score"))
+    found = pairs.join(asked.drop(*active), ["question_id", "project_id"]).join(facts, ["project_id", "chunk_id"])
+    return found.where(_matches()).select(*ids, _score().alias("score"))
 
 
-def _leading(asked: DataFrame, facts: DataFrame, most: int) -> DataFrame:
+def _fitted(asked: DataFrame, facts: DataFrame, active: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Questions and chunks with ``fit``: the filters that are set, with their values, as one text.
+
+    A chunk stands there once for every set of filters that some question of
+    its project asks and the chunk passes, and once without any. Which filters
+    are ever set together is a list of a few, so chunks meet asked values by
+    equality alone.
+    """
+    if not active:
+        return asked.withColumn("fit", F.lit("")), facts.withColumn("fit", F.lit(""))
+    marks = [set_filter(q).isNotNull() for q in active]
+    combos = sorted(tuple(r) for r in asked.select(*marks).distinct().collect())  # 2 ** len(active) rows at most
+
+    def fit(columns: list[str], combo: tuple[bool, ...]) -> Column:
+        # Values are quoted by their lengths, so that no two lists of values look alike.
+        own = [F.concat(F.lit(f"{k}:"), F.length(c).cast("string"), F.lit(":"), F.col(c)) for k, (c, on) in enumerate(zip(columns, combo, strict=True)) if on]
+        return F.concat(*own) if own else F.lit("")
+
+    named = F.lit(None).cast("string")
+    for combo in combos:
+        same = reduce(lambda a, b: a & b, [mark if on else ~mark for mark, on in zip(marks, combo, strict=True)])
+        named = F.when(same, fit(active, combo)).otherwise(named)
+    asked = asked.withColumn("fit", named)
+    options = F.array_compact(F.array(*(fit([FILTERS[q] for q in active], combo) for combo in combos)))
+    offered = facts.withColumn("fit", F.explode(options))
+    wanted = asked.select("project_id", "fit").distinct()
+    return asked, offered.join(wanted, ["project_id", "fit"], "left_semi")
+
+
+def _leading(asked: DataFrame, facts: DataFrame, most: int, active: list[str]) -> DataFrame:
     """Pairs that match by service and path only, as far as a budget can reach.
 
+    A kind holds the filters of a question as well, so its first ids are the
+    first that pass them.
+
     Such chunks score by whether the service fits and whether none, one or
     several path terms do, and tie at chunk id. A kind of match is a service, a
     term or two, or both, and all chunks of a kind score at least as much. So
@@ -123,8 +154,9 @@ def _leading(asked: DataFrame, facts: DataFrame, most: int) -> DataFrame:
     ask for it; work grows with the chunks and the answers, not their product.
     """
     none = F.lit(None).cast("string")
+    asked, facts = _fitted(asked, facts, active)
     terms = asked.select(
-        "question_id", "project_id", F.explode_outer("m_services").alias("service"), "m_terms"
+        "question_id", "project_id", "fit", F.explode_outer("m_services").alias("service"), "m_terms"
     )
     size = F.size("m_terms")
     at = lambda k: F.get("m_terms", k)
@@ -136,17 +168,17 @@ def _leading(asked: DataFrame, facts: DataFrame, most: int) -> DataFrame:
     singles = F.transform("m_terms", lambda t: F.struct(t.alias("first"), none.alias("second")))
     nothing = F.array(F.struct(none.alias("first"), none.alias("second")))
     kinds = F.concat(nothing, singles, F.coalesce(pairs, F.slice(singles, 1, 0)))
-    by_service = terms.where("service is not null").select("question_id", "project_id", "service", F.explode(kinds).alias("t"))
-    by_path = asked.select("question_id", "project_id", none.alias("service"), F.explode(kinds).alias("t")).where("t.first is not null")
-    wanted = by_service.unionByName(by_path).select("question_id", "project_id", "service", "t.first", "t.second")
-    keyed = ["project_id", "service", "first", "second"]
+    by_service = terms.where("service is not null").select("question_id", "project_id", "fit", "service", F.explode(kinds).alias("t"))
+    by_path = asked.select("question_id", "project_id", "fit", none.alias("service"), F.explode(kinds).alias("t")).where("t.first is not null")
+    wanted = by_service.unionByName(by_path).select("question_id", "project_id", "fit", "service", "t.first", "t.second")
+    keyed = ["project_id", "fit", "service", "first", "second"]
     blank = lambda c: F.coalesce(c, F.lit(""))
-    wanted = wanted.select("question_id", "project_id", *(blank(F.col(c)).alias(c) for c in keyed[1:]))
+    wanted = wanted.select("question_id", "project_id", "fit", *(blank(F.col(c)).alias(c) for c in keyed[2:]))
     asked_kinds = wanted.select(*keyed).distinct()
 
     hits = _path_hits(asked, facts, "m_terms", "c_path", 4)
     held = hits.groupBy("project_id", "c_path").agg(F.sort_array(F.collect_set("_n")).alias("held"))
-    placed = facts.select("project_id", "chunk_id", "c_path", blank(F.col("c_service")).alias("c_service")).join(
+    placed = facts.select("project_id", "fit", "chunk_id", "c_path", blank(F.col("c_service")).alias("c_service")).join(
         held, ["project_id", "c_path"], "left"
     )
     empty = F.expr("cast(array() as array<string>)")
@@ -160,9 +192,9 @@ def _leading(asked: DataFrame, facts: DataFrame, most: int) -> DataFrame:
     one = F.transform(own, lambda t: F.struct(t.alias("first"), F.lit("").alias("second")))
     zero = F.array(F.struct(F.lit("").alias("first"), F.lit("").alias("second")))
     matched = placed.select(
-        "project_id", "chunk_id", "c_service", F.explode(F.concat(zero, one, F.coalesce(two, F.slice(one, 1, 0)))).alias("t")
+        "project_id", "fit", "chunk_id", "c_service", F.explode(F.concat(zero, one, F.coalesce(two, F.slice(one, 1, 0)))).alias("t")
     ).select(
-        "project_id", "chunk_id", "t.first", "t.second",
+        "project_id", "fit", "chunk_id", "t.first", "t.second",
         F.explode(F.array_distinct(F.array(F.col("c_service"), F.lit("")))).alias("service"),
     )
     of_kinds = matched.join(asked_kinds, keyed, "left_semi")
@@ -173,57 +205,21 @@ def _leading(asked: DataFrame, facts: DataFrame, most: int) -> DataFrame:
     return wanted.join(first, keyed).select("question_id", "project_id", "chunk_id", score.alias("score"))
 
 
-def _every_pair(asked: DataFrame, facts: DataFrame, active: list[str]) -> DataFrame:
-    """All matching pairs of questions that filter by equality, after their filters.
-
-    The first ids of a kind say nothing where a filter follows, so these
-    questions meet every chunk that fits their filter and one of the arms.
-    """
-
-    def by_value(names: str, value: str) -> DataFrame:
-        left = asked.withColumn("_v", F.explode(names))
-        return left.join(facts.withColumn("_v", F.col(value)), ["project_id", "_v"]).drop("_v")
-
-    def by_substring(names: str, value: str, size: int) -> DataFrame:
-        hits = _path_hits(asked, facts, names, value, size)
-        owners = asked.withColumn("_n", F.explode(names)).join(hits, ["project_id", "_n"]).drop("_n")
-        return owners.dropDuplicates(["question_id", value]).join(facts, ["project_id", value])
-
-    symbols = asked.withColumn("_v", F.explode("m_terms")).join(
-        facts.withColumn("_v", F.explode("c_symbol")), ["project_id", "_v"]
-    ).drop("_v")
-    pairs = reduce(
-        DataFrame.unionByName,
-        [
-            by_value("m_services", "c_service"), by_value("m_hashes", "c_hash"), symbols,
-            by_substring("m_endpoints", "c_endpoint", 2), by_substring("m_terms", "c_path", 4),
-        ],
-    )
-    for q in active:
-        pairs = pairs.where(F.col(q).isNull() | (F.col(q) == F.col(FILTERS[q])))
-    return pairs.select("question_id", "project_id", "chunk_id", _score().alias("score"))
-
-
 def metadata_search(questions: DataFrame, chunks: DataFrame, most: int) -> DataFrame:
     """Best exact matches per question; ``most`` is the largest budget of any.
 
     Hash, endpoint and symbol matches are joined in full. Service and path
     matches, which may hold much of a corpus, are taken as far as the largest
-    budget can reach. A pair's score is the largest found for it.
+    budget can reach. Filters hold in both, before anything is cut. A pair's
+    score is the largest found for it.
     """
-    active = [q for q in FILTERS if q in questions.columns]
+    active = active_filters(questions)
     asked = metadata_terms(questions).select(
         "question_id", "project_id", "fetch_k", "m_services", "m_hashes", "m_endpoints", "m_terms", *active
     )
     facts = _facts(chunks)
-    parts = []
-    free = asked
-    if active:
-        filtered = reduce(lambda a, b: a | b, [F.col(q).isNotNull() for q in active])
-        free = asked.where(~filtered)
-        parts.append(_every_pair(asked.where(filtered), facts, active))
-    parts += [_selective(free, facts), _leading(free, facts, most)]
-    best = reduce(DataFrame.unionByName, parts).groupBy("question_id", "project_id", "chunk_id").agg(F.max("score").alias("score"))
+    pairs = _selective(asked, facts, active).unionByName(_leading(asked, facts, most, active))
+    best = pairs.groupBy("question_id", "project_id", "chunk_id").agg(F.max("score").alias("score"))
     scored = best.join(asked.select("question_id", "fetch_k"), "question_id").select(
         "question_id", "project_id", "chunk_id", "fetch_k", "score"
     )

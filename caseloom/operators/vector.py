@@ -4,19 +4,27 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from caseloom import vocab
 from caseloom.defaults import DEFAULTS
+from caseloom.operators.filters import FILTERS, active_filters
 from caseloom.operators.matching import top_per
+from caseloom.session import cut_lineage
 
 #: Bytes of question vectors that one scan takes, and of the products that one step of a task holds.
 BLOCK_BYTES = 64 << 20
 TILE_BYTES = 32 << 20
+#: Hits that a task gathers before it cuts them, and projects that are named to the scan at most.
+GATHERED = 500_000
+SENT_PROJECTS = 1_000
 
 
 def vector_points(chunks: DataFrame, version: str = DEFAULTS.index_version) -> DataFrame:
@@ -45,11 +53,22 @@ def vector_points(chunks: DataFrame, version: str = DEFAULTS.index_version) -> D
     )
 
 
+#: Columns of stored points; the last two are their partitions.
+POINTS = "id string, vector array<double>, " + ", ".join(
+    f"{c} string" for c in (*(f for f in vocab.VECTOR_FILTER_FIELDS if f not in ("project_id", "index_version")), "project_id", "index_version")
+)
+
+
 def write_points(points: DataFrame, path: str) -> None:
     """Publish points; searches of one project and version read one folder."""
     points.write.mode("append").partitionBy("project_id", "index_version").parquet(path)
 
 
+def read_points(spark: SparkSession, path: str) -> DataFrame:
+    """Published points, under the name that hits carry their id in."""
+    return spark.read.schema(POINTS).parquet(path).withColumnRenamed("id", "chunk_id")
+
+
 def delete_points(points: DataFrame, **filters: str) -> DataFrame:
     """Points that remain after deleting those equal to every filter."""
     unknown = sorted(set(filters) - set(vocab.VECTOR_FILTER_FIELDS))
@@ -74,84 +93,187 @@ def filter_points(points: DataFrame, project_id: str, version: str = DEFAULTS.in
 _HITS = "question_id string, project_id string, chunk_id string, score double, fetch_k int"
 
 
-def _search_block(questions: DataFrame, vectors: DataFrame) -> DataFrame:
-    """Score one block of questions against all vectors of their projects."""
-    spark = vectors.sparkSession
-    by_project: dict[str, tuple[list[str], np.ndarray, list[int]]] = {}
-    rows = questions.select("project_id", "question_id", "vector", "fetch_k").toArrow()
-    table: dict[str, list] = {}
-    for project, question, vector, k in zip(*(rows.column(i).to_pylist() for i in range(4))):
-        table.setdefault(project, []).append((question, vector, k))
-    for project, items in table.items():
-        matrix = np.asarray([v for _, v, _ in items], dtype="float64")
-        norms = np.linalg.norm(matrix, axis=1, keepdims=True)
-        by_project[project] = (
-            [q for q, _, _ in items], matrix / np.where(norms == 0, 1.0, norms), [k for *_, k in items],
+@dataclass
+class Group:
+    """Questions of a block that ask the same rows: those of a project that equal all of some values."""
+
+    wanted: tuple[tuple[int, str], ...]  # (place of the tested column, value)
+    numbers: np.ndarray
+    matrix: np.ndarray
+    most: int
+
+
+@dataclass
+class Block:
+    questions: list[str]
+    budgets: np.ndarray
+    groups: dict[str, list[Group]]  # by project
+
+
+def _block_of(rows: pa.Table, columns: list[str]) -> Block:
+    """Group the rows (question_id, project_id, vector, fetch_k, one column per test) of one block.
+
+    A question may stand in several rows, as with cells to probe; it has one
+    number and one list of best hits.
+    """
+    projects, questions, budgets = (rows.column(c).to_pylist() for c in ("project_id", "question_id", "fetch_k"))
+    number = {q: k for k, q in enumerate(dict.fromkeys(questions))}
+    tests = [rows.column(c).to_pylist() for c in columns]
+    members: dict[tuple, list[int]] = {}
+    for r, project in enumerate(projects):
+        wanted = tuple((k, values[r]) for k, values in enumerate(tests) if values[r] is not None)
+        members.setdefault((project, wanted), []).append(r)
+    vectors = rows.column("vector").combine_chunks()
+    matrix = vectors.flatten().to_numpy(zero_copy_only=False).astype("float64").reshape(len(projects), -1)
+    norms = np.linalg.norm(matrix, axis=1, keepdims=True)
+    matrix = matrix / np.where(norms == 0, 1.0, norms)
+    groups: dict[str, list[Group]] = {}
+    for (project, wanted), own in members.items():
+        groups.setdefault(project, []).append(
+            Group(wanted, np.array([number[questions[r]] for r in own]), matrix[own], max(budgets[r] for r in own))
         )
-    shared = spark.sparkContext.broadcast(by_project)
+    held = np.zeros(len(number), np.int64)
+    for q, k in zip(questions, budgets, strict=True):
+        held[number[q]] = k
+    return Block(list(number), held, groups)
+
+
+class Best:
+    """The best hits of each question so far. Hits are gathered and sorted many at a time."""
+
+    def __init__(self, budgets: np.ndarray) -> None:
+        self.budgets, self.bound, self.parts, self.held = budgets, np.full(len(budgets), -np.inf), [], 0
+
+    def add(self, numbers: np.ndarray, scores: np.ndarray, names: np.ndarray, most: int) -> None:
+        """A tile of scores (questions x rows), of which what can still be among the best is kept."""
+        least = self.bound[numbers]
+        if scores.shape[1] > most:
+            least = np.maximum(least, np.partition(scores, -most, axis=1)[:, -most])
+        q, row = np.nonzero(scores >= least[:, None])
+        self.parts.append((numbers[q], scores[q, row], names[row]))
+        self.held += len(q)
+        if self.held > GATHERED:
+            self.cut()
+
+    def cut(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(number, score, name) of the best hits, ties by name; what is left is the bound for more."""
+        if not self.parts:
+            return np.zeros(0, np.int64), np.zeros(0), np.zeros(0, "U1")
+        q, score, name = (np.concatenate([p[k] for p in self.parts]) for k in range(3))
+        order = np.lexsort((name, -score, q))
+        q, score, name = q[order], score[order], name[order]
+        first = np.searchsorted(q, q, "left")
+        place = np.arange(len(q)) - first
+        kept = place < self.budgets[q]
+        full = place == self.budgets[q] - 1
+        self.bound[q[full]] = score[full]
+        q, score, name = q[kept], score[kept], name[kept]
+        self.parts, self.held = [(q, score, name)], 0
+        return q, score, name
+
+
+def _tiles(batch: pa.RecordBatch, block: Block, tests: int, best: Best) -> None:
+    projects = np.asarray(batch.column(0).to_pylist(), dtype=object)
+    names = np.asarray(batch.column(1).to_pylist(), dtype=str)
+    column = batch.column(2)
+    dense = column.flatten().to_numpy(zero_copy_only=False).astype("float64").reshape(len(names), -1)
+    norms = np.linalg.norm(dense, axis=1, keepdims=True)
+    dense = dense / np.where(norms == 0, 1.0, norms)
+    # Rows by value of each tested column, so that a group finds its rows without looking at others.
+    rows_of: list[dict] = []
+    for k in range(tests):
+        found: dict = {}
+        for row, value in enumerate(batch.column(3 + k).to_pylist()):
+            found.setdefault(value, []).append(row)
+        rows_of.append({value: np.array(rows) for value, rows in found.items()})
+    for project in set(projects.tolist()) & block.groups.keys():
+        own = np.flatnonzero(projects == project)
+        for group in block.groups[project]:
+            rows = own
+            for k, value in group.wanted:
+                rows = np.intersect1d(rows, rows_of[k].get(value, rows[:0]), assume_unique=True)
+                if not len(rows):
+                    break
+            if not len(rows):
+                continue
+            part = dense[rows].T
+            step = max(1, TILE_BYTES // (8 * len(rows)))
+            for at in range(0, len(group.numbers), step):
+                scores = np.round(group.matrix[at : at + step] @ part, 6)
+                best.add(group.numbers[at : at + step], scores, names[rows], group.most)
+
+
+def _search_block(questions: DataFrame, points: DataFrame, tests: dict[str, str]) -> tuple[DataFrame, Broadcast]:
+    """Score one block of questions against the points of their projects that pass their tests."""
+    spark = points.sparkSession
+    names = list(tests)
+    columns = [F.nullif(F.col(q).cast("string"), F.lit("")).alias(q) for q in names]
+    block = _block_of(questions.select("project_id", "question_id", "vector", "fetch_k", *columns).toArrow(), names)
+    shared = spark.sparkContext.broadcast(block)
+    tested = [F.col(c).cast("string").alias(f"_t{k}") for k, c in enumerate(tests.values())]
+
+    many = len(tested)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: dict[tuple[str, int], tuple[np.ndarray, np.ndarray]] = {}
+        block = shared.value
+        best = Best(block.budgets)
         for batch in batches:
-            projects = np.asarray(batch.column(0).to_pylist(), dtype=object)
-            ids = np.asarray(batch.column(1).to_pylist(), dtype=object)
-            column = batch.column(2)
-            width = len(column[0]) if len(column) else 0
-            dense = column.flatten().to_numpy(zero_copy_only=False).astype("float64")
-            dense = dense.reshape(len(ids), width)
-            norms = np.linalg.norm(dense, axis=1, keepdims=True)
-            dense = dense / np.where(norms == 0, 1.0, norms)
-            for project in set(projects.tolist()) & shared.value.keys():
-                _, matrix, budgets = shared.value[project]
-                mask = projects == project
-                own, names = dense[mask].T, ids[mask]
-                step = max(1, TILE_BYTES // (8 * max(1, len(names))))
-                for q, k in enumerate(budgets):
-                    if q % step == 0:
-                        scores = np.round(matrix[q : q + step] @ own, 6)
-                    line, held = scores[q % step], names
-                    if len(line) > k:
-                        keep = line >= np.partition(line, -k)[-k]
-                        line, held = line[keep], held[keep]
-                    if (project, q) in best:
-                        line = np.concatenate([best[project, q][0], line])
-                        held = np.concatenate([best[project, q][1], held])
-                    order = np.lexsort((held.astype(str), -line))[:k]
-                    best[project, q] = (line[order], held[order])
-        for (project, q), (line, held) in best.items():
-            question, k = shared.value[project][0][q], shared.value[project][2][q]
-            n = len(line)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([question] * n), pa.array([project] * n), pa.array(held.tolist()),
-                    pa.array(line), pa.array([k] * n, pa.int32()),
-                ],
-                names=["question_id", "project_id", "chunk_id", "score", "fetch_k"],
-            )
-
-    return vectors.select("project_id", "chunk_id", "vector").mapInArrow(score, _HITS)
+            if batch.num_rows:
+                _tiles(batch, block, many, best)
+        project_of = {int(n): p for p, groups in block.groups.items() for g in groups for n in g.numbers}
+        q, score, name = best.cut()
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array([block.questions[n] for n in q], pa.string()), pa.array([project_of[int(n)] for n in q], pa.string()),
+                pa.array(name.tolist(), pa.string()), pa.array(score), pa.array(block.budgets[q].astype(np.int32)),
+            ],
+            names=["question_id", "project_id", "chunk_id", "score", "fetch_k"],
+        )
+
+    return points.select("project_id", "chunk_id", "vector", *tested).mapInArrow(score, _HITS), shared
+
+
+def asked_partitions(points: DataFrame, questions: DataFrame, version: str) -> DataFrame:
+    """Only the points of the version and, while they are few enough to be named, of the projects that are asked.
+
+    Both are partitions of stored points, so nothing else is read.
+    """
+    if "index_version" in points.columns:
+        points = points.where(F.col("index_version") == version)
+    asked = [r.project_id for r in questions.select("project_id").distinct().limit(SENT_PROJECTS + 1).collect()]
+    return points.where(F.col("project_id").isin(asked)) if len(asked) <= SENT_PROJECTS else points
 
 
 def vector_search(questions: DataFrame, vectors: DataFrame, dim: int = DEFAULTS.embedding_dim,
-                  block_bytes: int = BLOCK_BYTES, most: int | None = None) -> DataFrame:
-    """Exact cosine top-k per question inside its project.
-
-    The vectors stay where they are: each task multiplies its Arrow batches
-    with a block of questions and keeps the running best per question, so a
-    task sends at most ``fetch_k`` rows per question to the final cut. The
-    question side is counted first and split into blocks of a bounded size;
-    every block is a scan of its own, and no pair is written out. A project
-    with most of the vectors is just more scan tasks.
+                  block_bytes: int = BLOCK_BYTES, most: int | None = None, version: str = DEFAULTS.index_version,
+                  tests: dict[str, str] | None = None) -> DataFrame:
+    """Exact cosine top-k per question among the points of its project that pass its filters.
+
+    A question's filter is tested inside the scan, before anything is cut, on
+    the payload that points carry; ``tests`` names further pairs of a question's
+    and a point's column that must be equal. The vectors stay where they are:
+    each task multiplies its Arrow batches with a block of questions and keeps
+    the best per question, so a task sends at most ``fetch_k`` rows per question
+    to the final cut. Questions beyond one block of a bounded size are searched
+    block after block: each is a scan, its hits are written, and neither driver
+    nor executors hold two blocks. No pair is written out; a project with most
+    of the vectors is just more scan tasks.
     """
-    count = questions.count()
-    blocks = max(1, math.ceil(count * dim * 8 / block_bytes))
-    hits = None
-    for b in range(blocks):
-        block = questions
-        if blocks > 1:
-            block = questions.where(F.pmod(F.xxhash64("question_id"), F.lit(blocks)) == b)
-        part = _search_block(block, vectors)
-        hits = part if hits is None else hits.unionByName(part)
+    tests = {**{q: FILTERS[q] for q in active_filters(questions)}, **(tests or {})}
+    lacking = sorted(set(tests.values()) - set(vectors.columns))
+    if lacking:
+        raise ValueError(f"points without the payload that filters test: {', '.join(lacking)}")
+    points = asked_partitions(vectors, questions, version)
+    blocks = max(1, math.ceil(questions.count() * dim * 8 / block_bytes))
+    if blocks == 1:
+        hits = _search_block(questions, points, tests)[0]
+    else:
+        parts = []
+        for b in range(blocks):
+            found, shared = _search_block(questions.where(F.pmod(F.xxhash64("question_id"), F.lit(blocks)) == b), points, tests)
+            parts.append(cut_lineage(found))
+            shared.destroy()
+        hits = reduce(DataFrame.unionByName, parts)
     return top_per(
         hits, ["question_id"], [F.desc("score"), F.asc("chunk_id")], F.col("fetch_k"), most=most
     )

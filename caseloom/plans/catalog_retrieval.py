@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from caseloom.functions.questions import fetch_ceiling, with_intent
+from caseloom.functions.questions import fetch_ceiling, with_entities, with_intent, with_scope
 from caseloom.operators import embedding, evidence, fusion, lexical, metadata_search, relations, rerank, vector
 from caseloom.plans import retrieval, retrieval_sql as rs
 from caseloom.plans.corpus import index_tables
 from caseloom.plans.registry import Load, big, flag, joined, query, text
-from caseloom.session import cut_lineage
+from caseloom.session import checkpoint_root, cut_lineage
 
 
 def asked(t: Load) -> DataFrame:
@@ -24,9 +26,14 @@ def corpus(t: Load) -> DataFrame:
     return index_tables(t)[0]
 
 
-def hybrid(t: Load, keep: int = rs.WIDE) -> retrieval.Retrieval:
+def hybrid(t: Load, keep: int = rs.WIDE, questions: DataFrame | None = None) -> retrieval.Retrieval:
     stored, tables = index_tables(t)
-    return retrieval.hybrid_search(t("v_questions"), stored, rs.WIDE, keep=keep, **tables)
+    return retrieval.hybrid_search(t("v_questions") if questions is None else questions, stored, rs.WIDE, keep=keep, **tables)
+
+
+def scoped(t: Load) -> DataFrame:
+    """Questions with the filters that follow from what they name, as investigations ask them."""
+    return with_scope(with_entities(with_intent(t("v_questions"))))
 
 
 def packed(t: Load) -> DataFrame:
@@ -123,7 +130,7 @@ def _branch(hits: DataFrame) -> DataFrame:
 @query("lexical_search", f"WITH {rs.BASE}, {rs.LEX_CTES} {_TOP} lex")
 def lexical_search(t: Load) -> DataFrame:
     q, (c, tables) = asked(t), index_tables(t)
-    return _branch(lexical.filtered_top(lexical.lexical_search(q, c, tables["index"]), q, c, MOST))
+    return _branch(lexical.best(lexical.lexical_search(q, c, tables["index"]), MOST))
 
 
 @query(
@@ -137,7 +144,7 @@ def lexical_search_filtered(t: Load) -> DataFrame:
         {"filter_deploy_hash": F.get("deploy_hashes", F.lit(0)), "filter_endpoint": F.get("endpoints", F.lit(0))}
     )
     c, tables = index_tables(t)
-    return _branch(lexical.filtered_top(lexical.lexical_search(q, c, tables["index"]), q, c, MOST))
+    return _branch(lexical.best(lexical.lexical_search(q, c, tables["index"]), MOST))
 
 
 @query(
@@ -146,16 +153,16 @@ def lexical_search_filtered(t: Load) -> DataFrame:
     FROM (SELECT source_id, {rs.sx.stems('text')} AS s FROM ({rs.CH})) GROUP BY source_id""",
 )
 def lexical_source_reindex(t: Load) -> DataFrame:
-    """The stored index with one stale source brought up to date."""
+    """A stored index with one stale source, after that source was written anew in place."""
     stored, tables = index_tables(t)
-    owner = stored.select("project_id", "chunk_id", "source_id")
-    stale = tables["index"].join(owner, ["project_id", "chunk_id"]).withColumn(
-        "positions", F.when(F.col("source_id") == "deploys", F.slice("positions", 1, 1)).otherwise(F.col("positions"))
-    )
-    fresh = lexical.replace_source(stale.drop("source_id"), stored, F.col("source_id") == "deploys")
-    return fresh.join(owner, ["project_id", "chunk_id"]).groupBy("source_id").agg(
-        F.count("*").alias("chunks"), big(F.sum(F.size("positions"))).alias("places"), big(F.sum(F.size(F.array_distinct("positions")))).alias("stems")
+    spark, path = stored.sparkSession, f"{checkpoint_root(stored.sparkSession)}/reindex-{uuid.uuid4().hex}"
+    stale = tables["index"].where((F.col("source_id") != "deploys") | (F.element_at("places", 1) == 1))
+    lexical.write_index(stale, path)
+    lexical.replace_source(path, "deploys", stored.where("source_id = 'deploys'"))
+    by_chunk = lexical.read_index(spark, path).groupBy("source_id", "project_id", "chunk_id").agg(
+        F.sum(F.size("places")).alias("places"), F.count("*").alias("stems")
     )
+    return by_chunk.groupBy("source_id").agg(F.count("*").alias("chunks"), big(F.sum("places")).alias("places"), big(F.sum("stems")).alias("stems"))
 
 
 @query("metadata_search", f"WITH {rs.BASE}, {rs.META_CTES} {_TOP} meta")
@@ -225,9 +232,7 @@ _RANKED = f"""SELECT question_id, chunk_id, rank, round(rrf, 6) AS rrf, round(bo
   round(vs, 6) AS vector_score, round(ls, 6) AS lexical_score, round(ms, 6) AS metadata_score, round(gs, 6) AS graph_score FROM ranked WHERE rank <= {rs.WIDE}"""
 
 
-@query("hybrid_search", f"WITH {rs.HYBRID} {_RANKED}")
-def hybrid_search(t: Load) -> DataFrame:
-    r = hybrid(t).ranked
+def _ranked(r: DataFrame) -> DataFrame:
     return r.select(
         "question_id", "chunk_id", big("rank").alias("rank"), F.round("rrf_score", 6).alias("rrf"), F.round("metadata_boost", 6).alias("boost"),
         F.round("fused_score", 6).alias("fused"), joined("reasons", "|").alias("reasons"),
@@ -235,6 +240,46 @@ def hybrid_search(t: Load) -> DataFrame:
     )
 
 
+@query("hybrid_search", f"WITH {rs.HYBRID} {_RANKED}")
+def hybrid_search(t: Load) -> DataFrame:
+    return _ranked(hybrid(t).ranked)
+
+
+@query("hybrid_search_filtered", f"WITH {rs.HYBRID_FILTERED} {_RANKED}")
+def hybrid_search_filtered(t: Load) -> DataFrame:
+    """Questions that filter by endpoint or deploy hash among questions that do not."""
+    return _ranked(hybrid(t, questions=scoped(t)).ranked)
+
+
+@query(
+    "branch_candidates_filtered",
+    f"WITH {rs.HYBRID_FILTERED} SELECT question_id, chunk_id, branch, round(score, 6) AS score, rk AS rank FROM cand",
+)
+def branch_candidates_filtered(t: Load) -> DataFrame:
+    return hybrid(t, questions=scoped(t)).candidates.select("question_id", "chunk_id", "branch", F.round("score", 6).alias("score"), big("rank").alias("rank"))
+
+
+@query(
+    "vector_search_filtered",
+    """SELECT question_id, chunk_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, chunk_id) AS rank FROM (
+      SELECT 'v' || a.vec_id AS question_id, 'v' || b.vec_id AS chunk_id, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS score
+      FROM embeddings a JOIN embeddings b ON a.vec_id % 3 = 0 OR (b.label = a.label AND (a.vec_id % 3 = 1 OR b.vec_id % 5 = a.vec_id % 5)))) WHERE rank <= 7""",
+)
+def vector_search_filtered(t: Load) -> DataFrame:
+    """Free questions, questions with one filter and with two, in one scan of all vectors."""
+    points = t("embeddings").select(
+        F.lit("p").alias("project_id"), F.concat(F.lit("v"), "vec_id").alias("chunk_id"), F.col("embedding").cast("array<double>").alias("vector"),
+        F.concat(F.lit("s"), "label").alias("service_name"), F.concat(F.lit("d"), F.col("vec_id") % 5).alias("deploy_hash"), "vec_id",
+    )
+    wanted = points.select(
+        "project_id", F.col("chunk_id").alias("question_id"), "vector", F.lit(7).alias("fetch_k"),
+        F.when(F.col("vec_id") % 3 != 0, F.col("service_name")).alias("filter_service_name"),
+        F.when(F.col("vec_id") % 3 == 2, F.col("deploy_hash")).alias("filter_deploy_hash"),
+    )
+    hits = vector.vector_search(wanted, points, 64)
+    return hits.select("question_id", "chunk_id", "score", big("rank").alias("rank"))
+
+
 @query(
     "retrieval_evidence_mix",
     f"""WITH {rs.HYBRID} SELECT question_id, 'source' AS kind, source_type AS type, count(*) AS n FROM ranked WHERE rank <= {rs.WIDE} GROUP BY ALL

@@ -65,28 +65,26 @@ def index_tables(load) -> tuple[DataFrame, dict[str, DataFrame]]:
     these tables to the checkpoint folder; the retrieval queries then read them.
     """
     from caseloom.operators.embedding import embed_column
-    from caseloom.operators.lexical import lexical_index
+    from caseloom.operators.lexical import lexical_index, read_index, write_index
     from caseloom.operators.relations import derive_relations
+    from caseloom.operators.vector import read_points, vector_points, write_points
     from caseloom.session import checkpoint_root
 
     source = load("documents")
     spark = source.sparkSession
     key = (spark.sparkContext.applicationId, *state_of(load))
-    names = ("vectors", "edges", "index")
     if key not in _BUILT:
         root = f"{checkpoint_root(spark)}/corpus-{uuid.uuid4().hex}"
         chunks(load).write.parquet(f"{root}/chunks")
         stored = spark.read.parquet(f"{root}/chunks")
-        built = {
-            "vectors": stored.select("project_id", "chunk_id", embed_column("text").alias("vector")),
-            "edges": derive_relations(stored),
-            "index": lexical_index(stored),
-        }
-        for name in names:
-            built[name].write.parquet(f"{root}/{name}")
+        write_points(vector_points(stored.withColumn("vector", embed_column("text"))), f"{root}/points")
+        derive_relations(stored).write.parquet(f"{root}/edges")
+        write_index(lexical_index(stored), f"{root}/index")
         _BUILT[key] = root
     root = _BUILT[key]
-    return spark.read.parquet(f"{root}/chunks"), {n: spark.read.parquet(f"{root}/{n}") for n in names}
+    return spark.read.parquet(f"{root}/chunks"), {
+        "vectors": read_points(spark, f"{root}/points"), "edges": spark.read.parquet(f"{root}/edges"), "index": read_index(spark, f"{root}/index"),
+    }
 
 
 def chunks(load) -> DataFrame:

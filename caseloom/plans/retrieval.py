@@ -13,6 +13,7 @@ from caseloom.functions.questions import fetch_budget, fetch_ceiling, investigat
 from caseloom.operators import answers, fusion, lexical, metadata_search, relations, vector
 from caseloom.operators.embedding import embed_column
 from caseloom.operators.evidence import pack_evidence
+from caseloom.operators.filters import PAYLOAD, active_filters
 from caseloom.operators.rerank import rerank
 from caseloom.session import cut_lineage
 
@@ -34,8 +35,8 @@ def prepare(questions: DataFrame, top_k: int, defaults: Defaults = DEFAULTS) ->
 
 
 def embed_chunks(chunks: DataFrame) -> DataFrame:
-    """Vectors for chunks where no vector table exists yet."""
-    return chunks.select("project_id", "chunk_id", embed_column("text").alias("vector"))
+    """Points for chunks where no table of points exists yet."""
+    return chunks.select("project_id", "chunk_id", *PAYLOAD, embed_column("text").alias("vector"))
 
 
 def hybrid_search(questions: DataFrame, chunks: DataFrame, top_k: int, *,
@@ -47,22 +48,21 @@ def hybrid_search(questions: DataFrame, chunks: DataFrame, top_k: int, *,
     All questions are answered in one plan. Vector hits of exact-lookup
     questions count only where the other branches found nothing. Vectors,
     edges and the lexical index are tables in a maintained corpus and derived
-    here otherwise.
+    here otherwise. A question's filters hold in the vector, lexical and
+    metadata branches, before any of them is cut to its budget.
     """
     # Every branch reads the questions; their intent is worked out once.
     asked = cut_lineage(prepare(questions, top_k, defaults))
     vectors = embed_chunks(chunks) if vectors is None else vectors
     edges = relations.derive_relations(chunks) if edges is None else edges
     embedded = asked.select(
-        "question_id", "project_id", "fetch_k", embed_column("question").alias("vector")
+        "question_id", "project_id", "fetch_k", *active_filters(asked), embed_column("question").alias("vector")
     )
     most = fetch_ceiling(top_k, defaults)
-    lexical_hits = lexical.filtered_top(lexical.lexical_search(asked, chunks, index), asked, chunks, most)
+    lexical_hits = lexical.best(lexical.lexical_search(asked, chunks, index), most)
     metadata_hits = metadata_search.metadata_search(asked, chunks, most)
     graph_hits = relations.graph_search(asked, edges, most)
-    near = lexical.apply_filters(
-        vector.vector_search(embedded, vectors, defaults.embedding_dim, most=most), asked, chunks
-    )
+    near = vector.vector_search(embedded, vectors, defaults.embedding_dim, most=most, version=defaults.index_version)
     every = fusion.union_branches(
         vector=near, lexical=lexical_hits, metadata=metadata_hits, graph=graph_hits
     )

@@ -119,6 +119,21 @@ BOOST_CTES = f"""
 BASE = f"q AS MATERIALIZED ({Q}), ch AS MATERIALIZED ({CH})"
 HYBRID = ", ".join([BASE, LEX_CTES, META_CTES, GRAPH_CTES, VEC_CTES, CAND_CTES, BOOST_CTES])
 
+# The same with the first endpoint and deploy hash of a question as filters: pairs that do not pass them stand in no branch but the graph.
+PASS = f"""
+  pass AS (SELECT q.question_id, ch.chunk_id FROM q JOIN ch USING (project_id) WHERE (q.hashes[1] IS NULL OR ch.deploy_hash = q.hashes[1]) AND (q.eps[1] IS NULL OR ch.endpoint = q.eps[1]))"""
+
+
+def _passing(ctes: str, pairs: str) -> str:
+    assert ctes.count(pairs) == 1
+    return ctes.replace(pairs, pairs + " SEMI JOIN pass USING (question_id, chunk_id)")
+
+
+HYBRID_FILTERED = ", ".join([
+    BASE, PASS, _passing(LEX_CTES, "JOIN post p ON p.project_id = w.project_id AND p.term = w.term"), _passing(META_CTES, "FROM mq JOIN ch USING (project_id)"),
+    GRAPH_CTES, _passing(VEC_CTES, "FROM q JOIN ch USING (project_id)"), CAND_CTES, BOOST_CTES,
+])
+
 _BODY = sx.compact(sx.redact("text"), 1600)
 DECISIVE = sx.quoted(vocab.DECISIVE_REASONS)
 # Rerank decision per question over the first candidates, then the final order.

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import re
 
 import numpy as np
 import pytest
@@ -105,7 +106,131 @@ def test_metadata_kinds_equal_brute_force(spark):
     )
     hits = metadata_search.metadata_search(asked, frame, 40).collect()
     assert {(r.question_id, r.chunk_id, r.score) for r in hits} == _metadata_brute(questions, chunks)
-    # With filters, questions take the other path; a filter that all chunks pass changes nothing.
+    # A filter that all chunks pass changes nothing.
     filtered = asked.withColumn("filter_chunk_type", F.when(F.col("question_id") != "q3", "x"))
     again = metadata_search.metadata_search(filtered, frame, 40).collect()
     assert {(r.question_id, r.chunk_id, r.score) for r in again} == {(r.question_id, r.chunk_id, r.score) for r in hits}
+    # Filters by service, hash or both hold before the cut, whichever questions ask for them.
+    filtered = asked.withColumns({
+        "filter_service_name": F.when(F.crc32("question_id") % 3 == 0, "svc2").otherwise(F.lit("")),
+        "filter_deploy_hash": F.when(F.crc32("question_id") % 4 == 0, "abc1234"),
+    })
+    rows = {r.question_id: (r.filter_service_name, r.filter_deploy_hash) for r in filtered.collect()}
+    want = set()
+    for q in questions:
+        service, deploy = rows[q[0]]
+        own = [c for c in chunks if (not service or c[1] == service) and (deploy is None or c[2] == deploy)]
+        want |= _metadata_brute([q], own)
+    again = metadata_search.metadata_search(filtered, frame, 40).collect()
+    assert {(r.question_id, r.chunk_id, r.score) for r in again} == want and len(want) > 100
+
+
+def test_filters_hold_before_the_vector_cut(spark):
+    """One vector in a hundred passes the filter, and stands last without it."""
+    rows = [("p", f"c{k:03d}", [1.0, k / 100], None if k else "/v1/rare") for k in range(100)]
+    points = spark.createDataFrame(rows, "project_id string, chunk_id string, vector array<double>, endpoint string")
+    asked = spark.createDataFrame(
+        [("p", "q1", [0.0, 1.0], 30, "/v1/rare"), ("p", "q2", [0.0, 1.0], 30, None), ("p", "q3", [0.0, 1.0], 30, "/none")],
+        "project_id string, question_id string, vector array<double>, fetch_k int, filter_endpoint string",
+    )
+    found = vector.vector_search(asked, points, 2).collect()
+    assert [r.chunk_id for r in found if r.question_id == "q1"] == ["c000"]
+    assert {r.chunk_id for r in found if r.question_id == "q2"} == {f"c{k:03d}" for k in range(70, 100)}
+    assert not [r for r in found if r.question_id == "q3"]
+    with pytest.raises(ValueError, match="payload"):
+        vector.vector_search(asked.withColumnRenamed("filter_endpoint", "filter_chunk_type"), points, 2)
+
+
+def test_filtered_vector_search_equals_numpy(spark):
+    """Ties, several projects, filters alone and together, in one block and in many."""
+    rng = np.random.default_rng(11)
+    vectors = np.round(rng.normal(size=(400, 4)), 0)
+    rows = [(f"p{k % 3}", f"c{k:03d}", v.tolist(), f"s{k % 5}", f"t{k % 2}") for k, v in enumerate(vectors)]
+    points = spark.createDataFrame(rows, "project_id string, chunk_id string, vector array<double>, service_name string, chunk_type string").repartition(5)
+    asked = [
+        (f"p{k % 4}", f"q{k:02d}", np.round(rng.normal(size=4), 1).tolist(), int(rng.integers(1, 60)), None if k % 2 else f"s{k % 6}", None if k % 3 else f"t{k % 2}")
+        for k in range(40)
+    ]
+    frame = spark.createDataFrame(asked, "project_id string, question_id string, vector array<double>, fetch_k int, filter_service_name string, filter_chunk_type string")
+    want = set()
+    for project, question, v, k, service, kind in asked:
+        own = [(c, x) for p, c, x, s, t in rows if p == project and service in (None, s) and kind in (None, t)]
+        length = lambda x: np.linalg.norm(x) or 1.0
+        scored = sorted((-round(float(np.dot(np.array(x) / length(x), np.array(v) / length(v))), 6), c) for c, x in own)
+        want |= {(question, c, -x) for x, c in scored[:k]}
+    for size in (vector.BLOCK_BYTES, 7 * 4 * 8):
+        found = vector.vector_search(frame, points, 4, block_bytes=size).collect()
+        assert {(r.question_id, r.chunk_id) for r in found} == {w[:2] for w in want}
+        assert np.allclose(sorted(r.score for r in found), sorted(w[2] for w in want), atol=2e-6)
+
+
+def test_stored_points_are_read_by_partition(spark, tmp_path):
+    chunks = spark.createDataFrame([(f"p{k % 4}", f"c{k}", [1.0, float(k)]) for k in range(20)], "project_id string, chunk_id string, vector array<double>")
+    none = {c: F.lit(None).cast("string") for c in ("source_id", "document_id", "chunk_type", "path", "service_name", "endpoint", "deploy_hash")}
+    chunks = chunks.withColumns({**none, "metadata": F.expr("cast(map() as map<string, string>)")})
+    path = str(tmp_path / "points")
+    vector.write_points(vector.vector_points(chunks), path)
+    vector.write_points(vector.vector_points(chunks, "old"), path)
+    points = vector.read_points(spark, path)
+    assert points.count() == 40
+    asked = spark.createDataFrame([("p1", "q", [0.0, 1.0], 3)], "project_id string, question_id string, vector array<double>, fetch_k int")
+    kept = vector.asked_partitions(points, asked, "current")
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(index_version" in plan and "PushedFilters: []" in plan
+    assert len(kept.inputFiles()) > 0 and {r.chunk_id for r in kept.collect()} == {"c1", "c5", "c9", "c13", "c17"}
+    assert {r.chunk_id for r in vector.vector_search(asked, points, 2).collect()} == {"c17", "c13", "c9"}
+
+
+def _lexical_chunks(spark, n=60):
+    rng = random.Random(3)
+    words = ["deploy", "timeout", "latency", "the", "queue", "a", "checkout", "errors"]
+    rows = [(f"p{k % 2}", f"s{k % 3}", f"c{k:02d}", " ".join(rng.choices(words, k=rng.randrange(0, 30))), f"v{k % 4}") for k in range(n)]
+    return spark.createDataFrame(rows, "project_id string, source_id string, chunk_id string, text string, service_name string")
+
+
+def test_postings_hold_every_place(spark):
+    chunks = _lexical_chunks(spark)
+    stems = {r.chunk_id: r.s for r in chunks.select("chunk_id", lexical.positions("text").alias("s")).collect()}
+    held = {c: [None] * len(s) for c, s in stems.items()}
+    for r in lexical.lexical_index(chunks).collect():
+        for at in r.places:
+            assert held[r.chunk_id][at - 1] is None
+            held[r.chunk_id][at - 1] = r.term
+    assert held == stems
+
+
+def test_stored_index_gives_the_same_hits_and_reads_asked_buckets(spark, tmp_path):
+    chunks, path = _lexical_chunks(spark), str(tmp_path / "index")
+    lexical.write_index(lexical.lexical_index(chunks), path)
+    index = lexical.read_index(spark, path)
+    asked = spark.createDataFrame(
+        [("q1", "p0", "deploy timeout", 5, None), ("q2", "p1", "checkout latency errors", 50, "v1"), ("q3", "p0", "the a", 5, None), ("q4", "p1", "unknown", 5, None)],
+        "question_id string, project_id string, question string, fetch_k int, filter_service_name string",
+    )
+    hits = {tuple(r) for r in lexical.lexical_search(asked, chunks).collect()}
+    assert hits and hits == {tuple(r) for r in lexical.lexical_search(asked, chunks, index).collect()}
+    stems = chunks.select("project_id", "chunk_id", "service_name", lexical.positions("text").alias("s")).collect()
+    want = {
+        (q.question_id, c.chunk_id)
+        for q in asked.withColumn("w", lexical.terms("question")).collect() for c in stems
+        if q.w and q.project_id == c.project_id and set(q.w) <= set(c.s) and q.filter_service_name in (None, c.service_name)
+    }
+    assert {(h[0], h[2]) for h in hits} == want
+    one = lexical.lexical_search(asked.limit(1), chunks, index)
+    plan = one._jdf.queryExecution().toString()
+    assert re.search(r"PartitionFilters: \[[^\]]*bucket", plan) and re.search(r"ReadSchema: struct<[^>]*places", plan)
+
+
+def test_replacing_a_source_leaves_other_files(spark, tmp_path):
+    chunks, path = _lexical_chunks(spark), str(tmp_path / "index")
+    lexical.write_index(lexical.lexical_index(chunks), path)
+    files = {f.relative_to(tmp_path): f.stat().st_mtime_ns for f in tmp_path.rglob("*.parquet")}
+    changed = chunks.where("source_id = 's1' and chunk_id > 'c20'").withColumn("text", F.lit("brand new words"))
+    lexical.replace_source(path, "s1", changed)
+    now = {f.relative_to(tmp_path): f.stat().st_mtime_ns for f in tmp_path.rglob("*.parquet")}
+    kept = {f: t for f, t in files.items() if "source_id=s1" not in str(f)}
+    assert kept and all(now.get(f) == t for f, t in kept.items())
+    assert not {f for f in files if "source_id=s1" in str(f)} & now.keys()
+    want = lexical.lexical_index(chunks.where("source_id <> 's1'").unionByName(changed))
+    rows = lambda frame: {(r.source_id, r.chunk_id, r.term, tuple(r.places)) for r in frame.collect()}
+    assert rows(lexical.read_index(spark, path)) == rows(want)
