@@ -68,7 +68,7 @@ def bucket_of(term: Column | str) -> Column:
 
 def term_places(stems: Column | str) -> Column:
     """Array of (term, places): the places of each distinct stem, by one sort and one walk."""
-    numbered = F.array_sort(F.transform(as_col(stems), lambda s, i: F.struct(s.alias("term"), (i + 1).alias("at"))))
+    numbered = F.sort_array(F.transform(as_col(stems), lambda s, i: F.struct(s.alias("term"), (i + 1).alias("at"))))
 
     def groups(line: Column) -> Column:
         first = F.filter(
@@ -204,7 +204,7 @@ def lexical_search(questions: DataFrame, chunks: DataFrame, index: DataFrame | N
     numbered = F.flatten(F.transform("held", lambda t: F.transform(
         t["places"], lambda p: F.struct(p.alias("at"), F.array_position("wanted", t["term"]).cast("int").alias("term")))))
     found = found.select(
-        "search", "chunk_id", *PAYLOAD, F.round(density(F.array_sort(numbered), F.size("wanted")), 6).alias("score")
+        "search", "chunk_id", *PAYLOAD, F.round(density(F.sort_array(numbered), F.size("wanted")), 6).alias("score")
     )
     owners = asked.join(searches, ["project_id", "wanted"]).select("search", "question_id", "project_id", "fetch_k", *active)
     return owners.join(found, "search").where(passes(active)).select("question_id", "project_id", "chunk_id", "fetch_k", "score")

@@ -107,21 +107,41 @@ def sliding_count(events: DataFrame, keys: list[str], ts: str, seconds: int,
     )
 
 
+#: Ranges that the values of a key are cut into.
+RANGES = 512
+
+
 def nearest_rank(frame: DataFrame, keys: list[str], value: str,
                  percentiles: dict[str, int]) -> DataFrame:
-    """Floor nearest-rank percentiles per key, from a histogram of the values.
-
-    The value at index ``floor(p/100 * (n-1))`` of the sorted values. Counting
-    equal values first keeps the sort at the number of distinct values.
+    """Floor nearest-rank percentiles per key, exact also where one key has all rows.
+
+    The value at index ``floor(p/100 * (n-1))`` of the sorted values; nulls do
+    not count. Approximate quantiles cut the values of a key into ranges of
+    about as many rows each. Counts per range tell which range holds an index
+    and how many rows stand before it; then only the values of that range are
+    counted one by one. All counts combine before the shuffle, and no task
+    sorts more than the distinct values of one range.
     """
-    histogram = frame.groupBy(*keys, value).agg(F.count("*").alias("_n"))
-    by_key = Window.partitionBy(*keys)
-    upto = by_key.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    placed = histogram.withColumns(
-        {"_upto": F.sum("_n").over(upto), "_total": F.sum("_n").over(by_key)}
+    key = F.struct(*keys).alias("_key")
+    rows = frame.where(F.col(value).isNotNull()).select(key, F.col(value).alias("_v"))
+    steps = [k / RANGES for k in range(1, RANGES)]
+    cuts = rows.groupBy("_key").agg(
+        F.count("*").alias("_total"), F.array_distinct(F.percentile_approx("_v", steps, RANGES * 4)).alias("_cuts")
+    )
+    placed = rows.join(cuts.select("_key", "_cuts"), "_key").select(
+        "_key", "_v", F.size(F.filter("_cuts", lambda c: c < F.col("_v"))).alias("_range")
     )
-    picks = []
-    for name, p in percentiles.items():
-        index = F.floor(F.lit(p / 100) * (F.col("_total") - 1))
-        picks.append(F.min(F.when(F.col("_upto") > index, F.col(value))).alias(name))
-    return placed.groupBy(*keys).agg(*picks)
+    upto = Window.partitionBy("_key").orderBy("_range").rowsBetween(Window.unboundedPreceding, 0)
+    ranges = placed.groupBy("_key", "_range").agg(F.count("*").alias("_n")).withColumn("_upto", F.sum("_n").over(upto))
+    asked = F.array(*(
+        F.struct(F.lit(name).alias("name"), F.floor(F.lit(p / 100) * (F.col("_total") - 1)).alias("index")) for name, p in percentiles.items()
+    ))
+    wanted = cuts.select("_key", F.explode(asked).alias("_p"))
+    held = ranges.join(wanted, "_key").where((F.col("_p.index") < F.col("_upto")) & (F.col("_p.index") >= F.col("_upto") - F.col("_n")))
+    held = held.select("_key", "_range", "_p.name", (F.col("_p.index") - F.col("_upto") + F.col("_n")).alias("_at"))
+    near = placed.join(held.select("_key", "_range").distinct(), ["_key", "_range"], "left_semi")
+    inside = Window.partitionBy("_key", "_range").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    counted = near.groupBy("_key", "_range", "_v").agg(F.count("*").alias("_n")).withColumn("_upto", F.sum("_n").over(inside))
+    found = counted.join(held, ["_key", "_range"]).where(F.col("_upto") > F.col("_at"))
+    picks = [F.min(F.when(F.col("name") == name, F.col("_v"))).alias(name) for name in percentiles]
+    return found.groupBy("_key").agg(*picks).select("_key.*", *percentiles)

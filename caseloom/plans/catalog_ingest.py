@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,10 +12,11 @@ from caseloom.defaults import DEFAULTS
 from caseloom.functions import paths, text as tx
 from caseloom.operators import chunkers, embedding, jobs, reports, store, validate, vector
 from caseloom.operators.matching import dense_sequence
-from caseloom.plans import ingest
+from caseloom.plans import ingest, state
 from caseloom.plans import sqlexpr as sx
 from caseloom.plans.catalog_text import facts_sql
 from caseloom.plans.registry import Load, big, flag, joined, query, stamp, text
+from caseloom.session import checkpoint_root
 from caseloom.sources import documents, files
 
 # --- sources ----------------------------------------------------------------
@@ -566,6 +569,35 @@ def document_state_upsert(t: Load) -> DataFrame:
     return store.replace_rows(current, changed, changed, store.KEY)
 
 
+@query(
+    "versioned_document_state",
+    f"""SELECT project_id, source_id, external_id, content_hash FROM (SELECT project_id, source_id, path AS external_id, content_hash FROM {_LATEST_NEXT}
+    UNION ALL SELECT project_id, source_id, path, content_hash FROM {_LATEST} c WHERE NOT EXISTS (SELECT 1 FROM {_LATEST_NEXT} n WHERE n.project_id = c.project_id AND n.source_id = c.source_id AND n.path = c.path))
+    WHERE NOT (project_id = 'p0' AND source_id = (SELECT min(source_id) FROM v_docs))""",
+)
+def versioned_document_state(t: Load) -> DataFrame:
+    """Two batches ingested, one of them twice, a source purged and all batches compacted: the documents that are left with their chunks."""
+    spark = t("v_docs").sparkSession
+    root = f"{checkpoint_root(spark)}/state-{uuid.uuid4().hex}"
+
+    def batch(frame: DataFrame, name: str) -> DataFrame:
+        none = F.lit(None).cast("string")
+        return _one_per_path(frame).select(
+            "project_id", "source_id", none.alias("sync_id"), F.lit(name).alias("batch_id"), F.lit(1).cast("bigint").alias("position"), "external_id",
+            F.concat("external_id", F.lit(".md")).alias("path"), F.lit("").alias("source_type"), F.concat(F.lit("# Notes\n\nbody "), "content_hash").alias("content"), "content_hash",
+            F.expr("cast(map() as map<string, string>)").alias("metadata"), F.lit(None).cast("bigint").alias("size_bytes"), F.lit(None).cast("timestamp").alias("modified_at"),
+        )
+
+    for frame, name in (("v_docs", "first"), ("v_docs_next", "second"), ("v_docs", "first")):
+        state.apply_batch(batch(t(frame), name), root, name)
+    doomed = t("v_docs").agg(F.min("source_id")).first()[0]
+    state.purge_source(spark, root, "p0", doomed)
+    state.compact(spark, root)
+    now = state.snapshot(spark, root)
+    chunked = state.current_chunks(spark, now).select(*store.KEY).distinct()
+    return state.current_documents(spark, now).join(chunked, store.KEY, "left_semi").select("project_id", "source_id", "external_id", "content_hash")
+
+
 @query(
     "batch_ingest_counters",
     f"""SELECT project_id, count(*) AS received, count(*) FILTER (status = 'created') AS created, count(*) FILTER (status = 'updated') AS updated,

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from caseloom.functions.questions import fetch_ceiling, with_entities, with_intent, with_scope
-from caseloom.operators import embedding, evidence, fusion, lexical, metadata_search, relations, rerank, vector
+from caseloom.operators import cells, embedding, evidence, fusion, lexical, metadata_search, relations, rerank, vector
 from caseloom.plans import retrieval, retrieval_sql as rs
 from caseloom.plans.corpus import index_tables
 from caseloom.plans.registry import Load, big, flag, joined, query, text
@@ -202,6 +202,21 @@ def vector_search_text(t: Load) -> DataFrame:
     return _branch(vector.vector_search(q, index_tables(t)[1]["vectors"], most=MOST))
 
 
+@query("vector_cell_search")
+def vector_cell_search(t: Load) -> DataFrame:
+    """What probing cells finds of the exact result at rank 30, and which share of the points it reads, per question."""
+    points = index_tables(t)[1]["vectors"]
+    trained = cells.train(points)
+    path = f"{checkpoint_root(points.sparkSession)}/cells-{uuid.uuid4().hex}"
+    cells.write_cells(points.withColumnRenamed("chunk_id", "id"), trained, path)
+    stored = cells.read_cells(points.sparkSession, path)
+    q = cut_lineage(t("v_questions").select("question_id", "project_id", F.lit(30).alias("fetch_k"), embedding.embed_column("question").alias("vector")))
+    near = cells.cell_search(q, stored, trained)
+    exact = vector.vector_search(q, points)
+    counted = cells.recall(near, exact)
+    return counted.select("question_id", "wanted", "found", F.round(F.col("found") / F.col("wanted"), 6).alias("recall"))
+
+
 # --- fusion -----------------------------------------------------------------
 
 

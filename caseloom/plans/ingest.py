@@ -27,6 +27,19 @@ class IngestResult:
     quarantine: DataFrame
 
 
+def split_malformed(incoming: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Rows that could be read, and quarantine rows for lines that could not.
+
+    Of such a line the quarantine gets what was readable of its key, and the
+    public code, never the line itself.
+    """
+    if schemas.MALFORMED not in incoming.columns:
+        return incoming, None
+    broken = F.col(schemas.MALFORMED).isNotNull()
+    rows = incoming.where(broken).select(*store.KEY, "batch_id", "path", F.lit("malformed_content").alias("failure_code"))
+    return incoming.where(~broken).drop(schemas.MALFORMED), rows
+
+
 def ingest_documents(incoming: DataFrame, current: DataFrame, defaults: Defaults = DEFAULTS) -> IngestResult:
     """Validate, de-duplicate, compare and chunk one batch of documents.
 
@@ -34,6 +47,7 @@ def ingest_documents(incoming: DataFrame, current: DataFrame, defaults: Defaults
     document table. One document's failure never touches another: it ends up
     in the quarantine with its public code.
     """
+    incoming, broken = split_malformed(incoming)
     tagged = validate.validate_documents(incoming, defaults)
     valid = tagged.where(F.col("error").isNull())
     marked = validate.mark_duplicates(
@@ -70,6 +84,8 @@ def ingest_documents(incoming: DataFrame, current: DataFrame, defaults: Defaults
             )
         )
     )
+    if broken is not None:
+        rejected = rejected.unionByName(broken)
     good = statuses.where(F.col("status").isin("created", "updated")).select(*store.KEY)
     documents = store.document_rows(changed.join(good, store.KEY, "left_semi"))
     return IngestResult(documents, chunks, derive_relations(chunks), statuses, rejected)

@@ -25,3 +25,10 @@ CHUNKS = (
     "section_title string, start_line int, end_line int, text string, token_count int, "
     "metadata map<string,string>, metadata_lists map<string,array<string>>"
 )
+RELATIONS = (
+    "project_id string, evidence_chunk_id string, chunk_type string, document_path string, source_type string, "
+    "relation_type string, from_key string, to_key string"
+)
+QUARANTINE = "project_id string, source_id string, external_id string, batch_id string, path string, failure_code string"
+#: A line of input that is no document of the declared schema, kept as text beside what could be read of it.
+MALFORMED = "malformed"

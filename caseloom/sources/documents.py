@@ -6,13 +6,30 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from caseloom import schemas
-from caseloom.functions.patterns import first_of
+from caseloom.functions.patterns import first_of, strip
 from caseloom.session import cut_lineage
 
 
+BATCH_SCHEMA = f"{schemas.NORMALIZED_DOCUMENT}, {schemas.MALFORMED} string"
+
+
+def parsed_lines(lines: DataFrame) -> DataFrame:
+    """Documents of JSON lines (value), of a table or a stream; blank lines are skipped.
+
+    A line that is no JSON object, or has a field of another type, fails nothing:
+    it comes as a row whose ``malformed`` holds the line, for the quarantine.
+    Lines are parsed as a whole, whichever columns are read: a JSON source would
+    only look at the fields of a query, and find a line broken in one and not in
+    another.
+    """
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": schemas.MALFORMED}
+    read = F.from_json("value", BATCH_SCHEMA, options)
+    return lines.where(strip("value") != "").select(read.alias("d")).select("d.*")
+
+
 def read_batches(spark: SparkSession, path: str) -> DataFrame:
     """Normalised documents from JSON lines with the declared schema."""
-    return spark.read.schema(schemas.NORMALIZED_DOCUMENT).json(path)
+    return parsed_lines(spark.read.text(path))
 
 
 def read_cases(spark: SparkSession, path: str) -> DataFrame:

@@ -9,16 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
-from caseloom import schemas
 from caseloom.defaults import DEFAULTS, Defaults
+from caseloom.sources.documents import parsed_lines
 
 
 def document_stream(spark: SparkSession, path: str, files_per_trigger: int = 1000) -> DataFrame:
-    return (
-        spark.readStream.schema(schemas.NORMALIZED_DOCUMENT)
-        .option("maxFilesPerTrigger", files_per_trigger)
-        .json(path)
-    )
+    """Documents as files arrive; lines that cannot be parsed come as ``malformed``."""
+    return parsed_lines(spark.readStream.option("maxFilesPerTrigger", files_per_trigger).text(path))
 
 
 def ingest_stream(docs: DataFrame, root: str, checkpoint: str, defaults: Defaults = DEFAULTS) -> DataStreamWriter:

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from caseloom.operators import embedding, fusion, lexical, matching, metadata_search, vector
+from caseloom.operators import cells, embedding, fusion, lexical, matching, metadata_search, vector
 
 
 def test_contains_join_equals_brute_force(spark):
@@ -234,3 +234,33 @@ def test_replacing_a_source_leaves_other_files(spark, tmp_path):
     want = lexical.lexical_index(chunks.where("source_id <> 's1'").unionByName(changed))
     rows = lambda frame: {(r.source_id, r.chunk_id, r.term, tuple(r.places)) for r in frame.collect()}
     assert rows(lexical.read_index(spark, path)) == rows(want)
+
+
+def test_cell_search_finds_what_the_exact_search_does(spark, tmp_path):
+    rng = np.random.default_rng(2)
+    centres = rng.normal(size=(24, 16))
+    vectors = centres[rng.integers(0, 24, 3000)] + 0.35 * rng.normal(size=(3000, 16))
+    rows = [("p" if k % 4 else "r", f"c{k:04d}", v.tolist(), f"s{k % 3}") for k, v in enumerate(vectors)]
+    none = {c: F.lit(None).cast("string") for c in ("source_id", "document_id", "chunk_type", "path", "endpoint", "deploy_hash")}
+    chunks = spark.createDataFrame(rows, "project_id string, chunk_id string, vector array<double>, service_name string")
+    points = vector.vector_points(chunks.withColumns({**none, "metadata": F.expr("cast(map() as map<string, string>)")}))
+    trained = cells.train(points.withColumnRenamed("id", "chunk_id"), 30)
+    cells.write_cells(points, trained, str(tmp_path / "cells"))
+    stored = cells.read_cells(spark, str(tmp_path / "cells"))
+    assert stored.count() == 3000
+    asked = [("p", f"q{k}", (centres[k % 24] + 0.35 * rng.normal(size=16)).tolist(), 30, None if k % 2 else f"s{k % 3}") for k in range(40)]
+    frame = spark.createDataFrame(asked, "project_id string, question_id string, vector array<double>, fetch_k int, filter_service_name string")
+    exact = vector.vector_search(frame, points.withColumnRenamed("id", "chunk_id"), 16)
+    hits = lambda f: {(r.question_id, r.chunk_id, r["rank"]) for r in f.collect()}
+    assert hits(cells.cell_search(frame, stored, trained, probes=30)) == hits(exact)
+    near = cells.cell_search(frame, stored, trained, probes=6)
+    share = cells.recall(near, exact).agg(F.sum("found") / F.sum("wanted")).first()[0]
+    assert 0.9 <= share <= 1.0
+
+
+def test_cells_of_few_or_no_points(spark):
+    schema = "project_id string, chunk_id string, vector array<double>"
+    empty = spark.createDataFrame([], schema)
+    assert cells.train(empty).centres.shape == (1, 1)
+    flat = spark.createDataFrame([("p", f"c{k}", [0.0, 0.0]) for k in range(3)] + [("p", "d", [1.0, 0.0])], schema)
+    assert cells.train(flat).centres.shape[1] == 2 and cells.with_cell(flat, cells.train(flat)).count() == 4
