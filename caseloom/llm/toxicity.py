@@ -4,8 +4,9 @@ A text is its set of character 4- to 6-grams (lower case, anything but letters
 and digits as one space), hashed into a fixed number of cells. How many toxic
 and clean labelled texts hold a cell is counted over a bounded sample of the
 training rows; the log of the ratio of the two shares scales the cell. A
-logistic regression on the scaled cells is fitted on a smaller sample, and its
-intercept moved to the base rate of all training rows.
+logistic regression on the scaled cells is fitted on a smaller sample. Its scale
+and threshold come from rows left out of fits and counts in turn, weighted to the
+base rate of all training rows.
 
 Defined results: null and empty texts have no n-gram and score the base rate.
 Without training rows of both labels every text scores the base rate (0.5 if
@@ -33,7 +34,10 @@ SLICES = 64
 COUNT_ROWS = 10_000
 TRAIN_ROWS = 1500
 TRAIN_CHARS = 20_000
-LEAST_TEXTS = 5
+#: Texts that must hold a cell, the likelihood ratio that its shares must reach (chance does once in some 10,000 cells), tasks that count, and parts of the sample of which each is left out once.
+LEAST_TEXTS, LEAST_SURPRISE = 3, 15.0
+COUNT_TASKS = 8
+PARTS = 4
 
 _MULT = np.uint32(0x9E3779B1)
 _ASCII = np.full(128, 32, np.uint32)
@@ -97,8 +101,18 @@ class Model:
 
 
 def log_count_ratios(positive: np.ndarray, negative: np.ndarray, n1: int, n0: int) -> np.ndarray:
+    """Log of the ratio of the two classes' shares of texts with each cell; 0 where chance explains the difference.
+
+    With few texts most cells differ by chance alone, and a text has thousands of
+    them. The test is the likelihood ratio of one share against two.
+    """
     ratio = np.log((positive + 1) / (n1 + 2)) - np.log((negative + 1) / (n0 + 2))
-    return np.where(positive + negative >= LEAST_TEXTS, ratio, 0.0)
+    both = (positive + negative) / max(1, n1 + n0)
+    surprise = np.zeros(len(ratio))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        for seen, n, share in ((positive, n1, both), (negative, n0, both), (n1 - positive, n1, 1 - both), (n0 - negative, n0, 1 - both)):
+            surprise += np.where(seen > 0, 2 * seen * np.log(seen / np.maximum(n * share, 1e-300)), 0.0)
+    return np.where((positive + negative >= LEAST_TEXTS) & (surprise >= LEAST_SURPRISE), ratio, 0.0)
 
 
 def fit(rows: list[np.ndarray], labels: np.ndarray, ratios: np.ndarray, steps: int = 60, penalty: float = 1e-4) -> tuple[np.ndarray, float]:
@@ -126,6 +140,62 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, ratios: np.ndarray, steps: i
     return out, float(b)
 
 
+def margins(rows: list[np.ndarray], weights: np.ndarray, b: float) -> np.ndarray:
+    return np.array([b + float(weights[r].sum(dtype=np.float64)) for r in rows])
+
+
+def calibrated(values: np.ndarray, labels: np.ndarray, n1: int, n0: int) -> tuple[float, float]:
+    """Slope and intercept of a logistic curve on margins of rows that were not fitted, at the base rate of all training rows.
+
+    Labels are smoothed as if one more row of each class had been seen, so that
+    margins that part the classes give a finite slope.
+    """
+    y = np.where(labels == 1, (labels.sum() + 1) / (labels.sum() + 2), 1 / ((1 - labels).sum() + 2))
+    weight = np.where(labels == 1, n1 / max(1, labels.sum()), n0 / max(1, (1 - labels).sum()))
+    weight = weight / weight.mean()
+    slope, b = 1.0, 0.0
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip(slope * values + b, -500, 500)))
+        g, h = weight * (p - y), weight * np.maximum(p * (1 - p), 1e-9)
+        hessian = np.array([[(h * values * values).sum() + 1e-6, (h * values).sum()], [(h * values).sum(), h.sum() + 1e-6]])
+        move = np.linalg.solve(hessian, [(g * values).sum(), g.sum()])
+        move = move / max(1.0, np.abs(move).max())
+        slope, b = slope - move[0], b - move[1]
+        if np.abs(move).max() < 1e-9:
+            break
+    return float(max(slope, 1e-3)), float(b)
+
+
+def learned(rows: list[np.ndarray], labels: np.ndarray, counts: np.ndarray, sizes: np.ndarray, n1: int, n0: int) -> tuple[np.ndarray, float]:
+    """Weights and intercept: a fit on all rows, its scale and threshold from fits that leave a part of the rows out.
+
+    Of a part that is left out the counts are taken back as well, so its margins
+    are those of texts never seen.
+    """
+    part = np.zeros(len(labels), np.int64)
+    for value in (0, 1):
+        own = np.flatnonzero(labels == value)
+        part[own] = np.arange(len(own)) % PARTS
+    values = np.zeros(len(labels))
+    for k in range(PARTS):
+        out, held = part == k, counts.copy()
+        less = np.array([(labels[out] == value).sum() for value in (0, 1)])
+        for r, label in zip(np.flatnonzero(out), labels[out], strict=True):
+            held[label, rows[r]] -= 1
+        weights, b = fitted([r for r, o in zip(rows, out, strict=True) if not o], labels[~out], log_count_ratios(held[1], held[0], *(sizes - less)[::-1]))
+        values[out] = margins([r for r, o in zip(rows, out, strict=True) if o], weights, b)
+    slope, shift = calibrated(values, labels, n1, n0)
+    weights, b = fitted(rows, labels, log_count_ratios(counts[1], counts[0], sizes[1], sizes[0]))
+    return (weights * slope).astype(np.float32), slope * b + shift
+
+
+def fitted(rows: list[np.ndarray], labels: np.ndarray, ratios: np.ndarray) -> tuple[np.ndarray, float]:
+    known = [r[ratios[r] != 0] for r in rows]
+    if not 0 < labels.sum() < len(labels) or not sum(map(len, known)):
+        return np.zeros(CELLS, np.float32), 0.0
+    return fit(known, labels, ratios)
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     features, counts = Features(), np.zeros((2, CELLS), np.int64)
     for batch, texts in batches_of("text", batches):
@@ -146,38 +216,38 @@ def _add(group: pa.Table) -> pa.Table:
 def train(
     docs: DataFrame, labels: DataFrame, target: str = "toxic", count_rows: int = COUNT_ROWS, train_rows: int = TRAIN_ROWS, train_chars: int = TRAIN_CHARS,
 ) -> Model:
-    """Counts over a bounded sample, then a regression on a smaller one, in one task.
+    """Counts over a bounded sample, then a regression on its first rows, in one task.
 
-    What reaches the driver has a fixed size: two counts per cell and one weight.
+    The sample is written once and counted by a fixed number of tasks. What
+    reaches the driver has a fixed size: two counts per cell and one weight.
     """
     known = stored(training_labels(labels, target))
     n0, n1 = base_counts(known)
     prior = float(np.log((n1 + 1) / (n0 + 1)))
     if not n0 or not n1:
         return Model(np.zeros(CELLS, np.float32), prior)
-    rows = bounded_sample(docs, known, count_rows, target, train_chars)
-    counted = mapped(rows.select("text", "label"), _count, "slice int, counts binary").groupBy("slice").applyInArrow(_add, "slice int, counts binary")
+    drawn = stored(bounded_sample(docs, known, count_rows, target, train_chars))
+    sizes = np.array(base_counts(drawn))
+    counted = mapped(drawn.select("text", "label").coalesce(COUNT_TASKS), _count, "slice int, counts binary")
+    counted = counted.groupBy("slice").applyInArrow(_add, "slice int, counts binary")
     counts = np.concatenate(
         [np.frombuffer(r.counts, np.int64).reshape(2, -1) for r in sorted(counted.collect(), key=lambda r: r.slice)], axis=1
     )
-    ratios = log_count_ratios(counts[1], counts[0], min(n1, count_rows), min(n0, count_rows))
-    sample = stored(bounded_sample(docs, known, train_rows, target, train_chars))
+    # The rows of the regression are among the counted ones: those that come first by the same key.
+    least = [known.where(F.col("label") == v).select(F.xxhash64(F.lit(target), "doc_id").alias("key"), "doc_id").orderBy("key", "doc_id").limit(train_rows) for v in (0, 1)]
+    first = F.broadcast(least[0].unionByName(least[1]).select("doc_id"))
+    sample = drawn.join(first, "doc_id", "left_semi").select("doc_id", "text", "label").coalesce(1).sortWithinPartitions("label", "doc_id", "text")
 
     def regress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        features, cells_of, marks = Features(), [], []
+        features, rows, marks = Features(), [], []
         for batch, texts in batches_of("text", batches):
             marks += batch.column("label").to_pylist()
-            for text in texts:
-                found = features(text)
-                cells_of.append(found[ratios[found] != 0])
-        if 0 < sum(marks) < len(marks) and sum(map(len, cells_of)):
-            weights, b = fit(cells_of, np.array(marks), ratios)
-        else:
-            weights, b = np.zeros(CELLS, np.float32), 0.0
+            rows += [features(text) for text in texts]
+        weights, b = learned(rows, np.array(marks, np.int64), counts, sizes, n1, n0) if 0 < sum(marks) < len(marks) else (np.zeros(CELLS, np.float32), prior)
         yield pa.RecordBatch.from_pydict({"weights": pa.array([weights.tobytes()], pa.binary()), "b": pa.array([b])})
 
-    found = mapped(sample.coalesce(1), regress, "weights binary, b double").first()
-    return Model(np.frombuffer(found.weights, np.float32), found.b + prior)
+    found = mapped(sample, regress, "weights binary, b double").first()
+    return Model(np.frombuffer(found.weights, np.float32), found.b)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
