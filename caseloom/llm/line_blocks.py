@@ -13,8 +13,9 @@ asks for a window of some length, at most half of its longest window without
 these weights, so that a page of short lines keeps its text.
 
 Defined results: null and empty pages give an empty text. Each row is read alone
-and whole; repeated rows repeat results. An unclosed tag ends with its parent; an
-unclosed comment, script or style runs to the end of the page.
+and whole; repeated rows repeat results. An unclosed paragraph, list item, term,
+option, cell or row ends where the next one begins, any other unclosed tag with
+its parent; an unclosed comment, script or style runs to the end of the page.
 """
 
 from __future__ import annotations
@@ -41,30 +42,57 @@ BLOCKS = frozenset(
     "title tr ul".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe noembed noframes xmp svg math".split())
+RAW = frozenset("script style textarea title noscript template iframe noembed noframes xmp svg".split())
 NEVER = frozenset(
     "head nav aside footer form menu dialog button select option label fieldset input textarea noscript template iframe object canvas audio video".split()
 )
 PARTS = frozenset(
     "ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion promoted nav navbar navigation menu menus breadcrumb "
     "breadcrumbs header masthead topbar footer foot sidebar sidebars aside rail widget widgets notice notices cookie cookies consent gdpr alert popup "
-    "modal overlay subscribe newsletter signup login form search share sharing social related recommended comment comments disqus reply replies respond "
+    "modal overlay subscribe newsletter signup login form search share sharing social related recommended comment comments discussion disqus reply replies respond "
     "pagination pager toolbar copyright legal skip".split()
 )
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 ARTICLE = frozenset(("article", "main"))
-
+#: Names that tell a part of the page around an article, but not within one, and what follows a name of reading advice.
+AROUND = frozenset("legal reply replies respond header footer banner masthead".split())
+ADVICE = frozenset("related recommended".split())
+ADVISED = frozenset("post posts article articles story stories news content links link items item list box reading pages widget".split())
+#: Elements whose start ends an open one of these, unless one of the elements after it stands between.
+_PARAGRAPH_ENDS = frozenset(
+    "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main "
+    "menu nav ol p pre section summary table ul".split()
+)
+IMPLIED: dict[str, tuple[frozenset[str], frozenset[str]]] = {
+    "li": (frozenset(["li"]), frozenset("ul ol menu dir".split())),
+    "dt": (frozenset("dt dd".split()), frozenset(["dl"])), "dd": (frozenset("dt dd".split()), frozenset(["dl"])),
+    "option": (frozenset(["option"]), frozenset("select datalist".split())), "optgroup": (frozenset("option optgroup".split()), frozenset(["select"])),
+    "td": (frozenset("td th".split()), frozenset(["table"])), "th": (frozenset("td th".split()), frozenset(["table"])),
+    "tr": (frozenset("td th tr".split()), frozenset(["table"])),
+    **{tag: (frozenset("td th tr thead tbody tfoot caption colgroup".split()), frozenset(["table"])) for tag in ("thead", "tbody", "tfoot")},
+}
+#: What a paragraph's implied end does not reach through.
+_SCOPES = frozenset("table td th caption button object html body".split())
+
+# A quote opens a value only after an equals sign; elsewhere it is a character like others.
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)(?:>|\Z)", re.S
+    r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>=]++|=\s*\"[^\"]*\"|=\s*'[^']*'|=)*+)(?:>|\Z)", re.S
 )
-ATTRIBUTE = re.compile(r"([A-Za-z_:][-\w:.]*)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
+ATTRIBUTE = re.compile(r"([A-Za-z_:][-\w:.]*)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>][^\s>]*))")
 
 
-def names_part(value: str) -> bool:
+def names_part(value: str, in_article: bool = False) -> bool:
     """Whether a class or id names a part of the page other than its text."""
-    for name in value.lower().split():
-        parts = [p for p in re.split(r"[-_:]+", re.sub(r"\d+$", "", name)) if p]
-        if parts and not {"with", "has", "no", "without"} & set(parts) and (parts[0] in PARTS or parts[-1] in PARTS):
+    for name in value.split():
+        name = re.sub(r"(?<=[a-z0-9])(?=[A-Z])", "-", re.sub(r"\d+$", "", name)).lower()
+        parts = [p for p in re.split(r"[-_:]+", name) if p]
+        if not parts or {"with", "has", "no", "without"} & set(parts):
+            continue
+        if parts[0] in ADVICE and len(parts) > 1 and parts[1] not in ADVISED and parts[-1] not in PARTS:
+            continue
+        if in_article and set(parts) <= AROUND:
+            continue
+        if parts[0] in PARTS or parts[-1] in PARTS:
             return True
     return False
 
@@ -76,7 +104,7 @@ def outside_text(tag: str, attributes: str, in_article: bool) -> bool:
         return False
     for name, a, b, c in ATTRIBUTE.findall(attributes):
         found, name = unescape(a or b or c), name.lower()
-        if (name in ("class", "id") and names_part(found)) or (name == "role" and found.lower() in ROLES):
+        if (name in ("class", "id") and names_part(found, in_article)) or (name == "role" and found.lower() in ROLES):
             return True
         if (name, found.lower()) == ("aria-hidden", "true"):
             return True
@@ -88,9 +116,40 @@ def lines(page: str) -> tuple[list[tuple[str, bool, bool]], bool]:
     out: list[tuple[str, bool, bool]] = []
     stack: list[tuple[str, bool, bool]] = []
     buffer: list[str] = []
+    opened: dict[str, int] = {}  # how many of each element are open
     marked = False
     state = (True, False)
 
+    def end(k: int) -> None:
+        """Close the k-th open element and all inside it."""
+        nonlocal state
+        if stack[k][1:] != state:
+            close()
+        state = stack[k][1:]
+        for name, *_ in stack[k:]:
+            opened[name] -= 1
+        del stack[k:]
+
+    def imply(tag: str) -> None:
+        """End the elements that the start of this one ends."""
+        if tag in _PARAGRAPH_ENDS and opened.get("p"):
+            for k in range(len(stack) - 1, -1, -1):
+                if stack[k][0] == "p":
+                    end(k)
+                    break
+                if stack[k][0] in _SCOPES:
+                    break
+        ended, scope = IMPLIED.get(tag, ((), ()))
+        if any(opened.get(name) for name in ended):
+            last = None
+            for k in range(len(stack) - 1, -1, -1):
+                if stack[k][0] in scope:
+                    break
+                if stack[k][0] in ended:
+                    last = k
+            if last is not None:
+                end(last)
+
     def close() -> None:
         text = " ".join("".join(buffer).split())
         buffer.clear()
@@ -112,17 +171,13 @@ def lines(page: str) -> tuple[list[tuple[str, bool, bool]], bool]:
         if tag in BLOCKS or tag in NEVER:
             close()
         if token[1]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    if stack[k][1:] != state:
-                        close()
-                    state = stack[k][1:]
-                    del stack[k:]
-                    break
+            if opened.get(tag):
+                end(next(k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag))
             continue
+        imply(tag)
         if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}\s*(?:>|\Z)", re.I).search(page, at)
-            at = end.end() if end else n
+            stop = re.compile(rf"</{re.escape(tag)}\s*(?:>|\Z)", re.I).search(page, at)
+            at = stop.end() if stop else n
             continue
         if tag in VOID or token[3].endswith("/"):
             continue
@@ -132,6 +187,7 @@ def lines(page: str) -> tuple[list[tuple[str, bool, bool]], bool]:
             close()
         marked |= tag in ARTICLE and new[0]
         stack.append((tag, *state))
+        opened[tag] = opened.get(tag, 0) + 1
         state = new
     close()
     return out, marked
