@@ -7,22 +7,33 @@ made from a hash of seed, document id and text, so a rerun, another cluster or
 a lost executor give the same counts. Documents are repeated by their count and
 shuffled globally by another hash.
 
+A mean beyond some hundreds is not summed from 0: its distribution is taken in a
+window of twelve deviations around the mean, below which lies nothing that a
+number of 52 bits could tell from 0. Where a document has many copies, they are
+dealt out in blocks before they are made, so that no task makes them all.
+
 Defined results: a null source is a source of its own; null ids and texts hash
 as a word of their own. Rows that repeat an id and a text share one number and
 so one count. A source without a given weight has weight 0 and is left out by
-choice of the weights. An empty table gives an empty mixture.
+choice of the weights. An empty table gives an empty mixture. Input columns named
+``copy`` or ``place`` come back as ``input_copy`` and ``input_place``; all others
+keep their names.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from caseloom.llm.common import stored
 
 SEED = "mix-1"
+#: The largest mean that is summed from 0, copies of a document that one task makes, and terms that a distribution needs on either side.
+SMALL_MEAN = 200.0
+BLOCK = 1_000
+DEVIATIONS = 12
 #: Distribution tables of at most so many sources are sent to all executors.
 BROADCAST_SOURCES = 10_000
 
@@ -69,9 +80,35 @@ def rates(docs: DataFrame, weights: Mapping[str, float] | None = None, size: int
     return counts.select("source", "n", (share * F.lit(float(rows)) / F.col("n")).alias("rate"))
 
 
+def log_factorial(k: Column) -> Column:
+    """Stirling's series, to double precision from some tens on."""
+    return k * F.log(k) - k + 0.5 * F.log(2 * F.pi() * k) + 1 / (12 * k) - 1 / (360 * k * k * k)
+
+
+def distributions(table: DataFrame) -> DataFrame:
+    """(mix_source, mix_low, mix_steps): P(X <= k) for k = mix_low, mix_low + 1, ... as an array.
+
+    Small means are summed inside their row. Of a large one the terms of the
+    window are rows, summed in order by a window of the source: some 24 times
+    the root of the mean, whatever the number of documents.
+    """
+    rate = F.col("rate")
+    small = table.where(rate <= SMALL_MEAN).select(F.col("source").alias("mix_source"), F.lit(0).cast("long").alias("mix_low"), distribution(rate).alias("mix_steps"))
+    spread = DEVIATIONS * F.sqrt(rate) + 30
+    low = F.greatest(F.floor(rate - spread), F.lit(1)).cast("long")
+    terms = table.where(rate > SMALL_MEAN).select("source", "rate", low.alias("low"), F.explode(F.sequence(low, F.ceil(rate + spread).cast("long"))).alias("k"))
+    k = F.col("k").cast("double")
+    term = F.exp(k * F.log(rate) - rate - log_factorial(k))
+    upto = Window.partitionBy("source").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
+    summed = terms.withColumn("total", F.sum(term).over(upto))
+    # Sums grow with k, so their order is that of k.
+    large = summed.groupBy(F.col("source").alias("mix_source")).agg(F.min("low").alias("mix_low"), F.sort_array(F.collect_list("total")).alias("mix_steps"))
+    return small.unionByName(large)
+
+
 def mix(
     docs: DataFrame, weights: Mapping[str, float] | None = None, size: int | None = None, seed: str = SEED,
-    doc_id: str = "doc_id", text: str = "text", source: str = "source",
+    doc_id: str = "doc_id", text: str = "text", source: str = "source", block: int = BLOCK,
 ) -> DataFrame:
     """The rows of the mixture, shuffled globally: all columns, ``copy`` (from 1) and ``place``.
 
@@ -79,24 +116,43 @@ def mix(
     its hash and sorted by it within partitions, so every copy may stand next to
     any other. One number per row decides its count; the table of distributions
     has one row per source and is broadcast up to a stated number of sources,
-    beyond it joined by shuffle. The rows cross the network once.
+    beyond it joined by shuffle. The rows cross the network once, and documents
+    of sources that may have more than ``block`` copies once for every block.
     """
-    table = rates(docs, weights, size, source)
-    table = table.select(F.col("source").alias("mix_source"), distribution(F.col("rate")).alias("mix_steps"))
+    known = rates(docs, weights, size, source)
+    table = stored(distributions(known))
     few = table.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
-    columns = [c for c in docs.columns if c not in ("copy", "place")]
-    digest = F.md5(F.coalesce(F.col(f"`{text}`"), F.lit("\\N")))
-    base = docs.select(*(F.col(f"`{c}`") for c in columns), digest.alias("mix_digest"))
+    most = known.agg(F.max("rate")).first()[0] or 0.0
+    named, wanted = [], {"copy", "place"}
+    for column in docs.columns:
+        name = f"input_{column}" if column in ("copy", "place") else column
+        while name in wanted:
+            name = f"input_{name}"
+        wanted.add(name)
+        named.append(name)
+    inner = [f"c{k}" for k in range(len(docs.columns))]
+    own = dict(zip(docs.columns, inner, strict=True))
+    rows = docs.toDF(*inner)
+    base = rows.withColumn("mix_digest", F.md5(F.coalesce(F.col(own[text]), F.lit("\\N"))))
     # The number is made below the join, once per row, and only compared above it.
-    base = base.withColumn("mix_number", unit(F.lit(seed), F.col(f"`{doc_id}`"), F.col("mix_digest")))
-    joined = base.join(F.broadcast(table) if few else table, F.col(f"`{source}`").eqNullSafe(F.col("mix_source")))
+    base = base.withColumn("mix_number", unit(F.lit(seed), F.col(own[doc_id]), F.col("mix_digest")))
+    joined = base.join(F.broadcast(table) if few else table, F.col(own[source]).eqNullSafe(F.col("mix_source")))
     # As many steps of the distribution lie at or below the number as the document has copies.
-    passed = F.filter("mix_steps", lambda step: step <= F.col("mix_number"))
-    repeated = joined.select(*(F.col(f"`{c}`") for c in columns), "mix_digest", F.posexplode(passed).alias("mix_place", "mix_step"))
-    repeated = repeated.withColumn("copy", F.col("mix_place") + 1)
-    placed = repeated.withColumn("place", unit(F.lit(seed + "/place"), F.col(f"`{doc_id}`"), F.col("mix_digest"), F.col("copy")))
-    placed = placed.select(*(F.col(f"`{c}`") for c in columns), "copy", "place")
-    return placed.repartition("place").sortWithinPartitions("place", f"`{doc_id}`", "copy")
+    if most <= SMALL_MEAN:
+        passed = F.filter("mix_steps", lambda step: step <= F.col("mix_number"))
+        repeated = joined.select(*inner, "mix_digest", F.posexplode(passed).alias("mix_place", "mix_step"))
+        repeated = repeated.withColumn("mix_copy", F.col("mix_place") + 1)
+    else:
+        many = F.col("mix_low") + F.size(F.filter("mix_steps", lambda step: step <= F.col("mix_number")))
+        counted = joined.select(*inner, "mix_digest", many.alias("mix_count")).where("mix_count > 0")
+        blocks = counted.withColumn("mix_block", F.explode(F.sequence(F.lit(0), F.floor((F.col("mix_count") - 1) / block).cast("int"))))
+        dealt = blocks.repartition(F.xxhash64(own[doc_id], "mix_digest", "mix_block"))
+        first = F.col("mix_block").cast("long") * block
+        made = F.sequence(first + 1, F.least(first + block, F.col("mix_count")))
+        repeated = dealt.select(*inner, "mix_digest", F.explode(made).alias("mix_copy")).withColumn("mix_copy", F.col("mix_copy").cast("int"))
+    placed = repeated.withColumn("mix_at", unit(F.lit(seed + "/place"), F.col(own[doc_id]), F.col("mix_digest"), F.col("mix_copy")))
+    placed = placed.select(*inner, F.col("mix_copy").alias("copy"), F.col("mix_at").alias("place"))
+    return placed.repartition("place").sortWithinPartitions("place", own[doc_id], "copy").toDF(*named, "copy", "place")
 
 
 ORACLE = """

@@ -11,6 +11,7 @@ from collections import Counter
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from caseloom.llm import (
     compression_quality, induced_sort, line_blocks, poisson_mixing, suffix_dedup, surrogates, toxicity, training_suffixes, transport_stream,
@@ -538,3 +539,40 @@ def test_extraction_is_linear_in_unclosed_and_unopened_tags():
     line_blocks.extract("<article>" + "<p>x</b></i>" * 20_000)
     line_blocks.extract("<div>" * 20_000 + "x" + "</q>" * 20_000)
     assert time.perf_counter() - start < 10
+
+
+def test_mixing_of_one_document_among_a_million(spark):
+    """Equal weights give the lone document half a million copies: the count is the inverse of its number, whoever makes the copies."""
+    docs = spark.range(1_000_000).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"), F.when(F.col("id") == 7, "rare").otherwise("much").alias("source"))
+    start = time.perf_counter()
+    found = poisson_mixing.mix(docs)
+    lone = found.where("source = 'rare'")
+    n, least, most, apart = lone.agg(F.count("*"), F.min("copy"), F.max("copy"), F.count_distinct("copy")).first()
+    assert (least, most, apart) == (1, n, n) and abs(n - 500_000) < 6 * 500_000**0.5
+    sizes = lone.groupBy(F.spark_partition_id()).count().collect()
+    assert len(sizes) > 1 and time.perf_counter() - start < 90
+
+
+def test_inverse_of_large_means(spark):
+    rng = np.random.default_rng(1)
+    means = [200.5, 1000.0, 50_000.0, 2_000_000.0]
+    table = spark.createDataFrame([(str(m), m) for m in means], "source string, rate double")
+    for r in poisson_mixing.distributions(table).collect():
+        mean, steps = float(r.mix_source), np.array(r.mix_steps)
+        assert (np.diff(steps) >= 0).all() and abs(steps[-1] - 1) < 1e-6 and steps[0] < 1e-20
+        drawn = r.mix_low + np.searchsorted(steps, rng.random(20_000), "right")
+        assert abs(drawn.mean() - mean) < 5 * (mean / 20_000) ** 0.5 and abs(drawn.var() / mean - 1) < 0.06
+
+
+def test_mixing_keeps_columns_of_all_names(spark):
+    rows = [(k, f"t{k % 3}", "ab"[k % 2], k, 0.5, "n", 2) for k in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, copy int, place double, mix_number string, input_copy int")
+    found = poisson_mixing.mix(docs, block=2)
+    assert found.columns == ["doc_id", "text", "source", "input_copy", "input_place", "mix_number", "input_input_copy", "copy", "place"]
+    assert {(r.mix_number, r.input_place, r.input_input_copy) for r in found.collect()} == {("n", 0.5, 2)}
+    assert all(r.input_copy == r.doc_id for r in found.collect())
+    # The same counts whichever way copies are made: by blocks, or inside the row.
+    want = Counter(r.doc_id for r in found.collect())
+    heavy = poisson_mixing.mix(docs.unionByName(docs.where("false")), size=40 * 300, block=7)
+    assert heavy.groupBy("doc_id").agg((F.max("copy") == F.count("*")).alias("whole")).where("not whole").count() == 0
+    assert abs(heavy.count() - 12_000) < 700 and sum(want.values()) > 10
