@@ -25,6 +25,7 @@ import hmac
 import ipaddress
 import re
 import unicodedata
+from bisect import bisect_left
 from collections.abc import Callable, Iterator, Mapping
 
 import pyarrow as pa
@@ -45,6 +46,19 @@ _TITLES = {
     "u": "Dr Prof Professor Mx",
 }
 GENDER = {t: g for g, words in _TITLES.items() for t in words.split()}
+# Common given names that are hardly ever other words. With a capitalised word after them they name a person without a title.
+_GIVEN = {
+    "f": "Alice Amelia Andrea Angela Anna Barbara Beatrice Camille Carmen Caroline Catherine Charlotte Christine Claudia Deborah Diana Elena Elizabeth "
+    "Emily Emma Eva Fatima Francesca Giulia Greta Hannah Helen Ingrid Isabel Jessica Johanna Julia Karen Katharina Laura Linda Lucia Margaret Maria "
+    "Marie Martha Melanie Michelle Monika Natalia Nicole Olga Patricia Paula Petra Rachel Rebecca Rosa Sabine Sandra Sarah Silvia Sofia Sophie Stephanie "
+    "Susan Svetlana Teresa Ursula Valentina Veronica Victoria",
+    "m": "Adrian Alberto Alejandro Alexander Andreas Andrew Anthony Antonio Benjamin Bernard Bruno Carlos Charles Christian Christopher Daniel David "
+    "Dmitri Eduardo Edward Enrique Fernando Florian Francisco Frederic Friedrich George Giovanni Guillaume Hans Heinrich Henry Ivan Jacques James Javier "
+    "Jean Johannes John Jonathan Jorge Joseph Juan Julien Jürgen Kevin Klaus Laurent Luca Luis Manuel Marco Martin Matthew Matthias Michael Miguel "
+    "Mohammed Nicolas Olivier Pablo Patrick Paul Pedro Peter Philippe Pierre Ricardo Richard Robert Sebastian Sergio Stefan Stephen Thomas Timothy Vladimir "
+    "William Wolfgang",
+}
+GIVEN = {n: g for g, words in _GIVEN.items() for n in words.split()}
 
 
 def _class_of(wanted: Callable[[str], bool]) -> str:
@@ -78,13 +92,20 @@ _KEYWORDS = ("passw", "pwd", "passphrase", "token", "secret", "api_key", "api-ke
 _CLOUD = ("AKIA", "ASIA", "AGPA", "AIDA")
 _SERVICE = ("ghp_", "gho_", "ghs_", "github_pat_", "glpat-", "xoxa-", "xoxb-", "xoxp-", "sk-", "sk_live_", "AIza")
 _TITLED = tuple(GENDER)
+#: Stands for: some capitalised word of the text is a given name.
+_NAMED = tuple(GIVEN)
+_CAPITALISED = re.compile(r"\b[A-Z][^\W\d_]+")
 #: Type, substrings of which a text must hold one to be searched at all, and the pattern. In order of precedence.
 PATTERNS: tuple[tuple[str, tuple[str, ...], re.Pattern], ...] = (
     ("email", ("@",), re.compile(r"(?<![\w.+%-])[\w][\w.+%-]{0,63}@(?:[\w-]{1,63}\.){1,8}[^\W\d_]{2,24}(?![\w-])")),
+    ("key_block", ("-----BEGIN",), re.compile(r"(?s)-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----(?P<value>.*?)(?:-----END [A-Z ]{0,40}PRIVATE KEY-----|\Z)")),
     ("secret", _KEYWORDS, re.compile(
         r"(?i)\b(?:password|passwd|pwd|passphrase|token|secret|api[_-]?key|access[_-]?key|auth[_-]?key|private[_-]?key)\b"
-        r"[\"']?\s{0,3}(?:=>|:=|[:=])\s{0,3}[\"']?(?P<value>[^\s\"',;]{6,})"
+        # Whole, if quoted; else up to a space, of four characters or with a digit, so that "token: no" is left alone.
+        r"[\"']?\s{0,3}(?:=>|:=|[:=])\s{0,3}(?:\"(?P<double>[^\"\n]+)\"|'(?P<single>[^'\n]+)'|[\"']?(?P<value>[^\s\"',;]{4,}|(?=[^\s\"',;]{0,3}\d)[^\s\"',;]+))"
     )),
+    ("secret", ("earer", "asic", "EARER", "ASIC"), re.compile(r"(?i)\b(?:bearer|basic)[ \t]{1,3}(?P<value>(?=[\w.~+/=-]{0,200}\d)[\w.~+/-]{8,}={0,2})")),
+    ("secret", ("eyJ",), re.compile(r"\b(?P<value>eyJ[A-Za-z0-9_-]{6,}\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*)")),
     ("cloud_key", _CLOUD, re.compile(r"\b(?:AKIA|ASIA|AGPA|AIDA)(?P<value>[A-Z0-9]{16})\b")),
     ("service_key", _SERVICE, re.compile(r"\b(?:ghp_|gho_|ghs_|github_pat_|glpat-|xox[abp]-|sk-|sk_live_|AIza)(?P<value>[A-Za-z0-9_-]{16,})")),
     ("iban", _DIGITS, re.compile(r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?\b")),
@@ -97,11 +118,16 @@ PATTERNS: tuple[tuple[str, tuple[str, ...], re.Pattern], ...] = (
         r"(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,5}\)|\d{1,5})(?:[ .-]?\d{2,5}){1,4}(?!\d)"
         # Trunk prefixes 1 and 8 stay, as country codes do.
         r"|(?<![\w.(+-])(?:[18][ .-]?)?(?P<value>(?:\(\d{3}\)[ .-]?|\d{3}[ .-])\d{3}[ .-](?:\d{4}|\d{2}[ .-]\d{2}))(?![\w-])"
+        # Ten or eleven digits in a row only after a word that says so.
+        r"|(?i:\b(?:tel|telephone|phone|call|cell|mobile|fax|whatsapp)\b)[^\w\n]{1,3}(?:(?i:us|me|at|no|number)[^\w\n]{1,3}){0,2}(?P<bare>\d{10,11})(?!\d)"
         r"|(?<![\w.(+-])(?!\d\d[./-]\d\d[./-]\d{4}\b)(?:\(0[1-9]\d{0,4}\) ?|0[1-9]\d{0,4}[ ./-])\d{2,8}(?:[ ./-]\d{2,8}){0,4}(?![\w-])"
     )),
     ("name", _TITLED, re.compile(
         rf"\b(?P<title>{_TITLE}(?:\.?{_GAP}{_TITLE}\b)*)\.?{_GAP}(?P<value>{_LEAD}{_PART}(?:(?:{_GAP}|-){_LEAD}{_PART})*)"
     )),
+    ("name", _NAMED, re.compile(
+        rf"(?<![\w'’-])(?P<value>(?P<given>{'|'.join(sorted(GIVEN, key=len, reverse=True))})(?:(?:{_GAP}|-){_LEAD}{_PART}){{1,4}})"
+    )),
 )
 
 DIGITS = "0123456789"
@@ -262,19 +288,52 @@ def settled_names(found: list[tuple[int, int, str, str]]) -> dict[str, str]:
     return {entity: "name_f" if n > 0 else "name_m" if n < 0 else "name_u" for entity, n in votes.items()}
 
 
+class Spans:
+    """Spans of a text that do not overlap, kept in order."""
+
+    def __init__(self) -> None:
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+
+    def meets(self, start: int, end: int) -> bool:
+        """Whether any span overlaps this one. Only the last that starts before its end can."""
+        k = bisect_left(self.starts, end)
+        return k > 0 and self.ends[k - 1] > start
+
+    def add(self, start: int, end: int) -> None:
+        k = bisect_left(self.starts, start)
+        self.starts.insert(k, start)
+        self.ends.insert(k, end)
+
+
 def mentions(text: str) -> list[tuple[int, int, str, str]]:
     """(start, end, type, canonical entity) of each entity, in text order, without overlaps."""
     found: list[tuple[int, int, str, str]] = []
-    taken: list[tuple[int, int]] = []
+    taken = Spans()
     lowered = text.lower()
     digits = any(d in text for d in _DIGITS)
     for kind, needs, pattern in PATTERNS:
-        if not (digits if needs is _DIGITS else any(x in (lowered if needs is _KEYWORDS else text) for x in needs)):
+        if needs is _DIGITS:
+            worth = digits
+        elif needs is _NAMED:
+            worth = not GIVEN.keys().isdisjoint(_CAPITALISED.findall(text))
+        else:
+            worth = any(x in (lowered if needs is _KEYWORDS else text) for x in needs)
+        if not worth:
             continue
         for m in pattern.finditer(text):
-            group = "value" if m.groupdict().get("value") is not None else 0
+            groups = m.groupdict()
+            group = next((g for g in ("value", "double", "single", "bare") if groups.get(g) is not None), 0)
             start, end = m.span(group)
             value = m[group]
+            if kind == "key_block":
+                # Each line of the block is a secret of its own, so that line breaks stay.
+                for line in re.finditer(r"[^\s\\]{2,}", value):
+                    a, b = start + line.start(), start + line.end()
+                    if not taken.meets(a, b):
+                        taken.add(a, b)
+                        found.append((a, b, "secret", line[0]))
+                continue
             if kind == "ip6":
                 value = value[:-1] if re.search(r"[^:]:\Z", value) else value
                 end = start + len(value)
@@ -285,15 +344,16 @@ def mentions(text: str) -> list[tuple[int, int, str, str]]:
                 continue
             if kind == "phone" and not (9 if value.lstrip("(")[0] == "0" else 8) <= len(re.sub(r"\D", "", value)) <= 15:
                 continue
-            if any(a < end and start < b for a, b in taken):
+            if start == end or taken.meets(start, end):
                 continue
-            taken.append((start, end))
+            taken.add(start, end)
             if kind != "name":
                 found.append((start, end, kind, canonical(kind, value)))
                 continue
             # Name parts are entities of their own, so that a surname alone refers to the same person.
             parts = [(start + p.start(), start + p.end(), p[0]) for p in NAME_PART.finditer(value)]
-            gender = next((g for t in ONE_TITLE.findall(m["title"]) if (g := GENDER[t]) != "u"), "u")
+            known = [GENDER[t] for t in ONE_TITLE.findall(groups.get("title") or "")] + [GIVEN[x] for *_, x in parts if x in GIVEN]
+            gender = next((g for g in known if g != "u"), "u")
             for k, (a, b, part) in enumerate(parts):
                 own = "name_u" if k == len(parts) - 1 or part in _PARTICLES else f"name_{gender}"
                 found.append((a, b, own, canonical("name", part)))
@@ -310,7 +370,7 @@ def mentions(text: str) -> list[tuple[int, int, str, str]]:
             for a, b in spans:
                 entity = canonical("name", text[a:b])
                 # An initial alone tells no one.
-                if entity in names and len(entity) > 1 and not any(x < b and a < y for x, y in taken):
+                if entity in names and len(entity) > 1 and not taken.meets(a, b):
                     found.append((a, b, names[entity], entity))
         # One gender per name of a text; over the corpus it is settled in settled().
         found = [(a, b, names[entity] if kind.startswith("name_") else kind, entity) for a, b, kind, entity in found]
