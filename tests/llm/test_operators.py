@@ -439,7 +439,7 @@ def test_poisson_mixing(spark, docs, nothing, texts):
     assert docs.count() == len(texts)
 
 
-@pytest.mark.parametrize("name", ["op1_host_reputation", "op6_poisson_mixing"])
+@pytest.mark.parametrize("name", ["op1_host_reputation", "op6_poisson_mixing", "op12_fill_middle"])
 def test_against_sql(spark, sf_dir, name):
     from caseloom.llm.catalog import ORACLES, QUERIES
 
