@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from caseloom.operators.filters import sent
+from caseloom.session import cut_lineage
+
 
 def grams(text: Column | str, size: int) -> Column:
     """Distinct character n-grams of a text."""
@@ -107,8 +110,9 @@ def sliding_count(events: DataFrame, keys: list[str], ts: str, seconds: int,
     )
 
 
-#: Ranges that the values of a key are cut into.
-RANGES = 512
+#: Ranges that the values of a key are cut into, and keys whose spans are sent to all tasks at most.
+RANGES = 4096
+SENT_KEYS = 100_000
 
 
 def nearest_rank(frame: DataFrame, keys: list[str], value: str,
@@ -116,21 +120,21 @@ def nearest_rank(frame: DataFrame, keys: list[str], value: str,
     """Floor nearest-rank percentiles per key, exact also where one key has all rows.
 
     The value at index ``floor(p/100 * (n-1))`` of the sorted values; nulls do
-    not count. Approximate quantiles cut the values of a key into ranges of
-    about as many rows each. Counts per range tell which range holds an index
-    and how many rows stand before it; then only the values of that range are
-    counted one by one. All counts combine before the shuffle, and no task
-    sorts more than the distinct values of one range.
+    not count. The span of a key's values is cut into equal ranges. Counts per
+    range tell which range holds an index and how many rows stand before it;
+    then only the values of that range are counted one by one. All counts
+    combine before the shuffle, and no task sorts more than the distinct values
+    of one range.
     """
     key = F.struct(*keys).alias("_key")
     rows = frame.where(F.col(value).isNotNull()).select(key, F.col(value).alias("_v"))
-    steps = [k / RANGES for k in range(1, RANGES)]
-    cuts = rows.groupBy("_key").agg(
-        F.count("*").alias("_total"), F.array_distinct(F.percentile_approx("_v", steps, RANGES * 4)).alias("_cuts")
-    )
-    placed = rows.join(cuts.select("_key", "_cuts"), "_key").select(
-        "_key", "_v", F.size(F.filter("_cuts", lambda c: c < F.col("_v"))).alias("_range")
-    )
+    cuts = rows.groupBy("_key").agg(F.count("*").alias("_total"), F.min("_v").alias("_least"), F.max("_v").alias("_most"))
+    cuts = cut_lineage(cuts)
+    spans = sent(cuts.select("_key", "_least", "_most"), SENT_KEYS)
+    low, high = F.col("_least").cast("double"), F.col("_most").cast("double")
+    # Grows with the value, which is all that exactness needs.
+    place = F.floor((F.col("_v").cast("double") - low) / (high - low) * RANGES).cast("int")
+    placed = rows.join(spans, "_key").select("_key", "_v", F.when(high > low, place).otherwise(0).alias("_range"))
     upto = Window.partitionBy("_key").orderBy("_range").rowsBetween(Window.unboundedPreceding, 0)
     ranges = placed.groupBy("_key", "_range").agg(F.count("*").alias("_n")).withColumn("_upto", F.sum("_n").over(upto))
     asked = F.array(*(
