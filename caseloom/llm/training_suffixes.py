@@ -10,7 +10,13 @@ documents with too large a share of hit words are contaminated.
 Suffixes are ordered by 16-bit codes of their first 16 words, which is enough to
 find windows of up to 16 words; each place found is then compared word by word
 by 64-bit hashes. Documents never move: shards are searched where rows are read.
-The benchmark is sent in blocks of bounded size, one pass each.
+
+Equal windows of the benchmark are looked up once and carry the set of items that
+hold them, so a place is met at most once per window length, however often words
+repeat. For places so met the longest match is searched in a suffix array of the
+benchmark; a match inside a longer one is left out. The benchmark is sent in
+blocks of bounded size, one pass each, and a block's results are stored before
+the next is made.
 
 Defined results: null and empty texts have no words and are clean. An item
 without words matches nothing; a null item id is skipped. Rows that repeat an
@@ -19,10 +25,9 @@ item id are occurrences of one item. Rows that repeat a document repeat results.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
+from functools import cached_property, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -31,14 +36,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from caseloom.llm.common import LOWER, encode, mapped, pick, slices, span_hashes, stored, with_rows, word_spans
+from caseloom.llm.common import BASE, INVERSE, LOWER, encode, mapped, mixed, pick, powers, sized_slices, span_hashes, stored, with_rows, word_spans
 
 WINDOW = 13
 #: A document is contaminated when SHARE * hit words >= words.
 SHARE = 20
 SHARD_BYTES = 1 << 20
-#: Words of the benchmark that one pass sends to the executors (8 bytes each).
+#: Words of the benchmark that one pass sends to the executors (some 30 bytes each).
 BLOCK_WORDS = 4_000_000
+#: Windows that are looked up in a shard at once.
+QUERIES = 1 << 16
 
 IS_WORD = np.zeros(256, bool)
 IS_WORD[0x30:0x3A] = IS_WORD[0x61:0x7B] = IS_WORD[0x80:] = True
@@ -50,15 +57,115 @@ def words_of(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts, span_hashes(data, starts, ends)
 
 
+def prefix_sums(words: np.ndarray) -> np.ndarray:
+    """Sums from which the hash of any run of words follows."""
+    out = np.zeros(len(words) + 1, np.uint64)
+    with np.errstate(over="ignore"):
+        np.cumsum(mixed(words) * powers(BASE, len(words)), out=out[1:])
+    return out
+
+
+def run_hash(sums: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Hash of the runs of ``size`` words from ``start``, equal for equal runs of any sequence."""
+    with np.errstate(over="ignore"):
+        return (sums[start + size] - sums[start]) * powers(INVERSE, len(sums))[start]
+
+
+@dataclass
+class Windows:
+    """The distinct windows of one length, and the sets of items that hold them."""
+
+    #: First word of each distinct window, and the number of its set of items.
+    firsts: np.ndarray
+    group: np.ndarray
+    #: Set k is ``members[bounds[k] : bounds[k + 1]]``. Windows of a passage that items share have one set.
+    bounds: np.ndarray
+    members: np.ndarray
+
+
+def windows_of(hashes: np.ndarray, starts: np.ndarray, owners: np.ndarray) -> Windows:
+    order = np.lexsort((owners, hashes))
+    hashes, starts, owners = hashes[order], starts[order], owners[order]
+    new = np.ones(len(hashes), bool)
+    new[1:] = hashes[1:] != hashes[:-1]
+    once = new.copy()
+    once[1:] |= owners[1:] != owners[:-1]
+    starts, owners, new = starts[once], owners[once], new[once]
+    first = np.flatnonzero(new)
+    with np.errstate(over="ignore"):
+        sets = np.add.reduceat(mixed(owners.astype(np.uint64) + np.uint64(1)), first)
+    _, example, group = np.unique(sets, return_index=True, return_inverse=True)
+    size = np.diff(np.append(first, len(owners)))[example]
+    members = owners[spread(first[example], size)]
+    return Windows(starts[first].astype(np.int32), group.astype(np.int32), np.concatenate([[0], np.cumsum(size)]), members.astype(np.int32))
+
+
+def spread(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start[0], start[0] + 1, ... for each start and size, one after another."""
+    before = np.concatenate([[0], np.cumsum(size)[:-1]])
+    return np.repeat(start - before, size) + np.arange(size.sum())
+
+
 @dataclass
 class Block:
-    """Some items: their words one after another, and the windows to find, by length."""
+    """Some items: their words, each item followed by a stop of value 0, and the windows to find, by length."""
 
     words: np.ndarray
-    #: By window length: first word of each window, and the item it belongs to.
-    windows: dict[int, tuple[np.ndarray, np.ndarray]]
+    #: All suffixes of the words in order, as far as items reach.
+    order: np.ndarray
+    windows: dict[int, Windows]
+    #: The item of each stretch of words between stops.
+    owners: np.ndarray
     ids: list[str]
 
+    @cached_property
+    def stops(self) -> np.ndarray:
+        return np.flatnonzero(self.words == 0)
+
+    @cached_property
+    def sums(self) -> np.ndarray:
+        return prefix_sums(self.words)
+
+    def longest(self, words: np.ndarray, ends: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """How many words from each place ``at`` (of texts that end at ``ends``) some item holds, and that item."""
+        sums = prefix_sums(words)
+
+        def common(place: np.ndarray, end: np.ndarray, other: np.ndarray) -> np.ndarray:
+            low, high = np.zeros(len(place), np.int64), np.minimum(end - place, self.stops[np.searchsorted(self.stops, other)] - other)
+            while (low < high).any():
+                middle = (low + high + 1) // 2
+                same = run_hash(sums, place, middle) == run_hash(self.sums, other, middle)
+                low, high = np.where(same, middle, low), np.where(same, high, middle - 1)
+            return low
+
+        lo, hi = np.zeros(len(at), np.int64), np.full(len(at), len(self.order), np.int64)
+        while (active := np.flatnonzero(lo < hi)).size:
+            middle = (lo[active] + hi[active]) // 2
+            other = self.order[middle].astype(np.int64)
+            size = common(at[active], ends[active], other)
+            after = words[at[active] + size] > self.words[other + size]
+            lo[active[after]] = middle[after] + 1
+            hi[active[~after]] = middle[~after]
+        # The longest common beginning is with one of the two neighbours in the order.
+        near = [self.order[np.clip(lo - k, 0, len(self.order) - 1)].astype(np.int64) for k in (1, 0)]
+        sizes = [common(at, ends, other) for other in near]
+        place = np.where(sizes[0] >= sizes[1], near[0], near[1])
+        return np.maximum(*sizes), self.owners[np.searchsorted(self.stops, place)]
+
+
+def suffix_order(words: np.ndarray, reach: int) -> np.ndarray:
+    """Suffixes by their first ``reach`` words at least, by doubling."""
+    rank = np.unique(words, return_inverse=True)[1].astype(np.int64)
+    order, done = np.argsort(rank, kind="stable"), 1
+    while done < reach and len(words) and rank.max() < len(words) - 1:
+        later = np.concatenate([rank[done:], np.full(min(done, len(rank)), -1, np.int64)])
+        order = np.lexsort((later, rank))
+        new = np.ones(len(order), bool)
+        new[1:] = (rank[order][1:] != rank[order][:-1]) | (later[order][1:] != later[order][:-1])
+        rank[order] = np.cumsum(new) - 1
+        done *= 2
+    return order
+
 
 def block_of(items: list[tuple[str, np.ndarray]]) -> Block:
     ids = sorted({i for i, _ in items})
@@ -71,9 +178,17 @@ def block_of(items: list[tuple[str, np.ndarray]]) -> Block:
         starts = np.arange(at, at + len(words) - size + 1)
         firsts.setdefault(size, []).append(starts)
         owners.setdefault(size, []).append(np.full(len(starts), number[name]))
-        at += len(words)
-    windows = {n: (np.concatenate(firsts[n]), np.concatenate(owners[n])) for n in firsts}
-    return Block(np.concatenate([w for _, w in items]) if items else np.zeros(0, np.uint64), windows, ids)
+        at += len(words) + 1
+    words = np.zeros(at, np.uint64)
+    for start, (_, own) in zip(np.cumsum([0] + [len(w) + 1 for _, w in items]), items):
+        words[start : start + len(own)] = own
+    sums = prefix_sums(words)
+    windows = {}
+    for size in firsts:
+        starts = np.concatenate(firsts[size])
+        windows[size] = windows_of(run_hash(sums, starts, np.int64(size)), starts, np.concatenate(owners[size]))
+    reach = max((len(w) for _, w in items), default=0) + 1
+    return Block(words, suffix_order(words, reach).astype(np.int32), windows, np.array([number[i] for i, _ in items], np.int64), ids)
 
 
 def packed(words: np.ndarray) -> np.ndarray:
@@ -168,28 +283,36 @@ def shard_words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return words, begin
 
 
-def search(words: np.ndarray, begin: np.ndarray, block: Block) -> tuple[np.ndarray, np.ndarray]:
-    """Matches as rows (text, item, first word in text, words), longest on each diagonal; and the word count of each text."""
+def search(words: np.ndarray, begin: np.ndarray, block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Matches as rows (text, first word in text, words, item), the items of each text as rows (text, item), and its word count."""
     array = SuffixArray(words)
-    out = []
-    for size, (firsts, owners) in block.windows.items():
-        query = np.stack([block.words[firsts + k] for k in range(size)], 1)
-        rows, at = array.places(query, size)
+    matches, items = [np.zeros((0, 4), np.int64)], [np.zeros((0, 2), np.int64)]
+    for size, own in block.windows.items():
+        parts = []
+        for low in range(0, len(own.firsts), QUERIES):
+            query = block.words[own.firsts[low : low + QUERIES, None] + np.arange(size)]
+            rows, at = array.places(query, size)
+            parts.append((rows + low, at))
+        which, at = (np.concatenate(p) for p in zip(*parts))
         if not len(at):
             continue
-        # Windows that follow each other in item and text lie on one diagonal.
-        diagonal = at - firsts[rows]
-        order = np.lexsort((at, diagonal, owners[rows]))
-        rows, at, diagonal = rows[order], at[order], diagonal[order]
-        owner = owners[rows]
-        new = np.ones(len(at), bool)
-        new[1:] = (owner[1:] != owner[:-1]) | (diagonal[1:] != diagonal[:-1]) | (at[1:] != at[:-1] + 1)
-        first = np.flatnonzero(new)
-        last = np.append(first[1:], len(at)) - 1
-        text = np.searchsorted(begin, at[first], "right") - 1
-        out.append(np.stack([text, owner[first], at[first] - begin[text], at[last] - at[first] + size], 1))
-    matches = np.concatenate(out) if out else np.zeros((0, 4), np.int64)
-    return matches[np.lexsort((matches[:, 3], matches[:, 2], matches[:, 1], matches[:, 0]))], np.diff(begin) - 1
+        # Windows are distinct, so each place stands here once.
+        order = np.argsort(at)
+        which, at = which[order], at[order]
+        text = np.searchsorted(begin, at, "right") - 1
+        held = np.unique(np.stack([text, own.group[which]], 1), axis=0)
+        count = (own.bounds[1:] - own.bounds[:-1])[held[:, 1]]
+        items.append(np.stack([np.repeat(held[:, 0], count), own.members[spread(own.bounds[held[:, 1]], count)]], 1))
+        if size == WINDOW:
+            length, item = block.longest(words, begin[text + 1] - 1, at)
+        else:
+            length, item = np.full(len(at), size), own.members[own.bounds[own.group[which]]]
+        stop = at + length
+        kept = np.ones(len(at), bool)
+        kept[1:] = stop[1:] > np.maximum.accumulate(stop)[:-1]
+        matches.append(np.stack([text, at - begin[text], length, item], 1)[kept])
+    found = np.concatenate(matches)
+    return found[np.lexsort(found.T[::-1])], np.unique(np.concatenate(items), axis=0), np.diff(begin) - 1
 
 
 MATCH = pa.struct([("item_id", pa.string()), ("start", pa.int64()), ("n_words", pa.int64())])
@@ -198,20 +321,24 @@ MATCH = pa.struct([("item_id", pa.string()), ("start", pa.int64()), ("n_words",
 def _searched(shared: Broadcast, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     block: Block = shared.value
 
+    names = np.array(block.ids, object)
+
     def flush(ids: list, texts: list[str], kind: pa.DataType) -> pa.RecordBatch:
-        matches, n_words = search(*shard_words(texts), block)
-        bounds = np.searchsorted(matches[:, 0], np.arange(len(texts) + 1))
-        names = pa.array(block.ids, pa.string()).take(pa.array(matches[:, 1])) if len(matches) else pa.array([], pa.string())
-        values = pa.StructArray.from_arrays([names, pa.array(matches[:, 2]), pa.array(matches[:, 3])], fields=list(MATCH))
+        matches, items, n_words = search(*shard_words(texts), block)
+
+        def lists(rows: np.ndarray, values: pa.Array) -> pa.Array:
+            return pa.ListArray.from_arrays(pa.array(np.searchsorted(rows[:, 0], np.arange(len(texts) + 1)), pa.int32()), values)
+
+        named = pa.StructArray.from_arrays([pa.array(names[matches[:, 3]], pa.string()), pa.array(matches[:, 1]), pa.array(matches[:, 2])], fields=list(MATCH))
         return pa.RecordBatch.from_arrays(
-            [pa.array(ids, kind), pa.array(n_words, pa.int64()), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), values)],
-            ["doc_id", "n_words", "matches"],
+            [pa.array(ids, kind), pa.array(n_words, pa.int64()), lists(matches, named), lists(items, pa.array(names[items[:, 1]], pa.string()))],
+            ["doc_id", "n_words", "matches", "items"],
         )
 
     ids: list = []
     texts: list[str] = []
     size, kind = 0, pa.int64()
-    for batch in (part for whole in batches for part in slices(whole)):
+    for batch in (part for whole in batches for part in sized_slices(whole)):
         kind = batch.schema.field("doc_id").type
         for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
             ids.append(doc_id)
@@ -241,31 +368,41 @@ def blocks(items: DataFrame, most: int = BLOCK_WORDS) -> Iterator[Block]:
 
 
 def matches(docs: DataFrame, items: DataFrame, most: int = BLOCK_WORDS) -> DataFrame:
-    """(doc_id, n_words, matches) per row: every longest verbatim match and its place in words.
+    """(doc_id, n_words, matches, items) per row.
+
+    ``matches`` holds the longest verbatim match of every place that a window
+    meets, with one item that holds it; matches inside a longer one are left
+    out. ``items`` holds all items with a window in the text.
 
-    With one block, the usual case, rows are not shuffled. Passes over further
-    blocks are united by document id and text.
+    With one block, the usual case, rows are not shuffled. Of further blocks the
+    executors hold one at a time and the driver two: a block's results are
+    stored, by the number of the row, before the next one is sent. Later passes store only rows with matches.
     """
     rows = pick(docs, doc_id="doc_id", text="text")
     context = docs.sparkSession.sparkContext
-    sent = [context.broadcast(block) for block in blocks(items, most)]
-    if len(sent) == 1:
-        return searched(rows, sent[0])
-    # Equal rows are searched once; a number stands for id and text while passes are united.
-    keyed = stored(rows.distinct().withColumn("row", F.monotonically_increasing_id()))
+    source = blocks(items, most)
+    block, following = next(source), next(source, None)
+    if following is None:
+        return searched(rows, context.broadcast(block))
+    keyed = stored(rows.withColumn("row", F.monotonically_increasing_id()))
     texts = keyed.select(F.col("row").alias("doc_id"), "text")
-    passes = [searched(texts, block) for block in sent]
+    passes: list[DataFrame] = []
+    while block is not None:
+        sent = context.broadcast(block)
+        found = searched(texts, sent)
+        passes.append(stored(found.where(F.size("items") > 0) if passes else found))
+        sent.destroy()
+        block, following = following, next(source, None)
     united = reduce(DataFrame.unionByName, passes).groupBy("doc_id").agg(
-        F.max("n_words").alias("n_words"), F.flatten(F.collect_list("matches")).alias("matches")
+        F.max("n_words").alias("n_words"), F.flatten(F.collect_list("matches")).alias("matches"),
+        F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"),
     )
-    found = keyed.join(united.withColumnRenamed("doc_id", "row"), "row").select("doc_id", "text", "n_words", "matches")
-    same = F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & F.col("a.text").eqNullSafe(F.col("b.text"))
-    return rows.alias("a").join(found.alias("b"), same).select("a.doc_id", "b.n_words", "b.matches")
+    return keyed.select("doc_id", "row").join(united.withColumnRenamed("doc_id", "row"), "row").drop("row")
 
 
 def searched(rows: DataFrame, block: Broadcast) -> DataFrame:
     match = T.StructType().add("item_id", "string").add("start", "long").add("n_words", "long")
-    schema = rows.select("doc_id").schema.add("n_words", "long").add("matches", T.ArrayType(match))
+    schema = rows.select("doc_id").schema.add("n_words", "long").add("matches", T.ArrayType(match)).add("items", T.ArrayType(T.StringType()))
     return mapped(rows, lambda batches: _searched(block, batches), schema)
 
 
@@ -283,8 +420,8 @@ def hit_words(spans: Column) -> Column:
 
 def judged(found: DataFrame, share: int = SHARE) -> DataFrame:
     """(doc_id, n_words, n_hit, n_items, items, contaminated, longest) from matches."""
-    rows = found.select("doc_id", "n_words", "matches", hit_words(F.col("matches")).alias("n_hit"))
-    items = F.array_sort(F.array_distinct(F.transform("matches", lambda m: m.item_id)))
+    rows = found.select("doc_id", "n_words", "matches", "items", hit_words(F.col("matches")).alias("n_hit"))
+    items = F.array_sort("items")
     longest = F.coalesce(F.array_max(F.transform("matches", lambda m: m.n_words)), F.lit(0))
     bad = (F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words"))
     return rows.select(

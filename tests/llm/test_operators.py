@@ -198,6 +198,45 @@ def test_longest_match_and_place(spark):
     assert [tuple(m) for m in found.matches] == [("b", 2, 30)]
 
 
+def test_benchmark_matches_are_the_longest_of_each_place():
+    """Texts of two words, so that windows repeat everywhere, against a plain loop."""
+    rng = random.Random(3)
+    for _ in range(60):
+        items = [(f"i{k % 5}", " ".join(rng.choices("ab", k=rng.choice([1, 5, 12, 13, 14, 30, 60])))) for k in range(rng.randrange(1, 8))]
+        texts = [" ".join(rng.choices("aab", k=rng.choice([0, 5, 20, 80, 200]))) for _ in range(4)]
+        block = training_suffixes.block_of([(i, training_suffixes.shard_words([t])[0][:-1]) for i, t in items])
+        found, held, _ = training_suffixes.search(*training_suffixes.shard_words(texts), block)
+        for k, text in enumerate(texts):
+            own, holders, hit, longest = text.split(), set(), set(), {}
+            for name, item in items:
+                its = item.split()
+                size = min(13, len(its))
+                for at in range(len(own) - size + 1):
+                    for f in range(len(its) - size + 1):
+                        if own[at : at + size] == its[f : f + size]:
+                            holders.add(name)
+                            while at + size < len(own) and f + size < len(its) and own[at + size] == its[f + size]:
+                                size += 1
+                            hit |= set(range(at, at + size))
+                            longest[at] = max(longest.get(at, 0), size if len(its) >= 13 else 0)
+                            size = min(13, len(its))
+            assert {block.ids[i] for t, i in held if t == k} == holders
+            mine = [tuple(map(int, row[1:])) for row in found if row[0] == k]
+            assert {w for start, size, _ in mine for w in range(start, start + size)} == hit
+            assert all(f" {' '.join(own[a : a + n])} " in " ".join(f" {t} |" for i, t in items if i == block.ids[o]) for a, n, o in mine)
+            reach = 0
+            for at in sorted(longest):
+                if longest[at] and at + longest[at] > reach:
+                    reach = at + longest[at]
+                    assert (at, longest[at]) in {m[:2] for m in mine}
+
+
+def test_benchmark_search_of_a_repeated_word_stays_small():
+    block = training_suffixes.block_of([("a", training_suffixes.shard_words(["x " * 400])[0][:-1])])
+    found, held, counts = training_suffixes.search(*training_suffixes.shard_words(["x " * 20_000]), block)
+    assert len(found) == 20_000 - 399 and set(found[:, 2]) == {400} and held.tolist() == [[0, 0]] and counts.tolist() == [20_000]
+
+
 def test_toxicity_and_quality_on_held_out_rows(spark, sf_dir):
     for table in ("documents", "labels"):
         spark.read.parquet(f"{sf_dir.replace('0.001', '0.01')}/{table}.parquet").createOrReplaceTempView(f"own_{table}")
