@@ -5,6 +5,7 @@ A text is cut into blocks, each block is compressed with either dictionary, and
 the summed sizes are compared: (bad - good) / (bad + good), above 0 where the
 good dictionary fits better. A logistic curve over this difference and the
 compressed share of the text, fitted on other labelled rows, gives the score.
+The length of a text is no term of it.
 
 Defined results: null and empty texts have no bytes and take the share of good
 rows among all training rows; so does every text when one label has no rows.
@@ -63,25 +64,25 @@ class Sizes:
         return good, bad
 
 
-def signals(sizes: Sizes, text: str) -> tuple[float, float, float] | None:
-    """(difference, share of bytes left, log length), none for an empty text."""
+def signals(sizes: Sizes, text: str) -> tuple[float, float] | None:
+    """(difference, share of bytes left), none for an empty text."""
     data = encode(text)
     if not data:
         return None
     good, bad = sizes(data)
-    return (bad - good) / (bad + good), min(good, bad) / len(data), float(np.log(len(data)))
+    return (bad - good) / (bad + good), min(good, bad) / len(data)
 
 
-def value(curve: tuple[float, ...], signal: tuple[float, float, float]) -> float:
-    d, share, length = signal
-    x = np.array([1.0, d, share, d * d, share * share, d * share, length])
+def value(curve: tuple[float, ...], signal: tuple[float, float]) -> float:
+    d, share = signal
+    x = np.array([1.0, d, share, d * d, share * share, d * share])
     return float(np.clip(np.dot(curve, x), -700, 700))
 
 
 def fit_curve(points: np.ndarray, y: np.ndarray, penalty: float = 1e-6, steps: int = 50) -> tuple[float, ...]:
     """Class-balanced logistic regression by Newton steps, on scaled columns."""
-    d, share, length = points.T
-    x = np.stack([np.ones(len(d)), d, share, d * d, share * share, d * share, length], 1)
+    d, share = points.T
+    x = np.stack([np.ones(len(d)), d, share, d * d, share * share, d * share], 1)
     scale = np.maximum(np.abs(x).max(0), 1e-9)
     x = x / scale
     weight = np.where(y == 1, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum()))
