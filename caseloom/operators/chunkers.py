@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from caseloom.defaults import DEFAULTS, Defaults
 from caseloom.functions import paths
 from caseloom.functions.patterns import (
-    WORD, contains_any, first_match, first_of, let, newline_lines, sorted_set,
+    LINE_BREAK, WORD, contains_any, first_match, first_of, let, newline_lines, sorted_set,
     split_lines, strings, strip, words,
 )
 from caseloom.operators.sections import (
@@ -57,6 +57,19 @@ JAVA_DECL = (
 PY_TOP = rf"^(async\s+def|def|class)\s+({NAME})"
 PY_ANY = r"^\s*(?:async\s+def|def|class)\s"
 
+#: Put before lines that begin inside a string or comment; no declaration begins with it.
+INSIDE = "\u0001"
+# Strings and comments, longest form first. Repetitions are possessive, so that long tokens need no stack.
+PLAIN_STRINGS = r'''"(?:[^"\\\n]|\\.)*+"|'(?:[^'\\\n]|\\.)*+\''''
+BLOCK_COMMENT = r"/\*(?:[^*]|\*(?!/))*+\*/|//[^\n]*+"
+TRIPLE_STRING = r'''"""(?:[^"\\]|\\.|"(?!""))*+"""'''
+PY_TOKENS = TRIPLE_STRING + "|" + TRIPLE_STRING.replace('"', "'") + "|" + PLAIN_STRINGS + r"|#[^\n]*+"
+GO_TOKENS = f"{BLOCK_COMMENT}|{PLAIN_STRINGS}|`[^`]*+`"
+JAVA_TOKENS = f"{BLOCK_COMMENT}|{TRIPLE_STRING}|{PLAIN_STRINGS}"
+PROTO_TOKENS = f"{BLOCK_COMMENT}|{PLAIN_STRINGS}"
+JS_REGEX = r"(?<=[=(,:;!&|?{}\[\n]\s{0,4})/(?![*/])(?:[^/\\\[\n]|\\.|\[(?:[^\]\\\n]|\\.)*+\])++/"
+JS_TOKENS = BLOCK_COMMENT + "|" + JS_REGEX + "|" + PLAIN_STRINGS + r"|`(?:[^`\\]|\\.)*+`"
+
 
 def emit(docs: DataFrame, chunks: Column) -> DataFrame:
     """One row per chunk, next to the keys of its document."""
@@ -400,6 +413,25 @@ def patch() -> Column:
 # --- code -------------------------------------------------------------------
 
 
+def code_lines(content: Column | str, tokens: str, split: Callable[[Column], Column] = split_lines) -> Column:
+    """Lines of a source text, those marked that begin inside a string or comment.
+
+    The text is read from left to right as tokens and what lies between them.
+    An opening that nothing closes is code like any other, so a stray quote
+    hides no declaration. A string inside a template string's braces ends it.
+    """
+    content = F.col(content) if isinstance(content, str) else content
+    pieces = F.regexp_extract_all(content, F.lit(rf"(?s){tokens}|[^\"'`/#]++|."), F.lit(0))
+    hidden = F.transform(
+        pieces,
+        lambda piece: F.when(
+            piece.rlike(r"^[\"'`/]"), F.regexp_replace(piece, rf"({LINE_BREAK})", f"$1{INSIDE}")
+        ).otherwise(piece),
+    )
+    several = content.rlike(r"/\*|`|\"\"\"|'''|\\\n")
+    return split(F.when(several, F.array_join(hidden, "")).otherwise(content))
+
+
 def _declared(
     declaration: Callable[[Column], Column],
     types: dict[str, str],
@@ -408,13 +440,16 @@ def _declared(
     preamble: Column | str,
     fallback: Column | str,
     source_type: str = "code",
+    tokens: str,
     package: Column | None = None,
     prefix: Column | None = None,
 ) -> Column:
     """Preamble, one chunk per declaration up to the next, or the whole file.
 
     ``declaration`` gives a (kind, symbol) struct for a line, NULL for others;
-    ``prefix`` is put before the chunk types, for languages that share a grammar.
+    ``tokens`` are the language's strings and comments, inside which nothing is
+    declared; ``prefix`` is put before the chunk types, for languages that share
+    a grammar.
     """
     as_lit = lambda v: v if isinstance(v, Column) else F.lit(v)
     fallback, preamble, language = as_lit(fallback), as_lit(preamble), as_lit(language)
@@ -433,7 +468,7 @@ def _declared(
     def cut(lines: Column) -> Column:
         found = F.array_compact(
             F.transform(
-                lines,
+                code_lines("content", tokens),
                 lambda line, i: let(
                     declaration(line),
                     lambda d: F.when(
@@ -512,6 +547,7 @@ def go() -> Column:
     }
     return _declared(
         declaration, types, language="go", preamble="go_module", fallback="go_fallback",
+        tokens=GO_TOKENS,
         package=first_match("content", GO_PACKAGE),
     )
 
@@ -529,7 +565,7 @@ def proto() -> Column:
     }
     return _declared(
         declaration, types, language="proto", preamble="proto_preamble",
-        fallback="proto_fallback", source_type="api_doc",
+        fallback="proto_fallback", source_type="api_doc", tokens=PROTO_TOKENS,
         package=first_match("content", PROTO_PACKAGE),
     )
 
@@ -555,7 +591,7 @@ def script() -> Column:
         language,
         lambda lang: _declared(
             declaration, types, language=lang, preamble=F.concat(lang, F.lit("_module")),
-            fallback=F.concat(lang, F.lit("_fallback")), prefix=lang,
+            fallback=F.concat(lang, F.lit("_fallback")), prefix=lang, tokens=JS_TOKENS,
         ),
     )
 
@@ -577,7 +613,7 @@ def java() -> Column:
     }
     return _declared(
         declaration, types, language="java", preamble="java_package",
-        fallback="java_fallback",
+        fallback="java_fallback", tokens=JAVA_TOKENS,
     )
 
 
@@ -585,7 +621,8 @@ def python() -> Column:
     """Top-level functions and classes, found by their place in the margin.
 
     A block runs from its ``def`` or ``class`` line to the line before the next
-    statement in the margin, without trailing blanks and comments.
+    statement in the margin, without trailing blanks and comments. Lines that
+    begin inside a string are no statements.
     """
 
     def common(**fields: Column) -> Column:
@@ -594,9 +631,9 @@ def python() -> Column:
             service_name=F.col("service_name"), **fields,
         )
 
-    def cut(lines: Column) -> Column:
-        statements = line_numbers(lines, lambda line: line.rlike(r"^[^\s#)\]}]"))
-        first_def = F.array_min(line_numbers(lines, lambda line: line.rlike(PY_ANY)))
+    def cut(lines: Column, marked: Column) -> Column:
+        statements = line_numbers(marked, lambda line: line.rlike(rf"^[^\s#)\]}}{INSIDE}]"))
+        first_def = F.array_min(line_numbers(marked, lambda line: line.rlike(PY_ANY)))
 
         def block(r: Column) -> Column:
             head = F.get(lines, r["start"] - 1)
@@ -644,7 +681,8 @@ def python() -> Column:
         )
         return let(parts, lambda p: F.when(F.size(p) > 0, p).otherwise(F.array(whole)))
 
-    return let(newline_lines("content"), cut)
+    marked = code_lines("content", PY_TOKENS, newline_lines)
+    return let(newline_lines("content"), lambda lines: let(marked, lambda m: cut(lines, m)))
 
 
 def generic_code() -> Column:

@@ -389,6 +389,23 @@ def code_declarations(t: Load) -> DataFrame:
     )
 
 
+@query(
+    "code_declarations_quoted",
+    "SELECT doc_id, CASE WHEN c.a = 1 THEN 1 ELSE c.a + shift END AS start_line, c.b + shift AS end_line, c.t AS chunk_type, c.s AS title FROM ("
+    + _CODE_SQL.format().replace("SELECT doc_id, t.*", "SELECT doc_id, length(content) - length(replace(content, chr(10), '')) + 2 AS shift, t.*").replace("{{", "{").replace("}}", "}") + ")",
+)
+def code_declarations_quoted(t: Load) -> DataFrame:
+    """Files that first hold their own text as a comment or string: nothing in it is declared."""
+    opened = F.when(F.col("kind") == 4, 'DOC = """\n').otherwise("/*\n")
+    closed = F.when(F.col("kind") == 4, '"""\n').otherwise("*/\n")
+    files = t("v_code_docs").where("kind < 5").withColumn("content", F.concat(opened, "content", closed, "content"))
+    c = chunkers.emit(_docs(files).withColumn("parser", chunkers.parser_name("path", "source_type")), chunkers.dispatched())
+    return c.select(
+        F.col("document_id").alias("doc_id"), big("start_line").alias("start_line"), big("end_line").alias("end_line"), "chunk_type",
+        F.col("section_title").alias("title"),
+    )
+
+
 @query(
     "structured_config_blocks",
     """SELECT doc_id, c.t AS chunk_type, c.s AS title, c.e AS endpoint FROM (SELECT doc_id, unnest(CASE kind

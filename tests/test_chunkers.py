@@ -104,3 +104,31 @@ def test_document_lists_reach_the_chunks(spark):
     )
     row = store.final_chunks(docs).first()
     assert row.metadata_lists["symbol_names"] == ["f", "g"] and "unknown" not in row.metadata_lists
+
+
+def test_nothing_is_declared_inside_strings_and_comments(spark):
+    def titles(path, content):
+        return [(r.section_title, r.start_line, r.end_line) for r in cut(spark, path, content, "api_doc" if path.endswith("proto") else "code") if r.section_title]
+
+    text = 'def f():\n    """Use:\ndef g():\n    pass\n\'\'\' "\n    """\n    return 1\n\nX = \'\'\'\nclass A:\n\'\'\'\ny = \'"""\'\ndef h():\n    return 2\n'
+    assert titles("a/f.py", text) == [("def f", 1, 7), ("def h", 13, 14)]
+    assert titles("a/f.py", 'x = 1\x0c\n"""\ndef no():\n"""\rdef f():\n    pass\ndef g():\n    pass\n')[-1] == ("def g", 6, 7)
+    # Nothing closes the string, so the line after it is code.
+    assert titles("a/f.py", 'x = """\ndef f():\n    pass\n')[-1] == ("def f", 2, 3)
+    text = "/*\nfunc A() {}\n*/\nfunc B() {\n  s := `\nfunc C() {}\n`\n}\n// it's `\nfunc D() {}\n// `\n"
+    assert titles("a/f.go", text)[1:] == [("function B", 4, 9), ("function D", 10, 11)]
+    text = "const r = /[`/]'/\nconst s = `a\nfunction no() {}\n\\`\nclass No {}\n`\nfunction yes() {}\nconst u = 'http://x' // `\nclass Yes {}\n/** class X\nclass Z {}\n*/\n"
+    assert titles("a/f.ts", text)[1:] == [("function yes", 7, 8), ("class Yes", 9, 12)]
+    text = 'class A {\n  String s = """\n  void no() {\n  """;\n  /* void\n  void no2() {\n  */ void yes() {\n  }\n  void last() {\n  }\n}\n'
+    assert titles("a/A.java", text) == [("class A", 1, 8), ("function last", 9, 11)]
+    assert titles("a/a.proto", "/*\nmessage No {}\n*/\nmessage Yes {}\n")[1:] == [("message Yes", 4, 4)]
+
+
+def test_long_strings_and_comments_need_no_stack(spark):
+    for build, path, opened, closed, tail in (
+        (chunkers.python, "a/f.py", '"""', '"""', "def f():\n    pass\n"), (chunkers.go, "a/f.go", "/*", "*/", "func f() {}\n"),
+        (chunkers.script, "a/f.js", "`", "`", "function f() {}\n"), (chunkers.java, "a/F.java", '"', '"', "class f {}\n"),
+    ):
+        body = "x \\\\ * \\n" * 60_000 if path != "a/f.py" else "x \\n \" '\n" * 60_000
+        rows = cut(spark, path, f"x = {opened}{body}{closed}\n{tail}", build=build)
+        assert rows[-1].section_title.endswith(" f"), path
