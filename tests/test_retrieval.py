@@ -264,3 +264,14 @@ def test_cells_of_few_or_no_points(spark):
     assert cells.train(empty).centres.shape == (1, 1)
     flat = spark.createDataFrame([("p", f"c{k}", [0.0, 0.0]) for k in range(3)] + [("p", "d", [1.0, 0.0])], schema)
     assert cells.train(flat).centres.shape[1] == 2 and cells.with_cell(flat, cells.train(flat)).count() == 4
+
+
+def test_a_query_builds_only_the_tables_it_reads(spark, sf_dir, monkeypatch):
+    from caseloom.plans import corpus
+    from caseloom.plans.catalog import QUERIES
+
+    monkeypatch.setattr(corpus, "_BUILT", {})
+    QUERIES["evidence_relations"](spark, sf_dir)
+    assert {key[-1] for key in corpus._BUILT} == {"chunks"}
+    QUERIES["graph_search"](spark, sf_dir)
+    assert {key[-1] for key in corpus._BUILT} == {"chunks", "edges"}
