@@ -266,6 +266,24 @@ def test_cells_of_few_or_no_points(spark):
     assert cells.train(flat).centres.shape[1] == 2 and cells.with_cell(flat, cells.train(flat)).count() == 4
 
 
+def test_graph_search_pairs_edges_with_searches_not_questions(spark, monkeypatch):
+    from caseloom.operators import relations
+
+    rows = [(f"q{i}", "p", "architecture", 2 + i % 2, ["svc1"], [], []) for i in range(40)]
+    asked = spark.createDataFrame(rows, "question_id string, project_id string, intent string, fetch_k int, services array<string>, endpoints array<string>, query_terms array<string>")
+    edges = spark.createDataFrame(
+        [("p", f"c{i:02d}", "defines" if i % 10 == 3 else "contains", "service:svc1", f"path:{i}") for i in range(30)],
+        "project_id string, evidence_chunk_id string, relation_type string, from_key string, to_key string",
+    )
+    joined = []
+    monkeypatch.setattr(relations, "top_per", lambda frame, *a, f=relations.top_per, **k: joined.append(frame.count()) or f(frame, *a, **k))
+    hits = relations.graph_search(asked, edges, 3)
+    first = ["c03", "c13", "c23"]
+    assert {(r.question_id, r.chunk_id, r["rank"]) for r in hits.collect()} == {(f"q{i}", first[k], k + 1) for i in range(40) for k in range(2 + i % 2)}
+    # Edges are cut by what they mention, searches by their chunks; only the last cut is by question.
+    assert joined == [30, 6, 120]
+
+
 def test_a_query_builds_only_the_tables_it_reads(spark, sf_dir, monkeypatch):
     from caseloom.plans import corpus
     from caseloom.plans.catalog import QUERIES
