@@ -266,6 +266,26 @@ def test_cells_of_few_or_no_points(spark):
     assert cells.train(flat).centres.shape[1] == 2 and cells.with_cell(flat, cells.train(flat)).count() == 4
 
 
+def test_best_hits_equal_numpy_over_many_cuts(monkeypatch):
+    monkeypatch.setattr(vector, "GATHERED", 40)
+    rng = np.random.default_rng(3)
+    # Few distinct scores, so that names decide, and names in no order of rows.
+    scores = np.round(rng.normal(size=(11, 600)), 1)
+    names = np.array([f"c{i}" for i in rng.permutation(600)], dtype=object)
+    budgets = np.array([3, 7] * 5 + [4])
+    best = vector.Best(budgets)
+    for at in range(0, 600, 50):
+        rows = best.rows(names[at : at + 50])
+        for own in (np.arange(6), np.arange(6, 11)):
+            best.add(own, scores[own, at : at + 50] + rng.normal(scale=1e-8, size=(len(own), 50)), rows, 7)
+    q, score, name = best.cut()
+    for k in range(11):
+        order = np.lexsort((names.astype(str), -scores[k]))[: budgets[k]]
+        assert list(zip(score[q == k], name[q == k], strict=True)) == list(zip(scores[k][order], names[order], strict=True))
+    # Names of rows without hits are dropped.
+    assert len(best.names) <= 200
+
+
 def test_graph_search_pairs_edges_with_searches_not_questions(spark, monkeypatch):
     from caseloom.operators import relations
 
