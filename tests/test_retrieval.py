@@ -286,6 +286,45 @@ def test_best_hits_equal_numpy_over_many_cuts(monkeypatch):
     assert len(best.names) <= 200
 
 
+def test_ties_are_held_only_where_their_names_come_first():
+    best = vector.Best(np.array([3, 2]))
+    for at in range(0, 5000, 500):
+        rows = best.rows(np.array([f"c{i:04d}" for i in range(at, at + 500)], dtype=object))
+        best.add(np.arange(2), np.full((2, 500), 0.5), rows, 3)
+        if at:
+            # Nothing after the first rows can be among the best, though all tie.
+            assert best.held == 0
+        best.cut()
+    assert best.cut()[2].tolist() == ["c0000", "c0001", "c0002", "c0000", "c0001"]
+
+
+def test_questions_of_a_product_share_their_coordinates():
+    rng = np.random.default_rng(4)
+    matrix = np.zeros((300, 400))
+    for k in range(300):
+        matrix[k, [k % 5, 10 + k % 5, 20 + k % 5 * 60 + int(rng.integers(0, 60))]] = 1.0
+    group = vector.Group((), np.arange(300), matrix.copy(), 3)
+    assert max(map(len, group.places)) < 150
+    dense = rng.normal(size=(50, 400))
+    found = np.zeros((300, 50))
+    for numbers, scores in group.tiles(dense):
+        found[numbers] = scores
+    assert np.allclose(found, matrix @ dense.T)
+
+
+def test_questions_with_the_same_vector_are_one_search(spark, monkeypatch):
+    points = spark.createDataFrame([("p", f"c{k}", [float(k), 1.0], f"s{k % 2}") for k in range(20)], "project_id string, chunk_id string, vector array<double>, service_name string")
+    asked = [("p", f"q{k}", [1.0, float(k % 2)], 3 + k % 2, [None, "s0"][k % 4 // 2]) for k in range(40)]
+    frame = spark.createDataFrame(asked, "project_id string, question_id string, vector array<double>, fetch_k int, filter_service_name string")
+    sizes = []
+    monkeypatch.setattr(vector, "_block_of", lambda rows, names, f=vector._block_of: sizes.append(rows.num_rows) or f(rows, names))
+    hits = vector.vector_search(frame, points, 2).collect()
+    assert sizes == [4]
+    alone = [r for q in asked[:4] for r in vector.vector_search(spark.createDataFrame([q], frame.schema), points, 2).collect()]
+    want = {(int(r.question_id[1:]) % 4, r.chunk_id, r.score, r["rank"]) for r in alone}
+    assert {(r.question_id, r.chunk_id, r.score, r["rank"]) for r in hits} == {(f"q{k}", *w[1:]) for k in range(40) for w in want if w[0] == k % 4}
+
+
 def test_graph_search_pairs_edges_with_searches_not_questions(spark, monkeypatch):
     from caseloom.operators import relations
 
