@@ -325,6 +325,18 @@ def test_questions_with_the_same_vector_are_one_search(spark, monkeypatch):
     assert {(r.question_id, r.chunk_id, r.score, r["rank"]) for r in hits} == {(f"q{k}", *w[1:]) for k in range(40) for w in want if w[0] == k % 4}
 
 
+def test_places_of_a_batch_of_stems_equal_a_plain_loop():
+    import pyarrow as pa
+
+    lines = [["x"], ["b", "a", "", "b"], None, [], ["a"] * 3, ["c", "\u00e9", "c", "b"]]
+    batch = pa.array(lines, pa.list_(pa.string()))
+    for part, own in ((batch, lines), (batch.slice(1, 4), lines[1:5]), (batch.slice(2, 2), lines[2:4]), (batch.slice(0, 0), [])):
+        found = lexical.term_places.func(part).to_pylist()
+        want = [{t: [k + 1 for k, x in enumerate(line or []) if x == t] for t in line or []} for line in own]
+        assert [{f["term"]: f["places"] for f in row} for row in found] == want
+        assert [len(row) for row in found] == [len(w) for w in want]
+
+
 def test_graph_search_pairs_edges_with_searches_not_questions(spark, monkeypatch):
     from caseloom.operators import relations
 
