@@ -11,12 +11,12 @@ from caseloom import vocab
 from caseloom.defaults import DEFAULTS
 from caseloom.functions import paths, text as tx
 from caseloom.operators import chunkers, embedding, jobs, reports, store, validate, vector
-from caseloom.operators.matching import dense_sequence
+from caseloom.operators.matching import dense_sequence, spread
 from caseloom.plans import ingest, state
 from caseloom.plans import sqlexpr as sx
 from caseloom.plans.catalog_text import facts_sql
 from caseloom.plans.registry import Load, big, flag, joined, query, stamp, text
-from caseloom.session import checkpoint_root
+from caseloom.session import checkpoint_root, cut_lineage
 from caseloom.sources import documents, files
 
 # --- sources ----------------------------------------------------------------
@@ -380,7 +380,7 @@ _CONFIG_TYPES = ("openapi_endpoint", "openapi_schema", "config_service_block", "
 )
 def code_declarations(t: Load) -> DataFrame:
     docs = _docs(t("v_code_docs")).withColumn("parser", chunkers.parser_name("path", "source_type"))
-    c = chunkers.emit(docs, chunkers.dispatched()).where(~F.col("chunk_type").isin(*_CONFIG_TYPES))
+    c = chunkers.emit(spread(docs), chunkers.dispatched()).where(~F.col("chunk_type").isin(*_CONFIG_TYPES))
     lines = docs.select("document_id", F.split("content", "\n").alias("ls"))
     return c.join(lines, "document_id").select(
         F.col("document_id").alias("doc_id"), big("start_line").alias("start_line"), big("end_line").alias("end_line"), "chunk_type",
@@ -399,7 +399,8 @@ def code_declarations_quoted(t: Load) -> DataFrame:
     opened = F.when(F.col("kind") == 4, 'DOC = """\n').otherwise("/*\n")
     closed = F.when(F.col("kind") == 4, '"""\n').otherwise("*/\n")
     files = t("v_code_docs").where("kind < 5").withColumn("content", F.concat(opened, "content", closed, "content"))
-    c = chunkers.emit(_docs(files).withColumn("parser", chunkers.parser_name("path", "source_type")), chunkers.dispatched())
+    docs = spread(_docs(files)).withColumn("parser", chunkers.parser_name("path", "source_type"))
+    c = chunkers.emit(docs, chunkers.dispatched())
     return c.select(
         F.col("document_id").alias("doc_id"), big("start_line").alias("start_line"), big("end_line").alias("end_line"), "chunk_type",
         F.col("section_title").alias("title"),
@@ -415,7 +416,7 @@ def code_declarations_quoted(t: Load) -> DataFrame:
         {'t': 'config_section', 's': 'config password_file', 'e': ''}, {'t': 'config_section', 's': 'config zone', 'e': ''}] ELSE [] END) AS c FROM v_code_docs)""",
 )
 def structured_config_blocks(t: Load) -> DataFrame:
-    c = chunkers.emit(_docs(t("v_code_docs")), chunkers.structured()).where(F.col("chunk_type").isin(*_CONFIG_TYPES))
+    c = chunkers.emit(spread(_docs(t("v_code_docs"))), chunkers.structured()).where(F.col("chunk_type").isin(*_CONFIG_TYPES))
     return c.select(
         F.col("document_id").alias("doc_id"), "chunk_type", F.col("section_title").alias("title"), text("endpoint").alias("endpoint")
     )
@@ -427,7 +428,7 @@ def structured_config_blocks(t: Load) -> DataFrame:
       len(regexp_split_to_array(regexp_replace(content, '\n\z', ''), '\n')) AS end_line, strlen(content) AS bytes FROM v_code_docs""",
 )
 def generic_code_files(t: Load) -> DataFrame:
-    c = chunkers.emit(_docs(t("v_code_docs")), chunkers.generic_code())
+    c = chunkers.emit(spread(_docs(t("v_code_docs"))), chunkers.generic_code())
     return c.select(
         F.col("document_id").alias("doc_id"), "chunk_type", F.col("section_title").alias("title"), big("end_line").alias("end_line"),
         big(F.octet_length("text")).alias("bytes"),
@@ -456,7 +457,7 @@ def bounded_fallback_chunks(t: Load) -> DataFrame:
       UNION ALL SELECT doc_id, 'document', len(regexp_split_to_array(regexp_replace(content, '\n\z', ''), '\n')), 1 FROM v_code_docs WHERE kind >= 2)""",
 )
 def chunking_hints(t: Load) -> DataFrame:
-    h = chunkers.chunking_hints(_docs(t("v_code_docs")))
+    h = chunkers.chunking_hints(spread(_docs(t("v_code_docs"))))
     return h.select(
         F.col("document_id").alias("doc_id"), F.col("type").alias("kind"), big("start_line").alias("start_line"), big("end_line").alias("end_line")
     )
@@ -525,7 +526,8 @@ def collected_facts_in_chunks(t: Load) -> DataFrame:
         F.col("doc_id").alias("position"), "path", "content", F.lit(None).cast("string").alias("skip_reason"), F.lit(None).cast("timestamp").alias("modified_at"),
     )
     none = t("v_docs").select("project_id", "source_id", F.col("path").alias("external_id"), "content_hash").limit(0)
-    chunks = ingest.ingest_documents(files.collected_documents(listed_files), none).chunks
+    # Written, since what selects files by their text would else be worked out before they are spread.
+    chunks = ingest.ingest_documents(files.collected_documents(cut_lineage(spread(listed_files))), none).chunks
     listed = lambda k: joined(F.try_element_at("metadata_lists", F.lit(k)))
     functions = F.when(F.try_element_at("metadata", F.lit("language")) == "python", listed("function_names")).otherwise("")
     return chunks.select(

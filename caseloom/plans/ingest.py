@@ -12,6 +12,7 @@ from caseloom import schemas
 from caseloom.defaults import DEFAULTS, Defaults
 from caseloom.functions.text import failure_code
 from caseloom.operators import store, validate
+from caseloom.operators.matching import spread
 from caseloom.operators.relations import derive_relations
 from caseloom.session import cut_lineage
 
@@ -55,7 +56,7 @@ def ingest_documents(incoming: DataFrame, current: DataFrame, defaults: Defaults
     )
     unique = marked.where(~F.col("is_duplicate")).drop("is_duplicate")
     compared = store.change_status(unique, current)
-    changed = compared.where(F.col("status") != "unchanged")
+    changed = spread(compared.where(F.col("status") != "unchanged"), incoming.count())
     # Four tables read the chunker's rows; they are made once and kept.
     rows = cut_lineage(store.final_chunks(changed, defaults))
     chunks = rows.where(F.col("failure_code").isNull())

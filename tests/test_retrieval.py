@@ -52,6 +52,22 @@ def test_agreement_between_branches_wins(spark):
     assert best.chunk_id == "b"
 
 
+def test_small_rows_are_spread_over_tasks(spark, sf_dir, monkeypatch):
+    from caseloom.operators import chunkers
+    from caseloom.plans.catalog import QUERIES
+
+    monkeypatch.setattr(matching, "TASK_ROWS", 50)
+    frame = spark.range(0, 420, 1, 1)
+    sizes = matching.spread(frame).groupBy(F.spark_partition_id()).count().collect()
+    assert len(sizes) == 9 and max(r["count"] for r in sizes) <= 60 and sum(r["count"] for r in sizes) == 420
+    assert matching.spread(frame.limit(50)).rdd.getNumPartitions() == 1
+    tasks = []
+    monkeypatch.setattr(chunkers, "emit", lambda docs, chunks, f=chunkers.emit: tasks.append(docs.rdd.getNumPartitions()) or f(docs, chunks))
+    QUERIES["code_declarations"](spark, sf_dir)
+    QUERIES["code_declarations_quoted"](spark, sf_dir)
+    assert min(tasks) > 1
+
+
 def test_dense_sequence_handles_one_hot_key(spark):
     frame = spark.range(1000).select(F.lit("hot").alias("k"), "id")
     rows = matching.dense_sequence(frame, ["k"], ["id"], F.floor(F.col("id") / 100)).collect()
