@@ -380,3 +380,12 @@ def test_a_query_builds_only_the_tables_it_reads(spark, sf_dir, monkeypatch):
     assert {key[-1] for key in corpus._BUILT} == {"chunks"}
     QUERIES["graph_search"](spark, sf_dir)
     assert {key[-1] for key in corpus._BUILT} == {"chunks", "edges"}
+
+
+def test_what_was_cut_is_known_to_be_small(spark):
+    from caseloom.session import cut_lineage
+
+    small = cut_lineage(spark.range(5).withColumn("name", F.concat(F.lit("n"), "id")))
+    assert sorted(r.name for r in small.collect()) == [f"n{k}" for k in range(5)]
+    plan = spark.range(10_000_000).join(small, "id")._jdf.queryExecution().sparkPlan().toString()
+    assert "BroadcastHashJoin" in plan
