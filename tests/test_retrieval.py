@@ -389,3 +389,12 @@ def test_what_was_cut_is_known_to_be_small(spark):
     assert sorted(r.name for r in small.collect()) == [f"n{k}" for k in range(5)]
     plan = spark.range(10_000_000).join(small, "id")._jdf.queryExecution().sparkPlan().toString()
     assert "BroadcastHashJoin" in plan
+
+
+def test_tokens_of_a_batch_are_stemmed_as_the_text_is(spark):
+    lines = ["Classes, classes and THE \u00e9t\u00e9s; bus busses", "the of", "", None, "Deployed deploys-deploy: x9ing ab\u0661ed"]
+    frame = spark.createDataFrame([(k, x) for k, x in enumerate(lines)], "id int, text string")
+    rows = frame.select("id", lexical.token_places(lexical.tokens("text")).alias("found"), lexical.positions("text").alias("stems")).collect()
+    for r in rows:
+        stems = r.stems or []
+        assert {t.term: t.places for t in r.found or []} == {s: [k + 1 for k, x in enumerate(stems) if x == s] for s in stems}
