@@ -398,3 +398,32 @@ def test_tokens_of_a_batch_are_stemmed_as_the_text_is(spark):
     for r in rows:
         stems = r.stems or []
         assert {t.term: t.places for t in r.found or []} == {s: [k + 1 for k, x in enumerate(stems) if x == s] for s in stems}
+
+
+def test_an_endpoint_of_many_chunks_is_not_paired_with_every_question(spark):
+    from caseloom import vocab
+    from caseloom.operators import metadata_search as ms
+
+    kinds = "question_id string, project_id string, fetch_k int, services array<string>, deploy_hashes array<string>, endpoints array<string>, query_terms array<string>"
+    asked = spark.createDataFrame(
+        [(f"q{k}", "p", 3 + k % 2, ["svc1"] if k % 3 else [], ["abcdef12"] if k == 5 else [], ["/v1/error", "/v1/e"][: 1 + k % 2], ["timeout", "handler"][: k % 3]) for k in range(30)], kinds)
+    rows = [(f"c{k:03}", "p", f"svc{k % 3}", "abcdef12" if k % 40 == 7 else None, [None, "/v1/error", "GET /v1/error", "/v1/e"][k % 4],
+             ["a/handler.py", "b/timeout/handler.py", "c"][k % 3 if k % 5 else 2], {"symbol": "Timeout" if k == 33 else "x"}, {}) for k in range(160)]
+    chunks = spark.createDataFrame(rows, "chunk_id string, project_id string, service_name string, deploy_hash string, endpoint string, path string, metadata map<string,string>, "
+                                   "metadata_lists map<string,array<string>>").withColumn("chunk_type", F.lit("x"))
+    found = {(r.question_id, r.chunk_id, r.score, r["rank"]) for r in ms.metadata_search(asked, chunks, 4).collect()}
+    want = set()
+    for q in asked.collect():
+        scored, terms = [], [t for t in q.query_terms if t not in vocab.METADATA_IGNORED_TERMS]
+        for chunk, _, service, deploy, endpoint, path, meta, _ in rows:
+            symbols = sum(meta["symbol"].lower() == t for t in terms)
+            paths = sum(t in path for t in terms)
+            score = 4.0 * (service in q.services) + 4.0 * (deploy in q.deploy_hashes) + 5.0 * any(e in (endpoint or "") for e in q.endpoints) + 3.0 * symbols + min(2.0, paths)
+            if score:
+                scored.append((-score, chunk))
+        want |= {(q.question_id, chunk, -score, k + 1) for k, (score, chunk) in enumerate(sorted(scored)[: q.fetch_k])}
+    assert found == want
+    ready, facts = ms.metadata_terms(asked), ms._facts(chunks)
+    assert ms._selective(ready, facts, []).count() < 30
+    # A kind that scores more fills each budget of 4, so no question takes more than a few kinds.
+    assert ms._leading(ready, facts, 4, []).groupBy("question_id").count().agg(F.max("count")).first()[0] <= 12
