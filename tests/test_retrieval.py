@@ -382,15 +382,6 @@ def test_a_query_builds_only_the_tables_it_reads(spark, sf_dir, monkeypatch):
     assert {key[-1] for key in corpus._BUILT} == {"chunks", "edges"}
 
 
-def test_what_was_cut_is_known_to_be_small(spark):
-    from caseloom.session import cut_lineage
-
-    small = cut_lineage(spark.range(5).withColumn("name", F.concat(F.lit("n"), "id")))
-    assert sorted(r.name for r in small.collect()) == [f"n{k}" for k in range(5)]
-    plan = spark.range(10_000_000).join(small, "id")._jdf.queryExecution().sparkPlan().toString()
-    assert "BroadcastHashJoin" in plan
-
-
 def test_tokens_of_a_batch_are_stemmed_as_the_text_is(spark):
     lines = ["Classes, classes and THE \u00e9t\u00e9s; bus busses", "the of", "", None, "Deployed deploys-deploy: x9ing ab\u0661ed"]
     frame = spark.createDataFrame([(k, x) for k, x in enumerate(lines)], "id int, text string")
@@ -400,6 +391,15 @@ def test_tokens_of_a_batch_are_stemmed_as_the_text_is(spark):
         assert {t.term: t.places for t in r.found or []} == {s: [k + 1 for k, x in enumerate(stems) if x == s] for s in stems}
 
 
+def test_what_was_cut_is_known_to_be_small(spark):
+    from caseloom.session import cut_lineage
+
+    small = cut_lineage(spark.range(5).withColumn("name", F.concat(F.lit("n"), "id")))
+    assert sorted(r.name for r in small.collect()) == [f"n{k}" for k in range(5)]
+    plan = spark.range(10_000_000).join(small, "id")._jdf.queryExecution().sparkPlan().toString()
+    assert "BroadcastHashJoin" in plan
+
+
 def test_an_endpoint_of_many_chunks_is_not_paired_with_every_question(spark):
     from caseloom import vocab
     from caseloom.operators import metadata_search as ms
@@ -427,3 +427,15 @@ def test_an_endpoint_of_many_chunks_is_not_paired_with_every_question(spark):
     assert ms._selective(ready, facts, []).count() < 30
     # A kind that scores more fills each budget of 4, so no question takes more than a few kinds.
     assert ms._leading(ready, facts, 4, []).groupBy("question_id").count().agg(F.max("count")).first()[0] <= 12
+
+
+def test_hashed_terms_deal_texts_out_by_key(spark, monkeypatch):
+    monkeypatch.setattr(embedding, "TASK_KEYS", 10)
+    texts = spark.range(95).select("id", F.concat_ws(" ", F.lit("alpha"), F.concat(F.lit("w"), "id"), F.lit("beta alpha")).alias("text")).coalesce(1)
+    cells = embedding.hashed_terms(texts.union(texts.where("id = 3")), "id", "text")
+    # The cells of a key are counted where its text is: by ten tasks, and with no shuffle of cells.
+    plan = cells._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "REPARTITION_BY_NUM" in plan
+    dense = {i: embedding.hash_embedder()([f"alpha w{i} beta alpha"])[0] for i in range(95)}
+    got = {(r["id"], r["index"]): r["value"] for r in cells.collect()}
+    assert got == pytest.approx({(i, k): x for i, v in dense.items() for k, x in enumerate(v) if x})
