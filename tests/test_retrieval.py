@@ -439,3 +439,10 @@ def test_hashed_terms_deal_texts_out_by_key(spark, monkeypatch):
     dense = {i: embedding.hash_embedder()([f"alpha w{i} beta alpha"])[0] for i in range(95)}
     got = {(r["id"], r["index"]): r["value"] for r in cells.collect()}
     assert got == pytest.approx({(i, k): x for i, v in dense.items() for k, x in enumerate(v) if x})
+
+
+def test_embedder_begins_its_codes_anew_and_stays_the_same(monkeypatch):
+    texts = [f"a{i} b{i % 5} a{i} C" for i in range(900)]
+    want = embedding.hash_embedder()(texts)
+    monkeypatch.setattr(embedding, "MOST_CODES", 10)
+    assert (embedding.hash_embedder()(texts) == want).all()
