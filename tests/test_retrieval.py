@@ -446,3 +446,34 @@ def test_embedder_begins_its_codes_anew_and_stays_the_same(monkeypatch):
     want = embedding.hash_embedder()(texts)
     monkeypatch.setattr(embedding, "MOST_CODES", 10)
     assert (embedding.hash_embedder()(texts) == want).all()
+
+
+def test_contains_join_finds_every_needle_and_joins_only_such_pieces(spark, monkeypatch):
+    rng = random.Random(5)
+    word = lambda n: "".join(rng.choice("abäß€😀/-.") for _ in range(n))
+    hay = [None, "", "ab", *(word(rng.randrange(90)) for _ in range(400))]
+    needles = {h[at : at + n] for h in hay[3:90] for at in (0, 3, 11) for n in (2, 3, 5, 31, 32, 33, 50)} | {"zzz", "a"}
+    left = spark.createDataFrame([(f"p{k % 2}", h) for k, h in enumerate(hay)], "project_id string, text string").repartition(3)
+    right = spark.createDataFrame([(p, n) for n in needles for p in ("p0", "p1")], "project_id string, needle string")
+    got = [tuple(r) for r in matching.contains_join(left, "text", right, "needle", ["project_id"], 2).select("project_id", "text", "needle").collect()]
+    want = [(f"p{k % 2}", h, n) for k, h in enumerate(hay) if h for n in needles if len(n) >= 2 and n in h]
+    assert sorted(got) == sorted(want)
+    exploded = []
+    monkeypatch.setattr(matching.F, "explode", lambda c, explode=F.explode: exploded.append(c) or explode(c))
+    matching.contains_join(left, "text", right.where("needle = 'zzz'"), "needle", ["project_id"], 2)
+    assert left.select(F.sum(F.size(exploded[0]))).first()[0] == 0
+
+
+def test_graph_search_searches_keys_once(spark, monkeypatch):
+    edges = spark.createDataFrame(
+        [("p", f"c{i}", "contains", f"service:svc{i % 3}", f"path:svc{i % 5}/a{i}") for i in range(40)],
+        "project_id string, evidence_chunk_id string, relation_type string, from_key string, to_key string")
+    asked = spark.createDataFrame([("q", "p", 5, "architecture", ["svc1"], [], [])],
+        "question_id string, project_id string, fetch_k int, intent string, services array<string>, endpoints array<string>, query_terms array<string>")
+    from caseloom.operators import relations
+
+    held = []
+    monkeypatch.setattr(relations, "cut_lineage", lambda f, cut=relations.cut_lineage: held.append(f.columns) or cut(f))
+    got = [r.chunk_id for r in relations.graph_search(asked, edges, 5).orderBy("rank").collect()]
+    assert got == sorted(f"c{i}" for i in range(40) if i % 3 == 1 or i % 5 == 1)[:5]
+    assert ["project_id", "key", "held"] in held
