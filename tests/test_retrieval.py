@@ -477,3 +477,42 @@ def test_graph_search_searches_keys_once(spark, monkeypatch):
     got = [r.chunk_id for r in relations.graph_search(asked, edges, 5).orderBy("rank").collect()]
     assert got == sorted(f"c{i}" for i in range(40) if i % 3 == 1 or i % 5 == 1)[:5]
     assert ["project_id", "key", "held"] in held
+
+
+def test_density_of_a_batch_equals_the_fold(spark):
+    rng, rows = random.Random(11), []
+    for k in range(300):
+        line = [rng.choice("abcdxyz") for _ in range(rng.randrange(1, 40))]
+        wanted = sorted(set(rng.choices("abcd", k=rng.randrange(1, 5))))
+        held = [(n, [i + 1 for i, s in enumerate(line) if s == w]) for n, w in enumerate(wanted)]
+        rows.append((line, wanted, [h for h in held if h[1]] if k % 3 else held[::-1]))
+    frame = spark.createDataFrame(rows, "line array<string>, wanted array<string>, held array<struct<term: int, places: array<int>>>").repartition(3)
+    got = frame.select(lexical.place_density("held", F.size("wanted")).alias("a"), lexical.cover_density("line", "wanted").alias("b")).collect()
+    assert [r.a for r in got] == [r.b for r in got] and any(r.a > 1 for r in got) and any(r.a == 0 for r in got)
+
+
+def test_lexical_search_looks_up_only_terms_that_are_not_at_hand(spark, monkeypatch):
+    chunks = spark.createDataFrame(
+        [("p", f"c{i}", "alpha beta " * (1 + i % 3) + ("gamma " if i % 2 else "") + "alpha") for i in range(20)], "project_id string, chunk_id string, text string")
+    index = lexical.lexical_index(chunks)
+    asked = spark.createDataFrame([("q1", "p", 50, "alpha"), ("q2", "p", 50, "gamma beta"), ("q3", "p", 50, "alpha missing")],
+        "question_id string, project_id string, fetch_k int, question string")
+    written = []
+    monkeypatch.setattr(lexical, "cut_lineage", lambda f, cut=lexical.cut_lineage: written.append(cut(f)) or written[-1])
+    found = lexical.lexical_search(asked, chunks, index)
+    pairs = [w for w in written if {"search", "chunk_id", "term"} <= set(w.columns) and "wanted" not in w.columns]
+    assert [p.select("term").distinct().collect()[0].term for p in pairs] == ["beta"] and pairs[0].count() == 10
+    got = {(r.question_id, r.chunk_id): r.score for r in found.collect()}
+    assert got == {**{("q1", f"c{i}"): 2.0 + i % 3 for i in range(20)},
+                   **{("q2", f"c{i}"): got[("q2", f"c{i}")] for i in range(20) if i % 2}}
+    fold = chunks.select("chunk_id", F.round(lexical.cover_density(lexical.positions("text"), F.array(F.lit("beta"), F.lit("gamma"))), 6).alias("s")).collect()
+    assert {r.chunk_id: r.s for r in fold if r.s} == {c: s for (q, c), s in got.items() if q == "q2"}
+
+
+def test_searches_meet_questions_after_their_cut(spark):
+    chunks = spark.createDataFrame([("p", f"c{i:02d}", "alpha " * (1 + i % 4)) for i in range(30)], "project_id string, chunk_id string, text string")
+    asked = spark.createDataFrame([(f"q{k}", "p", 3, "alpha") for k in range(5)], "question_id string, project_id string, fetch_k int, question string")
+    whole, few = lexical.lexical_search(asked, chunks), lexical.lexical_search(asked, chunks, None, 4)
+    assert whole.count() == 150 and few.count() == 20
+    rows = lambda f: sorted((r.question_id, r.chunk_id, r.score, r["rank"]) for r in lexical.best(f, 4).collect())
+    assert rows(whole) == rows(few) and len(rows(few)) == 15
