@@ -516,3 +516,24 @@ def test_searches_meet_questions_after_their_cut(spark):
     assert whole.count() == 150 and few.count() == 20
     rows = lambda f: sorted((r.question_id, r.chunk_id, r.score, r["rank"]) for r in lexical.best(f, 4).collect())
     assert rows(whole) == rows(few) and len(rows(few)) == 15
+
+
+def test_boosts_test_a_chunk_once_whatever_questions_name_it(spark):
+    """Rules read columns of the chunk that are worked out before it meets any question."""
+    rules = str([[str(c) for c in rule] for rule in fusion.boost_rules()])
+    assert "metadata_lists" not in rules and "CASE WHEN contains(path" not in rules and "lower(" not in rules
+    chunks = spark.createDataFrame(
+        [("p", "a", "config/App.yaml", "Config_Service_Block", "SVC1", "AB12", None, None, 1, 2, None, None, "t", {"source_type": "config", "has_root_cause": "y"}, {"log_levels": ["E"]}),
+         ("p", "b", None, None, None, None, "/v1/x", None, 1, 2, None, None, "t", {}, {})],
+        "project_id string, chunk_id string, path string, chunk_type string, service_name string, deploy_hash string, endpoint string, section_title string,"
+        "start_line int, end_line int, timestamp_start timestamp, timestamp_end timestamp, text string, metadata map<string,string>, metadata_lists map<string,array<string>>")
+    asked = spark.createDataFrame(
+        [("q", "which config", "config_lookup", ["config"], ["config_service_block"], ["config"], ["svc1"], ["ab12"], ["/v1/x/y"])],
+        "question_id string, question string, intent string, preferred_sources array<string>, preferred_chunks array<string>, query_terms array<string>,"
+        "services array<string>, deploy_hashes array<string>, endpoints array<string>")
+    fused = spark.createDataFrame([("q", "p", "a", 1.0), ("q", "p", "b", 1.0)], "question_id string, project_id string, chunk_id string, rrf_score double")
+    got = {r.chunk_id: r for r in fusion.boost(fused, asked, chunks).collect()}
+    names = [r.split(":")[0] for r in got["a"].reasons]
+    assert names[:4] == ["deploy_hash_match", "service_name_match", "intent_source", "intent_chunk"] and "config_path_match" in names
+    assert got["b"].reasons == ["endpoint_match"] and got["b"].fused_score == 1.12
+    assert not {"chunk_kind", "kind_boost", "config_path", "_fires0"} & set(got["a"].asDict())
