@@ -537,3 +537,16 @@ def test_boosts_test_a_chunk_once_whatever_questions_name_it(spark):
     assert names[:4] == ["deploy_hash_match", "service_name_match", "intent_source", "intent_chunk"] and "config_path_match" in names
     assert got["b"].reasons == ["endpoint_match"] and got["b"].fused_score == 1.12
     assert not {"chunk_kind", "kind_boost", "config_path", "_fires0"} & set(got["a"].asDict())
+
+
+def test_kinds_are_listed_for_the_first_chunks_of_those_alike(spark, monkeypatch):
+    schema = ("project_id string, chunk_id string, service_name string, deploy_hash string, endpoint string, chunk_type string, path string,"
+              "metadata map<string,string>, metadata_lists map<string,array<string>>")
+    chunks = spark.createDataFrame([("p", f"c{i:03d}", "svc1", None, None, "t", f"logs/app-{i}.log", {}, {}) for i in range(200)], schema)
+    asked = spark.createDataFrame([("q", "p", 4, ["svc1"], [], [], ["logs"])],
+        "question_id string, project_id string, fetch_k int, services array<string>, deploy_hashes array<string>, endpoints array<string>, query_terms array<string>")
+    places = []
+    monkeypatch.setattr(metadata_search, "top_per", lambda f, keys, *a, top_per=metadata_search.top_per, **k: places.append((keys, top_per(f, keys, *a, **k))) or places[-1][1])
+    got = [(r.chunk_id, r.score) for r in metadata_search.metadata_search(asked, chunks, 4).orderBy("rank").collect()]
+    assert got == [(f"c{i:03d}", 5.0) for i in range(4)]
+    assert [f.count() for keys, f in places if "terms" in keys] == [4]
