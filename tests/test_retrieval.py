@@ -550,3 +550,13 @@ def test_kinds_are_listed_for_the_first_chunks_of_those_alike(spark, monkeypatch
     got = [(r.chunk_id, r.score) for r in metadata_search.metadata_search(asked, chunks, 4).orderBy("rank").collect()]
     assert got == [(f"c{i:03d}", 5.0) for i in range(4)]
     assert [f.count() for keys, f in places if "terms" in keys] == [4]
+
+
+def test_files_of_the_chunk_table_hold_few_rows(spark, sf_dir, monkeypatch):
+    from caseloom.plans import corpus, views
+
+    monkeypatch.setattr(corpus, "FILE_ROWS", 100)
+    monkeypatch.setattr(corpus, "_BUILT", {})
+    table = corpus.chunk_table(lambda name: views.load(spark, sf_dir, name))
+    per_file = table.groupBy(F.input_file_name()).count().agg(F.max("count"), F.sum("count")).first()
+    assert per_file[0] == 100 and per_file[1] == table.count() > 1000
