@@ -560,3 +560,54 @@ def test_files_of_the_chunk_table_hold_few_rows(spark, sf_dir, monkeypatch):
     table = corpus.chunk_table(lambda name: views.load(spark, sf_dir, name))
     per_file = table.groupBy(F.input_file_name()).count().agg(F.max("count"), F.sum("count")).first()
     assert per_file[0] == 100 and per_file[1] == table.count() > 1000
+
+
+def test_hits_sent_do_not_grow_with_the_tasks_of_the_points(spark):
+    points = spark.range(600).selectExpr("'p' AS project_id", "concat('c', id) AS chunk_id", "array(1.0D, id / 600.0D) AS vector").repartition(50)
+    asked = spark.createDataFrame([("q", "p", [1.0, 0.5], 5)], "question_id string, project_id string, vector array<double>, fetch_k int")
+    hits, _ = vector._search_block(asked, points, {})
+    most = 5 * vector.CORE_TASKS * spark.sparkContext.defaultParallelism
+    assert 5 <= hits.count() <= most < 50 * 5
+    assert [r.chunk_id for r in vector.vector_search(asked, points, 2).orderBy("rank").collect()] == ["c300", "c299", "c301", "c298", "c302"]
+
+
+def test_scores_are_exact_though_pairs_are_found_in_single_precision(spark):
+    rng = np.random.default_rng(9)
+    # Scores that differ by less than single precision tells, and by more than is rounded away.
+    base = rng.normal(size=64)
+    near = [(base + 3e-5 * rng.normal(size=64)).tolist() for _ in range(400)]
+    points = spark.createDataFrame([("p", f"c{k:03d}", v) for k, v in enumerate(near)], "project_id string, chunk_id string, vector array<double>")
+    asked = np.vstack([base + 0.3 * rng.normal(size=64), np.eye(64)[:3]])
+    frame = spark.createDataFrame([(f"q{k}", "p", v.tolist(), 7) for k, v in enumerate(asked)], "question_id string, project_id string, vector array<double>, fetch_k int")
+    unit = lambda m: m / np.linalg.norm(m, axis=1, keepdims=True)
+    scores = np.round(unit(asked) @ unit(np.array(near)).T, 6)
+    want = {(f"q{k}", f"c{c:03d}", s[c]) for k, s in enumerate(scores) for c in np.lexsort((np.arange(400), -s))[:7]}
+    assert {(r.question_id, r.chunk_id, r.score) for r in vector.vector_search(frame, points, 64).collect()} == want
+
+
+def test_questions_of_few_coordinates_are_multiplied_over_few():
+    rng = np.random.default_rng(5)
+    matrix = np.zeros((500, 384))
+    for k in range(500):
+        matrix[k, rng.choice(384, 1 + k % 6, replace=False)] = 1.0
+    sparse = vector.Group((), np.arange(500), matrix, 3)
+    assert max(map(len, sparse.places)) <= vector.TILE_PLACES and sorted(sparse.numbers) == list(range(500))
+    # Full vectors share all coordinates and stay many to a product.
+    assert len(vector.Group((), np.arange(500), rng.normal(size=(500, 8)), 3).places) == -(-500 // vector.TILE_QUESTIONS)
+
+
+def test_hits_too_many_for_one_number_are_sorted_all_the_same():
+    best = vector.Best(np.full(1 << 20, 2))
+    for at in range(0, 6, 2):
+        rows = best.rows(np.array([f"c{9 - at}", f"c{8 - at}"], dtype=object))
+        best.add(np.array([0, (1 << 20) - 1]), np.array([[-2000.0 + at, 2000.0], [0.1, 0.1]]), rows, 2)
+    q, score, name = best.cut()
+    assert list(zip(q.tolist(), score.tolist(), name)) == [(0, 2000.0, "c4"), (0, 2000.0, "c6"), ((1 << 20) - 1, 0.1, "c4"), ((1 << 20) - 1, 0.1, "c5")]
+
+
+def test_candidates_are_read_without_looking_chunks_up(spark, sf_dir, monkeypatch):
+    from caseloom.plans import catalog_retrieval, retrieval, views
+
+    monkeypatch.setattr(retrieval, "named_chunks", lambda *a: pytest.fail("chunks were looked up"))
+    found = catalog_retrieval.hybrid(lambda name: views.load(spark, sf_dir, name))
+    assert found.candidates.count() > 0
