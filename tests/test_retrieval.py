@@ -611,3 +611,12 @@ def test_candidates_are_read_without_looking_chunks_up(spark, sf_dir, monkeypatc
     monkeypatch.setattr(retrieval, "named_chunks", lambda *a: pytest.fail("chunks were looked up"))
     found = catalog_retrieval.hybrid(lambda name: views.load(spark, sf_dir, name))
     assert found.candidates.count() > 0
+
+
+def test_the_one_nearest_cell_is_found_without_sorting_all(monkeypatch):
+    rng = np.random.default_rng(6)
+    # Few distinct scores, so that numbers decide.
+    held, vectors = cells.Cells(np.round(rng.normal(size=(40, 3)))), np.round(rng.normal(size=(200, 3)))
+    want = held.nearest(vectors, 2)[:, :1]
+    monkeypatch.setattr(np, "argsort", lambda *a, **k: pytest.fail("all cells were sorted"))
+    assert np.array_equal(held.nearest(vectors, 1), want)
